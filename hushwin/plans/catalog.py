@@ -7,8 +7,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hushwin.operators import windows
+from hushwin.functions import codec
+from hushwin.operators import routing, windows
 from hushwin.sources import tables
 
 # --- Fixed query parameters (shared with the oracle SQL) --------------------
@@ -49,6 +51,54 @@ def q_session_reduce_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.session_keep_max(tables.records(spark, sf_dir), SESSION_GAP_MS)
 
 
+SINK_TOPICS = ("test-out", "audit")
+TOPIC_PATTERN = "c.*|pur.*"
+START_MS = 1_705_276_800_000    # 2024-01-15T00:00:00Z
+OUT_CHANNELS = 4
+
+
+def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec.decode(tables.json_lines(spark, sf_dir))
+
+
+def _record_cols(df: DataFrame) -> DataFrame:
+    return df.select("topic", "seq", F.col("t").alias("event_time_ms"), "key", "value")
+
+
+def q_json_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _record_cols(codec.good(_decoded(spark, sf_dir)))
+
+
+def q_json_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec.quarantine(_decoded(spark, sf_dir)).select("topic", "seq", "reason")
+
+
+def q_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    once = codec.good(_decoded(spark, sf_dir)).select("topic", "seq", "event_time", "key", "value")
+    again = codec.decode(codec.encode_records(once).select("topic", "seq", "payload"))
+    return _record_cols(codec.good(again))
+
+
+def q_topic_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rec = codec.good(_decoded(spark, sf_dir)).select("seq", "event_time", "key", "value")
+    out = codec.encode_records(routing.topic_fanout(rec, SINK_TOPICS)).select("topic", "seq", "payload")
+    return _record_cols(codec.good(codec.decode(out)))
+
+
+def q_topic_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.topic_filter(tables.records(spark, sf_dir), TOPIC_PATTERN).select("topic", "seq")
+
+
+def q_start_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = tables.records(spark, sf_dir)
+    return routing.start_position(r, START_MS).select("seq", F.col("t").alias("event_time_ms"))
+
+
+def q_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = tables.jittered(spark, sf_dir)
+    return routing.round_robin(r, OUT_CHANNELS).select("shard", "seq", "out_partition")
+
+
 QUERIES: dict[str, Query] = {
     "tumbling_assign": q_tumbling_assign,
     "window_reduce_max": q_window_reduce_max,
@@ -56,6 +106,13 @@ QUERIES: dict[str, Query] = {
     "window_max_by": q_window_max_by,
     "sliding_reduce_max": q_sliding_reduce_max,
     "session_reduce_max": q_session_reduce_max,
+    "json_decode": q_json_decode,
+    "json_quarantine": q_json_quarantine,
+    "json_roundtrip": q_json_roundtrip,
+    "topic_fanout": q_topic_fanout,
+    "topic_pattern": q_topic_pattern,
+    "start_position": q_start_position,
+    "round_robin": q_round_robin,
 }
 
 FLAGSHIP = "window_reduce_max"

@@ -80,3 +80,35 @@ s AS (SELECT *, sum(st) OVER (PARTITION BY key ORDER BY t, seq ROWS BETWEEN UNBO
 w AS (SELECT *, min(t) OVER (PARTITION BY key, session_id) AS window_start_ms,
                 max(t) OVER (PARTITION BY key, session_id) + 1800000 AS window_end_ms FROM s)""",
     "key")
+
+# JSON fixture: kind = seq % 10. 0 no time, 2 not JSON, 3 bad time, 4 string value
+# -> quarantined; 1 -> defaults (-1, -Infinity); others decode as written.
+JSON_DECODED = f"""WITH {REC}
+SELECT topic, seq, t AS event_time_ms,
+       CASE WHEN seq % 10 = 1 THEN -1 ELSE key END AS key,
+       CASE WHEN seq % 10 = 1 THEN CAST('-Infinity' AS DOUBLE) ELSE value END AS value
+FROM rec WHERE seq % 10 NOT IN (0, 2, 3, 4)"""
+
+ORACLE["json_decode"] = JSON_DECODED
+ORACLE["json_roundtrip"] = JSON_DECODED
+ORACLE["json_quarantine"] = f"""WITH {REC}
+SELECT topic, seq, CASE WHEN seq % 10 = 0 THEN 'no_event_time' ELSE 'unparsable' END AS reason
+FROM rec WHERE seq % 10 IN (0, 2, 3, 4)"""
+ORACLE["topic_fanout"] = f"""WITH d AS ({JSON_DECODED})
+SELECT o.topic, d.seq, d.event_time_ms, d.key, d.value
+FROM d CROSS JOIN (VALUES ('test-out'), ('audit')) o(topic)"""
+ORACLE["topic_pattern"] = f"""WITH {REC}
+SELECT topic, seq FROM rec WHERE regexp_full_match(topic, 'c.*|pur.*')"""
+ORACLE["start_position"] = f"""WITH {REC}
+SELECT seq, t AS event_time_ms FROM rec WHERE t >= 1705276800000"""
+
+JITTERED = """rec AS (
+  SELECT CAST(event_id % 4 AS INTEGER) AS shard, event_id AS seq,
+         epoch_us(ts) // 1000 + (event_id * 7919) % 14400000 AS p, epoch_us(ts) // 1000 AS t,
+         CAST(user_id % 10 AS INTEGER) AS key, value, event_type AS topic
+  FROM events)"""
+
+ORACLE["round_robin"] = f"""WITH {JITTERED}
+SELECT shard, seq, CAST((shard + row_number() OVER (PARTITION BY shard ORDER BY p, seq)) % 4 AS INTEGER)
+       AS out_partition
+FROM rec"""

@@ -85,3 +85,27 @@ def decoupled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def idle_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four shards arriving at event time: quiet gaps make shards idle."""
     return sharded(records(spark, sf_dir))
+
+
+# Corruption kinds of the JSON fixture, by seq % 10 (fixed, see FIXTURES.md §3):
+# 0 no eventTime; 1 eventTime only (defaults apply); 2 not JSON;
+# 3 unparsable time; 4 string value; 5-9 complete records.
+JSON_KINDS = 10
+
+
+def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as keyed JSON messages ``(topic, seq, payload BINARY)``,
+    with malformed and partial records mixed in."""
+    from hushwin.functions import codec
+    r = records(spark, sf_dir)
+    kind = F.pmod(F.col("seq"), F.lit(JSON_KINDS))
+    text = (F.when(kind == 0, F.to_json(F.struct("key", "value")))
+             .when(kind == 1, F.to_json(F.struct(F.col("event_time").alias("eventTime")),
+                                        codec.ENCODE_OPTIONS))
+             .when(kind == 2, F.concat(F.lit("not json "), F.col("seq").cast("string")))
+             .when(kind == 3, F.to_json(F.struct(F.lit("bad").alias("eventTime"), "key", "value")))
+             .when(kind == 4, F.to_json(F.struct(F.col("event_time").alias("eventTime"), "key",
+                                                 F.lit("x").alias("value")), codec.ENCODE_OPTIONS))
+             .otherwise(F.to_json(F.struct(F.col("event_time").alias("eventTime"), "key", "value"),
+                                  codec.ENCODE_OPTIONS)))
+    return r.select("topic", "seq", "p", F.encode(text, "UTF-8").alias("payload"))
