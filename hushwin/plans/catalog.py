@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushwin.functions import codec
-from hushwin.operators import routing, windows
+from hushwin.operators import clock, idle, latency, progress, routing, watermark, windows
 from hushwin.sources import tables
 
 # --- Fixed query parameters (shared with the oracle SQL) --------------------
@@ -99,6 +99,72 @@ def q_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.round_robin(r, OUT_CHANNELS).select("shard", "seq", "out_partition")
 
 
+LATE_WINDOW_MS = HOUR_MS        # jittered replay: 1 h windows, 10 min out-of-orderness
+LATE_L_MS = 600_000
+CLOSE_L_MS = 60_000             # close latency: 1 h windows, 1 min out-of-orderness
+HB_IDLE_MS = 300_000            # decoupled replay: heartbeat / idle interval 5 min
+HB_WINDOW_MS = HOUR_MS
+HB_L_MS = 0
+GRID_MS = 300_000               # idle replay: 5 min grid, 20 min idle timeout
+IDLE_MS = 1_200_000
+
+
+def q_bounded_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wm = watermark.bounded_watermark(tables.jittered(spark, sf_dir), LATE_L_MS)
+    return wm.select("shard", "seq", "p", F.col("t").alias("event_time_ms"), "wm_ms")
+
+
+def q_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lr = watermark.late_rows(tables.jittered(spark, sf_dir), LATE_WINDOW_MS, LATE_L_MS)
+    return lr.select("shard", "seq", F.col("t").alias("event_time_ms"), "window_start_ms", "window_end_ms",
+                     "max_before_ms", "is_late")
+
+
+def q_late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return watermark.late_drop(tables.jittered(spark, sf_dir), LATE_WINDOW_MS, LATE_L_MS)
+
+
+def q_heartbeat_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clock.heartbeat_ticks(tables.decoupled(spark, sf_dir), HB_IDLE_MS)
+
+
+def q_connect_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reals = tables.decoupled(spark, sf_dir)
+    return clock.connect(reals, clock.heartbeat_ticks(reals, HB_IDLE_MS))
+
+
+def q_drop_heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reals = tables.decoupled(spark, sf_dir)
+    u = clock.connect(reals, clock.heartbeat_ticks(reals, HB_IDLE_MS))
+    u = u.withColumn("event_time", F.timestamp_millis("t"))
+    return clock.real_only(u).select("shard", "seq", "p", "t")
+
+
+def q_projected_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pc = clock.projected_clock(tables.decoupled(spark, sf_dir), HB_IDLE_MS)
+    return pc.select("shard", "seq", "p", "is_real", "s2", "d", "reanchored")
+
+
+def q_heartbeat_window_close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latency.heartbeat_window_close(tables.decoupled(spark, sf_dir), HB_WINDOW_MS, HB_L_MS, HB_IDLE_MS)
+
+
+def q_close_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latency.close_latency(tables.jittered(spark, sf_dir), HOUR_MS, CLOSE_L_MS)
+
+
+def q_idle_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idle.idle_intervals(tables.idle_fixture(spark, sf_dir), IDLE_MS)
+
+
+def q_idle_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idle.idle_watermark(tables.idle_fixture(spark, sf_dir), GRID_MS, IDLE_MS)
+
+
+def q_shard_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progress.shard_progress(tables.decoupled(spark, sf_dir), HB_WINDOW_MS, HB_L_MS, HB_IDLE_MS)
+
+
 QUERIES: dict[str, Query] = {
     "tumbling_assign": q_tumbling_assign,
     "window_reduce_max": q_window_reduce_max,
@@ -113,6 +179,18 @@ QUERIES: dict[str, Query] = {
     "topic_pattern": q_topic_pattern,
     "start_position": q_start_position,
     "round_robin": q_round_robin,
+    "bounded_watermark": q_bounded_watermark,
+    "late_rows": q_late_rows,
+    "late_drop": q_late_drop,
+    "heartbeat_ticks": q_heartbeat_ticks,
+    "connect_union": q_connect_union,
+    "drop_heartbeats": q_drop_heartbeats,
+    "projected_clock": q_projected_clock,
+    "heartbeat_window_close": q_heartbeat_window_close,
+    "close_latency": q_close_latency,
+    "idle_intervals": q_idle_intervals,
+    "idle_watermark": q_idle_watermark,
+    "shard_progress": q_shard_progress,
 }
 
 FLAGSHIP = "window_reduce_max"

@@ -112,3 +112,124 @@ ORACLE["round_robin"] = f"""WITH {JITTERED}
 SELECT shard, seq, CAST((shard + row_number() OVER (PARTITION BY shard ORDER BY p, seq)) % 4 AS INTEGER)
        AS out_partition
 FROM rec"""
+
+ORACLE["bounded_watermark"] = f"""WITH {JITTERED}
+SELECT shard, seq, p, t AS event_time_ms,
+       max(t) OVER (PARTITION BY shard ORDER BY p, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+         - 600000 - 1 AS wm_ms
+FROM rec"""
+
+LATE = f"""{JITTERED},
+m AS (SELECT *, t - t % 3600000 AS window_start_ms, t - t % 3600000 + 3600000 AS window_end_ms,
+             max(t) OVER (PARTITION BY shard ORDER BY p, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+               AS max_before_ms
+      FROM rec),
+l AS (SELECT *, coalesce(window_end_ms <= max_before_ms - 600000, false) AS is_late FROM m)"""
+
+ORACLE["late_rows"] = f"""WITH {LATE}
+SELECT shard, seq, t AS event_time_ms, window_start_ms, window_end_ms, max_before_ms, is_late FROM l"""
+
+ORACLE["late_drop"] = f"""WITH {LATE}
+SELECT shard, key, window_start_ms, window_end_ms, t AS event_time_ms, value, seq FROM (
+  SELECT *, row_number() OVER (PARTITION BY shard, key, window_start_ms ORDER BY value DESC, p, seq) AS rn
+  FROM l WHERE NOT is_late)
+WHERE rn = 1"""
+
+# Decoupled replay: arrival (event_id // 4) * 170 s, heartbeat every 300 s.
+DECOUPLED = """rec AS (
+  SELECT CAST(event_id % 4 AS INTEGER) AS shard, event_id AS seq, (event_id // 4) * 170000 AS p,
+         epoch_us(ts) // 1000 AS t, CAST(user_id % 10 AS INTEGER) AS key, value
+  FROM events),
+ticks AS (
+  SELECT shard, -n AS seq, n * 300000 AS p, n * 300000 AS t, n
+  FROM (SELECT shard, unnest(range(1, max(p) // 300000 + 1)) AS n FROM rec GROUP BY shard))"""
+
+# The clock, walked one row at a time per shard (the reference's own rule):
+# tick f: s2 = d + f; real t: if |t - s2| >= 3I then d += t - s2; s2 = t.
+WALK = f"""RECURSIVE {DECOUPLED},
+tr AS (
+  SELECT *, row_number() OVER (PARTITION BY shard ORDER BY p, real, seq) AS rn FROM (
+    SELECT shard, seq, p, t, 1 AS real, key, value FROM rec
+    UNION ALL
+    SELECT shard, seq, p, t, 0 AS real, -1 AS key, CAST('-Infinity' AS DOUBLE) AS value FROM ticks)),
+walk(shard, rn, s2, d, re) AS (
+  SELECT DISTINCT shard, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0 FROM rec
+  UNION ALL
+  SELECT tr.shard, tr.rn,
+         CASE WHEN tr.real = 1 THEN tr.t ELSE walk.d + tr.t END,
+         CASE WHEN tr.real = 1 AND abs(tr.t - walk.s2) >= 900000 THEN walk.d + tr.t - walk.s2 ELSE walk.d END,
+         CASE WHEN tr.real = 1 AND abs(tr.t - walk.s2) >= 900000 THEN 1 ELSE 0 END
+  FROM walk JOIN tr ON tr.shard = walk.shard AND tr.rn = walk.rn + 1),
+proj AS (SELECT tr.*, walk.s2, walk.d, walk.re FROM tr JOIN walk USING (shard, rn)),
+seen AS (
+  SELECT *, t - t % 3600000 AS window_start_ms, t - t % 3600000 + 3600000 AS window_end_ms,
+         max(s2) OVER (PARTITION BY shard ORDER BY p, real, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+           AS max_before_ms
+  FROM proj),
+late AS (SELECT *, real = 1 AND coalesce(window_end_ms <= max_before_ms, false) AS is_late FROM seen)"""
+
+ORACLE["heartbeat_ticks"] = f"""WITH {DECOUPLED}
+SELECT shard, n, p AS tick_ms FROM ticks"""
+
+ORACLE["connect_union"] = f"""WITH {DECOUPLED}
+SELECT shard, seq, p, t, true AS is_real, key, value FROM rec
+UNION ALL
+SELECT shard, seq, p, t, false AS is_real, -1 AS key, CAST('-Infinity' AS DOUBLE) AS value FROM ticks"""
+
+ORACLE["drop_heartbeats"] = f"""WITH {DECOUPLED}
+SELECT shard, seq, p, t FROM rec"""
+
+ORACLE["projected_clock"] = f"""WITH {WALK}
+SELECT shard, seq, p, real = 1 AS is_real, s2, d, re AS reanchored FROM proj"""
+
+ORACLE["heartbeat_window_close"] = f"""WITH {WALK},
+kept AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY shard, key, window_start_ms ORDER BY value DESC, p, seq) AS k
+    FROM late WHERE real = 1 AND NOT is_late)
+  WHERE k = 1)
+SELECT shard, key, window_start_ms, window_end_ms, t AS event_time_ms, value, seq,
+       (SELECT min(pr.p) FROM proj pr WHERE pr.shard = kept.shard AND pr.s2 >= kept.window_end_ms) AS close_ms
+FROM kept"""
+
+ORACLE["shard_progress"] = f"""WITH {WALK}
+SELECT shard, sum(real) AS n_real, sum(1 - real) AS n_tick, sum(re) AS n_reanchored,
+       sum(CAST(is_late AS BIGINT)) AS n_late, max(CASE WHEN real = 1 THEN t END) AS max_event_ms,
+       arg_max(s2, rn) AS last_projected_ms, arg_max(d, rn) AS last_offset_ms
+FROM late GROUP BY shard"""
+
+ORACLE["close_latency"] = f"""WITH {JITTERED},
+g AS (SELECT shard, key, t - t % 3600000 AS window_start_ms, t - t % 3600000 + 3600000 AS window_end_ms,
+             count(*) AS n_rows, max(p) AS last_arrival_ms
+      FROM rec GROUP BY ALL),
+c AS (SELECT g.*, (SELECT min(r.p) FROM rec r WHERE r.shard = g.shard AND r.t >= g.window_end_ms + 60000)
+                    AS close_ms FROM g)
+SELECT *, close_ms - window_end_ms AS delay_ms FROM c"""
+
+# Idle replay: four shards arriving at event time, 5 min grid, 20 min idle timeout.
+IDLE_REC = """rec AS (
+  SELECT CAST(event_id % 4 AS INTEGER) AS shard, event_id AS seq, epoch_us(ts) // 1000 AS p,
+         epoch_us(ts) // 1000 AS t
+  FROM events)"""
+
+ORACLE["idle_intervals"] = f"""WITH {IDLE_REC},
+n AS (SELECT shard, p, lead(p) OVER (PARTITION BY shard ORDER BY p, seq) AS nx FROM rec)
+SELECT shard, p + 1200000 AS idle_from_ms, nx AS idle_to_ms FROM n WHERE nx IS NULL OR nx - p > 1200000"""
+
+ORACLE["idle_watermark"] = f"""WITH {IDLE_REC},
+cells AS (SELECT shard, p // 300000 AS g, max(t) AS mt, max(p) AS mp FROM rec GROUP BY ALL),
+grid AS (SELECT s.shard, gg.g FROM (SELECT DISTINCT shard FROM cells) s
+         CROSS JOIN (SELECT unnest(range(min(g), max(g) + 1)) AS g FROM cells) gg),
+f AS (SELECT grid.shard, grid.g,
+             max(c.mt) OVER (PARTITION BY grid.shard ORDER BY grid.g ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+               AS max_t,
+             max(c.mp) OVER (PARTITION BY grid.shard ORDER BY grid.g ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+               AS last_p
+      FROM grid LEFT JOIN cells c ON c.shard = grid.shard AND c.g = grid.g),
+per AS (SELECT g, last_p IS NULL OR (g + 1) * 300000 - last_p > 1200000 AS idle, max_t - 1 AS wm FROM f),
+comb AS (SELECT g, sum(CAST(idle AS INTEGER)) AS n_idle,
+                coalesce(min(wm) FILTER (WHERE NOT idle), max(wm)) AS wm
+         FROM per GROUP BY g)
+SELECT g * 300000 AS grid_start_ms, CAST(n_idle AS INTEGER) AS n_idle,
+       max(wm) OVER (ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS wm_ms
+FROM comb"""
