@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hushwin.plans.stage import stage
 from hushwin.schema import DEFAULT_KEY, DEFAULT_VALUE, REANCHOR_INTERVALS
 
 TICK_CHUNK = 10_000
@@ -128,7 +129,10 @@ def projected_clock(reals: DataFrame, idle_ms: int, shard: str = "shard",
     r = r.withColumn("_cum", F.sum("_jump").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     summ = r.groupBy("shard", "_n").agg(F.max(F.when(F.col("_rn") == 1, F.col("t"))).alias("t1"),
                                         F.sum("_jump").alias("J"))
-    folded = summ.groupBy("shard").applyInPandas(_fold_fn(idle_ms, extra_ticks), FOLD_SCHEMA)
+    # The fold output (one row per non-empty interval) feeds both the real
+    # rows and the ticks: stage it so the fold runs once.
+    folded = stage(summ.groupBy("shard").applyInPandas(_fold_fn(idle_ms, extra_ticks), FOLD_SCHEMA),
+                   "clock-fold")
 
     per = folded.filter(F.col("_n") >= 0).select("shard", "_n", "d_start", "d_first")
     j = r.join(per, on=["shard", "_n"], how="inner")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushwin.operators import clock, scan
+from hushwin.plans.stage import stage
 
 HOUR_MS = 3_600_000
 GRID_BUCKET = 1024   # grid cells per scan bucket for the grid-level running max
@@ -45,9 +46,10 @@ def idle_watermark(df: DataFrame, grid_ms: int, idle_ms: int, lateness_ms: int =
     """
     if grid_ms <= 0 or idle_ms <= 0 or lateness_ms < 0:
         raise ValueError("grid and idle must be > 0, lateness >= 0")
-    cells = (df.select(F.col(shard).alias("shard"), "p", "t",
-                       F.floor(F.col("p") / grid_ms).cast("long").alias("g"))
-               .groupBy("shard", "g").agg(F.max("t").alias("_mt"), F.max("p").alias("_mp")))
+    cells = stage(df.select(F.col(shard).alias("shard"), "p", "t",
+                            F.floor(F.col("p") / grid_ms).cast("long").alias("g"))
+                    .groupBy("shard", "g").agg(F.max("t").alias("_mt"), F.max("p").alias("_mp")),
+                  "idle-cells")
     # Every shard gets every cell of the overall span (a shard that has not
     # started, or went quiet, must be seen as idle there).
     span = cells.groupBy("shard").agg(F.min("g").alias("_lo"), F.max("g").alias("_hi"))

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushwin.operators import clock, scan, watermark, windows
+from hushwin.plans.stage import stage
 
 DAY_MS = 86_400_000
 
@@ -105,7 +106,8 @@ def heartbeat_window_close(reals: DataFrame, size_ms: int, lateness_ms: int, idl
     drop real rows whose window had closed, reduce keep-max per key and
     window, and report when each window closed (``close_ms``, the arrival
     at which the projected watermark reached ``end + L``)."""
-    proj = clock.projected_clock(reals, idle_ms, extra_ticks=extra_ticks)
+    # The projected trace is read four times below: stage it once.
+    proj = stage(clock.projected_clock(reals, idle_ms, extra_ticks=extra_ticks), "projected")
     on_time = projected_late_rows(proj, size_ms, lateness_ms, bucket_ms) \
         .filter(F.col("is_real") & ~F.col("is_late"))
     out = (on_time.groupBy(*keys, "window_start_ms", "window_end_ms")

@@ -7,12 +7,18 @@ a hot shard may hold a third of all rows. These helpers split each key by a
 *bucket* column that grows with the order (for instance arrival time
 floored to an hour) and scan in two levels:
 
-1. a local scan over ``partitionBy(key, bucket).orderBy(order)``: one
-   exchange of the rows, each task holds one bucket of one key;
-2. a scan over one summary row per (key, bucket), whose count is bounded by
-   time span / bucket width, not by data volume;
-3. the prefix of step 2 joins back on (key, bucket), a small side joined
-   to rows that are already partitioned on the join key.
+1. one summary row per (key, bucket) from a plain aggregate (``max``,
+   ``sum``, ``min``): partial aggregation runs map-side, so only summaries
+   cross the network;
+2. a scan over the summaries, whose count is bounded by time span / bucket
+   width, not by data volume;
+3. a local scan over ``partitionBy(key, bucket).orderBy(order)``: one
+   exchange of the rows, each task holds one bucket of one key, and the
+   prefix of step 2 joins in on (key, bucket) as a small side.
+
+The input is read twice (once for the summaries, once for the rows); pass a
+cheap input (a scan with projections) or a materialized one
+(``hushwin.plans.stage``).
 
 The bucket must be a non-decreasing function of the order within a key; the
 order must be total (include a unique tie-breaker) for results to be
@@ -49,20 +55,18 @@ def _prefix(df: DataFrame, part: Sequence[str], order: Sequence, value: str | Co
     v = F.col(value) if isinstance(value, str) else value
     fn = {"max": F.max, "sum": F.sum}[agg]
     b = _with_bucket(df, bucket).withColumn("_v", v)
-    wl = Window.partitionBy(*part, BK).orderBy(*order)
-    local = wl.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    whole = wl.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    x = b.select("*", fn("_v").over(local).alias("_loc"), fn("_v").over(whole).alias("_tot"),
-                 F.row_number().over(wl).alias("_rn"))
-    summ = x.filter(F.col("_rn") == 1).select(*part, BK, "_tot")
+    summ = b.groupBy(*part, BK).agg(fn("_v").alias("_tot"))
     prior = _window(part).orderBy(BK).rowsBetween(Window.unboundedPreceding, -1)
     summ = summ.select(*part, BK, fn("_tot").over(prior).alias("_pre"))
-    j = x.join(summ, on=[*part, BK], how="inner")
+    wl = Window.partitionBy(*part, BK).orderBy(*order)
+    local = wl.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    j = b.join(summ, on=[*part, BK], how="inner")
+    x = j.withColumn("_loc", fn("_v").over(local))
     if agg == "max":
         res = F.greatest(F.col("_pre"), F.col("_loc"))
     else:
         res = F.coalesce(F.col("_pre"), F.lit(0)) + F.coalesce(F.col("_loc"), F.lit(0))
-    return j.withColumn(out, res).drop("_v", "_loc", "_tot", "_rn", "_pre", BK)
+    return x.withColumn(out, res).drop("_v", "_loc", "_pre", BK)
 
 
 def running_max(df: DataFrame, part: Sequence[str], order: Sequence, value: str | Column,
@@ -86,27 +90,30 @@ def row_number(df: DataFrame, part: Sequence[str], order: Sequence, bucket: Colu
 def _neighbour(df: DataFrame, part: Sequence[str], order: Sequence, value: str | Column,
                bucket: Column, out: str, forward: bool) -> DataFrame:
     part = list(part)
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
     v = F.col(value) if isinstance(value, str) else value
     b = _with_bucket(df, bucket).withColumn("_v", v)
-    wl = Window.partitionBy(*part, BK).orderBy(*order)
-    whole = wl.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    if forward:
-        near = F.lead("_v").over(wl)
-        edge_val = F.first("_v").over(whole)       # carried to the previous bucket
-        is_edge = F.row_number().over(wl) == F.count(F.lit(1)).over(whole)
+    # The value carried over a bucket edge: first (for lead) or last (for
+    # lag) in order. When it is the leading order column itself, a plain
+    # min/max finds it (hash aggregate); otherwise min_by/max_by.
+    lead_col = order[0]
+    if isinstance(value, str) and str(lead_col) == str(F.col(value)):
+        edge = F.min("_v") if forward else F.max("_v")
     else:
-        near = F.lag("_v").over(wl)
-        edge_val = F.last("_v").over(whole)        # carried to the next bucket
-        is_edge = F.row_number().over(wl) == 1
-    x = b.select("*", near.alias("_near"), edge_val.alias("_edge"), is_edge.alias("_is_edge"),
-                 F.row_number().over(wl).alias("_rn"))
-    summ = x.filter(F.col("_rn") == 1).select(*part, BK, "_edge")
+        o = F.struct(*order)
+        edge = F.min_by("_v", o) if forward else F.max_by("_v", o)
+    summ = b.groupBy(*part, BK).agg(edge.alias("_edge"))
     wb = _window(part).orderBy(BK)
     carried = F.lead("_edge").over(wb) if forward else F.lag("_edge").over(wb)
     summ = summ.select(*part, BK, carried.alias("_carry"))
-    j = x.join(summ, on=[*part, BK], how="inner")
-    res = F.when(F.col("_is_edge"), F.col("_carry")).otherwise(F.col("_near"))
-    return j.withColumn(out, res).drop("_v", "_near", "_edge", "_is_edge", "_rn", "_carry", BK)
+    j = b.join(summ, on=[*part, BK], how="inner")
+    wl = Window.partitionBy(*part, BK).orderBy(*order)
+    near = F.lead("_v").over(wl) if forward else F.lag("_v").over(wl)
+    pos = F.row_number().over(wl)
+    is_edge = (pos == F.count(F.lit(1)).over(wl.rowsBetween(Window.unboundedPreceding,
+                                                             Window.unboundedFollowing))) if forward else pos == 1
+    res = F.when(is_edge, F.col("_carry")).otherwise(near)
+    return j.withColumn(out, res).drop("_v", "_carry", BK)
 
 
 def previous(df: DataFrame, part: Sequence[str], order: Sequence, value: str | Column,
