@@ -193,4 +193,4 @@ QUERIES: dict[str, Query] = {
     "shard_progress": q_shard_progress,
 }
 
-FLAGSHIP = "window_reduce_max"
+FLAGSHIP = "close_latency"
