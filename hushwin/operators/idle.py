@@ -40,9 +40,15 @@ def idle_watermark(df: DataFrame, grid_ms: int, idle_ms: int, lateness_ms: int =
 
     Output ``grid_start_ms, n_idle, wm_ms``: cell ``[g*G, (g+1)*G)`` of
     arrival time, the shards idle at its end, and the combined watermark
-    (``max event time - L - 1`` per shard). Work is per (shard, cell): the
-    rows are aggregated map-side first, so the grid, not the data, sets the
-    size of every later step.
+    (``max event time - L - 1`` per shard).
+
+    Rows are first reduced map-side to one summary per (shard, non-empty
+    cell); from there on the grid, not the data, sets every size. A shard's
+    non-empty cell ``c`` with last arrival ``mp`` stays active through cell
+    ``floor((mp + idle) / G) - 1`` and is idle from there to its next
+    non-empty cell; before its first cell it is idle with no watermark.
+    Those spans explode to one row per (shard, cell), are combined per cell
+    (min over active shards, else max over all) and made monotone.
     """
     if grid_ms <= 0 or idle_ms <= 0 or lateness_ms < 0:
         raise ValueError("grid and idle must be > 0, lateness >= 0")
@@ -50,25 +56,31 @@ def idle_watermark(df: DataFrame, grid_ms: int, idle_ms: int, lateness_ms: int =
                             F.floor(F.col("p") / grid_ms).cast("long").alias("g"))
                     .groupBy("shard", "g").agg(F.max("t").alias("_mt"), F.max("p").alias("_mp")),
                   "idle-cells")
-    # Every shard gets every cell of the overall span (a shard that has not
-    # started, or went quiet, must be seen as idle there).
-    span = cells.groupBy("shard").agg(F.min("g").alias("_lo"), F.max("g").alias("_hi"))
+    # Per shard over its non-empty cells (bounded by span / grid): running
+    # max of event time, next non-empty cell, and the overall grid span.
+    w = Window.partitionBy("shard").orderBy("g")
     every = Window.partitionBy(F.lit(0))
-    span = span.select("shard", F.min("_lo").over(every).alias("_lo"), F.max("_hi").over(every).alias("_hi"))
-    grid = clock._explode_range(span, "_lo", "_hi", "g").select("shard", "g")
-    full = grid.join(cells, on=["shard", "g"], how="left")
-    bk = F.floor(F.col("g") / GRID_BUCKET)
-    full = scan.running_max(full, ["shard"], [F.col("g")], "_mt", bk, "_max_t")
-    full = scan.running_max(full, ["shard"], [F.col("g")], "_mp", bk, "_last_p")
-    end = (F.col("g") + 1) * grid_ms
-    idle = F.col("_last_p").isNull() | (end - F.col("_last_p") > idle_ms)
-    wm = F.col("_max_t") - F.lit(lateness_ms) - 1
-    per = full.select("g", idle.alias("_idle"), wm.alias("_wm"))
-    combined = per.groupBy("g").agg(
+    spans = cells.select(
+        "shard", "g", "_mp",
+        (F.max("_mt").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.lit(lateness_ms) - 1).alias("_wm"),
+        F.lead("g").over(w).alias("_next"),
+        F.min("g").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_first"),
+        F.min("g").over(every).alias("_lo"), F.max("g").over(every).alias("_hi"))
+    spans = spans.withColumn("_to", F.coalesce(F.col("_next") - 1, F.col("_hi"))) \
+                 .withColumn("_idle_from", F.floor((F.col("_mp") + idle_ms) / grid_ms).cast("long"))
+    active = spans.select("shard", F.col("g").alias("_a"), F.least("_to", F.col("_idle_from") - 1).alias("_b"),
+                          "_wm", F.lit(False).alias("_idle"))
+    quiet = spans.select("shard", F.greatest("g", "_idle_from").alias("_a"), F.col("_to").alias("_b"),
+                         "_wm", F.lit(True).alias("_idle"))
+    before = spans.filter(F.col("g") == F.col("_first")).select(
+        "shard", F.col("_lo").alias("_a"), (F.col("g") - 1).alias("_b"),
+        F.lit(None).cast("long").alias("_wm"), F.lit(True).alias("_idle"))
+    per = clock._explode_range(active.unionByName(quiet).unionByName(before), "_a", "_b", "g")
+    combined = stage(per.groupBy("g").agg(
         F.sum(F.col("_idle").cast("int")).alias("n_idle"),
         F.min(F.when(~F.col("_idle"), F.col("_wm"))).alias("_active"),
-        F.max("_wm").alias("_all"))
-    combined = combined.withColumn("_wm", F.coalesce("_active", "_all"))
+        F.max("_wm").alias("_all")).withColumn("_wm", F.coalesce("_active", "_all")),
+        "idle-combined")
     mono = scan.running_max(combined, [], [F.col("g")], "_wm", F.floor(F.col("g") / GRID_BUCKET), "wm_ms")
     return mono.select((F.col("g") * grid_ms).alias("grid_start_ms"), F.col("n_idle").cast("int").alias("n_idle"),
                        "wm_ms")

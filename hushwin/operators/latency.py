@@ -73,7 +73,10 @@ def close_latency(df: DataFrame, size_ms: int, lateness_ms: int, keys: Sequence[
                 .groupBy(*keys, "window_start_ms", "window_end_ms")
                 .agg(F.count(F.lit(1)).alias("n_rows"), F.max("p").alias("last_arrival_ms"))
                 .withColumn("x", F.col("window_end_ms") + F.lit(lateness_ms)))
-    thr = groups.select("shard", "x").distinct()
+    # Thresholds straight from the rows (one per shard and window end), not
+    # from ``groups``, so the window aggregate is computed once.
+    thr = df.select("shard", (F.col("t") - F.pmod("t", F.lit(int(size_ms))) + F.lit(size_ms + lateness_ms))
+                    .alias("x")).distinct()
     ct = close_times(df.select("shard", "p", F.col("t").alias("v")), thr, bucket_ms)
     return (groups.join(ct, on=["shard", "x"], how="left")
                   .select(*keys, "window_start_ms", "window_end_ms", "n_rows", "last_arrival_ms",
@@ -113,7 +116,11 @@ def heartbeat_window_close(reals: DataFrame, size_ms: int, lateness_ms: int, idl
     out = (on_time.groupBy(*keys, "window_start_ms", "window_end_ms")
                   .agg(windows.keep_max_agg().alias("r"))
                   .withColumn("x", F.col("window_end_ms") + F.lit(lateness_ms)))
-    thr = out.select("shard", "x").distinct()
+    # Thresholds of every window that holds a real row (a superset of the
+    # windows kept above): one cheap aggregate of the staged trace.
+    thr = proj.filter(F.col("is_real")).select(
+        "shard", (F.col("t") - F.pmod("t", F.lit(int(size_ms))) + F.lit(size_ms + lateness_ms)).alias("x")
+    ).distinct()
     ct = close_times(proj.select("shard", "p", F.col("s2").alias("v")), thr, bucket_ms)
     return (out.join(ct, on=["shard", "x"], how="left")
                .select(*keys, "window_start_ms", "window_end_ms",

@@ -90,7 +90,9 @@ def q_topic_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_start_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = tables.records(spark, sf_dir)
+    # The loader pushes the start instant into the parquet scan; the
+    # operator states the rule for any trace.
+    r = tables.records(spark, sf_dir, since_ms=START_MS)
     return routing.start_position(r, START_MS).select("seq", F.col("t").alias("event_time_ms"))
 
 

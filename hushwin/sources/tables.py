@@ -36,14 +36,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _ntz(ms: int):
+    """An epoch-ms instant as a TIMESTAMP_NTZ literal value (UTC wall time)."""
+    from datetime import datetime, timedelta
+    return datetime(1970, 1, 1) + timedelta(milliseconds=int(ms))
+
+
 def epoch_ms(ts: Column) -> Column:
     """Event time in epoch ms; NTZ values are read as UTC wall time."""
     return F.unix_millis(ts.cast("timestamp"))
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as one in-order shard: arrival = event time."""
+def records(spark: SparkSession, sf_dir: str, since_ms: int | None = None) -> DataFrame:
+    """``events`` as one in-order shard: arrival = event time.
+
+    ``since_ms`` keeps records with ``t >= since_ms``; it is applied to the
+    raw ``ts`` column (``floor(ts / 1 ms) >= X`` exactly when ``ts >= X ms``)
+    so the parquet scan can skip row groups.
+    """
     ev = table(spark, sf_dir, "events")
+    if since_ms is not None:
+        ev = ev.filter(F.col("ts") >= F.lit(_ntz(since_ms)))
     t = epoch_ms(F.col("ts"))
     return ev.select(
         F.lit(0).alias("shard"),
