@@ -14,20 +14,20 @@ from pyspark.sql import functions as F
 from hushwin.operators import clock, scan
 from hushwin.plans.stage import stage
 
-HOUR_MS = 3_600_000
 GRID_BUCKET = 1024   # grid cells per scan bucket for the grid-level running max
 
 
 def idle_intervals(df: DataFrame, idle_ms: int, shard: str = "shard",
-                   bucket_ms: int = HOUR_MS) -> DataFrame:
+                   bucket_ms: int | None = None) -> DataFrame:
     """``(shard, idle_from_ms, idle_to_ms)`` for every quiet gap longer than
     ``idle_ms``; the gap after the last arrival is open (``idle_to_ms``
     null)."""
     if idle_ms <= 0:
         raise ValueError("idle timeout must be > 0")
     order = [F.col("p"), F.col("seq")]
+    w = scan.width(df, [shard], "p", bucket_ms)
     nxt = scan.following(df.select(shard, "p", "seq"), [shard], order, "p",
-                         scan.bucket_of("p", bucket_ms), "_next")
+                         scan.bucket_of("p", w), "_next")
     gap = F.col("_next").isNull() | (F.col("_next") - F.col("p") > idle_ms)
     return nxt.filter(gap).select(F.col(shard).alias("shard"),
                                   (F.col("p") + idle_ms).alias("idle_from_ms"),

@@ -28,18 +28,15 @@ from pyspark.sql import functions as F
 from hushwin.operators import clock, scan, watermark, windows
 from hushwin.plans.stage import stage
 
-DAY_MS = 86_400_000
-
-
-def close_times(progress: DataFrame, thresholds: DataFrame, bucket_ms: int = DAY_MS) -> DataFrame:
+def close_times(progress: DataFrame, thresholds: DataFrame, bucket_ms: int | None = None) -> DataFrame:
     """``(shard, x, close_ms)``: the first arrival ``p`` on the shard whose
     time ``v`` is ``>= x`` (null if none).
 
     ``progress``: ``shard, p, v``; ``thresholds``: distinct ``shard, x``.
     """
-    vb = scan.bucket_of
-    prog = progress.select("shard", "p", F.col("v"), vb("v", bucket_ms).alias("_vb"))
-    thr = thresholds.select("shard", F.col("x"), vb("x", bucket_ms).alias("_vb"))
+    w = scan.width(progress, ["shard"], "v", bucket_ms)
+    prog = progress.select("shard", "p", F.col("v"), scan.bucket_of("v", w).alias("_vb"))
+    thr = thresholds.select("shard", F.col("x"), scan.bucket_of("x", w).alias("_vb"))
 
     # Across buckets: min arrival of all buckets strictly above the threshold's.
     per_bucket = prog.groupBy("shard", "_vb").agg(F.min("p").alias("_bp"))
@@ -63,7 +60,7 @@ def close_times(progress: DataFrame, thresholds: DataFrame, bucket_ms: int = DAY
 
 
 def close_latency(df: DataFrame, size_ms: int, lateness_ms: int, keys: Sequence[str] = ("shard", "key"),
-                  bucket_ms: int = DAY_MS) -> DataFrame:
+                  bucket_ms: int | None = None) -> DataFrame:
     """Per (shard, key, window): rows, last arrival, the arrival at which
     the shard's watermark closed the window (``close_ms``, null if it never
     did) and ``delay_ms = close_ms - window_end_ms`` (arrival and event time
@@ -89,11 +86,12 @@ def hb_order():
 
 
 def projected_late_rows(proj: DataFrame, size_ms: int, lateness_ms: int,
-                        bucket_ms: int = DAY_MS) -> DataFrame:
+                        bucket_ms: int | None = None) -> DataFrame:
     """Rows of a projected clock with the shard's watermark input before
     each (``max_before_ms``, over real and heartbeat times), the window
     bounds and ``is_late`` (real rows whose window had already closed)."""
-    seen = scan.running_max(proj, ["shard"], hb_order(), "s2", scan.bucket_of("p", bucket_ms),
+    w = scan.width(proj, ["shard"], "p", bucket_ms)
+    seen = scan.running_max(proj, ["shard"], hb_order(), "s2", scan.bucket_of("p", w),
                             "max_before_ms", inclusive=False)
     ws, we = watermark.window_of(size_ms)
     late = F.col("is_real") & F.coalesce(
@@ -103,7 +101,7 @@ def projected_late_rows(proj: DataFrame, size_ms: int, lateness_ms: int,
 
 def heartbeat_window_close(reals: DataFrame, size_ms: int, lateness_ms: int, idle_ms: int,
                            keys: Sequence[str] = ("shard", "key"), extra_ticks: int = 0,
-                           bucket_ms: int = DAY_MS) -> DataFrame:
+                           bucket_ms: int | None = None) -> DataFrame:
     """The heartbeat job on a bounded trace: project event time with
     heartbeats, take the shard's watermark over real and heartbeat times,
     drop real rows whose window had closed, reduce keep-max per key and

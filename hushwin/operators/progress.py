@@ -10,7 +10,7 @@ from hushwin.plans.stage import stage
 
 
 def shard_progress(reals: DataFrame, size_ms: int, lateness_ms: int, idle_ms: int,
-                   extra_ticks: int = 0, bucket_ms: int = latency.DAY_MS) -> DataFrame:
+                   extra_ticks: int = 0, bucket_ms: int | None = None) -> DataFrame:
     """Per shard: real rows, heartbeats, re-anchors, real rows dropped as
     late by the projected watermark, the largest event time, and the
     projected time and offset after the last row."""

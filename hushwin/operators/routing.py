@@ -55,7 +55,7 @@ def start_position(df: DataFrame, offset: str | int, time_ms: str = "t",
 
 
 def round_robin(df: DataFrame, n: int, shard: str = "shard", order: Sequence = ("p", "seq"),
-                bucket_ms: int = 86_400_000, offset: str | None = None,
+                bucket_ms: int | None = None, offset: str | None = None,
                 out: str = "out_partition") -> DataFrame:
     """Deal each source shard's records to ``n`` outputs in turn.
 
@@ -69,5 +69,6 @@ def round_robin(df: DataFrame, n: int, shard: str = "shard", order: Sequence = (
     if offset is not None:
         return df.withColumn(out, F.pmod(F.col(shard) + F.col(offset) + 1, F.lit(n)).cast("int"))
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranked = scan.row_number(df, [shard], order_cols, scan.bucket_of(order_cols[0], bucket_ms), "_k")
+    w = scan.width(df, [shard], order_cols[0], bucket_ms)
+    ranked = scan.row_number(df, [shard], order_cols, scan.bucket_of(order_cols[0], w), "_k")
     return ranked.withColumn(out, F.pmod(F.col(shard) + F.col("_k"), F.lit(n)).cast("int")).drop("_k")

@@ -33,6 +33,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BK = "_bk"
+TARGET_ROWS = 2_000_000          # rows per (key, bucket) the automatic width aims at
+DEFAULT_WIDTH = 86_400_000       # width when the input is empty
+MAX_WIDTH = 1 << 40
+
+
+def width(df: DataFrame, part: Sequence[str], col: str, bucket_ms: int | None = None,
+          target_rows: int = TARGET_ROWS) -> int:
+    """The bucket width: ``bucket_ms`` when given, else sized from the data.
+
+    One small aggregate (rows and time span per key) picks the width at
+    which the densest key holds about ``target_rows`` rows per bucket on
+    average, so a key with a third of all rows is split into proportionally
+    many buckets. Only non-empty buckets produce summary rows, so sparse
+    keys stay cheap. The driver receives one number.
+    """
+    if bucket_ms is not None:
+        if bucket_ms <= 0:
+            raise ValueError("bucket width must be > 0")
+        return int(bucket_ms)
+    keys = list(part) or [F.lit(0)]
+    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
+                                    (F.max(col) - F.min(col) + 1).alias("_span"))
+    w = per_key.agg(F.min(F.col("_span") * F.lit(target_rows) / F.col("_n")).alias("w")).first()["w"]
+    if w is None:
+        return DEFAULT_WIDTH
+    return int(min(max(1, w), MAX_WIDTH))
 
 
 def bucket_of(col: str | Column, width: int) -> Column:

@@ -19,9 +19,6 @@ from pyspark.sql import functions as F
 
 from hushwin.operators import scan, windows
 
-HOUR_MS = 3_600_000
-
-
 def _order():
     return (F.col("p"), F.col("seq"))
 
@@ -38,19 +35,21 @@ def window_of(size_ms: int, t: str = "t"):
 
 
 def bounded_watermark(df: DataFrame, lateness_ms: int, shard: str = "shard",
-                      bucket_ms: int = HOUR_MS) -> DataFrame:
+                      bucket_ms: int | None = None) -> DataFrame:
     """Add ``wm_ms``: the shard's watermark right after each row."""
     _check(lateness_ms)
-    m = scan.running_max(df, [shard], _order(), "t", scan.bucket_of("p", bucket_ms), "_max_t")
+    w = scan.width(df, [shard], "p", bucket_ms)
+    m = scan.running_max(df, [shard], _order(), "t", scan.bucket_of("p", w), "_max_t")
     return m.withColumn("wm_ms", F.col("_max_t") - F.lit(lateness_ms) - 1).drop("_max_t")
 
 
 def late_rows(df: DataFrame, size_ms: int, lateness_ms: int, shard: str = "shard",
-              bucket_ms: int = HOUR_MS) -> DataFrame:
+              bucket_ms: int | None = None) -> DataFrame:
     """Add the window bounds, ``max_before_ms`` (largest event time that
     arrived earlier on the shard) and ``is_late``."""
     _check(lateness_ms)
-    m = scan.running_max(df, [shard], _order(), "t", scan.bucket_of("p", bucket_ms),
+    w = scan.width(df, [shard], "p", bucket_ms)
+    m = scan.running_max(df, [shard], _order(), "t", scan.bucket_of("p", w),
                          "max_before_ms", inclusive=False)
     ws, we = window_of(size_ms)
     m = m.select("*", ws, we)
@@ -59,7 +58,7 @@ def late_rows(df: DataFrame, size_ms: int, lateness_ms: int, shard: str = "shard
 
 
 def late_drop(df: DataFrame, size_ms: int, lateness_ms: int, keys: Sequence[str] = ("shard", "key"),
-              shard: str = "shard", bucket_ms: int = HOUR_MS) -> DataFrame:
+              shard: str = "shard", bucket_ms: int | None = None) -> DataFrame:
     """The windowed keep-max reduce as the window operator computes it:
     rows that arrive after their window closed are dropped."""
     on_time = late_rows(df, size_ms, lateness_ms, shard, bucket_ms).filter(~F.col("is_late"))

@@ -91,7 +91,7 @@ def reduce_max_by(df: DataFrame, size_ms: int, keys: Sequence[str] = ("key",),
 
 
 def session_ids(df: DataFrame, gap_ms: int, keys: Sequence[str] = ("key",),
-                bucket_ms: int = 86_400_000) -> DataFrame:
+                bucket_ms: int | None = None) -> DataFrame:
     """Assign gap-based sessions in event-time order per key.
 
     A record opens a new session when it is at least ``gap_ms`` after the
@@ -103,7 +103,7 @@ def session_ids(df: DataFrame, gap_ms: int, keys: Sequence[str] = ("key",),
     if gap_ms <= 0:
         raise ValueError("gap must be positive")
     order = [F.col("t"), F.col("seq")]
-    bk = scan.bucket_of("t", bucket_ms)
+    bk = scan.bucket_of("t", scan.width(df, keys, "t", bucket_ms))
     prev = scan.previous(df, keys, order, "t", bk, "_prev_t")
     starts = prev.withColumn(
         "_start", F.when(F.col("_prev_t").isNull() | (F.col("t") - F.col("_prev_t") >= gap_ms), 1).otherwise(0))
@@ -111,7 +111,7 @@ def session_ids(df: DataFrame, gap_ms: int, keys: Sequence[str] = ("key",),
 
 
 def session_keep_max(df: DataFrame, gap_ms: int, keys: Sequence[str] = ("key",),
-                     bucket_ms: int = 86_400_000) -> DataFrame:
+                     bucket_ms: int | None = None) -> DataFrame:
     """Per key and gap session, the record kept by the max fold."""
     s = session_ids(df, gap_ms, keys, bucket_ms)
     out = s.groupBy(*keys, "session_id").agg(
