@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hushwin.operators import scan
 from hushwin.plans.stage import stage
 from hushwin.schema import DEFAULT_KEY, DEFAULT_VALUE, REANCHOR_INTERVALS
 
@@ -109,24 +110,46 @@ def _fold_fn(idle_ms: int, extra_ticks: int):
     return fold
 
 
+def _interval_scan(r: DataFrame, band: int, idle_ms: int, sub_ms: int | None) -> DataFrame:
+    """Per real row: the previous event time in its (shard, interval)
+    (``_prev``, null for the first), whether the gap re-anchors (``_big``),
+    the jump and the running sum of jumps (``_cum``).
+
+    An interval normally fits one task (rate x I rows); when the densest
+    one exceeds the scan target, it is split again by arrival sub-bucket
+    with the two-level scans and the result is staged.
+    """
+    part = ["shard", "_n"]
+    sub = scan.width(r, part, "p", sub_ms)
+    big = F.col("_prev").isNotNull() & (F.abs(F.col("t") - F.col("_prev")) >= band)
+    jump = F.when(big, F.col("t") - F.col("_prev")).otherwise(F.lit(0).cast("long"))
+    if sub >= idle_ms:
+        w = Window.partitionBy(*part).orderBy("p", "seq")
+        r = r.select("*", F.lag("t").over(w).alias("_prev"))
+        r = r.withColumn("_jump", jump).withColumn("_big", big)
+        return r.withColumn("_cum", F.sum("_jump").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    order = [F.col("p"), F.col("seq")]
+    bk = scan.bucket_of("p", sub)
+    r = scan.previous(r, part, order, "t", bk, "_prev")
+    r = r.withColumn("_jump", jump).withColumn("_big", big)
+    return stage(scan.running_sum(r, part, order, "_jump", bk, "_cum"), "clock-rows")
+
+
 def projected_clock(reals: DataFrame, idle_ms: int, shard: str = "shard",
-                    extra_ticks: int = 0) -> DataFrame:
+                    extra_ticks: int = 0, sub_ms: int | None = None) -> DataFrame:
     """Every real event and heartbeat of each shard with the projected time
     ``s2`` after it, the offset ``d`` after it and ``reanchored`` (0/1).
 
     Input columns: ``shard, seq, p, t, key, value`` with ``p >= 0``.
-    Heartbeats get ``seq = -n``, ``p = t = n*I``.
+    Heartbeats get ``seq = -n``, ``p = t = n*I``. ``sub_ms`` forces the
+    sub-bucket width inside an interval (default: sized from the data).
     """
     _check(idle_ms)
     band = REANCHOR_INTERVALS * idle_ms
     r = reals.select(F.col(shard).alias("shard"), "seq", "p", "t", "key", "value") \
              .withColumn("_n", F.floor(F.col("p") / idle_ms).cast("long"))
-    w = Window.partitionBy("shard", "_n").orderBy("p", "seq")
-    r = r.select("*", F.lag("t").over(w).alias("_prev"), F.row_number().over(w).alias("_rn"))
-    big = F.col("_prev").isNotNull() & (F.abs(F.col("t") - F.col("_prev")) >= band)
-    r = r.withColumn("_jump", F.when(big, F.col("t") - F.col("_prev")).otherwise(F.lit(0).cast("long"))) \
-         .withColumn("_big", big)
-    r = r.withColumn("_cum", F.sum("_jump").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    r = _interval_scan(r, band, idle_ms, sub_ms)
+    r = r.withColumn("_rn", F.when(F.col("_prev").isNull(), 1).otherwise(2))
     summ = r.groupBy("shard", "_n").agg(F.max(F.when(F.col("_rn") == 1, F.col("t"))).alias("t1"),
                                         F.sum("_jump").alias("J"))
     # The fold output (one row per non-empty interval) feeds both the real

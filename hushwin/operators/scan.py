@@ -53,9 +53,9 @@ def width(df: DataFrame, part: Sequence[str], col: str, bucket_ms: int | None =
             raise ValueError("bucket width must be > 0")
         return int(bucket_ms)
     keys = list(part) or [F.lit(0)]
-    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
-                                    (F.max(col) - F.min(col) + 1).alias("_span"))
-    w = per_key.agg(F.min(F.col("_span") * F.lit(target_rows) / F.col("_n")).alias("w")).first()["w"]
+    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows_"),
+                                    (F.max(col) - F.min(col) + 1).alias("_span_"))
+    w = per_key.agg(F.min(F.col("_span_") * F.lit(target_rows) / F.col("_rows_")).alias("w")).first()["w"]
     if w is None:
         return DEFAULT_WIDTH
     return int(min(max(1, w), MAX_WIDTH))

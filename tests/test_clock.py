@@ -62,8 +62,8 @@ def test_rejects_zero_interval(spark):
 
 
 @settings(max_examples=6, deadline=None)
-@given(st.integers(min_value=0, max_value=10**6))
-def test_matches_three_long_fold(spark, seed):
+@given(st.integers(min_value=0, max_value=10**6), st.sampled_from([None, 7_000]))
+def test_matches_three_long_fold(spark, seed, sub_ms):
     rnd = random.Random(seed)
     rows, p, t = [], 0, T
     for seq in range(rnd.randint(1, 60)):
@@ -72,5 +72,6 @@ def test_matches_three_long_fold(spark, seed):
         rows.append((seq, p, t))
     n_ticks = p // I + 2
     expected = three_long_fold(rows, I, n_ticks)
-    got = {r.seq: (r.s2, r.d) for r in clock.projected_clock(_reals(spark, rows), I, extra_ticks=2).collect()}
+    got = {r.seq: (r.s2, r.d)
+           for r in clock.projected_clock(_reals(spark, rows), I, extra_ticks=2, sub_ms=sub_ms).collect()}
     assert got == expected
