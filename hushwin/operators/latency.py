@@ -124,3 +124,55 @@ def heartbeat_window_close(reals: DataFrame, size_ms: int, lateness_ms: int, idl
                .select(*keys, "window_start_ms", "window_end_ms",
                        *[F.col(f"r.{f}").alias(f) for f in windows.RECORD_FIELDS if f not in keys],
                        "close_ms"))
+
+
+def idle_close_replay(df: DataFrame, size_ms: int, idle_ms: int, lateness_ms: int = 0,
+                      key: str = "key", bucket_ms: int | None = None) -> DataFrame:
+    """The idle-close job on a replay whose processing time is the arrival
+    time ``p`` (one row per micro-batch).
+
+    Per key, arrivals form *bursts* separated by gaps of at least
+    ``idle_ms``: the key's timer fires at the end of each burst plus
+    ``idle_ms`` and closes every open window. A window also closes as soon
+    as an arrival of its key has event time ``>= end + L``. A row is late
+    when its window has already closed: ``end + L <= max event time
+    before it``, or ``end <=`` the end of the window of the largest event
+    time of earlier bursts (what the last timer closed). Output per key and
+    window: the keep-max record, ``close_ms`` and ``closed_by``.
+    """
+    if size_ms <= 0 or idle_ms <= 0 or lateness_ms < 0:
+        raise ValueError("size and idle must be > 0, lateness >= 0")
+    part = [key]
+    order = [F.col("p"), F.col("seq")]
+    bk = scan.bucket_of("p", scan.width(df, part, "p", bucket_ms))
+    x = scan.previous(df, part, order, "p", bk, "_prev_p")
+    x = x.withColumn("_new", F.when(F.col("_prev_p").isNull() | (F.col("p") - F.col("_prev_p") >= idle_ms), 1)
+                     .otherwise(0))
+    x = stage(scan.running_sum(x, part, order, "_new", bk, "_burst"), "idle-close-bursts")
+    x = scan.running_max(x, part, order, "t", bk, "_max_before", inclusive=False)
+    # One row per (key, burst), bounded by time span / idle: the largest
+    # event time of all earlier bursts.
+    wb = Window.partitionBy(key).orderBy("_burst").rowsBetween(Window.unboundedPreceding, -1)
+    bursts = (x.groupBy(key, "_burst").agg(F.max("t").alias("_bmax"), F.max("p").alias("_bend"))
+               .select(key, "_burst", "_bend", F.max("_bmax").over(wb).alias("_prior")))
+    ws, we = watermark.window_of(size_ms)
+    x = x.join(bursts, on=[key, "_burst"], how="inner").select("*", ws, we)
+    closed = F.col("_prior") - F.pmod("_prior", F.lit(int(size_ms))) + F.lit(size_ms)
+    late = (F.coalesce(F.col("window_end_ms") <= closed, F.lit(False))
+            | F.coalesce(F.col("window_end_ms") + F.lit(lateness_ms) <= F.col("_max_before"), F.lit(False)))
+    out = (x.filter(~late).groupBy(key, "window_start_ms", "window_end_ms")
+             .agg(windows.keep_max_agg().alias("r"),
+                  F.min_by("_bend", F.struct("p", "seq")).alias("_first_bend"))
+             .withColumn("x", F.col("window_end_ms") + F.lit(lateness_ms)))
+    thr = df.select(F.col(key).alias("shard"),
+                    (F.col("t") - F.pmod("t", F.lit(int(size_ms))) + F.lit(size_ms + lateness_ms)).alias("x")
+                    ).distinct()
+    ct = close_times(df.select(F.col(key).alias("shard"), "p", F.col("t").alias("v")), thr, bucket_ms) \
+        .withColumnRenamed("shard", key)
+    timer = F.col("_first_bend") + F.lit(idle_ms)
+    by_event = F.col("close_ms").isNotNull() & (F.col("close_ms") < timer)
+    return (out.join(ct, on=[key, "x"], how="left")
+               .select(key, "window_start_ms", "window_end_ms",
+                       *[F.col(f"r.{f}").alias(f) for f in windows.RECORD_FIELDS if f != key],
+                       F.when(by_event, F.col("close_ms")).otherwise(timer).alias("close_ms"),
+                       F.when(by_event, F.lit("event_time")).otherwise(F.lit("idle_timeout")).alias("closed_by")))

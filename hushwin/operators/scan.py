@@ -36,6 +36,16 @@ BK = "_bk"
 TARGET_ROWS = 2_000_000          # rows per (key, bucket) the automatic width aims at
 DEFAULT_WIDTH = 86_400_000       # width when the input is empty
 MAX_WIDTH = 1 << 40
+SMALL_INPUT_BYTES = 128 << 20    # below this planner estimate, skip the stats job
+
+
+def _estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of ``df`` (file sizes through the plan),
+    the number AQE and broadcast decisions start from; no job runs."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # unknown: measure
+        return SMALL_INPUT_BYTES + 1
 
 
 def width(df: DataFrame, part: Sequence[str], col: str, bucket_ms: int | None = None,
@@ -52,6 +62,8 @@ def width(df: DataFrame, part: Sequence[str], col: str, bucket_ms: int | None =
         if bucket_ms <= 0:
             raise ValueError("bucket width must be > 0")
         return int(bucket_ms)
+    if _estimated_bytes(df) <= SMALL_INPUT_BYTES:
+        return MAX_WIDTH   # the whole input fits one bucket per key: no stats job
     keys = list(part) or [F.lit(0)]
     per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows_"),
                                     (F.max(col) - F.min(col) + 1).alias("_span_"))

@@ -163,6 +163,13 @@ def q_idle_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idle.idle_watermark(tables.idle_fixture(spark, sf_dir), GRID_MS, IDLE_MS)
 
 
+IDLE_CLOSE_MS = 1_800_000       # idle-close replay: 30 min of silence closes a key's windows
+
+
+def q_idle_close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latency.idle_close_replay(tables.jittered(spark, sf_dir), HOUR_MS, IDLE_CLOSE_MS, 0)
+
+
 def q_shard_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.shard_progress(tables.decoupled(spark, sf_dir), HB_WINDOW_MS, HB_L_MS, HB_IDLE_MS)
 
@@ -193,6 +200,7 @@ QUERIES: dict[str, Query] = {
     "idle_intervals": q_idle_intervals,
     "idle_watermark": q_idle_watermark,
     "shard_progress": q_shard_progress,
+    "idle_close": q_idle_close,
 }
 
 FLAGSHIP = "close_latency"

@@ -233,3 +233,32 @@ comb AS (SELECT g, sum(CAST(idle AS INTEGER)) AS n_idle,
 SELECT g * 300000 AS grid_start_ms, CAST(n_idle AS INTEGER) AS n_idle,
        max(wm) OVER (ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS wm_ms
 FROM comb"""
+
+# Idle close on the jittered replay, processing time = arrival: per key,
+# bursts split by arrival gaps >= 30 min; late if the window ended by the
+# last timer's close or by the key's event time; close at the first of the
+# event-time close and the first burst's end + 30 min.
+ORACLE["idle_close"] = f"""WITH {JITTERED},
+a AS (SELECT *, lag(p) OVER k AS pp,
+             max(t) OVER (k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mb
+      FROM rec WINDOW k AS (PARTITION BY key ORDER BY p, seq)),
+b AS (SELECT *, sum(CASE WHEN pp IS NULL OR p - pp >= 1800000 THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY key ORDER BY p, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS burst
+      FROM a),
+bs AS (SELECT key, burst, max(t) AS bmax, max(p) AS bend FROM b GROUP BY key, burst),
+bp AS (SELECT *, max(bmax) OVER (PARTITION BY key ORDER BY burst ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+                 AS prior FROM bs),
+c AS (SELECT b.*, bp.bend, bp.prior, b.t - b.t % 3600000 AS ws, b.t - b.t % 3600000 + 3600000 AS we
+      FROM b JOIN bp ON b.key = bp.key AND b.burst = bp.burst),
+acc AS (SELECT * FROM c
+        WHERE NOT (coalesce(we <= prior - prior % 3600000 + 3600000, false) OR coalesce(we <= mb, false))),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key, ws ORDER BY p, seq) AS r1 FROM acc) WHERE r1 = 1),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key, ws ORDER BY value DESC, p, seq) AS r2 FROM acc)
+      WHERE r2 = 1),
+g AS (SELECT k.key, k.ws, k.we, k.t, k.value, k.seq, f.bend + 1800000 AS timer,
+             (SELECT min(r.p) FROM rec r WHERE r.key = k.key AND r.t >= k.we) AS ev
+      FROM k JOIN f ON k.key = f.key AND k.ws = f.ws)
+SELECT key, ws AS window_start_ms, we AS window_end_ms, t AS event_time_ms, value, seq,
+       CASE WHEN ev IS NOT NULL AND ev < timer THEN ev ELSE timer END AS close_ms,
+       CASE WHEN ev IS NOT NULL AND ev < timer THEN 'event_time' ELSE 'idle_timeout' END AS closed_by
+FROM g"""

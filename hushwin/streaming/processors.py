@@ -69,9 +69,16 @@ class ProjectedClock(StatefulProcessor):
 
 class IdleClose(StatefulProcessor):
     """Per key: the keep-max record of each open window (first arrival wins
-    ties; NaN only if it came first). A window closes when the key's largest
-    event time reaches ``end + lateness_ms``, or, with no input for
-    ``idle_ms`` of processing time, all its open windows close at once."""
+    ties; NaN only if it came first).
+
+    A window closes when the key's largest event time reaches
+    ``end + lateness_ms`` (``closed_by = 'event_time'``), or, after
+    ``idle_ms`` of processing time without input for the key, every open
+    window closes at once (``'idle_timeout'``). A row is late, and
+    dropped, when its window has closed: ``end + L <= max event time
+    before it``, or ``end <= closed`` where ``closed`` is the largest end
+    emitted by an idle timeout. So each window is emitted once.
+    """
 
     def __init__(self, size_ms: int, idle_ms: int, lateness_ms: int = 0):
         if size_ms <= 0 or idle_ms <= 0 or lateness_ms < 0:
@@ -82,7 +89,7 @@ class IdleClose(StatefulProcessor):
         self.handle = handle
         self.windows = handle.getMapState("windows", "start long",
                                           "t long, value double, seq long, first_nan boolean")
-        self.max_t = handle.getValueState("max_t", "t long")
+        self.progress = handle.getValueState("progress", "max_t long, closed long")
 
     def _emit(self, key, items) -> pd.DataFrame:
         rows = [(int(key), s, s + self.size, t, v, q, why) for s, t, v, q, why in items]
@@ -92,43 +99,47 @@ class IdleClose(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         k = key[0]
         pdf = pd.concat(list(rows), ignore_index=True).sort_values(["p", "seq"], kind="stable")
+        none = -(1 << 62)
+        top, closed = self.progress.get() if self.progress.exists() else (none, none)
         best: dict[int, tuple] = {}
         for t, v, q in zip(pdf["t"].tolist(), pdf["value"].tolist(), pdf["seq"].tolist()):
             s = t - t % self.size
+            end = s + self.size
+            if end <= closed or end + self.late <= top:
+                continue  # its window already closed
             cur = best.get(s)
-            if cur is None:
-                stored = self.windows.getValue((s,)) if self.windows.containsKey((s,)) else None
-                cur = tuple(stored) if stored is not None else None
+            if cur is None and self.windows.containsKey((s,)):
+                cur = tuple(self.windows.getValue((s,)))
             if cur is None:
                 best[s] = (t, v, q, v != v)
             elif not cur[3] and cur[1] < v:     # strict <: ties keep the first arrival
                 best[s] = (t, v, q, False)
             else:
                 best[s] = cur
+            top = max(top, t)
         for s, rec in best.items():
             self.windows.updateValue((s,), rec)
-        top = max(pdf["t"].tolist())
-        if self.max_t.exists():
-            top = max(top, self.max_t.get()[0])
-        self.max_t.update((top,))
-        closed = []
+        self.progress.update((top, closed))
+        done = []
         for (s,), rec in list(self.windows.iterator()):
             if top >= s + self.size + self.late:
-                closed.append((s, rec[0], rec[1], rec[2], "event_time"))
+                done.append((s, rec[0], rec[1], rec[2], "event_time"))
                 self.windows.removeKey((s,))
         for old in self.handle.listTimers():
             self.handle.deleteTimer(old)
         self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
-        if closed:
-            yield self._emit(k, closed)
+        if done:
+            yield self._emit(k, done)
 
     def handleExpiredTimer(self, key, timerValues: TimerValues,
                            expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         k = key[0]
-        closed = [(s, rec[0], rec[1], rec[2], "idle_timeout") for (s,), rec in self.windows.iterator()]
+        done = [(s, rec[0], rec[1], rec[2], "idle_timeout") for (s,), rec in self.windows.iterator()]
         self.windows.clear()
-        if closed:
-            yield self._emit(k, closed)
+        if done:
+            top, closed = self.progress.get()
+            self.progress.update((top, max([closed] + [s + self.size for s, *_ in done])))
+            yield self._emit(k, done)
 
     def close(self) -> None:
         pass
