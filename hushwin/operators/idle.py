@@ -56,17 +56,20 @@ def idle_watermark(df: DataFrame, grid_ms: int, idle_ms: int, lateness_ms: int =
                             F.floor(F.col("p") / grid_ms).cast("long").alias("g"))
                     .groupBy("shard", "g").agg(F.max("t").alias("_mt"), F.max("p").alias("_mp")),
                   "idle-cells")
+    # The overall grid span: two numbers.
+    lo, hi = cells.agg(F.min("g"), F.max("g")).first()
+    if lo is None:
+        return cells.sparkSession.createDataFrame([], "grid_start_ms long, n_idle int, wm_ms long")
     # Per shard over its non-empty cells (bounded by span / grid): running
-    # max of event time, next non-empty cell, and the overall grid span.
+    # max of event time and the next non-empty cell.
     w = Window.partitionBy("shard").orderBy("g")
-    every = Window.partitionBy(F.lit(0))
     spans = cells.select(
         "shard", "g", "_mp",
         (F.max("_mt").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.lit(lateness_ms) - 1).alias("_wm"),
         F.lead("g").over(w).alias("_next"),
         F.min("g").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_first"),
-        F.min("g").over(every).alias("_lo"), F.max("g").over(every).alias("_hi"))
-    spans = spans.withColumn("_to", F.coalesce(F.col("_next") - 1, F.col("_hi"))) \
+        F.lit(lo).cast("long").alias("_lo"))
+    spans = spans.withColumn("_to", F.coalesce(F.col("_next") - 1, F.lit(hi).cast("long"))) \
                  .withColumn("_idle_from", F.floor((F.col("_mp") + idle_ms) / grid_ms).cast("long"))
     active = spans.select("shard", F.col("g").alias("_a"), F.least("_to", F.col("_idle_from") - 1).alias("_b"),
                           "_wm", F.lit(False).alias("_idle"))

@@ -51,24 +51,30 @@ def _arrival_rank() -> list[Column]:
     return [-F.col("p"), -F.col("seq")]
 
 
-def keep_max_agg() -> Column:
-    """The reference's fold ``if (acc.value < next.value) next else acc``.
+def _by(by: str | Column) -> Column:
+    return F.col(by) if isinstance(by, str) else by
+
+
+def keep_max_agg(by: str | Column = "value") -> Column:
+    """The reference's fold ``if (acc.by < next.by) next else acc``.
 
     Strict ``<`` keeps the first arrival on ties, and NaN never compares
     greater: a NaN that arrives first stays, a later NaN never wins. So the
-    result is the first record when its value is NaN, else the earliest
-    record with the largest non-NaN value.
+    result is the first record when its ``by`` is NaN, else the earliest
+    record with the largest non-NaN ``by``. ``by`` is any double column
+    expression (the comparator of the fold); it defaults to the value.
     """
+    key = _by(by).cast("double")
     rec = _record()
-    first = F.min_by(rec, F.struct(F.col("p"), F.col("seq")))
-    ordered = F.when(~F.isnan("value"), F.struct(F.col("value"), *_arrival_rank()))
+    first = F.min_by(F.struct(key.alias("_by"), rec.alias("r")), F.struct(F.col("p"), F.col("seq")))
+    ordered = F.when(~F.isnan(key), F.struct(key, *_arrival_rank()))
     best = F.max_by(rec, ordered)
-    return F.when(F.isnan(first["value"]), first).otherwise(F.coalesce(best, first))
+    return F.when(F.isnan(first["_by"]), first["r"]).otherwise(F.coalesce(best, first["r"]))
 
 
-def max_by_agg() -> Column:
-    """``maxBy("value")``: largest value (NaN largest), first arrival on ties."""
-    return F.max_by(_record(), F.struct(F.col("value"), *_arrival_rank()))
+def max_by_agg(by: str | Column = "value") -> Column:
+    """``maxBy(by)``: largest ``by`` (NaN largest), first arrival on ties."""
+    return F.max_by(_record(), F.struct(_by(by), *_arrival_rank()))
 
 
 def _reduce(df: DataFrame, keys: Sequence[str], win: Column, agg: Column) -> DataFrame:
@@ -79,15 +85,15 @@ def _reduce(df: DataFrame, keys: Sequence[str], win: Column, agg: Column) -> Dat
 
 
 def reduce_keep_max(df: DataFrame, size_ms: int, keys: Sequence[str] = ("key",),
-                    slide_ms: int | None = None) -> DataFrame:
+                    slide_ms: int | None = None, by: str | Column = "value") -> DataFrame:
     """Per key and window, the record kept by the reference's max fold."""
-    return _reduce(df, keys, window_col(size_ms, slide_ms), keep_max_agg())
+    return _reduce(df, keys, window_col(size_ms, slide_ms), keep_max_agg(by))
 
 
 def reduce_max_by(df: DataFrame, size_ms: int, keys: Sequence[str] = ("key",),
-                  slide_ms: int | None = None) -> DataFrame:
-    """Per key and window, ``maxBy(value)`` with first-arrival ties."""
-    return _reduce(df, keys, window_col(size_ms, slide_ms), max_by_agg())
+                  slide_ms: int | None = None, by: str | Column = "value") -> DataFrame:
+    """Per key and window, ``maxBy(by)`` with first-arrival ties."""
+    return _reduce(df, keys, window_col(size_ms, slide_ms), max_by_agg(by))
 
 
 def session_ids(df: DataFrame, gap_ms: int, keys: Sequence[str] = ("key",),

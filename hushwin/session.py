@@ -57,6 +57,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="hushwin-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -64,8 +66,9 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def checkpoint_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the checkpoint root for one streaming query."""
+    """The checkpoint folder of the streaming query ``name``: the same name
+    resumes from the same offsets and state."""
     root = checkpoint_root(spark)
-    if "://" in root:
-        return f"{root.rstrip('/')}/{name}"
-    return tempfile.mkdtemp(prefix=f"{name}-", dir=root) if os.path.isdir(root) else os.path.join(root, name)
+    if "://" not in root:
+        os.makedirs(os.path.join(root, "streams"), exist_ok=True)
+    return f"{root.rstrip('/')}/streams/{name}"

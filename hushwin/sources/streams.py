@@ -31,9 +31,12 @@ def heartbeats(spark: SparkSession, idle_ms: int, shards: int = 1, rows_per_seco
     """Wall-clock heartbeats: one tick per ``idle_ms`` per shard, counted
     from the query's checkpointed start, so ticks stay monotone across
     restarts. ``tick_ms = n * idle_ms``, never 0."""
-    if idle_ms <= 0:
-        raise ValueError("idle interval must be > 0")
-    per_tick = max(1, round(idle_ms * rows_per_second / 1000))
+    if idle_ms <= 0 or rows_per_second <= 0:
+        raise ValueError("idle interval and rate must be > 0")
+    if (idle_ms * rows_per_second) % 1000:
+        raise ValueError("idle_ms * rows_per_second must be a whole number of seconds' rows "
+                         "(raise rows_per_second for sub-second heartbeats)")
+    per_tick = idle_ms * rows_per_second // 1000
     rate = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
     return _ticks(rate.filter((F.col("value") > 0) & (F.pmod("value", F.lit(per_tick)) == 0))
                       .select((F.col("value") / per_tick).cast("long").alias("n")), idle_ms, shards)

@@ -61,11 +61,32 @@ def heartbeat_windows(reals: DataFrame, ticks: DataFrame, size_ms: int, lateness
     return _window_rows(agg, keys)
 
 
-def idle_timeout_windows(reals: DataFrame, size_ms: int, lateness_ms: int,
-                         keys: Sequence[str] = ("key",)) -> DataFrame:
-    """The idle-timeout job: one watermark over all partitions, maxBy."""
-    timed = reals.withColumn("event_time", F.timestamp_millis("t")) \
-                 .withWatermark("event_time", f"{int(lateness_ms)} milliseconds")
+def watermarked_union(inputs: Sequence[DataFrame], lateness_ms: int, policy: str = "max") -> DataFrame:
+    """Several inputs, each with its own watermark, as one stream.
+
+    Spark combines the input watermarks with ``policy``: ``min`` waits for
+    the slowest input, so a quiet one stalls every window; ``max`` follows
+    the fastest, so a quiet input cannot hold windows open (but a slow,
+    live one may see its rows dropped as late). The policy is read when the
+    query starts.
+    """
+    if policy not in ("min", "max") or not inputs:
+        raise ValueError("policy is 'min' or 'max', and at least one input is needed")
+    inputs[0].sparkSession.conf.set("spark.sql.streaming.multipleWatermarkPolicy", policy)
+    timed = [i.withColumn("event_time", F.timestamp_millis("t"))
+              .withWatermark("event_time", f"{int(lateness_ms)} milliseconds") for i in inputs]
+    out = timed[0]
+    for t in timed[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def idle_timeout_windows(reals: DataFrame | Sequence[DataFrame], size_ms: int, lateness_ms: int,
+                         keys: Sequence[str] = ("key",), policy: str = "max") -> DataFrame:
+    """The idle-timeout job: within one input the watermark is the maximum
+    over all its partitions, so an idle partition never holds it back;
+    several inputs combine by ``policy`` (default ``max``). maxBy value."""
+    timed = watermarked_union([reals] if isinstance(reals, DataFrame) else list(reals), lateness_ms, policy)
     agg = timed.groupBy(*keys, windows.window_col(size_ms).alias("window")).agg(
         windows.max_by_agg().alias("r"))
     return _window_rows(agg, keys)

@@ -140,3 +140,20 @@ def test_idle_close(spark, scratch, gap_events):
     assert got[0] == first
     if gap_events:
         assert got[1] == (T0 + 30_000, 0.1, 3, "idle_timeout")
+
+
+@pytest.mark.parametrize("policy,closes", [("max", True), ("min", False)])
+def test_quiet_input_and_watermark_policy(spark, scratch, policy, closes):
+    """Two inputs, one of them quiet: with 'max' the live input closes the
+    window, with 'min' the quiet one holds it open."""
+    now = time.time() - 100
+    live_dir, quiet_dir = os.path.join(scratch, "live"), os.path.join(scratch, "quiet")
+    _write_json(quiet_dir, "0.json", [_real(9, 0, T0 + 500, key=5, value=0.1)], now)
+    _write_json(live_dir, "0.json", [_real(1, 1000, T0 + 1000)], now)
+    live = streams.replay(spark, live_dir, streams.TRACE, fmt="json")
+    quiet = streams.replay(spark, quiet_dir, streams.TRACE, fmt="json")
+    out = jobs.idle_timeout_windows([live, quiet], WINDOW, 0, policy=policy)
+    steps = [lambda: _write_json(live_dir, "1.json", [_real(2, 2000, T0 + 25_000, value=0.2)], now + 1)]
+    rows = _run(spark, out, f"policy_{policy}", scratch, steps)
+    got = {(r.key, r.window_start_ms) for r in rows}
+    assert ((3, T0) in got) == closes
