@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from hushwin.schema import (CORRUPT_COL, DEFAULT_KEY, DEFAULT_VALUE, JSON_RECORD,
                             JSON_TIME_FORMAT)
 
+# The 'Z' in the time format is a literal, so the zone must be given.
 DECODE_OPTIONS = {
     "mode": "PERMISSIVE",
     "columnNameOfCorruptRecord": CORRUPT_COL,
     "timestampFormat": JSON_TIME_FORMAT,
+    "timeZone": "UTC",
 }
-ENCODE_OPTIONS = {"timestampFormat": JSON_TIME_FORMAT}
+ENCODE_OPTIONS = {"timestampFormat": JSON_TIME_FORMAT, "timeZone": "UTC"}
 
 REASON_UNPARSABLE = "unparsable"
 REASON_NO_TIME = "no_event_time"

@@ -33,6 +33,9 @@ DECOUPLED_STEP_MS = 170_000   # arrival = (event_id // 4) * 170 s
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # NTZ -> TIMESTAMP reads the wall time in the session zone: pin it to UTC,
+    # the zone of every time in this package.
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -49,3 +49,12 @@ def test_round_trip_keeps_infinities(spark):
 def test_parse_runs_once(spark):
     plan = codec.good(codec.decode(_lines(spark)))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1
+
+
+def test_decode_ignores_session_zone(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        good = {r.seq: r.t for r in codec.good(codec.decode(_lines(spark))).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert good[0] == TS

@@ -22,3 +22,13 @@ def test_every_query_has_an_oracle():
 def test_oracle_parity(spark, name):
     r = compare(spark, SF01, name, E.queries()[name], E.oracle_sql()[name])
     assert r["ok"], r
+
+
+def test_queries_pin_utc(spark):
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        r = compare(spark, SF01, "window_reduce_max", E.queries()["window_reduce_max"],
+                    E.oracle_sql()["window_reduce_max"])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert r["ok"], r
