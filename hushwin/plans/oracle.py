@@ -193,8 +193,9 @@ SELECT shard, key, window_start_ms, window_end_ms, t AS event_time_ms, value, se
 FROM kept"""
 
 ORACLE["shard_progress"] = f"""WITH {WALK}
-SELECT shard, sum(real) AS n_real, sum(1 - real) AS n_tick, sum(re) AS n_reanchored,
-       sum(CAST(is_late AS BIGINT)) AS n_late, max(CASE WHEN real = 1 THEN t END) AS max_event_ms,
+SELECT shard, CAST(sum(real) AS BIGINT) AS n_real, CAST(sum(1 - real) AS BIGINT) AS n_tick,
+       CAST(sum(re) AS BIGINT) AS n_reanchored, CAST(sum(CAST(is_late AS BIGINT)) AS BIGINT) AS n_late,
+       max(CASE WHEN real = 1 THEN t END) AS max_event_ms,
        arg_max(s2, rn) AS last_projected_ms, arg_max(d, rn) AS last_offset_ms
 FROM late GROUP BY shard"""
 

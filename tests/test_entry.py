@@ -32,3 +32,17 @@ def test_queries_pin_utc(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert r["ok"], r
+
+
+SPARK_TO_DUCK = {"LongType()": "BIGINT", "IntegerType()": "INTEGER", "DoubleType()": "DOUBLE",
+                 "StringType()": "VARCHAR", "BooleanType()": "BOOLEAN"}
+
+
+def test_column_types_match_oracle(spark):
+    from tests.parity import duck
+    con = duck("/root/testdata/sf0.001")
+    for name, q in E.queries().items():
+        s = {f.name: SPARK_TO_DUCK.get(str(f.dataType), str(f.dataType))
+             for f in q(spark, "/root/testdata/sf0.001").schema.fields}
+        rel = con.sql(E.oracle_sql()[name])
+        assert s == dict(zip(rel.columns, map(str, rel.types))), name
