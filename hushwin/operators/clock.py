@@ -37,9 +37,6 @@ TICK_CHUNK = 10_000
 FOLD_SCHEMA = ("shard int, _n long, d_start long, d_first long, "
                "tick_lo long, tick_hi long, tick_d long")
 
-OUT_COLS = ("shard", "seq", "p", "t", "is_real", "key", "value", "s2", "d", "reanchored")
-
-
 def _check(idle_ms: int) -> None:
     if idle_ms <= 0:
         raise ValueError("idle interval must be > 0 (a zero interval would spin)")

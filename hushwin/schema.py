@@ -10,15 +10,12 @@ JSON_TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 # Field defaults when a JSON record omits them.
 DEFAULT_KEY = -1
 DEFAULT_VALUE = float("-inf")
-# JSON field names of a record.
-JSON_FIELDS = ("eventTime", "key", "value")
 # Job defaults: 10 s tumbling windows, 30 s idle / heartbeat interval,
-# zero out-of-orderness, one source shard, 600 s checkpoint interval.
+# zero out-of-orderness, one source shard.
 DEFAULT_WINDOW_MS = 10_000
 DEFAULT_IDLE_MS = 30_000
 DEFAULT_LATENESS_MS = 0
 DEFAULT_SHARDS = 1
-DEFAULT_CHECKPOINT_MS = 600_000
 # A real event re-anchors the projected clock when it is at least this many
 # idle intervals away from the projected time.
 REANCHOR_INTERVALS = 3
@@ -31,17 +28,9 @@ DEFAULT_CONSUMER_TOPICS = ("test-in",)
 DEFAULT_PRODUCER_TOPICS = ("test-out",)
 DEFAULT_GROUP_ID = "test"
 DEFAULT_START_OFFSET = "latest"
-DEFAULT_PARTITION_DISCOVERY_MS = 60_000
 DEFAULT_ACKS = "1"
 # ---------------------------------------------------------------------------
 
-# The business record: event time, key, value.
-RECORD = T.StructType([
-    T.StructField("event_time", T.TimestampType(), True),
-    T.StructField("key", T.IntegerType(), True),
-    T.StructField("value", T.DoubleType(), True),
-])
-
 # The JSON shape of a record (field names as written on the wire) plus the
 # column that receives a line that failed to parse.
 CORRUPT_COL = "_corrupt"
@@ -51,9 +40,3 @@ JSON_RECORD = T.StructType([
     T.StructField("value", T.DoubleType(), True),
     T.StructField(CORRUPT_COL, T.StringType(), True),
 ])
-
-# A heartbeat: the shard it belongs to and its tick on the heartbeat clock.
-HEARTBEAT = T.StructType([
-    T.StructField("shard", T.IntegerType(), False),
-    T.StructField("tick_ms", T.LongType(), False),
-])
