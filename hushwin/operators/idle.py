@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from hushwin.operators import clock, scan
 from hushwin.plans.stage import stage
 
-GRID_BUCKET = 1024   # grid cells per scan bucket for the grid-level running max
 
 
 def idle_intervals(df: DataFrame, idle_ms: int, shard: str = "shard",
@@ -25,9 +24,8 @@ def idle_intervals(df: DataFrame, idle_ms: int, shard: str = "shard",
     if idle_ms <= 0:
         raise ValueError("idle timeout must be > 0")
     order = [F.col("p"), F.col("seq")]
-    w = scan.width(df, [shard], "p", bucket_ms)
     nxt = scan.following(df.select(shard, "p", "seq"), [shard], order, "p",
-                         scan.bucket_of("p", w), "_next")
+                         scan.bucket(df, [shard], "p", bucket_ms), "_next")
     gap = F.col("_next").isNull() | (F.col("_next") - F.col("p") > idle_ms)
     return nxt.filter(gap).select(F.col(shard).alias("shard"),
                                   (F.col("p") + idle_ms).alias("idle_from_ms"),
@@ -84,6 +82,6 @@ def idle_watermark(df: DataFrame, grid_ms: int, idle_ms: int, lateness_ms: int =
         F.min(F.when(~F.col("_idle"), F.col("_wm"))).alias("_active"),
         F.max("_wm").alias("_all")).withColumn("_wm", F.coalesce("_active", "_all")),
         "idle-combined")
-    mono = scan.running_max(combined, [], [F.col("g")], "_wm", F.floor(F.col("g") / GRID_BUCKET), "wm_ms")
+    mono = scan.running_max(combined, [], [F.col("g")], "_wm", scan.bucket(combined, [], "g"), "wm_ms")
     return mono.select((F.col("g") * grid_ms).alias("grid_start_ms"), F.col("n_idle").cast("int").alias("n_idle"),
                        "wm_ms")

@@ -35,6 +35,14 @@ def close_times(progress: DataFrame, thresholds: DataFrame, bucket_ms: int | Non
     ``progress``: ``shard, p, v``; ``thresholds``: distinct ``shard, x``.
     """
     w = scan.width(progress, ["shard"], "v", bucket_ms)
+    if bucket_ms is None and w >= scan.MAX_WIDTH:  # small input: one suffix minimum per shard
+        u = (progress.select("shard", "v", "p", F.lit(None).cast("long").alias("x"))
+                     .unionByName(thresholds.select("shard", F.col("x").alias("v"),
+                                                    F.lit(None).cast("long").alias("p"), "x")))
+        suffix = (Window.partitionBy("shard").orderBy(F.col("v").desc())
+                        .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        return (u.select("shard", "x", F.min("p").over(suffix).alias("close_ms"))
+                 .filter(F.col("x").isNotNull()))
     prog = progress.select("shard", "p", F.col("v"), scan.bucket_of("v", w).alias("_vb"))
     thr = thresholds.select("shard", F.col("x"), scan.bucket_of("x", w).alias("_vb"))
 
@@ -90,8 +98,7 @@ def projected_late_rows(proj: DataFrame, size_ms: int, lateness_ms: int,
     """Rows of a projected clock with the shard's watermark input before
     each (``max_before_ms``, over real and heartbeat times), the window
     bounds and ``is_late`` (real rows whose window had already closed)."""
-    w = scan.width(proj, ["shard"], "p", bucket_ms)
-    seen = scan.running_max(proj, ["shard"], hb_order(), "s2", scan.bucket_of("p", w),
+    seen = scan.running_max(proj, ["shard"], hb_order(), "s2", scan.bucket(proj, ["shard"], "p", bucket_ms),
                             "max_before_ms", inclusive=False)
     ws, we = watermark.window_of(size_ms)
     late = F.col("is_real") & F.coalesce(
@@ -108,7 +115,7 @@ def heartbeat_window_close(reals: DataFrame, size_ms: int, lateness_ms: int, idl
     window, and report when each window closed (``close_ms``, the arrival
     at which the projected watermark reached ``end + L``)."""
     # The projected trace is read four times below: stage it once.
-    proj = stage(clock.projected_clock(reals, idle_ms, extra_ticks=extra_ticks), "projected")
+    proj = stage(clock.projected_clock(reals, idle_ms, extra_ticks=extra_ticks), "projected", size_of=reals)
     on_time = projected_late_rows(proj, size_ms, lateness_ms, bucket_ms) \
         .filter(F.col("is_real") & ~F.col("is_late"))
     out = (on_time.groupBy(*keys, "window_start_ms", "window_end_ms")
@@ -144,11 +151,13 @@ def idle_close_replay(df: DataFrame, size_ms: int, idle_ms: int, lateness_ms: in
         raise ValueError("size and idle must be > 0, lateness >= 0")
     part = [key]
     order = [F.col("p"), F.col("seq")]
-    bk = scan.bucket_of("p", scan.width(df, part, "p", bucket_ms))
+    bk = scan.bucket(df, part, "p", bucket_ms)
     x = scan.previous(df, part, order, "p", bk, "_prev_p")
     x = x.withColumn("_new", F.when(F.col("_prev_p").isNull() | (F.col("p") - F.col("_prev_p") >= idle_ms), 1)
                      .otherwise(0))
-    x = stage(scan.running_sum(x, part, order, "_new", bk, "_burst"), "idle-close-bursts")
+    x = scan.running_sum(x, part, order, "_new", bk, "_burst")
+    if bk is not None:  # nested two-level scans read their input repeatedly: stage
+        x = stage(x, "idle-close-bursts")
     x = scan.running_max(x, part, order, "t", bk, "_max_before", inclusive=False)
     # One row per (key, burst), bounded by time span / idle: the largest
     # event time of all earlier bursts.

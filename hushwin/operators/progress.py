@@ -14,7 +14,7 @@ def shard_progress(reals: DataFrame, size_ms: int, lateness_ms: int, idle_ms: in
     """Per shard: real rows, heartbeats, re-anchors, real rows dropped as
     late by the projected watermark, the largest event time, and the
     projected time and offset after the last row."""
-    proj = stage(clock.projected_clock(reals, idle_ms, extra_ticks=extra_ticks), "projected")
+    proj = stage(clock.projected_clock(reals, idle_ms, extra_ticks=extra_ticks), "projected", size_of=reals)
     rows = latency.projected_late_rows(proj, size_ms, lateness_ms, bucket_ms)
     last = F.max_by(F.struct("s2", "d"), F.struct(*latency.hb_order()))
     agg = rows.groupBy("shard").agg(

@@ -69,6 +69,5 @@ def round_robin(df: DataFrame, n: int, shard: str = "shard", order: Sequence = (
     if offset is not None:
         return df.withColumn(out, F.pmod(F.col(shard) + F.col(offset) + 1, F.lit(n)).cast("int"))
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    w = scan.width(df, [shard], order_cols[0], bucket_ms)
-    ranked = scan.row_number(df, [shard], order_cols, scan.bucket_of(order_cols[0], w), "_k")
+    ranked = scan.row_number(df, [shard], order_cols, scan.bucket(df, [shard], order_cols[0], bucket_ms), "_k")
     return ranked.withColumn(out, F.pmod(F.col(shard) + F.col("_k"), F.lit(n)).cast("int")).drop("_k")

@@ -73,6 +73,17 @@ def width(df: DataFrame, part: Sequence[str], col: str, bucket_ms: int | None =
     return int(min(max(1, w), MAX_WIDTH))
 
 
+def bucket(df: DataFrame, part: Sequence[str], col: str | Column, bucket_ms: int | None = None) -> Column | None:
+    """The bucket column for a scan of ``df``, or ``None`` when the whole
+    input is small enough (planner estimate) for one task per key, in which
+    case the scans run as plain per-key windows: the two-level machinery
+    would only add stages."""
+    w = width(df, part, col, bucket_ms)
+    if bucket_ms is None and w >= MAX_WIDTH:
+        return None
+    return bucket_of(col, w)
+
+
 def bucket_of(col: str | Column, width: int) -> Column:
     """Floor ``col / width``: the bucket of a millisecond column."""
     c = F.col(col) if isinstance(col, str) else col
@@ -88,10 +99,14 @@ def _with_bucket(df: DataFrame, bucket: Column) -> DataFrame:
 
 
 def _prefix(df: DataFrame, part: Sequence[str], order: Sequence, value: str | Column,
-            bucket: Column, out: str, agg: str, inclusive: bool) -> DataFrame:
+            bucket: Column | None, out: str, agg: str, inclusive: bool) -> DataFrame:
     part = list(part)
     v = F.col(value) if isinstance(value, str) else value
     fn = {"max": F.max, "sum": F.sum}[agg]
+    if bucket is None:
+        w = _window(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        res = fn(v).over(w)
+        return df.withColumn(out, res if agg == "max" else F.coalesce(res, F.lit(0)))
     b = _with_bucket(df, bucket).withColumn("_v", v)
     summ = b.groupBy(*part, BK).agg(fn("_v").alias("_tot"))
     prior = _window(part).orderBy(BK).rowsBetween(Window.unboundedPreceding, -1)
@@ -108,28 +123,31 @@ def _prefix(df: DataFrame, part: Sequence[str], order: Sequence, value: str | Co
 
 
 def running_max(df: DataFrame, part: Sequence[str], order: Sequence, value: str | Column,
-                bucket: Column, out: str, inclusive: bool = True) -> DataFrame:
+                bucket: Column | None, out: str, inclusive: bool = True) -> DataFrame:
     """``max(value)`` over the rows up to this one (or strictly before it)."""
     return _prefix(df, part, order, value, bucket, out, "max", inclusive)
 
 
 def running_sum(df: DataFrame, part: Sequence[str], order: Sequence, value: str | Column,
-                bucket: Column, out: str, inclusive: bool = True) -> DataFrame:
+                bucket: Column | None, out: str, inclusive: bool = True) -> DataFrame:
     """``sum(value)`` over the rows up to this one (nulls count as 0)."""
     return _prefix(df, part, order, value, bucket, out, "sum", inclusive)
 
 
-def row_number(df: DataFrame, part: Sequence[str], order: Sequence, bucket: Column,
+def row_number(df: DataFrame, part: Sequence[str], order: Sequence, bucket: Column | None,
                out: str) -> DataFrame:
     """1-based position of each row within its key."""
     return _prefix(df, part, order, F.lit(1).cast("long"), bucket, out, "sum", True)
 
 
 def _neighbour(df: DataFrame, part: Sequence[str], order: Sequence, value: str | Column,
-               bucket: Column, out: str, forward: bool) -> DataFrame:
+               bucket: Column | None, out: str, forward: bool) -> DataFrame:
     part = list(part)
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     v = F.col(value) if isinstance(value, str) else value
+    if bucket is None:
+        w = _window(part).orderBy(*order)
+        return df.withColumn(out, F.lead(v).over(w) if forward else F.lag(v).over(w))
     b = _with_bucket(df, bucket).withColumn("_v", v)
     # The value carried over a bucket edge: first (for lead) or last (for
     # lag) in order. When it is the leading order column itself, a plain
@@ -155,12 +173,12 @@ def _neighbour(df: DataFrame, part: Sequence[str], order: Sequence, value: str |
 
 
 def previous(df: DataFrame, part: Sequence[str], order: Sequence, value: str | Column,
-             bucket: Column, out: str) -> DataFrame:
+             bucket: Column | None, out: str) -> DataFrame:
     """``lag(value)`` within the key, across bucket boundaries."""
     return _neighbour(df, part, order, value, bucket, out, forward=False)
 
 
 def following(df: DataFrame, part: Sequence[str], order: Sequence, value: str | Column,
-              bucket: Column, out: str) -> DataFrame:
+              bucket: Column | None, out: str) -> DataFrame:
     """``lead(value)`` within the key, across bucket boundaries."""
     return _neighbour(df, part, order, value, bucket, out, forward=True)

@@ -38,8 +38,7 @@ def bounded_watermark(df: DataFrame, lateness_ms: int, shard: str = "shard",
                       bucket_ms: int | None = None) -> DataFrame:
     """Add ``wm_ms``: the shard's watermark right after each row."""
     _check(lateness_ms)
-    w = scan.width(df, [shard], "p", bucket_ms)
-    m = scan.running_max(df, [shard], _order(), "t", scan.bucket_of("p", w), "_max_t")
+    m = scan.running_max(df, [shard], _order(), "t", scan.bucket(df, [shard], "p", bucket_ms), "_max_t")
     return m.withColumn("wm_ms", F.col("_max_t") - F.lit(lateness_ms) - 1).drop("_max_t")
 
 
@@ -48,8 +47,7 @@ def late_rows(df: DataFrame, size_ms: int, lateness_ms: int, shard: str = "shard
     """Add the window bounds, ``max_before_ms`` (largest event time that
     arrived earlier on the shard) and ``is_late``."""
     _check(lateness_ms)
-    w = scan.width(df, [shard], "p", bucket_ms)
-    m = scan.running_max(df, [shard], _order(), "t", scan.bucket_of("p", w),
+    m = scan.running_max(df, [shard], _order(), "t", scan.bucket(df, [shard], "p", bucket_ms),
                          "max_before_ms", inclusive=False)
     ws, we = window_of(size_ms)
     m = m.select("*", ws, we)

@@ -109,7 +109,7 @@ def session_ids(df: DataFrame, gap_ms: int, keys: Sequence[str] = ("key",),
     if gap_ms <= 0:
         raise ValueError("gap must be positive")
     order = [F.col("t"), F.col("seq")]
-    bk = scan.bucket_of("t", scan.width(df, keys, "t", bucket_ms))
+    bk = scan.bucket(df, keys, "t", bucket_ms)
     prev = scan.previous(df, keys, order, "t", bk, "_prev_t")
     starts = prev.withColumn(
         "_start", F.when(F.col("_prev_t").isNull() | (F.col("t") - F.col("_prev_t") >= gap_ms), 1).otherwise(0))
