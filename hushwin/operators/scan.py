@@ -49,7 +49,7 @@ def _estimated_bytes(df: DataFrame) -> int:
 
 
 def width(df: DataFrame, part: Sequence[str], col: str, bucket_ms: int | None = None,
-          target_rows: int = TARGET_ROWS) -> int:
+          target_rows: int | None = None) -> int:
     """The bucket width: ``bucket_ms`` when given, else sized from the data.
 
     One small aggregate (rows and time span per key) picks the width at
@@ -64,9 +64,9 @@ def width(df: DataFrame, part: Sequence[str], col: str, bucket_ms: int | None =
         return int(bucket_ms)
     if _estimated_bytes(df) <= SMALL_INPUT_BYTES:
         return MAX_WIDTH   # the whole input fits one bucket per key: no stats job
-    keys = list(part) or [F.lit(0)]
-    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows_"),
-                                    (F.max(col) - F.min(col) + 1).alias("_span_"))
+    target_rows = target_rows or TARGET_ROWS
+    stats = [F.count(F.lit(1)).alias("_rows_"), (F.max(col) - F.min(col) + 1).alias("_span_")]
+    per_key = df.groupBy(*part).agg(*stats) if part else df.agg(*stats)
     w = per_key.agg(F.min(F.col("_span_") * F.lit(target_rows) / F.col("_rows_")).alias("w")).first()["w"]
     if w is None:
         return DEFAULT_WIDTH
