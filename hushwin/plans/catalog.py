@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hushwin import schema
 from hushwin.functions import codec
 from hushwin.operators import clock, idle, latency, progress, routing, watermark, windows
 from hushwin.sources import tables
@@ -151,6 +152,13 @@ def q_heartbeat_window_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latency.heartbeat_window_close(tables.decoupled(spark, sf_dir), HB_WINDOW_MS, HB_L_MS, HB_IDLE_MS)
 
 
+def q_heartbeat_job_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heartbeat job with the reference's defaults (10 s windows,
+    30 s heartbeats, L = 0) over the decoupled replay."""
+    return latency.heartbeat_window_close(tables.decoupled(spark, sf_dir), schema.DEFAULT_WINDOW_MS,
+                                          schema.DEFAULT_LATENESS_MS, schema.DEFAULT_IDLE_MS)
+
+
 def q_close_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latency.close_latency(tables.jittered(spark, sf_dir), HOUR_MS, CLOSE_L_MS)
 
@@ -196,6 +204,7 @@ QUERIES: dict[str, Query] = {
     "drop_heartbeats": q_drop_heartbeats,
     "projected_clock": q_projected_clock,
     "heartbeat_window_close": q_heartbeat_window_close,
+    "heartbeat_job_defaults": q_heartbeat_job_defaults,
     "close_latency": q_close_latency,
     "idle_intervals": q_idle_intervals,
     "idle_watermark": q_idle_watermark,

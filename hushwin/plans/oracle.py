@@ -135,18 +135,23 @@ SELECT shard, key, window_start_ms, window_end_ms, t AS event_time_ms, value, se
   FROM l WHERE NOT is_late)
 WHERE rn = 1"""
 
-# Decoupled replay: arrival (event_id // 4) * 170 s, heartbeat every 300 s.
-DECOUPLED = """rec AS (
+# Decoupled replay: arrival (event_id // 4) * 170 s, heartbeat every I ms.
+def decoupled_sql(idle: int) -> str:
+    return f"""rec AS (
   SELECT CAST(event_id % 4 AS INTEGER) AS shard, event_id AS seq, (event_id // 4) * 170000 AS p,
          epoch_us(ts) // 1000 AS t, CAST(user_id % 10 AS INTEGER) AS key, value
   FROM events),
 ticks AS (
-  SELECT shard, -n AS seq, n * 300000 AS p, n * 300000 AS t, n
-  FROM (SELECT shard, unnest(range(1, max(p) // 300000 + 1)) AS n FROM rec GROUP BY shard))"""
+  SELECT shard, -n AS seq, n * {idle} AS p, n * {idle} AS t, n
+  FROM (SELECT shard, unnest(range(1, max(p) // {idle} + 1)) AS n FROM rec GROUP BY shard))"""
+
 
 # The clock, walked one row at a time per shard (the reference's own rule):
 # tick f: s2 = d + f; real t: if |t - s2| >= 3I then d += t - s2; s2 = t.
-WALK = f"""RECURSIVE {DECOUPLED},
+# Then the watermark input before each row and late real rows (L = 0).
+def walk_sql(idle: int, size: int) -> str:
+    band = 3 * idle
+    return f"""RECURSIVE {decoupled_sql(idle)},
 tr AS (
   SELECT *, row_number() OVER (PARTITION BY shard ORDER BY p, real, seq) AS rn FROM (
     SELECT shard, seq, p, t, 1 AS real, key, value FROM rec
@@ -157,17 +162,33 @@ walk(shard, rn, s2, d, re) AS (
   UNION ALL
   SELECT tr.shard, tr.rn,
          CASE WHEN tr.real = 1 THEN tr.t ELSE walk.d + tr.t END,
-         CASE WHEN tr.real = 1 AND abs(tr.t - walk.s2) >= 900000 THEN walk.d + tr.t - walk.s2 ELSE walk.d END,
-         CASE WHEN tr.real = 1 AND abs(tr.t - walk.s2) >= 900000 THEN 1 ELSE 0 END
+         CASE WHEN tr.real = 1 AND abs(tr.t - walk.s2) >= {band} THEN walk.d + tr.t - walk.s2 ELSE walk.d END,
+         CASE WHEN tr.real = 1 AND abs(tr.t - walk.s2) >= {band} THEN 1 ELSE 0 END
   FROM walk JOIN tr ON tr.shard = walk.shard AND tr.rn = walk.rn + 1),
 proj AS (SELECT tr.*, walk.s2, walk.d, walk.re FROM tr JOIN walk USING (shard, rn)),
 seen AS (
-  SELECT *, t - t % 3600000 AS window_start_ms, t - t % 3600000 + 3600000 AS window_end_ms,
+  SELECT *, t - t % {size} AS window_start_ms, t - t % {size} + {size} AS window_end_ms,
          max(s2) OVER (PARTITION BY shard ORDER BY p, real, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
            AS max_before_ms
   FROM proj),
 late AS (SELECT *, real = 1 AND coalesce(window_end_ms <= max_before_ms, false) AS is_late FROM seen)"""
 
+
+def heartbeat_close_sql(idle: int, size: int) -> str:
+    return f"""WITH {walk_sql(idle, size)},
+kept AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY shard, key, window_start_ms ORDER BY value DESC, p, seq) AS k
+    FROM late WHERE real = 1 AND NOT is_late)
+  WHERE k = 1)
+SELECT shard, key, window_start_ms, window_end_ms, t AS event_time_ms, value, seq,
+       (SELECT min(pr.p) FROM proj pr WHERE pr.shard = kept.shard AND pr.s2 >= kept.window_end_ms) AS close_ms
+FROM kept"""
+
+
+DECOUPLED = decoupled_sql(300000)
+WALK = walk_sql(300000, 3600000)
+
 ORACLE["heartbeat_ticks"] = f"""WITH {DECOUPLED}
 SELECT shard, n, p AS tick_ms FROM ticks"""
 
@@ -182,15 +203,11 @@ SELECT shard, seq, p, t FROM rec"""
 ORACLE["projected_clock"] = f"""WITH {WALK}
 SELECT shard, seq, p, real = 1 AS is_real, s2, d, re AS reanchored FROM proj"""
 
-ORACLE["heartbeat_window_close"] = f"""WITH {WALK},
-kept AS (
-  SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY shard, key, window_start_ms ORDER BY value DESC, p, seq) AS k
-    FROM late WHERE real = 1 AND NOT is_late)
-  WHERE k = 1)
-SELECT shard, key, window_start_ms, window_end_ms, t AS event_time_ms, value, seq,
-       (SELECT min(pr.p) FROM proj pr WHERE pr.shard = kept.shard AND pr.s2 >= kept.window_end_ms) AS close_ms
-FROM kept"""
+ORACLE["heartbeat_window_close"] = heartbeat_close_sql(300000, 3600000)
+
+# The heartbeat job with the reference's own defaults: 10 s windows,
+# heartbeat / idle interval 30 s, L = 0.
+ORACLE["heartbeat_job_defaults"] = heartbeat_close_sql(30000, 10000)
 
 ORACLE["shard_progress"] = f"""WITH {WALK}
 SELECT shard, CAST(sum(real) AS BIGINT) AS n_real, CAST(sum(1 - real) AS BIGINT) AS n_tick,
