@@ -85,3 +85,36 @@ def idle_watermark(df: DataFrame, grid_ms: int, idle_ms: int, lateness_ms: int =
     mono = scan.running_max(combined, [], [F.col("g")], "_wm", scan.bucket(combined, [], "g"), "wm_ms")
     return mono.select((F.col("g") * grid_ms).alias("grid_start_ms"), F.col("n_idle").cast("int").alias("n_idle"),
                        "wm_ms")
+
+
+def idle_timeout_replay(df: DataFrame, size_ms: int, grid_ms: int, idle_ms: int, lateness_ms: int = 0,
+                        keys: tuple[str, ...] = ("key",), shard: str = "shard") -> DataFrame:
+    """The idle-timeout job on a replay: one combined watermark (minimum
+    over non-idle shards, emitted at the end of every grid cell, the
+    periodic emission), rows dropped when their window had closed by the
+    emission before their arrival, ``maxBy(value)`` per key and window, and
+    the emission at which each window closed (``close_ms``, null if never).
+
+    A row arriving in cell ``c`` sees the watermark emitted at the end of
+    cell ``c - 1``; window ``[s, e)`` has closed once that watermark reaches
+    ``e - 1``. The grid has span / grid rows, so the row-to-grid join has a
+    small side whatever the data volume.
+    """
+    from hushwin.operators import latency, windows
+    from hushwin.operators.watermark import window_of
+    wm = stage(idle_watermark(df, grid_ms, idle_ms, lateness_ms, shard), "idle-timeout-grid")
+    grid = wm.select((F.col("grid_start_ms") / grid_ms).cast("long").alias("_c"), "wm_ms")
+    ws, we = window_of(size_ms)
+    rows = (df.select("*", ws, we, (F.floor(F.col("p") / grid_ms) - 1).cast("long").alias("_c"))
+              .join(grid, on="_c", how="left"))
+    late = F.coalesce(F.col("window_end_ms") - 1 <= F.col("wm_ms"), F.lit(False))
+    out = (rows.filter(~late).groupBy(*keys, "window_start_ms", "window_end_ms")
+               .agg(windows.max_by_agg().alias("r")))
+    emissions = wm.select(F.lit(0).alias("shard"), (F.col("grid_start_ms") + grid_ms).alias("p"),
+                          (F.col("wm_ms") + 1).alias("v")).filter(F.col("v").isNotNull())
+    thr = out.select(F.lit(0).alias("shard"), F.col("window_end_ms").alias("x")).distinct()
+    ct = latency.close_times(emissions, thr).select(F.col("x").alias("window_end_ms"), "close_ms")
+    return (out.join(ct, on="window_end_ms", how="left")
+               .select(*keys, "window_start_ms", "window_end_ms",
+                       *[F.col(f"r.{f}").alias(f) for f in windows.RECORD_FIELDS if f not in keys],
+                       "close_ms"))

@@ -178,6 +178,10 @@ def q_idle_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latency.idle_close_replay(tables.jittered(spark, sf_dir), HOUR_MS, IDLE_CLOSE_MS, 0)
 
 
+def q_idle_timeout_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idle.idle_timeout_replay(tables.jittered(spark, sf_dir), HOUR_MS, GRID_MS, IDLE_MS)
+
+
 def q_shard_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.shard_progress(tables.decoupled(spark, sf_dir), HB_WINDOW_MS, HB_L_MS, HB_IDLE_MS)
 
@@ -208,6 +212,7 @@ QUERIES: dict[str, Query] = {
     "close_latency": q_close_latency,
     "idle_intervals": q_idle_intervals,
     "idle_watermark": q_idle_watermark,
+    "idle_timeout_job": q_idle_timeout_job,
     "shard_progress": q_shard_progress,
     "idle_close": q_idle_close,
 }

@@ -234,7 +234,9 @@ ORACLE["idle_intervals"] = f"""WITH {IDLE_REC},
 n AS (SELECT shard, p, lead(p) OVER (PARTITION BY shard ORDER BY p, seq) AS nx FROM rec)
 SELECT shard, p + 1200000 AS idle_from_ms, nx AS idle_to_ms FROM n WHERE nx IS NULL OR nx - p > 1200000"""
 
-ORACLE["idle_watermark"] = f"""WITH {IDLE_REC},
+def idle_grid_sql(rec: str) -> str:
+    """The combined watermark per 5 min cell (20 min idle timeout, L = 0)."""
+    return f"""{rec},
 cells AS (SELECT shard, p // 300000 AS g, max(t) AS mt, max(p) AS mp FROM rec GROUP BY ALL),
 grid AS (SELECT s.shard, gg.g FROM (SELECT DISTINCT shard FROM cells) s
          CROSS JOIN (SELECT unnest(range(min(g), max(g) + 1)) AS g FROM cells) gg),
@@ -247,10 +249,27 @@ f AS (SELECT grid.shard, grid.g,
 per AS (SELECT g, last_p IS NULL OR (g + 1) * 300000 - last_p > 1200000 AS idle, max_t - 1 AS wm FROM f),
 comb AS (SELECT g, sum(CAST(idle AS INTEGER)) AS n_idle,
                 coalesce(min(wm) FILTER (WHERE NOT idle), max(wm)) AS wm
-         FROM per GROUP BY g)
-SELECT g * 300000 AS grid_start_ms, CAST(n_idle AS INTEGER) AS n_idle,
-       max(wm) OVER (ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS wm_ms
-FROM comb"""
+         FROM per GROUP BY g),
+wmg AS (SELECT g, n_idle, max(wm) OVER (ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS wm_ms
+        FROM comb)"""
+
+
+ORACLE["idle_watermark"] = f"""WITH {idle_grid_sql(IDLE_REC)}
+SELECT g * 300000 AS grid_start_ms, CAST(n_idle AS INTEGER) AS n_idle, wm_ms FROM wmg"""
+
+# The idle-timeout job on the jittered replay: a row in cell c sees the
+# watermark emitted at the end of cell c - 1; maxBy over rows whose window
+# had not closed; close = first emission with wm >= end - 1.
+ORACLE["idle_timeout_job"] = f"""WITH {idle_grid_sql(JITTERED)},
+r AS (SELECT rec.*, t - t % 3600000 AS ws, t - t % 3600000 + 3600000 AS we, w.wm_ms
+      FROM rec LEFT JOIN wmg w ON w.g = rec.p // 300000 - 1),
+k AS (SELECT * FROM (
+        SELECT *, row_number() OVER (PARTITION BY key, ws ORDER BY isnan(value) DESC, value DESC, p, seq) AS rn
+        FROM r WHERE NOT coalesce(we - 1 <= wm_ms, false))
+      WHERE rn = 1)
+SELECT key, ws AS window_start_ms, we AS window_end_ms, t AS event_time_ms, value, seq,
+       (SELECT min((g + 1) * 300000) FROM wmg WHERE wmg.wm_ms >= k.we - 1) AS close_ms
+FROM k"""
 
 # Idle close on the jittered replay, processing time = arrival: per key,
 # bursts split by arrival gaps >= 30 min; late if the window ended by the
