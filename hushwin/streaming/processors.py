@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.streaming.stateful_processor import (ExpiredTimerInfo, StatefulProcessor,
                                                       StatefulProcessorHandle, TimerValues)
@@ -25,11 +26,61 @@ WINDOW_OUT = ("key int, window_start_ms long, window_end_ms long, event_time_ms
               "seq long, closed_by string")
 
 
+def project_batch(real: np.ndarray, t: np.ndarray, s2: int, d: int, band: int):
+    """One shard's rows in arrival order through the projected clock.
+
+    ``real``: bool per row; ``t``: event time of a real row or the tick of a
+    heartbeat; ``s2``, ``d``: the state before the batch. Returns per-row
+    ``s2``, ``d``, ``reanchored`` and the state after the batch.
+
+    A real row that follows a real row re-anchors on ``|t - t_prev| >=
+    band`` alone, so those rows are vectorized; only heartbeats and the
+    first real row after one (or the first row of the batch) read the
+    carried offset, and only they are walked one by one.
+    """
+    n = len(t)
+    if n == 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), s2, d
+    t = t.astype(np.int64)
+    prev_real = np.concatenate(([False], real[:-1]))
+    prev_t = np.concatenate(([0], t[:-1]))
+    indep = real & prev_real
+    big = indep & (np.abs(t - prev_t) >= band)
+    jump = np.where(big, t - prev_t, 0)
+    cum = np.cumsum(jump)
+    events = np.flatnonzero(~indep)
+    ev_d = np.empty(len(events), np.int64)
+    ev_re = np.zeros(len(events), np.int32)
+    ev_s2 = np.empty(len(events), np.int64)
+    base = 0
+    cur_s2 = s2
+    for k, i in enumerate(events.tolist()):
+        d += int(cum[i]) - base   # jumps of the vectorized rows since the last walked row
+        base = int(cum[i])
+        if real[i]:
+            ti = int(t[i])
+            if abs(ti - cur_s2) >= band:
+                d += ti - cur_s2
+                ev_re[k] = 1
+            cur_s2 = ti
+        else:
+            cur_s2 = d + int(t[i])
+        ev_d[k] = d
+        ev_s2[k] = cur_s2
+    last = np.searchsorted(events, np.arange(n), side="right") - 1
+    ds = ev_d[last] + cum - cum[events[last]]
+    s2s = np.where(real, t, ev_s2[last])
+    res = np.where(indep, big.astype(np.int32), 0)
+    res[events] = ev_re
+    return s2s, ds, res, int(s2s[-1]), int(ds[-1])
+
+
 class ProjectedClock(StatefulProcessor):
     """Per shard: heartbeat tick ``f`` projects ``s2 = d + f``; a real event
     ``t`` re-anchors (``d += t - s2``) when ``|t - s2| >= 3 * idle_ms``, then
     ``s2 = t``. Rows of one call carry no order, so they are sorted by
-    arrival (a tick first at the same instant)."""
+    arrival (a tick first at the same instant); the batch is then walked by
+    ``project_batch``."""
 
     def __init__(self, idle_ms: int):
         if idle_ms <= 0:
@@ -45,20 +96,8 @@ class ProjectedClock(StatefulProcessor):
         s2, d = (0, 0)
         if self.clock.exists():
             s2, d = self.clock.get()
-        s2s, ds, res = [], [], []
-        band = self.band
-        for real, t in zip(pdf["is_real"].tolist(), pdf["t"].tolist()):
-            re = 0
-            if real:
-                if abs(t - s2) >= band:
-                    d += t - s2
-                    re = 1
-                s2 = t
-            else:
-                s2 = d + t
-            s2s.append(s2)
-            ds.append(d)
-            res.append(re)
+        s2s, ds, res, s2, d = project_batch(pdf["is_real"].to_numpy(bool), pdf["t"].to_numpy(np.int64),
+                                            int(s2), int(d), self.band)
         self.clock.update((s2, d))
         yield pdf.assign(s2=s2s, d=ds, reanchored=res)[
             ["shard", "seq", "p", "t", "is_real", "key", "value", "s2", "d", "reanchored"]]
