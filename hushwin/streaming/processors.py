@@ -106,6 +106,45 @@ class ProjectedClock(StatefulProcessor):
         pass
 
 
+def fold_windows(t: np.ndarray, v: np.ndarray, q: np.ndarray, size: int, late: int, top: int, closed: int,
+                 stored) -> tuple[dict, int]:
+    """One key's rows (in arrival order) folded into its open windows.
+
+    Rows whose window has closed (``end <= closed`` or ``end + late <=``
+    the largest event time before them) are dropped; each remaining
+    window's record is the reference's keep-max fold over its stored record
+    (``stored(start)`` -> ``(t, value, seq, first_nan)`` or ``None``) and
+    its new rows. Vectorized per row; Python runs once per window.
+    Returns ``{start: (t, value, seq, first_nan)}`` and the new top.
+    """
+    if len(t) == 0:
+        return {}, top
+    start = t - t % size
+    end = start + size
+    before = np.maximum.accumulate(np.concatenate(([top], t)))[:-1]
+    keep = ~((end <= closed) | (end + late <= before))
+    out = {}
+    for w in pd.unique(start[keep]):
+        m = keep & (start == w)
+        tv, vv, qv = t[m], v[m], q[m]
+        cur = stored(int(w))
+        if cur is None:
+            if np.isnan(vv[0]):
+                out[int(w)] = (int(tv[0]), float(vv[0]), int(qv[0]), True)
+                continue
+            cur = (int(tv[0]), float(vv[0]), int(qv[0]), False)
+        if cur[3]:
+            out[int(w)] = cur       # a NaN that came first stays
+            continue
+        finite = ~np.isnan(vv)
+        if finite.any():
+            i = int(np.flatnonzero(finite)[np.argmax(vv[finite])])   # first arrival among equal maxima
+            if cur[1] < vv[i]:                                       # strict <: ties keep the earlier one
+                cur = (int(tv[i]), float(vv[i]), int(qv[i]), False)
+        out[int(w)] = cur
+    return out, int(max(top, int(t.max())))
+
+
 class IdleClose(StatefulProcessor):
     """Per key: the keep-max record of each open window (first arrival wins
     ties; NaN only if it came first).
@@ -140,30 +179,20 @@ class IdleClose(StatefulProcessor):
         pdf = pd.concat(list(rows), ignore_index=True).sort_values(["p", "seq"], kind="stable")
         none = -(1 << 62)
         top, closed = self.progress.get() if self.progress.exists() else (none, none)
-        best: dict[int, tuple] = {}
-        for t, v, q in zip(pdf["t"].tolist(), pdf["value"].tolist(), pdf["seq"].tolist()):
-            s = t - t % self.size
-            end = s + self.size
-            if end <= closed or end + self.late <= top:
-                continue  # its window already closed
-            cur = best.get(s)
-            if cur is None and self.windows.containsKey((s,)):
-                cur = tuple(self.windows.getValue((s,)))
-            if cur is None:
-                best[s] = (t, v, q, v != v)
-            elif not cur[3] and cur[1] < v:     # strict <: ties keep the first arrival
-                best[s] = (t, v, q, False)
-            else:
-                best[s] = cur
-            top = max(top, t)
-        for s, rec in best.items():
-            self.windows.updateValue((s,), rec)
+
+        def stored(start):
+            return tuple(self.windows.getValue((start,))) if self.windows.containsKey((start,)) else None
+
+        best, top = fold_windows(pdf["t"].to_numpy(np.int64), pdf["value"].to_numpy(float),
+                                 pdf["seq"].to_numpy(np.int64), self.size, self.late, int(top), int(closed), stored)
+        for start, rec in best.items():
+            self.windows.updateValue((start,), rec)
         self.progress.update((top, closed))
         done = []
-        for (s,), rec in list(self.windows.iterator()):
-            if top >= s + self.size + self.late:
-                done.append((s, rec[0], rec[1], rec[2], "event_time"))
-                self.windows.removeKey((s,))
+        for (start,), rec in list(self.windows.iterator()):
+            if top >= start + self.size + self.late:
+                done.append((start, rec[0], rec[1], rec[2], "event_time"))
+                self.windows.removeKey((start,))
         for old in self.handle.listTimers():
             self.handle.deleteTimer(old)
         self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)

@@ -47,3 +47,42 @@ def test_batches_equal_walk(trace, cut):
         s2s, ds, res, s2, d = project_batch(np.array(real[lo:hi], bool), np.array(t[lo:hi], np.int64), s2, d, BAND)
         got += list(zip(s2s.tolist(), ds.tolist(), res.tolist()))
     assert got == want
+
+
+def fold_rows(rows, size, late, top, closed, stored):
+    """The row-by-row rule of the idle-close processor."""
+    best = dict(stored)
+    for t, v, q in rows:
+        s = t - t % size
+        if s + size <= closed or s + size + late <= top:
+            continue
+        cur = best.get(s)
+        if cur is None:
+            best[s] = (t, v, q, v != v)
+        elif not cur[3] and cur[1] < v:
+            best[s] = (t, v, q, False)
+        top = max(top, t)
+    return best
+
+
+vals = st.sampled_from([float("nan"), float("-inf"), 0.0, 1.0, 1.0, 2.0, 5.0])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60_000), vals), max_size=40),
+       st.lists(st.tuples(st.integers(0, 5), vals), max_size=3),
+       st.sampled_from([0, 5_000]), st.sampled_from([-(1 << 62), 20_000]), st.sampled_from([-(1 << 62), 10_000]))
+def test_fold_windows_equal_row_rule(rows, prior, late, top, closed):
+    from hushwin.streaming.processors import fold_windows
+    size = 10_000
+    stored = {w * size: (w * size + 1, v, -1 - w, v != v) for w, v in prior}
+    rows = [(t, v, q) for q, (t, v) in enumerate(rows)]
+    want = fold_rows(rows, size, late, top, closed, stored)
+    got, _ = fold_windows(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float),
+                          np.array([r[2] for r in rows], np.int64), size, late, top, closed, stored.get)
+    merged = dict(stored)
+    merged.update(got)
+
+    def norm(d):
+        return {k: (a, "nan" if b != b else b, c, e) for k, (a, b, c, e) in d.items()}
+    assert norm(merged) == norm(want)
