@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from hushwin.session import checkpoint_root
 
 SMALL_STAGE_BYTES = 64 << 20
+_PERSISTED: list[DataFrame] = []
 
 
 def _estimated_bytes(df: DataFrame) -> int:
@@ -37,8 +38,17 @@ def stage(df: DataFrame, name: str, size_of: DataFrame | None = None) -> DataFra
     truth when the join adds columns to rows, not rows).
     """
     if _estimated_bytes(df if size_of is None else size_of) <= SMALL_STAGE_BYTES:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
+        out = df.persist(StorageLevel.MEMORY_AND_DISK)
+        _PERSISTED.append(out)
+        return out
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/stage/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def release() -> None:
+    """Unpersist every staged result (call once the queries that read them
+    have run)."""
+    while _PERSISTED:
+        _PERSISTED.pop().unpersist()
