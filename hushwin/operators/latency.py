@@ -15,7 +15,8 @@ bucket:
   over one row per (shard, bucket).
 
 No as-of join, no pairs: each row and threshold is touched a constant
-number of times.
+number of times. When the input is small (planner estimate), one suffix
+minimum per shard replaces the two levels.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from hushwin.operators import clock, scan, watermark, windows
 from hushwin.plans.stage import stage
 
+
 def close_times(progress: DataFrame, thresholds: DataFrame, bucket_ms: int | None = None) -> DataFrame:
     """``(shard, x, close_ms)``: the first arrival ``p`` on the shard whose
     time ``v`` is ``>= x`` (null if none).

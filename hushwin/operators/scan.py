@@ -20,6 +20,12 @@ The input is read twice (once for the summaries, once for the rows); pass a
 cheap input (a scan with projections) or a materialized one
 (``hushwin.plans.stage``).
 
+The plan is chosen by size, as Spark chooses a broadcast: ``bucket()``
+returns ``None`` when the planner's estimate of the input is small
+(``SMALL_INPUT_BYTES``), and the helpers then run one plain per-key window,
+since one task per key is harmless when the whole input is small. Above
+it, one small aggregate sizes the buckets (``width``).
+
 The bucket must be a non-decreasing function of the order within a key; the
 order must be total (include a unique tie-breaker) for results to be
 deterministic under task retries.

@@ -4,7 +4,6 @@ restart that resumes the projected clock from its checkpoint."""
 import os
 import time
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
