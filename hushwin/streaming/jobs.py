@@ -100,6 +100,17 @@ def idle_close_windows(reals: DataFrame, size_ms: int, idle_ms: int, lateness_ms
         IdleClose(size_ms, idle_ms, lateness_ms), WINDOW_OUT, "Append", "ProcessingTime")
 
 
+def dropped_by_watermark(query: StreamingQuery) -> int:
+    """Rows the query's stateful operators dropped as late, over its recent
+    progress reports (Spark filters with the previous batch's watermark,
+    so a row late by less than one batch is still aggregated)."""
+    total = 0
+    for progress in query.recentProgress:
+        for op in progress.get("stateOperators", []):
+            total += int(op.get("numRowsDroppedByWatermark", 0))
+    return total
+
+
 # --- sinks --------------------------------------------------------------------
 
 def start(df: DataFrame, name: str, sink: str = "console", trigger_ms: int | None = None,

@@ -206,3 +206,19 @@ def test_heartbeat_job_streaming_equals_bounded(spark, scratch):
     for k, seq in got.items():
         if k not in touched:
             assert want.get(k) == seq, k
+
+
+def test_late_rows_are_counted(spark, scratch):
+    now = time.time() - 100
+    base = os.path.join(scratch, "reals")
+    _write_json(base, "0.json", [_real(1, 1000, T0 + 25_000)], now)
+    src = streams.replay(spark, base, streams.TRACE, fmt="json")
+    q = jobs.start(jobs.idle_timeout_windows(src, WINDOW, 0), "late_count", sink="memory",
+                   checkpoint=os.path.join(scratch, "ckpt"))
+    try:
+        q.processAllAvailable()
+        _write_json(base, "1.json", [_real(2, 2000, T0 + 1000)], now + 1)   # its window closed at 25 s
+        q.processAllAvailable()
+        assert jobs.dropped_by_watermark(q) == 1
+    finally:
+        q.stop()
