@@ -88,7 +88,8 @@ def idle_watermark(df: DataFrame, grid_ms: int, idle_ms: int, lateness_ms: int =
 
 
 def idle_timeout_replay(df: DataFrame, size_ms: int, grid_ms: int, idle_ms: int, lateness_ms: int = 0,
-                        keys: tuple[str, ...] = ("key",), shard: str = "shard") -> DataFrame:
+                        keys: tuple[str, ...] = ("key",), shard: str = "shard",
+                        progress: DataFrame | None = None, reducer: str = "max_by") -> DataFrame:
     """The idle-timeout job on a replay: one combined watermark (minimum
     over non-idle shards, emitted at the end of every grid cell, the
     periodic emission), rows dropped when their window had closed by the
@@ -99,17 +100,23 @@ def idle_timeout_replay(df: DataFrame, size_ms: int, grid_ms: int, idle_ms: int,
     cell ``c - 1``; window ``[s, e)`` has closed once that watermark reaches
     ``e - 1``. The grid has span / grid rows, so the row-to-grid join has a
     small side whatever the data volume.
+
+    ``progress`` (``shard, p, t``) drives the watermark when it differs
+    from the rows (heartbeats); ``reducer`` is ``max_by`` or ``keep_max``.
     """
+    if reducer not in ("max_by", "keep_max"):
+        raise ValueError("reducer is 'max_by' or 'keep_max'")
     from hushwin.operators import latency, windows
     from hushwin.operators.watermark import window_of
-    wm = stage(idle_watermark(df, grid_ms, idle_ms, lateness_ms, shard), "idle-timeout-grid")
+    src = df if progress is None else progress
+    wm = stage(idle_watermark(src, grid_ms, idle_ms, lateness_ms, shard), "idle-timeout-grid")
     grid = wm.select((F.col("grid_start_ms") / grid_ms).cast("long").alias("_c"), "wm_ms")
     ws, we = window_of(size_ms)
     rows = (df.select("*", ws, we, (F.floor(F.col("p") / grid_ms) - 1).cast("long").alias("_c"))
               .join(grid, on="_c", how="left"))
     late = F.coalesce(F.col("window_end_ms") - 1 <= F.col("wm_ms"), F.lit(False))
     out = (rows.filter(~late).groupBy(*keys, "window_start_ms", "window_end_ms")
-               .agg(windows.max_by_agg().alias("r")))
+               .agg((windows.max_by_agg() if reducer == "max_by" else windows.keep_max_agg()).alias("r")))
     emissions = wm.select(F.lit(0).alias("shard"), (F.col("grid_start_ms") + grid_ms).alias("p"),
                           (F.col("wm_ms") + 1).alias("v")).filter(F.col("v").isNotNull())
     thr = out.select(F.lit(0).alias("shard"), F.col("window_end_ms").alias("x")).distinct()

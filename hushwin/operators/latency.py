@@ -135,6 +135,27 @@ def heartbeat_window_close(reals: DataFrame, size_ms: int, lateness_ms: int, idl
                        "close_ms"))
 
 
+NEVER_IDLE_MS = 1 << 60
+
+
+def heartbeat_combined_replay(reals: DataFrame, size_ms: int, lateness_ms: int, idle_ms: int,
+                              grid_ms: int | None = None, extra_ticks: int = 0) -> DataFrame:
+    """The heartbeat job with several source shards feeding one window
+    operator: each shard projects its own clock, the operator's watermark
+    is the minimum over the shards that have started (emitted every
+    ``grid_ms``, default one heartbeat interval), and windows are per key
+    across shards. Rows whose window closed before their arrival are
+    dropped; the rest are reduced keep-max; ``close_ms`` is the emission
+    that closed the window.
+    """
+    from hushwin.operators import idle
+    proj = stage(clock.projected_clock(reals, idle_ms, extra_ticks=extra_ticks), "projected", size_of=reals)
+    progress = proj.select("shard", "p", F.col("s2").alias("t"))
+    rows = proj.filter(F.col("is_real")).drop("is_real", "s2", "d", "reanchored")
+    return idle.idle_timeout_replay(rows, size_ms, grid_ms or idle_ms, NEVER_IDLE_MS, lateness_ms,
+                                    progress=progress, reducer="keep_max")
+
+
 def idle_close_replay(df: DataFrame, size_ms: int, idle_ms: int, lateness_ms: int = 0,
                       key: str = "key", bucket_ms: int | None = None) -> DataFrame:
     """The idle-close job on a replay whose processing time is the arrival

@@ -159,6 +159,10 @@ def q_heartbeat_job_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
                                           schema.DEFAULT_LATENESS_MS, schema.DEFAULT_IDLE_MS)
 
 
+def q_heartbeat_min_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latency.heartbeat_combined_replay(tables.decoupled(spark, sf_dir), HB_WINDOW_MS, HB_L_MS, HB_IDLE_MS)
+
+
 def q_close_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latency.close_latency(tables.jittered(spark, sf_dir), HOUR_MS, CLOSE_L_MS)
 
@@ -209,6 +213,7 @@ QUERIES: dict[str, Query] = {
     "projected_clock": q_projected_clock,
     "heartbeat_window_close": q_heartbeat_window_close,
     "heartbeat_job_defaults": q_heartbeat_job_defaults,
+    "heartbeat_min_shards": q_heartbeat_min_shards,
     "close_latency": q_close_latency,
     "idle_intervals": q_idle_intervals,
     "idle_watermark": q_idle_watermark,

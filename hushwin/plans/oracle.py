@@ -234,10 +234,11 @@ ORACLE["idle_intervals"] = f"""WITH {IDLE_REC},
 n AS (SELECT shard, p, lead(p) OVER (PARTITION BY shard ORDER BY p, seq) AS nx FROM rec)
 SELECT shard, p + 1200000 AS idle_from_ms, nx AS idle_to_ms FROM n WHERE nx IS NULL OR nx - p > 1200000"""
 
-def idle_grid_sql(rec: str) -> str:
-    """The combined watermark per 5 min cell (20 min idle timeout, L = 0)."""
-    return f"""{rec},
-cells AS (SELECT shard, p // 300000 AS g, max(t) AS mt, max(p) AS mp FROM rec GROUP BY ALL),
+def combined_grid_sql(src: str, grid: int, idle: int) -> str:
+    """The combined watermark per grid cell from CTE ``src`` (shard, p, t):
+    min over non-idle shards, max over all if every shard is idle, L = 0,
+    never moving back."""
+    return f"""cells AS (SELECT shard, p // {grid} AS g, max(t) AS mt, max(p) AS mp FROM {src} GROUP BY ALL),
 grid AS (SELECT s.shard, gg.g FROM (SELECT DISTINCT shard FROM cells) s
          CROSS JOIN (SELECT unnest(range(min(g), max(g) + 1)) AS g FROM cells) gg),
 f AS (SELECT grid.shard, grid.g,
@@ -246,7 +247,7 @@ f AS (SELECT grid.shard, grid.g,
              max(c.mp) OVER (PARTITION BY grid.shard ORDER BY grid.g ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
                AS last_p
       FROM grid LEFT JOIN cells c ON c.shard = grid.shard AND c.g = grid.g),
-per AS (SELECT g, last_p IS NULL OR (g + 1) * 300000 - last_p > 1200000 AS idle, max_t - 1 AS wm FROM f),
+per AS (SELECT g, last_p IS NULL OR (g + 1) * {grid} - last_p > {idle} AS idle, max_t - 1 AS wm FROM f),
 comb AS (SELECT g, sum(CAST(idle AS INTEGER)) AS n_idle,
                 coalesce(min(wm) FILTER (WHERE NOT idle), max(wm)) AS wm
          FROM per GROUP BY g),
@@ -254,6 +255,12 @@ wmg AS (SELECT g, n_idle, max(wm) OVER (ORDER BY g ROWS BETWEEN UNBOUNDED PRECED
         FROM comb)"""
 
 
+def idle_grid_sql(rec: str) -> str:
+    """The combined watermark per 5 min cell (20 min idle timeout, L = 0)."""
+    return f"""{rec},
+{combined_grid_sql("rec", 300000, 1200000)}"""
+
+
 ORACLE["idle_watermark"] = f"""WITH {idle_grid_sql(IDLE_REC)}
 SELECT g * 300000 AS grid_start_ms, CAST(n_idle AS INTEGER) AS n_idle, wm_ms FROM wmg"""
 
@@ -299,3 +306,19 @@ SELECT key, ws AS window_start_ms, we AS window_end_ms, t AS event_time_ms, valu
        CASE WHEN ev IS NOT NULL AND ev < timer THEN ev ELSE timer END AS close_ms,
        CASE WHEN ev IS NOT NULL AND ev < timer THEN 'event_time' ELSE 'idle_timeout' END AS closed_by
 FROM g"""
+
+
+# Several shards, one window operator: the watermark is the minimum of the
+# shards' projected clocks (heartbeats every 5 min, emitted every 5 min;
+# a shard counts once it has started), windows per key, keep-max.
+ORACLE["heartbeat_min_shards"] = f"""WITH {walk_sql(300000, 3600000)},
+prog AS (SELECT shard, p, s2 AS t FROM proj),
+{combined_grid_sql("prog", 300000, 1 << 60)},
+r AS (SELECT seen.*, w.wm_ms FROM seen LEFT JOIN wmg w ON w.g = seen.p // 300000 - 1 WHERE seen.real = 1),
+k AS (SELECT * FROM (
+        SELECT *, row_number() OVER (PARTITION BY key, window_start_ms ORDER BY value DESC, p, seq) AS kn
+        FROM r WHERE NOT coalesce(window_end_ms - 1 <= wm_ms, false))
+      WHERE kn = 1)
+SELECT key, window_start_ms, window_end_ms, t AS event_time_ms, value, seq,
+       (SELECT min((g + 1) * 300000) FROM wmg WHERE wmg.wm_ms >= k.window_end_ms - 1) AS close_ms
+FROM k"""

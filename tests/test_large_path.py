@@ -11,7 +11,7 @@ from tests.parity import compare
 
 NAMES = ["bounded_watermark", "late_drop", "round_robin", "session_reduce_max", "projected_clock",
          "heartbeat_window_close", "close_latency", "idle_intervals", "idle_watermark", "shard_progress",
-         "idle_close", "idle_timeout_job", "heartbeat_job_defaults"]
+         "idle_close", "idle_timeout_job", "heartbeat_job_defaults", "heartbeat_min_shards"]
 
 
 @pytest.fixture()
