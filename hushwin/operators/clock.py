@@ -37,6 +37,7 @@ TICK_CHUNK = 10_000
 FOLD_SCHEMA = ("shard int, _n long, d_start long, d_first long, "
                "tick_lo long, tick_hi long, tick_d long")
 
+
 def _check(idle_ms: int) -> None:
     if idle_ms <= 0:
         raise ValueError("idle interval must be > 0 (a zero interval would spin)")
@@ -114,7 +115,7 @@ def _interval_scan(r: DataFrame, band: int, idle_ms: int, sub_ms: int | None) ->
 
     An interval normally fits one task (rate x I rows); when the densest
     one exceeds the scan target, it is split again by arrival sub-bucket
-    with the two-level scans and the result is staged.
+    with the two-level scans.
     """
     part = ["shard", "_n"]
     sub = scan.width(r, part, "p", sub_ms)
@@ -129,7 +130,7 @@ def _interval_scan(r: DataFrame, band: int, idle_ms: int, sub_ms: int | None) ->
     bk = scan.bucket_of("p", sub)
     r = scan.previous(r, part, order, "t", bk, "_prev")
     r = r.withColumn("_jump", jump).withColumn("_big", big)
-    return stage(scan.running_sum(r, part, order, "_jump", bk, "_cum"), "clock-rows")
+    return scan.running_sum(r, part, order, "_jump", bk, "_cum")
 
 
 def projected_clock(reals: DataFrame, idle_ms: int, shard: str = "shard",
@@ -145,8 +146,9 @@ def projected_clock(reals: DataFrame, idle_ms: int, shard: str = "shard",
     band = REANCHOR_INTERVALS * idle_ms
     r = reals.select(F.col(shard).alias("shard"), "seq", "p", "t", "key", "value") \
              .withColumn("_n", F.floor(F.col("p") / idle_ms).cast("long"))
-    r = _interval_scan(r, band, idle_ms, sub_ms)
-    r = r.withColumn("_rn", F.when(F.col("_prev").isNull(), 1).otherwise(2))
+    # The scanned rows feed both the interval summaries and the join back.
+    r = stage(_interval_scan(r, band, idle_ms, sub_ms)
+              .withColumn("_rn", F.when(F.col("_prev").isNull(), 1).otherwise(2)), "clock-rows", size_of=reals)
     summ = r.groupBy("shard", "_n").agg(F.max(F.when(F.col("_rn") == 1, F.col("t"))).alias("t1"),
                                         F.sum("_jump").alias("J"))
     # The fold output (one row per non-empty interval) feeds both the real
