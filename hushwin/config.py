@@ -19,6 +19,8 @@ class WindowOptions:
     idle_ms: int = schema.DEFAULT_IDLE_MS              # heartbeat period = idle timeout = dead band / 3
     trigger_ms: int | None = None                      # micro-batch period (plays the watermark period)
     shards: int = schema.DEFAULT_SHARDS                # source shards (Kafka partitions)
+    slide_ms: int | None = None                        # sliding windows
+    session_gap_ms: int | None = None                  # session windows instead of fixed ones
 
     def __post_init__(self):
         if self.size_ms <= 0:
@@ -31,6 +33,9 @@ class WindowOptions:
             raise ValueError("trigger_ms must be > 0")
         if self.shards <= 0:
             raise ValueError("shards must be > 0")
+        if (self.slide_ms is not None and self.slide_ms <= 0) or \
+                (self.session_gap_ms is not None and self.session_gap_ms <= 0):
+            raise ValueError("slide_ms and session_gap_ms must be > 0")
 
 
 @dataclass(frozen=True)

@@ -31,6 +31,20 @@ def window_col(size_ms: int, slide_ms: int | None = None, time_col: str = "event
     return F.window(time_col, size, f"{int(slide_ms)} milliseconds")
 
 
+def session_col(gap_ms: int, time_col: str = "event_time") -> Column:
+    """Spark's gap-based session window (streams and batch)."""
+    if gap_ms <= 0:
+        raise ValueError("session gap must be positive")
+    return F.session_window(time_col, f"{int(gap_ms)} milliseconds")
+
+
+def stream_window(size_ms: int, slide_ms: int | None = None, gap_ms: int | None = None) -> Column:
+    """Tumbling (default), sliding (``slide_ms``) or session (``gap_ms``)."""
+    if gap_ms is not None:
+        return session_col(gap_ms)
+    return window_col(size_ms, slide_ms)
+
+
 def bounds_ms(win: str = "window") -> list[Column]:
     return [F.unix_millis(F.col(f"{win}.start")).alias("window_start_ms"),
             F.unix_millis(F.col(f"{win}.end")).alias("window_end_ms")]

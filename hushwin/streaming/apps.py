@@ -45,7 +45,8 @@ def run_heartbeat(spark: SparkSession, opts: WindowOptions = WindowOptions(),
     """Heartbeats move event time forward so quiet windows still close."""
     reals = records_from(spark, source, opts)
     ticks = streams.heartbeats(spark, opts.idle_ms, opts.shards)
-    win = jobs.heartbeat_windows(reals, ticks, opts.size_ms, opts.lateness_ms, opts.idle_ms)
+    win = jobs.heartbeat_windows(reals, ticks, opts.size_ms, opts.lateness_ms, opts.idle_ms,
+                                 slide_ms=opts.slide_ms, gap_ms=opts.session_gap_ms)
     return _sink(win, name, out, opts)
 
 
@@ -54,7 +55,8 @@ def run_idle_timeout(spark: SparkSession, opts: WindowOptions = WindowOptions(),
                      name: str = "idle-timeout-windows") -> StreamingQuery:
     """Watermark over all partitions (idle ones cannot hold it), maxBy."""
     reals = records_from(spark, source, opts)
-    win = jobs.idle_timeout_windows(reals, opts.size_ms, opts.lateness_ms)
+    win = jobs.idle_timeout_windows(reals, opts.size_ms, opts.lateness_ms, slide_ms=opts.slide_ms,
+                                    gap_ms=opts.session_gap_ms)
     return _sink(win, name, out, opts)
 
 

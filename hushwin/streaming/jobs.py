@@ -49,14 +49,16 @@ def project(reals: DataFrame, ticks: DataFrame, idle_ms: int) -> DataFrame:
 
 
 def heartbeat_windows(reals: DataFrame, ticks: DataFrame, size_ms: int, lateness_ms: int,
-                      idle_ms: int, keys: Sequence[str] = ("key",)) -> DataFrame:
+                      idle_ms: int, keys: Sequence[str] = ("key",), slide_ms: int | None = None,
+                      gap_ms: int | None = None) -> DataFrame:
     """The heartbeat job: windows close ``idle_ms``-periodically even when
-    real messages are rare."""
+    real messages are rare. Tumbling by default; sliding with ``slide_ms``,
+    sessions with ``gap_ms``."""
     proj = project(reals, ticks, idle_ms)
     timed = proj.withColumn("event_time", F.timestamp_millis("s2")) \
                 .withWatermark("event_time", f"{int(lateness_ms)} milliseconds")
     real = clock.real_only(timed)
-    agg = real.groupBy(*keys, windows.window_col(size_ms).alias("window")).agg(
+    agg = real.groupBy(*keys, windows.stream_window(size_ms, slide_ms, gap_ms).alias("window")).agg(
         windows.keep_max_agg().alias("r"))
     return _window_rows(agg, keys)
 
@@ -82,12 +84,13 @@ def watermarked_union(inputs: Sequence[DataFrame], lateness_ms: int, policy: str
 
 
 def idle_timeout_windows(reals: DataFrame | Sequence[DataFrame], size_ms: int, lateness_ms: int,
-                         keys: Sequence[str] = ("key",), policy: str = "max") -> DataFrame:
+                         keys: Sequence[str] = ("key",), policy: str = "max", slide_ms: int | None = None,
+                         gap_ms: int | None = None) -> DataFrame:
     """The idle-timeout job: within one input the watermark is the maximum
     over all its partitions, so an idle partition never holds it back;
     several inputs combine by ``policy`` (default ``max``). maxBy value."""
     timed = watermarked_union([reals] if isinstance(reals, DataFrame) else list(reals), lateness_ms, policy)
-    agg = timed.groupBy(*keys, windows.window_col(size_ms).alias("window")).agg(
+    agg = timed.groupBy(*keys, windows.stream_window(size_ms, slide_ms, gap_ms).alias("window")).agg(
         windows.max_by_agg().alias("r"))
     return _window_rows(agg, keys)
 

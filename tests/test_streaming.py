@@ -222,3 +222,20 @@ def test_late_rows_are_counted(spark, scratch):
         assert jobs.dropped_by_watermark(q) == 1
     finally:
         q.stop()
+
+
+def test_streaming_session_and_sliding_windows(spark, scratch):
+    now = time.time() - 100
+    base = os.path.join(scratch, "reals")
+    _write_json(base, "0.json", [_real(1, 1000, T0 + 1000, value=0.2), _real(2, 3000, T0 + 3000, value=0.7)], now)
+    src = streams.replay(spark, base, streams.TRACE, fmt="json")
+    sess = jobs.idle_timeout_windows(src, WINDOW, 0, gap_ms=5_000)
+    steps = [lambda: _write_json(base, "1.json", [_real(3, 20_000, T0 + 20_000, value=0.1)], now + 1)]
+    rows = _run(spark, sess, "sessions", scratch, steps)
+    assert [(r.window_start_ms, r.window_end_ms, r.seq) for r in rows] == [(T0 + 1000, T0 + 8000, 2)]
+    src2 = streams.replay(spark, base, streams.TRACE, fmt="json")
+    slide = jobs.idle_timeout_windows(src2, WINDOW, 0, slide_ms=5_000)
+    rows = _run(spark, slide, "sliding", os.path.join(scratch, "b"), [])
+    got = sorted((r.window_start_ms, r.seq) for r in rows)
+    # rows at 1 s, 3 s and 20 s; the watermark (20 s) closes [-5, 5) and [0, 10) only
+    assert got == [(T0 - 5000, 2), (T0, 2)]
