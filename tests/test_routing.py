@@ -56,3 +56,20 @@ def test_fanout_gives_every_topic_everything(spark):
     df = spark.createDataFrame([(1,), (2,)], "seq long")
     out = routing.topic_fanout(df, ["x", "y"])
     assert sorted((r.topic, r.seq) for r in out.collect()) == [("x", 1), ("x", 2), ("y", 1), ("y", 2)]
+
+
+def test_kafka_columns_decode_to_a_trace(spark):
+    from datetime import datetime, timezone
+
+    from hushwin.functions import codec
+    ts = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    raw = spark.createDataFrame(
+        [("in", 2, 7, ts, bytearray(b'{"eventTime":"2021-03-01T00:00:05.123Z","key":3,"value":0.5}')),
+         ("in", 2, 8, ts, bytearray(b'not json'))],
+        "topic string, partition int, offset long, timestamp timestamp, value binary")
+    trace = codec.good(codec.decode(kafka.kafka_columns(raw)))
+    rows = [(r.topic, r.shard, r.seq, r.p, r.t, r.key, r.value) for r in trace.collect()]
+    assert rows == [("in", 2, 7, 1704067200000, 1614556805123, 3, 0.5)]
+    out = kafka.kafka_payload(trace.select("topic", "event_time", "key", "value"))
+    assert [r.value.decode() for r in out.collect()] == [
+        '{"eventTime":"2021-03-01T00:00:05.123Z","key":3,"value":0.5}']
