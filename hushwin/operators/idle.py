@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushwin.operators import clock, scan
+from hushwin.operators import clock, latency, scan, windows
+from hushwin.operators.watermark import window_of
 from hushwin.plans.stage import stage
 
 
-
 def idle_intervals(df: DataFrame, idle_ms: int, shard: str = "shard",
                    bucket_ms: int | None = None) -> DataFrame:
     """``(shard, idle_from_ms, idle_to_ms)`` for every quiet gap longer than
@@ -106,8 +106,6 @@ def idle_timeout_replay(df: DataFrame, size_ms: int, grid_ms: int, idle_ms: int,
     """
     if reducer not in ("max_by", "keep_max"):
         raise ValueError("reducer is 'max_by' or 'keep_max'")
-    from hushwin.operators import latency, windows
-    from hushwin.operators.watermark import window_of
     src = df if progress is None else progress
     wm = stage(idle_watermark(src, grid_ms, idle_ms, lateness_ms, shard), "idle-timeout-grid")
     grid = wm.select((F.col("grid_start_ms") / grid_ms).cast("long").alias("_c"), "wm_ms")

@@ -148,7 +148,7 @@ def heartbeat_combined_replay(reals: DataFrame, size_ms: int, lateness_ms: int,
     dropped; the rest are reduced keep-max; ``close_ms`` is the emission
     that closed the window.
     """
-    from hushwin.operators import idle
+    from hushwin.operators import idle   # idle builds on this module's close_times
     proj = stage(clock.projected_clock(reals, idle_ms, extra_ticks=extra_ticks), "projected", size_of=reals)
     progress = proj.select("shard", "p", F.col("s2").alias("t"))
     rows = proj.filter(F.col("is_real")).drop("is_real", "s2", "d", "reanchored")
