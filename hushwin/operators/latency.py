@@ -176,6 +176,8 @@ def idle_close_replay(df: DataFrame, size_ms: int, idle_ms: int, lateness_ms: in
     order = [F.col("p"), F.col("seq")]
     bk = scan.bucket(df, part, "p", bucket_ms)
     x = scan.previous(df, part, order, "p", bk, "_prev_p")
+    if bk is not None:  # each nested two-level scan reads its input twice: stage
+        x = stage(x, "idle-close-prev", size_of=df)
     x = x.withColumn("_new", F.when(F.col("_prev_p").isNull() | (F.col("p") - F.col("_prev_p") >= idle_ms), 1)
                      .otherwise(0))
     x = scan.running_sum(x, part, order, "_new", bk, "_burst")
