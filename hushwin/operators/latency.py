@@ -46,7 +46,8 @@ def close_times(progress: DataFrame, thresholds: DataFrame, bucket_ms: int | Non
         return (u.select("shard", "x", F.min("p").over(suffix).alias("close_ms"))
                  .filter(F.col("x").isNotNull()))
     prog = progress.select("shard", "p", F.col("v"), scan.bucket_of("v", w).alias("_vb"))
-    thr = thresholds.select("shard", F.col("x"), scan.bucket_of("x", w).alias("_vb"))
+    # Thresholds (one per shard and window end) are read twice below: stage them.
+    thr = stage(thresholds.select("shard", F.col("x"), scan.bucket_of("x", w).alias("_vb")), "thresholds")
 
     # Across buckets: min arrival of all buckets strictly above the threshold's.
     per_bucket = prog.groupBy("shard", "_vb").agg(F.min("p").alias("_bp"))
