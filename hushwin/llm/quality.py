@@ -164,3 +164,12 @@ def judge(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), threshold: fl
     return (judged.withColumn("p_good", 1 / (1 + F.exp(-odds)))
             .withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
             .drop(*[f"_v_{r}" for r in names]))
+
+
+def kept_rows(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with their columns. A row's
+    votes follow from its text alone, so the rows are judged in place from
+    the fitted model; no join brings them back."""
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    kept = judge(d, ("row",), threshold).where("kept").select("row")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
