@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushwin.llm import mixing, packing, quality
+from hushwin.llm import mixing, neardup, packing, quality
 from hushwin.llm.common import table
 
 
@@ -25,10 +25,16 @@ def op8_weak_supervision_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "base_failed", "kept", F.col("p_good").alias("p_good"))
 
 
+def op10_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES = {
     "op5_power_of_two_packing": op5_power_of_two_packing,
     "op6_capped_water_filling": op6_capped_water_filling,
     "op8_weak_supervision_quality": op8_weak_supervision_quality,
+    "op10_minmax_near_duplicates": op10_minmax_near_duplicates,
 }
 
 _OP6 = r"""
