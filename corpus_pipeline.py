@@ -6,9 +6,8 @@ folder and read again as the next one's ``docs``."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from hushwin.llm import mixing, packing, quality
+from hushwin.llm import mixing, neardup, packing, pii, quality
 from hushwin.llm.common import staged, table
 
 
@@ -17,6 +16,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.kept_rows(docs)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near-duplicates."""
+    return neardup.kept_rows(docs)
+
+
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data masked."""
+    return pii.mask_rows(docs)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its source's target takes it."""
     return mixing.mixed_rows(docs)
@@ -28,7 +37,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("quality rules", quality_stage), ("mixing to target weights", mixing_stage), ("packing", packing_stage)]
+STAGES = [("quality rules", quality_stage), ("near-duplicates", near_duplicate_stage), ("personal data", personal_data_stage),
+          ("mixing to target weights", mixing_stage), ("packing", packing_stage)]
 
 #: Expectation-maximisation, hashing of shingle sets and token ids are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -5,10 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushwin.llm import mixing, neardup, packing, quality
+from hushwin.llm import langid, mixing, neardup, packing, pii, quality, render, topk, toxicity, urls
 from hushwin.llm.common import table
 
 
+def op1_norm_bucketed_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+def op2_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is its row in ``labels``: bad if of low quality or toxic."""
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.cast("int").alias("bad"))
+    return urls.judge(table(spark, sf_dir, "pages"), outcomes).drop("bad_rate")
+
+
+def op4_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     docs = table(spark, sf_dir, "documents")
@@ -19,23 +39,84 @@ def op6_capped_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_layout_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_weak_supervision_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quality.judge(table(spark, sf_dir, "documents"))
     return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                     "base_failed", "kept", F.col("p_good").alias("p_good"))
 
 
+def op9_crf_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op10_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {
-    "op5_power_of_two_packing": op5_power_of_two_packing,
-    "op6_capped_water_filling": op6_capped_water_filling,
-    "op8_weak_supervision_quality": op8_weak_supervision_quality,
-    "op10_minmax_near_duplicates": op10_minmax_near_duplicates,
-}
+QUERIES = {f.__name__: f for f in (
+    op1_norm_bucketed_top_k, op2_segment_toxicity, op3_host_reputation, op4_rank_order_language, op5_power_of_two_packing,
+    op6_capped_water_filling, op7_layout_rendering, op8_weak_supervision_quality, op9_crf_personal_data, op10_minmax_near_duplicates)}
+
+_OP1 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+_OP3 = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+marked AS (
+  SELECT doc_id AS page_id, max((quality = 0 OR toxic = 1)::INT) AS bad FROM labels
+  WHERE doc_id IS NOT NULL GROUP BY doc_id),
+hosts AS (
+  SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS bad, string_split(host, '.')[-1] AS suffix,
+         array_to_string(string_split(host, '.')[-2:], '.') AS domain
+  FROM p LEFT JOIN marked USING (page_id) GROUP BY host),
+base AS (SELECT (sum(bad) + 0.5) / (sum(n) + 1.0) AS m FROM hosts),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(m) AS m FROM hosts, base GROUP BY suffix),
+ks AS (
+  SELECT 1 / least(greatest(coalesce(sum((bad - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0), 1e-4), 0.999) - 1 AS k
+  FROM suffixes),
+domains AS (
+  SELECT h.suffix, h.domain, sum(h.n) AS n, sum(h.bad) AS bad, any_value((s.bad + k * s.m) / (s.n + k)) AS m
+  FROM hosts h JOIN suffixes s USING (suffix), ks GROUP BY h.suffix, h.domain),
+kd AS (
+  SELECT 1 / least(greatest(coalesce(sum((bad - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0), 1e-4), 0.999) - 1 AS k
+  FROM domains),
+means AS (
+  SELECT h.host, h.n, h.bad, (d.bad + k * d.m) / (d.n + k) AS m FROM hosts h JOIN domains d USING (suffix, domain), kd),
+kh AS (
+  SELECT 1 / least(greatest(coalesce(sum((bad - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0), 1e-4), 0.999) - 1 AS k
+  FROM means),
+known AS (SELECT host, (bad + k * m) / (n + k) AS mean, n + k + 1 AS weight FROM means, kh),
+ruled AS (
+  SELECT page_id, host, path,
+         CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
+              WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
+              WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/'
+              WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
+              WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule
+  FROM p)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN mean - 1.64 * sqrt(mean * (1 - mean) / weight) > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled JOIN known USING (host)
+"""
 
 _OP6 = r"""
 WITH sized AS (
@@ -77,5 +158,7 @@ FROM placed
 """
 
 ORACLE = {
+    "op1_norm_bucketed_top_k": _OP1,
+    "op3_host_reputation": _OP3,
     "op6_capped_water_filling": _OP6,
 }
