@@ -70,7 +70,7 @@ def profiles(docs: DataFrame, sample: int = SAMPLE, size: int = PROFILE) -> dict
                 by_lang.setdefault(lang, []).append(gram_keys(text))
             for lang, keys in by_lang.items():
                 distinct, count = np.unique(np.concatenate(keys), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(distinct)), pa.array(distinct.view(np.int64)), pa.array(count)], names=["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(distinct), pa.string()), pa.array(distinct.view(np.int64)), pa.array(count, pa.int64())], names=["lang", "gram", "n"])
 
     counts = picked.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # Unsigned order, as in a document's own ranking.

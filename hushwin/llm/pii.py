@@ -88,6 +88,10 @@ The report was sent to Mr. {name|Lee} and Mrs. {name|Garcia} last week.
 Herr {name|Thomas Becker} hat gestern angerufen.
 Frau {name|Julia Weber} wohnt in der Stadt.
 Ich heiße {name|Lukas Wagner} und komme aus dem Norden.
+Das Buch gehört Frau {name|Weber}. Danach kam Herr {name|Klein}, der Arzt.
+Fragen Sie Frau {name|Berg}. Tel: {contact|040-555123} heute.
+Contact Mr. {name|Paul Stone}. Phone: {contact|555-014-7788} or write.
+We saw Mr. {name|Stone}. Then Mrs. {name|Hill}, or Ms. {name|Park}, came.
 Monsieur {name|Pierre Dupont} est parti hier soir.
 Madame {name|Claire Martin} habite dans la maison.
 Je m'appelle {name|Louis Bernard} et je suis ici.
@@ -334,12 +338,12 @@ def model() -> Crf:
 
 def added_spans(text: str, labels: np.ndarray, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Runs of words with one label, without outer punctuation, that touch no
-    base span; a name must follow a form of address."""
+    base span; a name must follow a form of address and ends at a mark."""
     where = [m.span() for m in _WORD.finditer(text)]
     out, i = [], 0
     while i < len(labels):
         j = i
-        while j < len(labels) and labels[j] == labels[i]:
+        while j < len(labels) and labels[j] == labels[i] and (j == i or labels[i] != 1 or text[where[j - 1][1] - 1] not in ".,;:!?"):
             j += 1
         if labels[i]:
             start, end = where[i][0], where[j - 1][1]

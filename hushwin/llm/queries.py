@@ -90,20 +90,22 @@ hosts AS (
 base AS (SELECT (sum(bad) + 0.5) / (sum(n) + 1.0) AS m FROM hosts),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(m) AS m FROM hosts, base GROUP BY suffix),
 ks AS (
-  SELECT 1 / least(greatest(coalesce(sum((bad - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0), 1e-4), 0.999) - 1 AS k
+  SELECT 1 / least(greatest(coalesce(sum((bad - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0), 1e-4), 0.25) - 1 AS k
   FROM suffixes),
+shrunk AS (SELECT suffix, (bad + k * m) / (n + k) AS m, n + k + 1 AS w FROM suffixes, ks),
 domains AS (
-  SELECT h.suffix, h.domain, sum(h.n) AS n, sum(h.bad) AS bad, any_value((s.bad + k * s.m) / (s.n + k)) AS m
-  FROM hosts h JOIN suffixes s USING (suffix), ks GROUP BY h.suffix, h.domain),
+  SELECT h.suffix, h.domain, sum(h.n) AS n, sum(h.bad) AS bad, any_value(s.m) AS m, any_value(s.m * (1 - s.m) / s.w) AS var
+  FROM hosts h JOIN shrunk s USING (suffix) GROUP BY h.suffix, h.domain),
 kd AS (
-  SELECT 1 / least(greatest(coalesce(sum((bad - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0), 1e-4), 0.999) - 1 AS k
+  SELECT 1 / least(greatest(coalesce(sum((bad - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0), 1e-4), 0.25) - 1 AS k
   FROM domains),
+posterior AS (SELECT suffix, domain, (bad + k * m) / (n + k) AS m, n + k + 1 AS w, (k / (n + k)) ** 2 * var AS passed FROM domains, kd),
 means AS (
-  SELECT h.host, h.n, h.bad, (d.bad + k * d.m) / (d.n + k) AS m FROM hosts h JOIN domains d USING (suffix, domain), kd),
+  SELECT h.host, h.n, h.bad, d.m, d.m * (1 - d.m) / d.w + d.passed AS var FROM hosts h JOIN posterior d USING (suffix, domain)),
 kh AS (
-  SELECT 1 / least(greatest(coalesce(sum((bad - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0), 1e-4), 0.999) - 1 AS k
+  SELECT 1 / least(greatest(coalesce(sum((bad - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0), 1e-4), 0.25) - 1 AS k
   FROM means),
-known AS (SELECT host, (bad + k * m) / (n + k) AS mean, n + k + 1 AS weight FROM means, kh),
+known AS (SELECT host, (bad + k * m) / (n + k) AS mean, n + k + 1 AS w, (k / (n + k)) ** 2 * var AS passed FROM means, kh),
 ruled AS (
   SELECT page_id, host, path,
          CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
@@ -114,7 +116,7 @@ ruled AS (
   FROM p)
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-            WHEN mean - 1.64 * sqrt(mean * (1 - mean) / weight) > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+            WHEN mean - 1.64 * sqrt(mean * (1 - mean) / w + passed) > 0.5 THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled JOIN known USING (host)
 """
 

@@ -17,6 +17,7 @@ from hushwin.llm.common import staged
 #: (host, path, verdict); the longest fitting rule wins.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
          ("net", "/es/", "block"), ("net", "/fr/", "block"))
+MAX_SPREAD = 0.25    # greatest correlation a prior may show; a prior then weighs three pages at least
 LIMIT = 0.5          # bad rate above which a host is blocked,
 DEVIATIONS = 1.64    # if it stays above by so many posterior standard deviations
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,7 +48,19 @@ def _strength(rows: DataFrame, mean: str) -> float:
     got = rows.agg(F.sum((F.col("bad") - F.col("n") * m) ** 2 - F.col("n") * var).alias("over"),
                    F.sum(F.col("n") * (F.col("n") - 1) * var).alias("room")).first()
     rho = got.over / got.room if got.room else 0.0
-    return 1 / min(max(rho or 0.0, 1e-4), 0.999) - 1
+    return 1 / min(max(rho or 0.0, 1e-4), MAX_SPREAD) - 1
+
+
+def _shrunk(rows: DataFrame, above: str, own: str) -> DataFrame:
+    """Adds the posterior mean and variance of each row's bad rate: its
+    counts with the mean above as prior, and the share that the prior has of
+    the uncertainty above."""
+    mean = "base" if above == "base" else f"{above}_mean"
+    k = _strength(rows, mean)
+    m = (F.col("bad") + k * F.col(mean)) / (F.col("n") + k)
+    passed = k / (F.col("n") + k)
+    return (rows.withColumn(f"{own}_mean", m).withColumn(
+        f"{own}_variance", F.col(f"{own}_mean") * (1 - F.col(f"{own}_mean")) / (F.col("n") + k + 1) + passed * passed * F.col(f"{above}_variance")))
 
 
 def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -68,16 +81,11 @@ def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
 
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = staged(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("base", F.lit(base)), "suffixes")
-    k = _strength(suffixes, "base")
-    suffixes = suffixes.select("suffix", ((F.col("bad") + k * base) / (F.col("n") + k)).alias("suffix_mean"))
-    domains = staged(domains.join(suffixes, "suffix"), "domains")
-    k = _strength(domains, "suffix_mean")
-    domains = domains.select("suffix", "domain", ((F.col("bad") + k * F.col("suffix_mean")) / (F.col("n") + k)).alias("domain_mean"))
+    suffixes = _shrunk(suffixes.withColumn("base_variance", F.lit(0.0)), "base", "suffix")
+    domains = staged(domains.join(suffixes.select("suffix", "suffix_mean", "suffix_variance"), "suffix"), "domains")
+    domains = _shrunk(domains, "suffix", "domain").select("suffix", "domain", "domain_mean", "domain_variance")
     hosts = staged(hosts.join(domains, ["suffix", "domain"]), "host-means")
-    k = _strength(hosts, "domain_mean")
-    mean = (F.col("bad") + k * F.col("domain_mean")) / (F.col("n") + k)
-    return hosts.select("host", "n", "bad", mean.alias("mean")).withColumn(
-        "deviation", F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + k + 1)))
+    return _shrunk(hosts, "domain", "host").select("host", "n", "bad", F.col("host_mean").alias("mean"), F.sqrt("host_variance").alias("deviation"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIMIT, deviations: float = DEVIATIONS) -> DataFrame:
