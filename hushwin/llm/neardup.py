@@ -6,11 +6,10 @@ evaluation. Bands of two permutations (four values) make candidates, full
 shingle sets confirm them, and confirmed links make components.
 
 Equal sets are one class, so exact copies cost one row after a map-side
-combine. Within a bucket no pairs are listed at first: every member is
-compared with one pivot, the member that shares most buckets. After those
-links are merged, only members of different components are still open; a
-small bucket compares them directly, a large one is split by requiring a
-second shared band, and so on.
+combine. A bucket's pairs are never listed: every member is compared with
+one pivot, the member that shares most buckets, and links are merged. For
+members still apart, an index on their rarest shingles finds every link that
+is left (see ``_open_links``).
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushwin.llm.common import runs, staged, text_slices, words
@@ -30,8 +29,6 @@ SHINGLE = 5
 SIMILARITY_PCT = 75
 BANDS = 32          # of two permutations, four values each: a pair at the threshold is missed with (1 - 0.75**4)**32 < 6e-6
 SEED = 20
-PAIRWISE = 32       # buckets up to this size compare open members directly; larger ones are split first
-SPLITS = 4
 
 _rng = np.random.default_rng(SEED)
 _FOLD = _rng.integers(0, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -123,20 +120,17 @@ def _with_sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "cls binary, set array<long>")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """Of (a, b, n_a, n_b), the pairs whose full sets are similar enough."""
-    possible = pairs.where(100 * F.least("n_a", "n_b") >= pct * F.greatest("n_a", "n_b")).select("a", "b", "n_a", "n_b").distinct()
-    both = (possible.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b")), "b")
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Distinct (a, b, n_a, n_b) with the shingles that their full sets share."""
+    both = (pairs.select("a", "b", "n_a", "n_b").distinct()
+            .join(sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b")), "b")
             .join(sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a")), "a"))
-    shared = both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), F.size(F.array_intersect("set_a", "set_b")).alias("common"))
-    return shared.where(100 * F.col("common") >= pct * (F.col("n") - F.col("common"))).select("a", "b")
+    return both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("common"))
 
 
-def _pair(x, y):
-    """Columns of the pair of two (cls, n) sides, the lesser class first."""
-    first = F.col(f"{x}.cls") < F.col(f"{y}.cls")
-    side = lambda c, u, v: F.when(first, F.col(f"{u}.{c}")).otherwise(F.col(f"{v}.{c}"))
-    return [side("cls", x, y).alias("a"), side("cls", y, x).alias("b"), side("n", x, y).alias("n_a"), side("n", y, x).alias("n_b")]
+def _similar(n_a, n_b, common, pct: int):
+    """Whether sets of n_a and n_b members that share ``common`` are similar enough."""
+    return 100 * common >= pct * (n_a + n_b - common)
 
 
 def _shared_buckets(rows: DataFrame) -> DataFrame:
@@ -145,44 +139,61 @@ def _shared_buckets(rows: DataFrame) -> DataFrame:
     return rows.join(sizes, "bucket")
 
 
-def _links(members: DataFrame, sets: DataFrame, pct: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """(edges, labels) of the classes in shared buckets."""
-    edges, labels, level, first = None, None, members, members
-    for depth in range(SPLITS + 1):
-        score = level.groupBy("cls").agg(F.sum("members").alias("score"))
-        pivots = (level.join(score, "cls").groupBy("bucket")
-                  .agg(F.max(F.struct("score", "cls", "n")).alias("p")).select("bucket", F.col("p.cls").alias("cls"), F.col("p.n").alias("n")))
-        level = staged(level.alias("m").join(pivots.alias("p"), "bucket")
-                       .select("bucket", "m.cls", "m.n", "members", F.col("p.cls").alias("pivot"), F.col("p.n").alias("pivot_n")), "members")
-        star = (level.where(F.col("cls") != F.col("pivot"))
-                .select(F.struct("cls", "n").alias("x"), F.struct(F.col("pivot").alias("cls"), F.col("pivot_n").alias("n")).alias("y")).select(*_pair("x", "y")))
-        found = staged(_confirm(star, sets, pct), "links")
-        edges = found if edges is None else staged(edges.union(found).distinct(), "links")
-        labels = components(edges)
-        labelled = (level.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
-                    .withColumn("label", F.coalesce("label", "cls")))
-        mixed = (labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-                 .where(F.col("lo") != F.col("hi")).select("bucket"))
-        open_rows = staged(labelled.join(mixed, "bucket"), "open")
-        small = open_rows if depth == SPLITS else open_rows.where(F.col("members") <= PAIRWISE)
-        rest = small.where(F.col("cls") != F.col("pivot"))
-        x, y = rest.alias("x"), rest.alias("y")
-        pairs = (x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.label") != F.col("y.label")))
-                 .select(*_pair("x", "y")))
-        found = staged(_confirm(pairs, sets, pct), "links")
-        if found.limit(1).count():
-            edges = staged(edges.union(found).distinct(), "links")
-            labels = components(edges)
-        large = open_rows.where(F.col("members") > PAIRWISE)
-        if depth == SPLITS or not large.limit(1).count():
-            return edges, labels
-        # Members of a large open bucket must share another bucket too: a pair
-        # at the threshold does so with a probability above 0.9999.
-        other = first.select("cls", F.col("bucket").alias("other"))
-        keys = (large.join(other, "cls").where(F.col("other") != F.col("bucket"))
-                .select(F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other")).alias("bucket"), "cls", "n").distinct())
-        level = staged(_shared_buckets(keys), "split")
-    return edges, labels
+def _labelled(rows: DataFrame, labels: DataFrame, cls: str, label: str) -> DataFrame:
+    return (rows.join(labels.select(F.col("node").alias(cls), F.col("label").alias(label)), cls, "left")
+            .withColumn(label, F.coalesce(label, cls)))
+
+
+def _links(members: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """(node, label) of the classes in shared buckets (bucket, cls, n, members) that have links."""
+    score = members.groupBy("cls").agg(F.sum("members").alias("score"))
+    pivots = (members.join(score, "cls").groupBy("bucket").agg(F.max(F.struct("score", "cls", "n")).alias("p"))
+              .select("bucket", F.col("p.cls").alias("pivot"), F.col("p.n").alias("pivot_n")))
+    level = staged(members.join(pivots, "bucket"), "members")
+    star = level.where(F.col("cls") != F.col("pivot")).select(F.col("cls").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("n_a"), F.col("pivot_n").alias("n_b"))
+    star = staged(_overlaps(star, sets), "pivot-overlaps")
+    edges = star.where(_similar(F.col("n_a"), F.col("n_b"), F.col("common"), pct)).select("a", "b")
+    labels = components(edges)
+    more = staged(_open_links(level, labels, sets, pct), "links")
+    if not more.limit(1).count():
+        return labels
+    return components(edges.union(more))
+
+
+def _open_links(level: DataFrame, labels: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """Links (a, b) between members of a bucket that the pivots left in
+    different components; complete, without listing a bucket's pairs.
+
+    Sets of n and m members that are similar share at least ``need`` =
+    pct / (100 + pct) of n + m. So if each set's shingles are put in one
+    common order, rarest first, two linked sets meet among the first
+    n - need + 1 of the one and m - need + 1 of the other. An index on
+    these finds every link; what many documents share stands late in the
+    order, so hardly any other pair meets. A set of which fewer than ``need``
+    shingles occur in another component has no link left. Each open pair has
+    a member outside its pivot's component, so only those are looked up."""
+    rows = _labelled(_labelled(level, labels, "cls", "label"), labels, "pivot", "pivot_label")
+    mixed = (rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least"))
+             .where(F.col("lo") != F.col("hi")).select("bucket", "least"))
+    classes = staged(rows.join(mixed, "bucket").groupBy("cls", "n", "label")
+                     .agg(F.min("least").alias("least"), F.max((F.col("label") != F.col("pivot_label")).cast("int")).alias("outside")), "open")
+    partner = F.greatest("least", F.ceil(F.col("n") * pct / 100.0 - 1e-6))
+    need = F.ceil((F.col("n") + partner) * pct / (100.0 + pct) - 1e-6)
+    entries = (classes.withColumn("need", need).join(sets, "cls")
+               .select("cls", "n", "label", "outside", "need", F.explode("set").alias("shingle")))
+    uses = entries.groupBy("shingle").agg(F.count("*").alias("uses"), (F.min("label") != F.max("label")).alias("mixed"))
+    own = Window.partitionBy("cls")
+    early = staged(entries.join(uses, "shingle")
+                   .withColumn("place", F.row_number().over(own.orderBy("uses", "shingle")))
+                   .withColumn("common", F.sum(F.col("mixed").cast("int")).over(own))
+                   .where((F.col("place") <= F.col("n") - F.col("need") + 1) & (F.col("common") >= F.col("need")) & F.col("mixed"))
+                   .select("cls", "n", "label", "outside", "shingle"), "rare")
+    x = early.where("outside = 1").select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), "shingle")
+    y = early.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("outside").alias("also"), "shingle")
+    fits = 100 * F.least("n_a", "n_b") >= pct * F.greatest("n_a", "n_b")
+    once = (F.col("also") == 0) | (F.col("a") < F.col("b"))
+    pairs = x.join(y, "shingle").where((F.col("label_a") != F.col("label_b")) & fits & once).select("a", "b", "n_a", "n_b")
+    return _overlaps(pairs, sets).where(_similar(F.col("n_a"), F.col("n_b"), F.col("common"), pct)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, pct: int = SIMILARITY_PCT) -> DataFrame:
@@ -199,7 +210,7 @@ def near_duplicates(docs: DataFrame, pct: int = SIMILARITY_PCT) -> DataFrame:
     wanted = members.select("cls").distinct().join(classes.select("cls", "rep"), "cls").select("rep").distinct()
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
     sets = staged(_with_sets(texts).groupBy("cls").agg(F.first("set").alias("set")), "sets")
-    _, labels = _links(members, sets, pct)
+    labels = _links(members, sets, pct)
     labelled = labels.withColumnRenamed("node", "cls").join(classes.select("cls", "rep"), "cls")
     least = labelled.groupBy("label").agg(F.min("rep").alias("least"))
     merged = labelled.join(least, "label").select("cls", "least")

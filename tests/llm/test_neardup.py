@@ -64,17 +64,16 @@ def test_edges(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "2", "3", "4", "None", "5", "6", "7", "8", "8"])
 
 
-def test_hub_copies_and_shared_passage(spark, monkeypatch):
+def test_hub_copies_and_shared_passage(spark):
     """Copies that are similar to one original but less to each other, and
-    many documents that share a passage; buckets are split when large."""
-    monkeypatch.setattr(neardup, "PAIRWISE", 4)
+    many documents that share a passage."""
     rnd = random.Random(5)
     vocab = [f"w{i}" for i in range(4000)]
     base = [rnd.choice(vocab) for _ in range(300)]
     docs = [(1000, " ".join(base))]
     for k in range(60):
         w = list(base)
-        for _ in range(rnd.randint(1, 9)):
+        for _ in range(rnd.randint(1, 14)):
             w[rnd.randrange(len(w))] = rnd.choice(vocab)
         docs.append((k, " ".join(w)))
     passage = [rnd.choice(vocab) for _ in range(80)]
