@@ -187,12 +187,14 @@ def _open_links(level: DataFrame, labels: DataFrame, sets: DataFrame, pct: int)
                    .withColumn("place", F.row_number().over(own.orderBy("uses", "shingle")))
                    .withColumn("common", F.sum(F.col("mixed").cast("int")).over(own))
                    .where((F.col("place") <= F.col("n") - F.col("need") + 1) & (F.col("common") >= F.col("need")) & F.col("mixed"))
-                   .select("cls", "n", "label", "outside", "shingle"), "rare")
-    x = early.where("outside = 1").select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), "shingle")
-    y = early.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("outside").alias("also"), "shingle")
+                   .select("cls", "n", "label", "outside", "shingle", (F.col("n") - F.col("place") + 1).alias("rest")), "rare")
+    x = early.where("outside = 1").select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), F.col("rest").alias("rest_a"), "shingle")
+    y = early.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("outside").alias("also"), F.col("rest").alias("rest_b"), "shingle")
     fits = 100 * F.least("n_a", "n_b") >= pct * F.greatest("n_a", "n_b")
     once = (F.col("also") == 0) | (F.col("a") < F.col("b"))
-    pairs = x.join(y, "shingle").where((F.col("label_a") != F.col("label_b")) & fits & once).select("a", "b", "n_a", "n_b")
+    # At the first shingle that both hold, what either has left must still do.
+    enough = (100 + pct) * F.least("rest_a", "rest_b") >= pct * (F.col("n_a") + F.col("n_b"))
+    pairs = x.join(y, "shingle").where((F.col("label_a") != F.col("label_b")) & fits & once & enough).select("a", "b", "n_a", "n_b")
     return _overlaps(pairs, sets).where(_similar(F.col("n_a"), F.col("n_b"), F.col("common"), pct)).select("a", "b")
 
 
