@@ -20,6 +20,9 @@ MAX_EPOCHS = 3
 SEED = 17
 #: Hex digits of the order key that make a bucket; bucket sums find where a partial pass ends.
 BUCKET_DIGITS = 4
+#: Sources (plan rows of some 100 bytes) that are broadcast; beyond, salts per source.
+BROADCAST_SOURCES = 20_000
+SALTS = 64
 
 
 def word_count(text: str) -> Column:
@@ -98,6 +101,20 @@ def plan(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> Dat
             .select(F.col("source").alias("plan_source"), "source_size", "target", "whole", "cut_key", "cut_size", "cut_words"))
 
 
+def with_plan(rows: DataFrame, plans: DataFrame) -> DataFrame:
+    """``rows`` with their source's plan columns. The plan has one row per
+    source: it is counted, and broadcast up to ``BROADCAST_SOURCES`` rows, so
+    rows stay where they are. Beyond that it is joined by source and a salt,
+    each source's rows being dealt over ``SALTS`` tasks."""
+    plans = staged(plans, "mix-plan")
+    if plans.count() <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(plans), F.col("source").eqNullSafe(F.col("plan_source")))
+    salted = plans.withColumn("plan_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("key", "doc_id"), F.lit(SALTS)).cast("int")
+    return (rows.withColumn("salt", salt).join(salted, F.col("source").eqNullSafe(F.col("plan_source")) & (F.col("salt") == F.col("plan_salt")))
+            .drop("salt", "plan_salt"))
+
+
 def taken() -> Column:
     """Words taken of a row that has its source's plan columns, its size and its key."""
     extra = (F.when(F.col("key") < F.col("cut_key"), F.col("size"))
@@ -114,7 +131,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: in
     gives more than ``max_epochs`` times its size. Reruns agree: the order
     depends on seed and id only. An empty table gives no rows."""
     sized = staged(sizes(docs, seed), "mix-sizes")
-    joined = sized.join(plan(sized, weights, max_epochs), F.col("source").eqNullSafe(F.col("plan_source")))
+    joined = with_plan(sized, plan(sized, weights, max_epochs))
     return joined.select("doc_id", "size", "source_size", "target", taken().alias("taken"))
 
 
@@ -127,7 +144,7 @@ def mixed_rows(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, s
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                        "doc_id", F.col("source").cast("string").alias("source"),
                        word_count("text").alias("size"), order_key(seed).alias("key"), F.col("text").alias("text"))
-    rows = (rows.join(plan(sized, weights, max_epochs), F.col("source").eqNullSafe(F.col("plan_source")))
+    rows = (with_plan(rows, plan(sized, weights, max_epochs))
             .withColumn("taken", taken()).where(F.col("taken") > 0)
             .withColumn("copies", F.expr("taken div size")).withColumn("part", F.expr("taken % size")))
     spaced = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))

@@ -69,3 +69,10 @@ def test_capped_source_gives_three_passes(spark):
     docs = spark.createDataFrame([(1, "a b c", "a"), (2, "x " * 300, "b")], "doc_id long, text string, source string")
     got = {r["doc_id"]: r for r in rows(mixing.mix(docs))}
     assert got[1]["taken"] == 9 and math.isclose(got[2]["target"], 294) and got[2]["taken"] == 294
+
+
+def test_many_sources_take_the_salted_join(spark, monkeypatch):
+    key = lambda r: tuple(map(str, r.values()))
+    want = sorted(rows(mixing.mix(edge_docs(spark))), key=key)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(rows(mixing.mix(edge_docs(spark))), key=key) == want
