@@ -226,15 +226,16 @@ def near_duplicates(docs: DataFrame, pct: int = SIMILARITY_PCT) -> DataFrame:
 
 def kept_rows(docs: DataFrame, pct: int = SIMILARITY_PCT) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group, with their columns.
-    Rows that share id and shingle set count once; rows without words stay."""
+    Rows that share id and text count once; rows without words stay."""
     ids = (near_duplicates(docs, pct).where("kept").groupBy("doc_id")
            .agg(F.count("cls").alias("full")).withColumnRenamed("doc_id", "kept_id"))
     ids = staged(ids, "kept")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row, "doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id"))).select("row", "doc_id", "text", "full")
+    rows = docs.select(row).join(ids, F.col("row.doc_id").eqNullSafe(F.col("kept_id"))).select("row", "full")
     once = rows.where("full <= 1").select("row")
-    with_words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    with_words = F.coalesce(F.col("row.text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     repeated = rows.where("full > 1")
-    again = repeated.where(with_words).dropDuplicates(["doc_id", "text"]).select("row")
+    again = (repeated.where(with_words).select("row", F.col("row.doc_id").alias("id"), F.col("row.text").alias("words"))
+             .dropDuplicates(["id", "words"]).select("row"))
     out = once.union(repeated.where(~with_words).select("row")).union(again)
     return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
