@@ -121,13 +121,8 @@ def _interval_scan(r: DataFrame, band: int, idle_ms: int, sub_ms: int | None) ->
     sub = scan.width(r, part, "p", sub_ms)
     big = F.col("_prev").isNotNull() & (F.abs(F.col("t") - F.col("_prev")) >= band)
     jump = F.when(big, F.col("t") - F.col("_prev")).otherwise(F.lit(0).cast("long"))
-    if sub >= idle_ms:
-        w = Window.partitionBy(*part).orderBy("p", "seq")
-        r = r.select("*", F.lag("t").over(w).alias("_prev"))
-        r = r.withColumn("_jump", jump).withColumn("_big", big)
-        return r.withColumn("_cum", F.sum("_jump").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     order = [F.col("p"), F.col("seq")]
-    bk = scan.bucket_of("p", sub)
+    bk = scan.bucket_of("p", min(sub, idle_ms))
     r = scan.previous(r, part, order, "t", bk, "_prev")
     r = r.withColumn("_jump", jump).withColumn("_big", big)
     return scan.running_sum(r, part, order, "_jump", bk, "_cum")
@@ -148,7 +143,7 @@ def projected_clock(reals: DataFrame, idle_ms: int, shard: str = "shard",
              .withColumn("_n", F.floor(F.col("p") / idle_ms).cast("long"))
     # The scanned rows feed both the interval summaries and the join back.
     r = stage(_interval_scan(r, band, idle_ms, sub_ms)
-              .withColumn("_rn", F.when(F.col("_prev").isNull(), 1).otherwise(2)), "clock-rows", size_of=reals)
+              .withColumn("_rn", F.when(F.col("_prev").isNull(), 1).otherwise(2)), "clock-rows")
     summ = r.groupBy("shard", "_n").agg(F.max(F.when(F.col("_rn") == 1, F.col("t"))).alias("t1"),
                                         F.sum("_jump").alias("J"))
     # The fold output (one row per non-empty interval) feeds both the real

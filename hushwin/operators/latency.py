@@ -15,8 +15,7 @@ bucket:
   over one row per (shard, bucket).
 
 No as-of join, no pairs: each row and threshold is touched a constant
-number of times. When the input is small (planner estimate), one suffix
-minimum per shard replaces the two levels.
+number of times.
 """
 
 from __future__ import annotations
@@ -37,14 +36,6 @@ def close_times(progress: DataFrame, thresholds: DataFrame, bucket_ms: int | Non
     ``progress``: ``shard, p, v``; ``thresholds``: distinct ``shard, x``.
     """
     w = scan.width(progress, ["shard"], "v", bucket_ms)
-    if bucket_ms is None and w >= scan.MAX_WIDTH:  # small input: one suffix minimum per shard
-        u = (progress.select("shard", "v", "p", F.lit(None).cast("long").alias("x"))
-                     .unionByName(thresholds.select("shard", F.col("x").alias("v"),
-                                                    F.lit(None).cast("long").alias("p"), "x")))
-        suffix = (Window.partitionBy("shard").orderBy(F.col("v").desc())
-                        .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-        return (u.select("shard", "x", F.min("p").over(suffix).alias("close_ms"))
-                 .filter(F.col("x").isNotNull()))
     prog = progress.select("shard", "p", F.col("v"), scan.bucket_of("v", w).alias("_vb"))
     # Thresholds (one per shard and window end) are read twice below: stage them.
     thr = stage(thresholds.select("shard", F.col("x"), scan.bucket_of("x", w).alias("_vb")), "thresholds")
@@ -118,7 +109,7 @@ def heartbeat_window_close(reals: DataFrame, size_ms: int, lateness_ms: int, idl
     window, and report when each window closed (``close_ms``, the arrival
     at which the projected watermark reached ``end + L``)."""
     # The projected trace is read four times below: stage it once.
-    proj = stage(clock.projected_clock(reals, idle_ms, extra_ticks=extra_ticks), "projected", size_of=reals)
+    proj = stage(clock.projected_clock(reals, idle_ms, extra_ticks=extra_ticks), "projected")
     on_time = projected_late_rows(proj, size_ms, lateness_ms, bucket_ms) \
         .filter(F.col("is_real") & ~F.col("is_late"))
     out = (on_time.groupBy(*keys, "window_start_ms", "window_end_ms")
@@ -150,7 +141,7 @@ def heartbeat_combined_replay(reals: DataFrame, size_ms: int, lateness_ms: int,
     that closed the window.
     """
     from hushwin.operators import idle   # idle builds on this module's close_times
-    proj = stage(clock.projected_clock(reals, idle_ms, extra_ticks=extra_ticks), "projected", size_of=reals)
+    proj = stage(clock.projected_clock(reals, idle_ms, extra_ticks=extra_ticks), "projected")
     progress = proj.select("shard", "p", F.col("s2").alias("t"))
     rows = proj.filter(F.col("is_real")).drop("is_real", "s2", "d", "reanchored")
     return idle.idle_timeout_replay(rows, size_ms, grid_ms or idle_ms, NEVER_IDLE_MS, lateness_ms,
@@ -177,13 +168,11 @@ def idle_close_replay(df: DataFrame, size_ms: int, idle_ms: int, lateness_ms: in
     order = [F.col("p"), F.col("seq")]
     bk = scan.bucket(df, part, "p", bucket_ms)
     x = scan.previous(df, part, order, "p", bk, "_prev_p")
-    if bk is not None:  # each nested two-level scan reads its input twice: stage
-        x = stage(x, "idle-close-prev", size_of=df)
+    x = stage(x, "idle-close-prev")  # each nested two-level scan reads its input twice
     x = x.withColumn("_new", F.when(F.col("_prev_p").isNull() | (F.col("p") - F.col("_prev_p") >= idle_ms), 1)
                      .otherwise(0))
     x = scan.running_sum(x, part, order, "_new", bk, "_burst")
-    if bk is not None:  # nested two-level scans read their input repeatedly: stage
-        x = stage(x, "idle-close-bursts")
+    x = stage(x, "idle-close-bursts")
     x = scan.running_max(x, part, order, "t", bk, "_max_before", inclusive=False)
     # One row per (key, burst), bounded by time span / idle: the largest
     # event time of all earlier bursts.

@@ -20,11 +20,9 @@ The input is read twice (once for the summaries, once for the rows); pass a
 cheap input (a scan with projections) or a materialized one
 (``hushwin.plans.stage``).
 
-The plan is chosen by size, as Spark chooses a broadcast: ``bucket()``
-returns ``None`` when the planner's estimate of the input is small
-(``SMALL_INPUT_BYTES``), and the helpers then run one plain per-key window,
-since one task per key is harmless when the whole input is small. Above
-it, one small aggregate sizes the buckets (``width``).
+There is one plan at every size: one small aggregate (rows and time span
+per key) sizes the buckets (``width``). The width is an average, so a burst
+of one key within less than a bucket's time still shares a task.
 
 The bucket must be a non-decreasing function of the order within a key; the
 order must be total (include a unique tie-breaker) for results to be
@@ -41,17 +39,6 @@ from pyspark.sql import functions as F
 BK = "_bk"
 TARGET_ROWS = 2_000_000          # rows per (key, bucket) the automatic width aims at
 DEFAULT_WIDTH = 86_400_000       # width when the input is empty
-MAX_WIDTH = 1 << 40
-SMALL_INPUT_BYTES = 128 << 20    # below this planner estimate, skip the stats job
-
-
-def _estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of ``df`` (file sizes through the plan),
-    the number AQE and broadcast decisions start from; no job runs."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # unknown: measure
-        return SMALL_INPUT_BYTES + 1
 
 
 def width(df: DataFrame, part: Sequence[str], col: str, bucket_ms: int | None = None,
@@ -68,26 +55,18 @@ def width(df: DataFrame, part: Sequence[str], col: str, bucket_ms: int | None =
         if bucket_ms <= 0:
             raise ValueError("bucket width must be > 0")
         return int(bucket_ms)
-    if _estimated_bytes(df) <= SMALL_INPUT_BYTES:
-        return MAX_WIDTH   # the whole input fits one bucket per key: no stats job
     target_rows = target_rows or TARGET_ROWS
     stats = [F.count(F.lit(1)).alias("_rows_"), (F.max(col) - F.min(col) + 1).alias("_span_")]
     per_key = df.groupBy(*part).agg(*stats) if part else df.agg(*stats)
     w = per_key.agg(F.min(F.col("_span_") * F.lit(target_rows) / F.col("_rows_")).alias("w")).first()["w"]
     if w is None:
         return DEFAULT_WIDTH
-    return int(min(max(1, w), MAX_WIDTH))
-
-
-def bucket(df: DataFrame, part: Sequence[str], col: str | Column, bucket_ms: int | None = None) -> Column | None:
-    """The bucket column for a scan of ``df``, or ``None`` when the whole
-    input is small enough (planner estimate) for one task per key, in which
-    case the scans run as plain per-key windows: the two-level machinery
-    would only add stages."""
-    w = width(df, part, col, bucket_ms)
-    if bucket_ms is None and w >= MAX_WIDTH:
-        return None
-    return bucket_of(col, w)
+    return int(max(1, w))
+
+
+def bucket(df: DataFrame, part: Sequence[str], col: str | Column, bucket_ms: int | None = None) -> Column:
+    """The bucket column for a scan of ``df``, as wide as ``width`` says."""
+    return bucket_of(col, width(df, part, col, bucket_ms))
 
 
 def bucket_of(col: str | Column, width: int) -> Column:

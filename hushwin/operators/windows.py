@@ -126,8 +126,7 @@ def session_ids(df: DataFrame, gap_ms: int, keys: Sequence[str] = ("key",),
     order = [F.col("t"), F.col("seq")]
     bk = scan.bucket(df, keys, "t", bucket_ms)
     prev = scan.previous(df, keys, order, "t", bk, "_prev_t")
-    if bk is not None:  # the next two-level scan reads its input twice: stage it
-        prev = stage(prev, "session-prev", size_of=df)
+    prev = stage(prev, "session-prev")  # the next two-level scan reads its input twice
     starts = prev.withColumn(
         "_start", F.when(F.col("_prev_t").isNull() | (F.col("t") - F.col("_prev_t") >= gap_ms), 1).otherwise(0))
     return scan.running_sum(starts, keys, order, "_start", bk, "session_id").drop("_prev_t", "_start")

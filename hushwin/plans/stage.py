@@ -1,54 +1,26 @@
 """Stage tables: materialize an intermediate result that later steps read
 more than once.
 
-A large intermediate is written as parquet to the shared checkpoint folder
-(``spark.checkpoint.dir``): that cuts the lineage, survives the loss of
-the executors that computed it, and is read back with real statistics for
-the planner. A small one (planner estimate under ``SMALL_STAGE_BYTES``) is
-only persisted: it is recomputed from its (short) lineage if a block is
-lost, and skips a write and a file commit. Without either, a DataFrame used
-twice is planned and computed twice, and nested reuse multiplies.
+The intermediate is written as parquet to the shared checkpoint folder
+(``spark.checkpoint.dir``): that cuts the lineage, survives the loss of the
+executors that computed it, and is read back with real statistics for the
+planner. Every call writes its own folder, so a later call always computes
+from the input as it then is. Without a stage, a DataFrame used twice is
+planned and computed twice, and nested reuse multiplies.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from hushwin.session import checkpoint_root
 
-SMALL_STAGE_BYTES = 64 << 20
-_PERSISTED: list[DataFrame] = []
 
-
-def _estimated_bytes(df: DataFrame) -> int:
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # unknown: treat as large
-        return SMALL_STAGE_BYTES + 1
-
-
-def stage(df: DataFrame, name: str, size_of: DataFrame | None = None) -> DataFrame:
-    """Materialize ``df`` once for several readers.
-
-    ``size_of``: an input whose size stands in for the planner's estimate
-    of ``df`` (a join's estimate is the product of its sides, far above the
-    truth when the join adds columns to rows, not rows).
-    """
-    if _estimated_bytes(df if size_of is None else size_of) <= SMALL_STAGE_BYTES:
-        out = df.persist(StorageLevel.MEMORY_AND_DISK)
-        _PERSISTED.append(out)
-        return out
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written once for several readers."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/stage/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
-def release() -> None:
-    """Unpersist every staged result (call once the queries that read them
-    have run)."""
-    while _PERSISTED:
-        _PERSISTED.pop().unpersist()
+    return spark.read.schema(df.schema).parquet(path)
