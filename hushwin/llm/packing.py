@@ -22,8 +22,10 @@ MAX_LENGTH = 4096
 END_ID = 2
 #: Sub-buckets of a length bucket: a sub-bucket is numbered in one task.
 SHARDS = 4096
+#: Text bytes encoded at once: words that repeat within them are looked up once.
+SLICE = 8 << 20
 #: Distinct words kept per worker; the memo is emptied when full (speed only, never results).
-MEMO_WORDS = 300_000
+MEMO_WORDS = 800_000
 
 #: A word that is Latin letters up to U+024F, then simple punctuation. Such
 #: letters are stable under NFC, and lower case maps them one to one (U+0130
@@ -41,24 +43,29 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self._tok = Tokenizer.from_file(path)
-        self._memo: dict[str, np.ndarray] = {}
+        self._memo: dict[str, bytes] = {"": b""}
 
-    def _encode(self, parts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self._tok.encode_batch_fast(parts, add_special_tokens=False)]
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        found = [e.ids for e in self._tok.encode_batch_fast(parts, add_special_tokens=False)]
+        flat = np.fromiter((x for ids in found for x in ids), "<u4").tobytes()
+        ends = np.cumsum([4 * len(ids) for ids in found]).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
-    def __call__(self, distinct: list[str]) -> list[np.ndarray]:
+    def __call__(self, distinct: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each word."""
         memo = self._memo
         if len(memo) > MEMO_WORDS:
             memo.clear()
+            memo[""] = b""
         split = []
         for w in distinct:
             m = _PLAIN.fullmatch(w)
             split.append((m[1].lower(), m[2]) if m else (w, ""))
-        missing = list(dict.fromkeys(p for pair in split for p in pair if p and p not in memo))
+        missing = list({p for pair in split for p in pair if p not in memo})
         for at in range(0, len(missing), 20_000):
             part = missing[at:at + 20_000]
             memo.update(zip(part, self._encode(part)))
-        return [np.concatenate((memo[a], memo[b])) if b else memo[a] for a, b in split]
+        return [memo[a] + memo[b] for a, b in split]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -72,8 +79,8 @@ def encode_texts(texts: pa.Array, path: str, end_id: int = END_ID) -> tuple[np.n
     coded = values.dictionary_encode()
     code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     each = _ENCODERS[path](coded.dictionary.to_pylist())
-    size = np.array([len(x) for x in each], np.int64)
-    flat = np.concatenate(each) if each else np.zeros(0, np.uint32)
+    size = np.array([len(x) >> 2 for x in each], np.int64)
+    flat = np.frombuffer(b"".join(each), "<u4")
     first = np.concatenate(([0], np.cumsum(size)))[:-1] if len(size) else size
     n = size[code]
     before = np.concatenate(([0], np.cumsum(n)))[at]          # ids before each text's words
@@ -110,7 +117,7 @@ def pieces(docs: DataFrame, tokenizer: str, max_length: int = MAX_LENGTH, keep_i
         raise ValueError("max_length must be a power of two")
 
     def run(batches):
-        for batch in text_slices(batches, 1):
+        for batch in text_slices(batches, 1, SLICE):
             starts, ids = encode_texts(batch.column(1), tokenizer)
             ids = ids.astype("<u4")
             rows, piece_ids = [], []
