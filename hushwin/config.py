@@ -18,7 +18,7 @@ class WindowOptions:
     lateness_ms: int = schema.DEFAULT_LATENESS_MS      # bounded out-of-orderness L
     idle_ms: int = schema.DEFAULT_IDLE_MS              # heartbeat period = idle timeout = dead band / 3
     trigger_ms: int | None = None                      # micro-batch period (plays the watermark period)
-    shards: int = schema.DEFAULT_SHARDS                # source shards (Kafka partitions)
+    shards: int = schema.DEFAULT_SHARDS                # logical clocks; Kafka partitions are dealt over them
     slide_ms: int | None = None                        # sliding windows
     session_gap_ms: int | None = None                  # session windows instead of fixed ones
 
@@ -45,12 +45,17 @@ class KafkaIn:
     pattern: str | None = None
     offset: str = schema.DEFAULT_START_OFFSET
     group_id: str = schema.DEFAULT_GROUP_ID
-    properties: dict = field(default_factory=dict)
+    properties: dict = field(default_factory=dict)     # Kafka client properties
+    reader: dict = field(default_factory=dict)         # Spark source options (maxOffsetsPerTrigger, ...)
 
 
 @dataclass(frozen=True)
 class KafkaOut:
     bootstrap: str = schema.DEFAULT_BOOTSTRAP
-    topics: tuple[str, ...] = schema.DEFAULT_PRODUCER_TOPICS
+    topics: tuple[str, ...] | None = None  # None: the default producer topics
     properties: dict = field(default_factory=dict)
     exactly_once_path: str | None = None   # set: idempotent file output per batch instead of Kafka
+
+    def __post_init__(self):
+        if self.exactly_once_path and self.topics:
+            raise ValueError("exactly_once_path writes files: give it or topics, not both")

@@ -67,9 +67,11 @@ def heartbeat_ticks(reals: DataFrame, idle_ms: int, shard: str = "shard",
 
 def connect(reals: DataFrame, ticks: DataFrame) -> DataFrame:
     """Tagged union of real records and heartbeats, one schema: a tick is a
-    record at its tick time with the default key and value."""
+    record at its tick time with the default key and value. It arrives at
+    its own ``p`` where ``ticks`` has one, else at its tick time."""
+    arrival = F.col("p") if "p" in ticks.columns else F.col("tick_ms")
     r = reals.select("shard", "seq", "p", "t", F.lit(True).alias("is_real"), "key", "value")
-    h = ticks.select("shard", (-F.col("n")).alias("seq"), F.col("tick_ms").alias("p"),
+    h = ticks.select("shard", (-F.col("n")).alias("seq"), arrival.alias("p"),
                      F.col("tick_ms").alias("t"), F.lit(False).alias("is_real"),
                      F.lit(DEFAULT_KEY).alias("key"), F.lit(DEFAULT_VALUE).alias("value"))
     return r.unionByName(h)

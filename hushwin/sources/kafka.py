@@ -1,11 +1,11 @@
 """Kafka source and sink options, and the keyed-record stream built on them.
 
 Spark's Kafka connector reads ``topic, partition, offset, timestamp, value``;
-the record is decoded from ``value`` (``hushwin.functions.codec``), the
-partition is the shard and the offset the arrival sequence, so ties and
-round-robin routing stay deterministic. The connector jar is not part of
-every install: the builders below are plain dictionaries and are tested
-without a broker.
+the record is decoded from ``value`` (``hushwin.functions.codec``). A
+(topic, partition) is dealt to one of ``shards`` logical clocks, whatever the
+partition count, so the heartbeats of shards ``0 .. shards - 1`` reach every
+record. The connector jar is not part of every install: the builders below
+are plain dictionaries and are tested without a broker.
 """
 
 from __future__ import annotations
@@ -23,10 +23,11 @@ from hushwin.schema import (DEFAULT_ACKS, DEFAULT_BOOTSTRAP, DEFAULT_CONSUMER_TO
 
 def start_options(offset: str | int) -> dict[str, str]:
     """Where a consumer starts: ``earliest``, ``latest``, an epoch-ms
-    number (first record stamped at or after it), or anything else to
-    resume where the query left off (its checkpoint holds the offsets)."""
+    number (first record stamped at or after it; a partition without one
+    starts at its end), or anything else to resume where the query left off
+    (its checkpoint holds the offsets)."""
     if isinstance(offset, int) or (isinstance(offset, str) and offset.lstrip("-").isdigit()):
-        return {"startingTimestamp": str(int(offset))}
+        return {"startingTimestamp": str(int(offset)), "startingOffsetsByTimestampStrategy": "latest"}
     if offset in ("earliest", "latest"):
         return {"startingOffsets": offset}
     return {}
@@ -35,9 +36,12 @@ def start_options(offset: str | int) -> dict[str, str]:
 def consumer_options(bootstrap: str = DEFAULT_BOOTSTRAP, topics: Sequence[str] | None = None,
                      pattern: str | None = None, offset: str | int = DEFAULT_START_OFFSET,
                      group_id: str = DEFAULT_GROUP_ID,
-                     properties: Mapping[str, str] | None = None) -> dict[str, str]:
+                     properties: Mapping[str, str] | None = None,
+                     reader: Mapping[str, str] | None = None) -> dict[str, str]:
     """Options for ``readStream.format('kafka')``. Exactly one of a topic
-    list or a topic pattern; user properties win over defaults."""
+    list or a topic pattern. ``properties`` go to the Kafka client,
+    ``reader`` to the Spark source (``maxOffsetsPerTrigger``,
+    ``failOnDataLoss``, ``minPartitions``); both win over defaults."""
     if (topics is None) == (pattern is None):
         if topics is None:
             topics = list(DEFAULT_CONSUMER_TOPICS)
@@ -54,6 +58,7 @@ def consumer_options(bootstrap: str = DEFAULT_BOOTSTRAP, topics: Sequence[str] |
     opts.update(start_options(offset))
     for k, v in (properties or {}).items():
         opts[k if k.startswith("kafka.") else f"kafka.{k}"] = str(v)
+    opts.update({k: str(v) for k, v in (reader or {}).items()})
     return opts
 
 
@@ -80,17 +85,21 @@ def sink_topics(topics: Sequence[str] | str | None = None) -> list[str]:
     return topics
 
 
-def read_records(spark: SparkSession, options: Mapping[str, str]) -> DataFrame:
-    """Keyed records from Kafka: ``topic, shard, seq, p, payload``, ready
-    for ``codec.decode``."""
+def read_records(spark: SparkSession, options: Mapping[str, str], shards: int | None = None) -> DataFrame:
+    """Keyed records from Kafka: ``topic, partition, shard, seq, p,
+    payload``, ready for ``codec.decode``."""
     raw = spark.readStream.format("kafka").options(**options).load()
-    return kafka_columns(raw)
+    return kafka_columns(raw, shards)
 
 
-def kafka_columns(raw: DataFrame) -> DataFrame:
-    """Map the connector's columns to a trace: partition = shard, offset =
-    arrival sequence, record timestamp = arrival time."""
-    return raw.select("topic", F.col("partition").cast("int").alias("shard"),
+def kafka_columns(raw: DataFrame, shards: int | None = None) -> DataFrame:
+    """Map the connector's columns to a trace: offset = arrival sequence,
+    record timestamp = arrival time (``message.timestamp.type=LogAppendTime``
+    makes it the broker's own). The shard is the partition, or with
+    ``shards`` a hash of (topic, partition) below it. Offsets then repeat
+    within a shard; ``topic, partition, seq`` stays a total order."""
+    shard = F.col("partition") if shards is None else F.pmod(F.xxhash64("topic", "partition"), F.lit(shards))
+    return raw.select("topic", F.col("partition").cast("int").alias("partition"), shard.cast("int").alias("shard"),
                       F.col("offset").alias("seq"), F.unix_millis("timestamp").alias("p"),
                       F.col("value").alias("payload"))
 

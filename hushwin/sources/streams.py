@@ -30,7 +30,8 @@ def replay(spark: SparkSession, path: str, schema: T.StructType = TRACE, fmt: st
 def heartbeats(spark: SparkSession, idle_ms: int, shards: int = 1, rows_per_second: int = 1) -> DataFrame:
     """Wall-clock heartbeats: one tick per ``idle_ms`` per shard, counted
     from the query's checkpointed start, so ticks stay monotone across
-    restarts. ``tick_ms = n * idle_ms``, never 0."""
+    restarts. ``tick_ms = n * idle_ms``, never 0; ``p`` is the instant the
+    tick was made, so ticks and records meet on one arrival axis."""
     if idle_ms <= 0 or rows_per_second <= 0:
         raise ValueError("idle interval and rate must be > 0")
     if (idle_ms * rows_per_second) % 1000:
@@ -39,7 +40,8 @@ def heartbeats(spark: SparkSession, idle_ms: int, shards: int = 1, rows_per_seco
     per_tick = idle_ms * rows_per_second // 1000
     rate = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
     return _ticks(rate.filter((F.col("value") > 0) & (F.pmod("value", F.lit(per_tick)) == 0))
-                      .select((F.col("value") / per_tick).cast("long").alias("n")), idle_ms, shards)
+                      .select((F.col("value") / per_tick).cast("long").alias("n"),
+                              F.unix_millis("timestamp").alias("p")), idle_ms, shards)
 
 
 def stepped_heartbeats(spark: SparkSession, idle_ms: int, shards: int = 1) -> DataFrame:
@@ -51,8 +53,8 @@ def stepped_heartbeats(spark: SparkSession, idle_ms: int, shards: int = 1) -> Da
 
 
 def _ticks(n: DataFrame, idle_ms: int, shards: int) -> DataFrame:
-    return n.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "n") \
-            .select("shard", "n", (F.col("n") * idle_ms).alias("tick_ms"))
+    return n.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "*") \
+            .select("shard", "n", (F.col("n") * idle_ms).alias("tick_ms"), *[c for c in n.columns if c != "n"])
 
 
 def sample_records(spark: SparkSession, shards: int = 1, interval_ms: int = DEMO_INTERVAL_MS) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from hushwin.config import KafkaIn, KafkaOut, WindowOptions
 from hushwin.functions import codec
+from hushwin.schema import DEFAULT_IDLE_MS
 from hushwin.sources import kafka, streams
 from hushwin.streaming import jobs
 
@@ -23,7 +24,7 @@ def records_from(spark: SparkSession, source: KafkaIn | str | None, opts: Window
     if isinstance(source, KafkaIn):
         raw = kafka.read_records(spark, kafka.consumer_options(
             source.bootstrap, list(source.topics) if source.topics else None, source.pattern,
-            source.offset, source.group_id, source.properties))
+            source.offset, source.group_id, source.properties, source.reader), opts.shards)
         return codec.good(codec.decode(raw)).select("shard", "seq", "p", "t", "key", "value")
     if isinstance(source, str):
         return streams.replay(spark, source)
@@ -36,7 +37,8 @@ def _sink(df: DataFrame, name: str, out: KafkaOut | None, opts: WindowOptions) -
     if out.exactly_once_path:
         return jobs.start_idempotent(df, out.exactly_once_path, name, trigger_ms=opts.trigger_ms)
     rec = df.selectExpr("timestamp_millis(event_time_ms) AS event_time", "key", "value")
-    return jobs.start_kafka(rec, name, list(out.topics), kafka.producer_options(out.bootstrap, out.properties))
+    return jobs.start_kafka(rec, name, out.topics, kafka.producer_options(out.bootstrap, out.properties),
+                            trigger_ms=opts.trigger_ms)
 
 
 def run_heartbeat(spark: SparkSession, opts: WindowOptions = WindowOptions(),
@@ -53,7 +55,11 @@ def run_heartbeat(spark: SparkSession, opts: WindowOptions = WindowOptions(),
 def run_idle_timeout(spark: SparkSession, opts: WindowOptions = WindowOptions(),
                      source: KafkaIn | str | None = None, out: KafkaOut | None = None,
                      name: str = "idle-timeout-windows") -> StreamingQuery:
-    """Watermark over all partitions (idle ones cannot hold it), maxBy."""
+    """Watermark over all partitions, maxBy. It follows the fastest
+    partition, so an idle one never holds it and no timeout is read: an
+    ``idle_ms`` of one's own is refused rather than ignored."""
+    if opts.idle_ms != DEFAULT_IDLE_MS:
+        raise ValueError("run_idle_timeout takes no idle_ms: no partition can hold its watermark")
     reals = records_from(spark, source, opts)
     win = jobs.idle_timeout_windows(reals, opts.size_ms, opts.lateness_ms, slide_ms=opts.slide_ms,
                                     gap_ms=opts.session_gap_ms)

@@ -143,11 +143,14 @@ def start_idempotent(df: DataFrame, path: str, name: str, trigger_ms: int | None
 
 
 def start_kafka(df: DataFrame, name: str, topics: Sequence[str] | None = None,
-                options: dict | None = None, checkpoint: str | None = None) -> StreamingQuery:
+                options: dict | None = None, checkpoint: str | None = None,
+                trigger_ms: int | None = None) -> StreamingQuery:
     """Every producer topic gets the whole stream: fan out on a ``topic``
     column and let one Kafka sink route it (at-least-once)."""
     out = kafka.kafka_payload(routing.topic_fanout(df, kafka.sink_topics(topics)))
-    return (out.writeStream.format("kafka").options(**(options or kafka.producer_options()))
-               .queryName(name)
-               .option("checkpointLocation", checkpoint or checkpoint_path(df.sparkSession, name))
-               .start())
+    w = (out.writeStream.format("kafka").options(**(options or kafka.producer_options()))
+            .queryName(name)
+            .option("checkpointLocation", checkpoint or checkpoint_path(df.sparkSession, name)))
+    if trigger_ms:
+        w = w.trigger(processingTime=f"{int(trigger_ms)} milliseconds")
+    return w.start()

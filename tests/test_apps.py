@@ -31,6 +31,10 @@ def test_options_validate():
         WindowOptions(idle_ms=0)
     with pytest.raises(ValueError):
         WindowOptions(lateness_ms=-1)
+    with pytest.raises(ValueError):
+        KafkaOut(topics=("a",), exactly_once_path="/nowhere")
+    with pytest.raises(ValueError):
+        apps.run_idle_timeout(None, WindowOptions(idle_ms=5_000))
     assert WindowOptions().size_ms == 10_000 and WindowOptions().idle_ms == 30_000
 
 
@@ -74,3 +78,16 @@ def test_clock_resumes_after_restart(spark, scratch):
         q.stop()
     got = {(r.shard, r.seq): (r.s2, r.d) for r in spark.read.parquet(os.path.join(scratch, "out")).collect()}
     assert got == expected
+
+
+def test_ticks_and_epoch_arrivals_share_an_axis(spark):
+    """A real row on an epoch clock, then a tick made 31 s later, in one
+    batch: sorted by arrival, the tick moves the row's event time on."""
+    from hushwin.streaming.processors import project_batch
+    base = 1_704_067_200_000
+    reals = spark.createDataFrame([(0, 7, base + 1000, base + 1000, 1, 0.5)], "shard int, seq long, p long, t long, key int, value double")
+    ticks = spark.createDataFrame([(0, 1, 30_000, base), (0, 2, 60_000, base + 31_000)], "shard int, n long, tick_ms long, p long")
+    pdf = clock.connect(reals, ticks).toPandas().sort_values(["p", "is_real", "seq"])
+    s2, *_ = project_batch(pdf["is_real"].to_numpy(bool), pdf["t"].to_numpy(), 0, 0, 90_000)
+    assert pdf["is_real"].tolist() == [False, True, False]
+    assert s2.tolist() == [30_000, base + 1000, base + 31_000]

@@ -11,7 +11,11 @@ def test_consumer_options():
     o = kafka.consumer_options(topics=["a", "b"], offset="earliest", properties={"max.poll.records": 5})
     assert o["subscribe"] == "a,b" and o["startingOffsets"] == "earliest"
     assert o["kafka.max.poll.records"] == "5" and o["kafka.group.id"] == "test"
-    assert kafka.consumer_options(pattern="in-.*", offset=1700000000000)["startingTimestamp"] == "1700000000000"
+    stamped = kafka.consumer_options(pattern="in-.*", offset=1700000000000)
+    assert stamped["startingTimestamp"] == "1700000000000"
+    assert stamped["startingOffsetsByTimestampStrategy"] == "latest"  # a quiet partition starts at its end
+    bounded = kafka.consumer_options(reader={"maxOffsetsPerTrigger": 500, "failOnDataLoss": "false"})
+    assert bounded["maxOffsetsPerTrigger"] == "500" and bounded["failOnDataLoss"] == "false"
     assert "startingOffsets" not in kafka.consumer_options(offset="group")  # resume from the checkpoint
     assert kafka.consumer_options()["subscribe"] == "test-in"
     with pytest.raises(ValueError):
@@ -73,3 +77,16 @@ def test_kafka_columns_decode_to_a_trace(spark):
     out = kafka.kafka_payload(trace.select("topic", "event_time", "key", "value"))
     assert [r.value.decode() for r in out.collect()] == [
         '{"eventTime":"2021-03-01T00:00:05.123Z","key":3,"value":0.5}']
+
+
+def test_partitions_are_dealt_over_the_clocks(spark):
+    raw = spark.sql("""SELECT t AS topic, CAST(pt AS INT) AS partition, o AS offset, timestamp_millis(1000 + o) AS timestamp,
+                              CAST('{}' AS BINARY) AS value
+                       FROM (SELECT explode(array('a', 'b')) AS t) CROSS JOIN (SELECT id AS pt FROM range(5))
+                            CROSS JOIN (SELECT id AS o FROM range(3))""")
+    one = kafka.kafka_columns(raw, 1).collect()
+    assert {r.shard for r in one} == {0} and len({(r.topic, r.partition, r.seq) for r in one}) == 30
+    several = kafka.kafka_columns(raw, 3).collect()
+    assert {r.shard for r in several} <= {0, 1, 2}
+    assert len({(r.topic, r.partition, r.shard) for r in several}) == 10   # a partition stays on one clock
+    assert {r.shard for r in kafka.kafka_columns(raw).collect()} == set(range(5))
