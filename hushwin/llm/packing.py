@@ -8,15 +8,17 @@ padded; sequences of one length form a bucket that a trainer batches.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushwin.llm.common import runs, text_slices, words
+from hushwin.llm.common import text_slices, words
 
 MAX_LENGTH = 4096
 END_ID = 2
@@ -30,7 +32,7 @@ MEMO_WORDS = 800_000
 #: A word that is Latin letters up to U+024F, then simple punctuation. Such
 #: letters are stable under NFC, and lower case maps them one to one (U+0130
 #: is left out), so a lower-cased memo key encodes like the word itself.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,;:!?|]*)")
+_PLAIN = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)(?P<tail>[.,;:!?|]*)$"
 
 
 class WordEncoder:
@@ -42,30 +44,35 @@ class WordEncoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")   # a task has one core
         self._tok = Tokenizer.from_file(path)
         self._memo: dict[str, bytes] = {"": b""}
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         found = [e.ids for e in self._tok.encode_batch_fast(parts, add_special_tokens=False)]
-        flat = np.fromiter((x for ids in found for x in ids), "<u4").tobytes()
+        flat = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
         ends = np.cumsum([4 * len(ids) for ids in found]).tolist()
         return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
-    def __call__(self, distinct: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each word."""
-        memo = self._memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-            memo[""] = b""
-        split = []
-        for w in distinct:
-            m = _PLAIN.fullmatch(w)
-            split.append((m[1].lower(), m[2]) if m else (w, ""))
-        missing = list({p for pair in split for p in pair if p not in memo})
+    def _looked_up(self, parts: pa.Array) -> pa.Array:
+        """The ids of each part, as large binary."""
+        memo, coded = self._memo, parts.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        missing = [p for p in distinct if p not in memo]
         for at in range(0, len(missing), 20_000):
             part = missing[at:at + 20_000]
             memo.update(zip(part, self._encode(part)))
-        return [memo[a] + memo[b] for a, b in split]
+        return pa.array([memo[p] for p in distinct], pa.large_binary()).take(coded.indices)
+
+    def __call__(self, distinct: pa.Array) -> pa.Array:
+        """Little-endian unsigned 32-bit ids of each word, as large binary."""
+        if len(self._memo) > MEMO_WORDS:
+            self._memo.clear()
+            self._memo[""] = b""
+        plain = pc.extract_regex(distinct, _PLAIN)
+        stem = pc.if_else(plain.is_valid(), pc.utf8_lower(plain.field("stem")), distinct)
+        tail = pc.if_else(plain.is_valid(), plain.field("tail"), "")
+        return pc.binary_join_element_wise(self._looked_up(stem), self._looked_up(tail), pa.scalar(b"", pa.large_binary()))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -77,19 +84,18 @@ def encode_texts(texts: pa.Array, path: str, end_id: int = END_ID) -> tuple[np.n
         _ENCODERS[path] = WordEncoder(path)
     at, values = words(texts)
     coded = values.dictionary_encode()
-    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    each = _ENCODERS[path](coded.dictionary.to_pylist())
-    size = np.array([len(x) >> 2 for x in each], np.int64)
-    flat = np.frombuffer(b"".join(each), "<u4")
-    first = np.concatenate(([0], np.cumsum(size)))[:-1] if len(size) else size
-    n = size[code]
-    before = np.concatenate(([0], np.cumsum(n)))[at]          # ids before each text's words
-    starts = before + np.arange(len(at))                      # and one end id for each text before it
-    ids = np.full(starts[-1], end_id, np.uint32)
-    stream = flat[runs(first[code], n)] if len(code) else flat
-    inside = np.ones(len(ids), bool)
-    inside[starts[1:] - 1] = False
-    ids[inside] = stream
+    end = pa.array([np.uint32(end_id).astype("<u4").tobytes()], pa.large_binary())
+    each = pa.concat_arrays([_ENCODERS[path](coded.dictionary), end])
+    # The end id is one more word, after the last of each text.
+    ends = at[1:] + np.arange(len(at) - 1)
+    code = np.full(len(values) + len(ends), len(each) - 1, np.int32)
+    inside = np.ones(len(code), bool)
+    inside[ends] = False
+    code[inside] = coded.indices.to_numpy(zero_copy_only=False)
+    stream = each.take(pa.array(code))
+    bounds = np.frombuffer(stream.buffers()[1], np.int64, len(code) + 1) >> 2
+    starts = bounds[np.concatenate(([0], ends + 1))]
+    ids = np.frombuffer(stream.buffers()[2] or b"", "<u4", int(bounds[-1])) if len(code) else np.zeros(0, "<u4")
     return starts, ids
 
 
@@ -119,20 +125,19 @@ def pieces(docs: DataFrame, tokenizer: str, max_length: int = MAX_LENGTH, keep_i
     def run(batches):
         for batch in text_slices(batches, 1, SLICE):
             starts, ids = encode_texts(batch.column(1), tokenizer)
-            ids = ids.astype("<u4")
             rows, piece_ids = [], []
             for row in range(batch.num_rows):
                 at, n = int(starts[row]), int(starts[row + 1] - starts[row])
                 for start, length in cut(n, max_length):
                     piece = ids[at + start:at + start + length]
-                    rows.append((row, start, length, zlib.crc32(piece.tobytes()), n))
+                    rows.append((row, start, length, zlib.crc32(piece), n))
                     piece_ids.append(piece)
             row, start, length, crc, n = (pa.array(x, pa.int64()) for x in zip(*rows))
             columns = [batch.column(0).take(row), start, length, crc, n]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             if keep_ids:
                 ends = np.concatenate(([0], np.cumsum([len(p) for p in piece_ids])))
-                flat = pa.array(np.concatenate(piece_ids).astype(np.int32))
+                flat = pa.array(np.concatenate(piece_ids).view(np.int32))
                 columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
