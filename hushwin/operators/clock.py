@@ -55,14 +55,16 @@ def _explode_range(df: DataFrame, lo: str, hi: str, out: str, chunk: int = TICK_
 
 
 def heartbeat_ticks(reals: DataFrame, idle_ms: int, shard: str = "shard",
-                    extra_ticks: int = 0) -> DataFrame:
+                    extra_ticks: int = 0, origin_ms: int = 0) -> DataFrame:
     """The bounded heartbeat source: ticks ``n*I`` for n = 1 .. the last
     tick at or before the shard's last arrival (plus ``extra_ticks``).
-    Columns ``shard, n, tick_ms``."""
+    The source starts at arrival time ``origin_ms``, so tick n arrives at
+    ``p = origin + n*I``. Columns ``shard, n, tick_ms, p``."""
     _check(idle_ms)
-    last = reals.groupBy(shard).agg((F.floor(F.max("p") / idle_ms) + extra_ticks).cast("long").alias("_hi"))
+    last = reals.groupBy(shard).agg((F.floor((F.max("p") - origin_ms) / idle_ms) + extra_ticks).cast("long").alias("_hi"))
     ticks = _explode_range(last.withColumn("_lo", F.lit(1).cast("long")), "_lo", "_hi", "n")
-    return ticks.select(F.col(shard).alias("shard"), "n", (F.col("n") * idle_ms).alias("tick_ms"))
+    return ticks.select(F.col(shard).alias("shard"), "n", (F.col("n") * idle_ms).alias("tick_ms"),
+                        (F.col("n") * idle_ms + origin_ms).alias("p"))
 
 
 def connect(reals: DataFrame, ticks: DataFrame) -> DataFrame:
@@ -131,17 +133,18 @@ def _interval_scan(r: DataFrame, band: int, idle_ms: int, sub_ms: int | None) ->
 
 
 def projected_clock(reals: DataFrame, idle_ms: int, shard: str = "shard",
-                    extra_ticks: int = 0, sub_ms: int | None = None) -> DataFrame:
+                    extra_ticks: int = 0, sub_ms: int | None = None, origin_ms: int = 0) -> DataFrame:
     """Every real event and heartbeat of each shard with the projected time
     ``s2`` after it, the offset ``d`` after it and ``reanchored`` (0/1).
 
-    Input columns: ``shard, seq, p, t, key, value`` with ``p >= 0``.
-    Heartbeats get ``seq = -n``, ``p = t = n*I``. ``sub_ms`` forces the
+    Input columns: ``shard, seq, p, t, key, value`` with ``p >= origin_ms``,
+    the arrival time at which the heartbeat source starts. Heartbeats get
+    ``seq = -n``, ``t = n*I``, ``p = origin + n*I``. ``sub_ms`` forces the
     sub-bucket width inside an interval (default: sized from the data).
     """
     _check(idle_ms)
     band = REANCHOR_INTERVALS * idle_ms
-    r = reals.select(F.col(shard).alias("shard"), "seq", "p", "t", "key", "value") \
+    r = reals.select(F.col(shard).alias("shard"), "seq", (F.col("p") - origin_ms).alias("p"), "t", "key", "value") \
              .withColumn("_n", F.floor(F.col("p") / idle_ms).cast("long"))
     # The scanned rows feed both the interval summaries and the join back.
     r = stage(_interval_scan(r, band, idle_ms, sub_ms)
@@ -157,12 +160,12 @@ def projected_clock(reals: DataFrame, idle_ms: int, shard: str = "shard",
     j = r.join(per, on=["shard", "_n"], how="inner")
     first_re = F.abs(F.col("t") - (F.col("d_start") + F.col("_n") * idle_ms)) >= band
     reanch = F.when(F.col("_rn") == 1, first_re).otherwise(F.col("_big"))
-    real_out = j.select("shard", "seq", "p", "t", F.lit(True).alias("is_real"), "key", "value",
+    real_out = j.select("shard", "seq", (F.col("p") + origin_ms).alias("p"), "t", F.lit(True).alias("is_real"), "key", "value",
                         F.col("t").alias("s2"), (F.col("d_first") + F.col("_cum")).alias("d"),
                         reanch.cast("int").alias("reanchored"))
 
     ticks = _explode_range(folded, "tick_lo", "tick_hi", "n")
-    tick_out = ticks.select("shard", (-F.col("n")).alias("seq"), (F.col("n") * idle_ms).alias("p"),
+    tick_out = ticks.select("shard", (-F.col("n")).alias("seq"), (F.col("n") * idle_ms + origin_ms).alias("p"),
                             (F.col("n") * idle_ms).alias("t"), F.lit(False).alias("is_real"),
                             F.lit(DEFAULT_KEY).alias("key"), F.lit(DEFAULT_VALUE).alias("value"),
                             (F.col("tick_d") + F.col("n") * idle_ms).alias("s2"),

@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushwin.operators import clock, latency, scan, windows
-from hushwin.operators.watermark import window_of
+from hushwin.operators import clock, scan, windows
+from hushwin.operators.watermark import first_reached, reached_end, window_of
 from hushwin.plans.stage import stage
 
 
@@ -96,10 +96,10 @@ def idle_timeout_replay(df: DataFrame, size_ms: int, grid_ms: int, idle_ms: int,
     emission before their arrival, ``maxBy(value)`` per key and window, and
     the emission at which each window closed (``close_ms``, null if never).
 
-    A row arriving in cell ``c`` sees the watermark emitted at the end of
-    cell ``c - 1``; window ``[s, e)`` has closed once that watermark reaches
-    ``e - 1``. The grid has span / grid rows, so the row-to-grid join has a
-    small side whatever the data volume.
+    A row sees the watermark emitted last at or before its arrival's cell
+    began, so it is late when its window's closing emission is not after
+    that. The emissions, one per grid cell, give every window end its
+    closing emission (``watermark.first_reached``); rows join the ends.
 
     ``progress`` (``shard, p, t``) drives the watermark when it differs
     from the rows (heartbeats); ``reducer`` is ``max_by`` or ``keep_max``.
@@ -107,19 +107,17 @@ def idle_timeout_replay(df: DataFrame, size_ms: int, grid_ms: int, idle_ms: int,
     if reducer not in ("max_by", "keep_max"):
         raise ValueError("reducer is 'max_by' or 'keep_max'")
     src = df if progress is None else progress
-    wm = stage(idle_watermark(src, grid_ms, idle_ms, lateness_ms, shard), "idle-timeout-grid")
-    grid = wm.select((F.col("grid_start_ms") / grid_ms).cast("long").alias("_c"), "wm_ms")
+    wm = idle_watermark(src, grid_ms, idle_ms, lateness_ms, shard)
     ws, we = window_of(size_ms)
-    rows = (df.select("*", ws, we, (F.floor(F.col("p") / grid_ms) - 1).cast("long").alias("_c"))
-              .join(grid, on="_c", how="left"))
-    late = F.coalesce(F.col("window_end_ms") - 1 <= F.col("wm_ms"), F.lit(False))
+    emitted = wm.filter(F.col("wm_ms").isNotNull()).select(
+        reached_end(F.col("wm_ms") + 1, size_ms).alias("window_end_ms"),
+        (F.col("grid_start_ms") + grid_ms).alias("closed"), F.lit(False).alias("held"))
+    held = df.select(we, F.lit(None).cast("long").alias("closed"), F.lit(True).alias("held"))
+    ends = first_reached(emitted.unionByName(held)).withColumnRenamed("closed", "close_ms")
+    rows = df.select("*", ws, we).join(ends, on="window_end_ms", how="left")
+    late = F.coalesce(F.col("close_ms") <= reached_end(F.col("p"), grid_ms), F.lit(False))
     out = (rows.filter(~late).groupBy(*keys, "window_start_ms", "window_end_ms")
-               .agg((windows.max_by_agg() if reducer == "max_by" else windows.keep_max_agg()).alias("r")))
-    emissions = wm.select(F.lit(0).alias("shard"), (F.col("grid_start_ms") + grid_ms).alias("p"),
-                          (F.col("wm_ms") + 1).alias("v")).filter(F.col("v").isNotNull())
-    thr = out.select(F.lit(0).alias("shard"), F.col("window_end_ms").alias("x")).distinct()
-    ct = latency.close_times(emissions, thr).select(F.col("x").alias("window_end_ms"), "close_ms")
-    return (out.join(ct, on="window_end_ms", how="left")
-               .select(*keys, "window_start_ms", "window_end_ms",
-                       *[F.col(f"r.{f}").alias(f) for f in windows.RECORD_FIELDS if f not in keys],
-                       "close_ms"))
+               .agg((windows.max_by_agg() if reducer == "max_by" else windows.keep_max_agg()).alias("r"),
+                    F.max("close_ms").alias("close_ms")))
+    return out.select(*keys, "window_start_ms", "window_end_ms",
+                      *[F.col(f"r.{f}").alias(f) for f in windows.RECORD_FIELDS if f not in keys], "close_ms")

@@ -3,19 +3,11 @@
 A window ``[s, e)`` on a shard closes at the first arrival whose event time
 (for a heartbeat, its projected time) reaches ``e + L``; the running
 maximum never needs to be formed, because "the running max reached X" is
-the same as "some row so far has time >= X". So the close time of a
-threshold X is ``min(p)`` over the shard's rows with ``time >= X``: a
-suffix minimum in event-time order, split in two levels by event-time
-bucket:
-
-* within a bucket: thresholds are unioned with the rows of their bucket
-  and ``min(p)`` over ``range between unbounded preceding and current
-  row`` in descending time order (one bucket of one shard per task);
-* across buckets: ``min(p)`` of every bucket strictly above, a suffix scan
-  over one row per (shard, bucket).
-
-No as-of join, no pairs: each row and threshold is touched a constant
-number of times.
+the same as "some row so far has time >= X". So the close time is the
+least arrival over the shard's rows with ``time >= e + L``: a suffix
+minimum over the grid of window ends (``watermark.closing``), which rows
+reach through a map-side aggregate. No sort of rows, no as-of join, and a
+burst of one shard folds before the shuffle.
 """
 
 from __future__ import annotations
@@ -29,40 +21,7 @@ from hushwin.operators import clock, scan, watermark, windows
 from hushwin.plans.stage import stage
 
 
-def close_times(progress: DataFrame, thresholds: DataFrame, bucket_ms: int | None = None) -> DataFrame:
-    """``(shard, x, close_ms)``: the first arrival ``p`` on the shard whose
-    time ``v`` is ``>= x`` (null if none).
-
-    ``progress``: ``shard, p, v``; ``thresholds``: distinct ``shard, x``.
-    """
-    w = scan.width(progress, ["shard"], "v", bucket_ms)
-    prog = progress.select("shard", "p", F.col("v"), scan.bucket_of("v", w).alias("_vb"))
-    # Thresholds (one per shard and window end) are read twice below: stage them.
-    thr = stage(thresholds.select("shard", F.col("x"), scan.bucket_of("x", w).alias("_vb")), "thresholds")
-
-    # Across buckets: min arrival of all buckets strictly above the threshold's.
-    per_bucket = prog.groupBy("shard", "_vb").agg(F.min("p").alias("_bp"))
-    needed = thr.select("shard", "_vb").distinct().withColumn("_bp", F.lit(None).cast("long"))
-    buckets = per_bucket.unionByName(needed).groupBy("shard", "_vb").agg(F.min("_bp").alias("_bp"))
-    above = Window.partitionBy("shard").orderBy("_vb").rowsBetween(1, Window.unboundedFollowing)
-    suffix = buckets.select("shard", "_vb", F.min("_bp").over(above).alias("_after"))
-
-    # Within the bucket: rows at or above the threshold, thresholds sort
-    # after rows of equal time but RANGE frames include peers anyway.
-    u = (prog.select("shard", "_vb", "v", "p", F.lit(None).cast("long").alias("x"))
-             .unionByName(thr.select("shard", "_vb", F.col("x").alias("v"),
-                                     F.lit(None).cast("long").alias("p"), "x")))
-    w = (Window.partitionBy("shard", "_vb").orderBy(F.col("v").desc())
-               .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    local = (u.select("*", F.min("p").over(w).alias("_local"))
-              .filter(F.col("x").isNotNull())
-              .select("shard", "_vb", "x", "_local"))
-    return (local.join(suffix, on=["shard", "_vb"], how="inner")
-                 .select("shard", "x", F.least("_local", "_after").alias("close_ms")))
-
-
-def close_latency(df: DataFrame, size_ms: int, lateness_ms: int, keys: Sequence[str] = ("shard", "key"),
-                  bucket_ms: int | None = None) -> DataFrame:
+def close_latency(df: DataFrame, size_ms: int, lateness_ms: int, keys: Sequence[str] = ("shard", "key")) -> DataFrame:
     """Per (shard, key, window): rows, last arrival, the arrival at which
     the shard's watermark closed the window (``close_ms``, null if it never
     did) and ``delay_ms = close_ms - window_end_ms`` (arrival and event time
@@ -70,21 +29,16 @@ def close_latency(df: DataFrame, size_ms: int, lateness_ms: int, keys: Sequence[
     ws, we = watermark.window_of(size_ms)
     groups = (df.select(*keys, "p", ws, we)
                 .groupBy(*keys, "window_start_ms", "window_end_ms")
-                .agg(F.count(F.lit(1)).alias("n_rows"), F.max("p").alias("last_arrival_ms"))
-                .withColumn("x", F.col("window_end_ms") + F.lit(lateness_ms)))
-    # Thresholds straight from the rows (one per shard and window end), not
-    # from ``groups``, so the window aggregate is computed once.
-    thr = df.select("shard", (F.col("t") - F.pmod("t", F.lit(int(size_ms))) + F.lit(size_ms + lateness_ms))
-                    .alias("x")).distinct()
-    ct = close_times(df.select("shard", "p", F.col("t").alias("v")), thr, bucket_ms)
-    return (groups.join(ct, on=["shard", "x"], how="left")
+                .agg(F.count(F.lit(1)).alias("n_rows"), F.max("p").alias("last_arrival_ms")))
+    ends = watermark.closing(df, size_ms, lateness_ms, ["shard"], F.col("p")).withColumnRenamed("closed", "close_ms")
+    return (groups.join(ends, on=["shard", "window_end_ms"], how="left")
                   .select(*keys, "window_start_ms", "window_end_ms", "n_rows", "last_arrival_ms",
                           "close_ms", (F.col("close_ms") - F.col("window_end_ms")).alias("delay_ms")))
 
 
 def hb_order():
     """Arrival order of a projected trace: a tick goes before a real event at the same instant."""
-    return (F.col("p"), F.col("is_real").cast("int"), F.col("seq"))
+    return (F.col("p"), F.col("is_real").cast("int").alias("real"), F.col("seq"))
 
 
 def projected_late_rows(proj: DataFrame, size_ms: int, lateness_ms: int,
@@ -100,31 +54,29 @@ def projected_late_rows(proj: DataFrame, size_ms: int, lateness_ms: int,
     return seen.select("*", ws, we).withColumn("is_late", late)
 
 
+def projected_closing(proj: DataFrame, size_ms: int, lateness_ms: int) -> DataFrame:
+    """Per shard and window with a real row, the real event or heartbeat
+    (``closed``, a struct in arrival order) whose projected time closed it."""
+    return watermark.closing(proj, size_ms, lateness_ms, ["shard"], F.struct(*hb_order()), "s2", F.col("is_real"))
+
+
 def heartbeat_window_close(reals: DataFrame, size_ms: int, lateness_ms: int, idle_ms: int,
                            keys: Sequence[str] = ("shard", "key"), extra_ticks: int = 0,
-                           bucket_ms: int | None = None) -> DataFrame:
+                           origin_ms: int = 0) -> DataFrame:
     """The heartbeat job on a bounded trace: project event time with
     heartbeats, take the shard's watermark over real and heartbeat times,
     drop real rows whose window had closed, reduce keep-max per key and
     window, and report when each window closed (``close_ms``, the arrival
     at which the projected watermark reached ``end + L``)."""
-    # The projected trace is read four times below: stage it once.
-    proj = stage(clock.projected_clock(reals, idle_ms, extra_ticks=extra_ticks), "projected")
-    on_time = projected_late_rows(proj, size_ms, lateness_ms, bucket_ms) \
-        .filter(F.col("is_real") & ~F.col("is_late"))
-    out = (on_time.groupBy(*keys, "window_start_ms", "window_end_ms")
-                  .agg(windows.keep_max_agg().alias("r"))
-                  .withColumn("x", F.col("window_end_ms") + F.lit(lateness_ms)))
-    # Thresholds of every window that holds a real row (a superset of the
-    # windows kept above): one cheap aggregate of the staged trace.
-    thr = proj.filter(F.col("is_real")).select(
-        "shard", (F.col("t") - F.pmod("t", F.lit(int(size_ms))) + F.lit(size_ms + lateness_ms)).alias("x")
-    ).distinct()
-    ct = close_times(proj.select("shard", "p", F.col("s2").alias("v")), thr, bucket_ms)
-    return (out.join(ct, on=["shard", "x"], how="left")
-               .select(*keys, "window_start_ms", "window_end_ms",
-                       *[F.col(f"r.{f}").alias(f) for f in windows.RECORD_FIELDS if f not in keys],
-                       "close_ms"))
+    # The projected trace is read twice below: stage it once.
+    proj = stage(clock.projected_clock(reals, idle_ms, extra_ticks=extra_ticks, origin_ms=origin_ms), "projected")
+    ends = projected_closing(proj, size_ms, lateness_ms)
+    rows = watermark.with_closing(proj.filter("is_real"), ends, size_ms, ["shard"], F.struct(*hb_order()))
+    # A window of a shard has one closing arrival, so any row's will do.
+    out = (rows.filter(~F.col("is_late")).groupBy(*dict.fromkeys(("shard", *keys)), "window_start_ms", "window_end_ms")
+               .agg(windows.keep_max_agg().alias("r"), F.max("closed.p").alias("close_ms")))
+    return out.select(*keys, "window_start_ms", "window_end_ms",
+                      *[F.col(f"r.{f}").alias(f) for f in windows.RECORD_FIELDS if f not in keys], "close_ms")
 
 
 NEVER_IDLE_MS = 1 << 60
@@ -173,30 +125,22 @@ def idle_close_replay(df: DataFrame, size_ms: int, idle_ms: int, lateness_ms: in
                      .otherwise(0))
     x = scan.running_sum(x, part, order, "_new", bk, "_burst")
     x = stage(x, "idle-close-bursts")
-    x = scan.running_max(x, part, order, "t", bk, "_max_before", inclusive=False)
     # One row per (key, burst), bounded by time span / idle: the largest
     # event time of all earlier bursts.
     wb = Window.partitionBy(key).orderBy("_burst").rowsBetween(Window.unboundedPreceding, -1)
     bursts = (x.groupBy(key, "_burst").agg(F.max("t").alias("_bmax"), F.max("p").alias("_bend"))
                .select(key, "_burst", "_bend", F.max("_bmax").over(wb).alias("_prior")))
-    ws, we = watermark.window_of(size_ms)
-    x = x.join(bursts, on=[key, "_burst"], how="inner").select("*", ws, we)
-    closed = F.col("_prior") - F.pmod("_prior", F.lit(int(size_ms))) + F.lit(size_ms)
-    late = (F.coalesce(F.col("window_end_ms") <= closed, F.lit(False))
-            | F.coalesce(F.col("window_end_ms") + F.lit(lateness_ms) <= F.col("_max_before"), F.lit(False)))
+    arrival = F.struct(*order)
+    ends = watermark.closing(df, size_ms, lateness_ms, part, arrival)
+    x = watermark.with_closing(x.join(bursts, on=[key, "_burst"], how="inner"), ends, size_ms, part, arrival)
+    timed_out = watermark.reached_end(F.col("_prior"), size_ms) + F.lit(size_ms)
+    late = F.col("is_late") | F.coalesce(F.col("window_end_ms") <= timed_out, F.lit(False))
     out = (x.filter(~late).groupBy(key, "window_start_ms", "window_end_ms")
              .agg(windows.keep_max_agg().alias("r"),
-                  F.min_by("_bend", F.struct("p", "seq")).alias("_first_bend"))
-             .withColumn("x", F.col("window_end_ms") + F.lit(lateness_ms)))
-    thr = df.select(F.col(key).alias("shard"),
-                    (F.col("t") - F.pmod("t", F.lit(int(size_ms))) + F.lit(size_ms + lateness_ms)).alias("x")
-                    ).distinct()
-    ct = close_times(df.select(F.col(key).alias("shard"), "p", F.col("t").alias("v")), thr, bucket_ms) \
-        .withColumnRenamed("shard", key)
+                  F.min_by("_bend", F.struct("p", "seq")).alias("_first_bend"), F.max("closed.p").alias("close_ms")))
     timer = F.col("_first_bend") + F.lit(idle_ms)
     by_event = F.col("close_ms").isNotNull() & (F.col("close_ms") < timer)
-    return (out.join(ct, on=[key, "x"], how="left")
-               .select(key, "window_start_ms", "window_end_ms",
+    return (out.select(key, "window_start_ms", "window_end_ms",
                        *[F.col(f"r.{f}").alias(f) for f in windows.RECORD_FIELDS if f != key],
                        F.when(by_event, F.col("close_ms")).otherwise(timer).alias("close_ms"),
                        F.when(by_event, F.lit("event_time")).otherwise(F.lit("idle_timeout")).alias("closed_by")))

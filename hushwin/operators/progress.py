@@ -5,23 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushwin.operators import clock, latency
+from hushwin.operators import clock, latency, watermark
 from hushwin.plans.stage import stage
 
 
 def shard_progress(reals: DataFrame, size_ms: int, lateness_ms: int, idle_ms: int,
-                   extra_ticks: int = 0, bucket_ms: int | None = None) -> DataFrame:
+                   extra_ticks: int = 0) -> DataFrame:
     """Per shard: real rows, heartbeats, re-anchors, real rows dropped as
     late by the projected watermark, the largest event time, and the
     projected time and offset after the last row."""
     proj = stage(clock.projected_clock(reals, idle_ms, extra_ticks=extra_ticks), "projected")
-    rows = latency.projected_late_rows(proj, size_ms, lateness_ms, bucket_ms)
+    rows = watermark.with_closing(proj, latency.projected_closing(proj, size_ms, lateness_ms), size_ms, ["shard"],
+                                  F.struct(*latency.hb_order()))
     last = F.max_by(F.struct("s2", "d"), F.struct(*latency.hb_order()))
     agg = rows.groupBy("shard").agg(
         F.sum(F.col("is_real").cast("long")).alias("n_real"),
         F.sum((~F.col("is_real")).cast("long")).alias("n_tick"),
         F.sum(F.col("reanchored").cast("long")).alias("n_reanchored"),
-        F.sum(F.col("is_late").cast("long")).alias("n_late"),
+        F.sum((F.col("is_real") & F.col("is_late")).cast("long")).alias("n_late"),
         F.max(F.when(F.col("is_real"), F.col("t"))).alias("max_event_ms"),
         last.alias("_last"))
     return agg.select("shard", "n_real", "n_tick", "n_reanchored", "n_late", "max_event_ms",

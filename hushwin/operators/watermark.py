@@ -6,15 +6,18 @@ watermark reaches ``e - 1``, i.e. once some arrival has event time
 ``>= e + L``; a row is late (dropped by the window) when its window had
 already closed before it arrived: ``e <= max(event time before it) - L``.
 
-The per-shard running maximum is a two-level bucketed scan
-(``hushwin.operators.scan``), so a hot shard is split by arrival time.
+Whether a row is late needs no ordered scan: a row is late exactly when
+the arrival that closed its window came before it (``closing``). Only the
+operators that return the running maximum itself form it, as a two-level
+bucketed scan (``hushwin.operators.scan``), which splits a hot shard by
+arrival time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushwin.operators import scan, windows
@@ -55,11 +58,57 @@ def late_rows(df: DataFrame, size_ms: int, lateness_ms: int, shard: str = "shard
     return m.withColumn("is_late", late)
 
 
+def first_reached(points: DataFrame, part: Sequence[str] = ()) -> DataFrame:
+    """``points`` (part.., ``window_end_ms``, ``closed``, ``held``) to one row
+    per held window end: the least ``closed`` over all points at that end or
+    a later one. The aggregate folds map-side; the suffix minimum runs over
+    one row per grid point in use, bounded by time span / window size."""
+    cells = points.groupBy(*part, "window_end_ms").agg(F.min("closed").alias("closed"), F.max("held").alias("held"))
+    later = (Window.partitionBy(*[F.col(c) for c in part] or [F.lit(0)]).orderBy(F.col("window_end_ms").desc())
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (cells.select(*part, "window_end_ms", "held", F.min("closed").over(later).alias("closed"))
+            .filter("held").drop("held"))
+
+
+def reached_end(time: Column, size_ms: int) -> Column:
+    """The last window end at or before ``time``."""
+    return time - F.pmod(time, F.lit(int(size_ms)))
+
+
+def closing(df: DataFrame, size_ms: int, lateness_ms: int, part: Sequence[str], arrival: Column,
+            time: str = "t", held: Column | None = None) -> DataFrame:
+    """``part.., window_end_ms, closed`` for every window that holds a row:
+    the first ``arrival`` whose ``time`` is ``>= window_end_ms + L`` (null
+    if none). ``held`` (default all) marks the rows that fill windows.
+
+    Window ends lie on a grid, so a row closes every window up to the last
+    end at or before ``time - L``. Each row therefore adds its arrival to
+    one grid point and its own window's end to another."""
+    own = F.when(F.lit(True) if held is None else held, window_of(size_ms)[1])
+    point = F.struct(reached_end(F.col(time) - F.lit(int(lateness_ms)), size_ms).alias("window_end_ms"),
+                     arrival.alias("closed"), F.lit(False).alias("held"))
+    end = F.struct(own.alias("window_end_ms"), F.when(F.lit(False), arrival).alias("closed"), F.lit(True).alias("held"))
+    points = df.select(*part, F.explode(F.array(point, end)).alias("c")).select(*part, "c.*")
+    return first_reached(points.filter(F.col("window_end_ms").isNotNull()), part)
+
+
+def with_closing(rows: DataFrame, ends: DataFrame, size_ms: int, part: Sequence[str], arrival: Column) -> DataFrame:
+    """``rows`` with their window bounds, ``closed`` and ``is_late``: the
+    window had closed before the row's own ``arrival``. ``ends`` has one row
+    per window, so AQE broadcasts it if it measures small."""
+    ws, we = window_of(size_ms)
+    return (rows.select("*", ws, we).join(ends, on=[*part, "window_end_ms"], how="left")
+            .withColumn("is_late", F.coalesce(F.col("closed") < arrival, F.lit(False))))
+
+
 def late_drop(df: DataFrame, size_ms: int, lateness_ms: int, keys: Sequence[str] = ("shard", "key"),
-              shard: str = "shard", bucket_ms: int | None = None) -> DataFrame:
+              shard: str = "shard") -> DataFrame:
     """The windowed keep-max reduce as the window operator computes it:
     rows that arrive after their window closed are dropped."""
-    on_time = late_rows(df, size_ms, lateness_ms, shard, bucket_ms).filter(~F.col("is_late"))
+    _check(lateness_ms)
+    arrival = F.struct(*_order())
+    ends = closing(df, size_ms, lateness_ms, [shard], arrival)
+    on_time = with_closing(df, ends, size_ms, [shard], arrival).filter(~F.col("is_late"))
     out = on_time.groupBy(*keys, "window_start_ms", "window_end_ms").agg(windows.keep_max_agg().alias("r"))
     return out.select(*keys, "window_start_ms", "window_end_ms",
                       *[F.col(f"r.{f}").alias(f) for f in windows.RECORD_FIELDS if f not in keys])

@@ -128,7 +128,7 @@ def q_late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_heartbeat_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clock.heartbeat_ticks(tables.decoupled(spark, sf_dir), HB_IDLE_MS)
+    return clock.heartbeat_ticks(tables.decoupled(spark, sf_dir), HB_IDLE_MS).drop("p")
 
 
 def q_connect_union(spark: SparkSession, sf_dir: str) -> DataFrame:

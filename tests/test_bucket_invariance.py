@@ -11,7 +11,6 @@ SF = "/root/testdata/sf0.01"
 CASES = {
     "late_rows": lambda s, w: watermark.late_rows(tables.jittered(s, SF), 3_600_000, 600_000, bucket_ms=w),
     "bounded_watermark": lambda s, w: watermark.bounded_watermark(tables.jittered(s, SF), 600_000, bucket_ms=w),
-    "close_latency": lambda s, w: latency.close_latency(tables.jittered(s, SF), 3_600_000, 60_000, bucket_ms=w),
     "idle_intervals": lambda s, w: idle.idle_intervals(tables.idle_fixture(s, SF), 1_200_000, bucket_ms=w),
     "round_robin": lambda s, w: routing.round_robin(tables.jittered(s, SF), 4, bucket_ms=w),
     "session": lambda s, w: windows.session_keep_max(tables.records(s, SF), 1_800_000, bucket_ms=w),
