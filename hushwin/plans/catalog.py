@@ -106,6 +106,7 @@ LATE_WINDOW_MS = HOUR_MS        # jittered replay: 1 h windows, 10 min out-of-or
 LATE_L_MS = 600_000
 CLOSE_L_MS = 60_000             # close latency: 1 h windows, 1 min out-of-orderness
 HB_IDLE_MS = 300_000            # decoupled replay: heartbeat / idle interval 5 min
+EPOCH_ORIGIN_MS = 1_704_067_200_000   # midnight (UTC) before the first event of the `events` table
 HB_WINDOW_MS = HOUR_MS
 HB_L_MS = 0
 GRID_MS = 300_000               # idle replay: 5 min grid, 20 min idle timeout
@@ -163,6 +164,17 @@ def q_heartbeat_min_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latency.heartbeat_combined_replay(tables.decoupled(spark, sf_dir), HB_WINDOW_MS, HB_L_MS, HB_IDLE_MS)
 
 
+def q_heartbeat_epoch_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals on the epoch clock, with a heartbeat source that starts on
+    the stream's first day: ticks and events share one arrival axis."""
+    return latency.heartbeat_window_close(tables.jittered(spark, sf_dir), HB_WINDOW_MS, HB_L_MS, HB_IDLE_MS,
+                                          origin_ms=EPOCH_ORIGIN_MS)
+
+
+def q_lateness_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progress.lateness_histogram(tables.jittered(spark, sf_dir), LATE_L_MS)
+
+
 def q_close_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latency.close_latency(tables.jittered(spark, sf_dir), HOUR_MS, CLOSE_L_MS)
 
@@ -214,6 +226,8 @@ QUERIES: dict[str, Query] = {
     "heartbeat_window_close": q_heartbeat_window_close,
     "heartbeat_job_defaults": q_heartbeat_job_defaults,
     "heartbeat_min_shards": q_heartbeat_min_shards,
+    "heartbeat_epoch_replay": q_heartbeat_epoch_replay,
+    "lateness_histogram": q_lateness_histogram,
     "close_latency": q_close_latency,
     "idle_intervals": q_idle_intervals,
     "idle_watermark": q_idle_watermark,

@@ -149,9 +149,17 @@ ticks AS (
 # The clock, walked one row at a time per shard (the reference's own rule):
 # tick f: s2 = d + f; real t: if |t - s2| >= 3I then d += t - s2; s2 = t.
 # Then the watermark input before each row and late real rows (L = 0).
-def walk_sql(idle: int, size: int) -> str:
+def epoch_sql(idle: int, origin: int) -> str:
+    """Jittered rows and the ticks of a source that starts at ``origin``."""
+    return f"""{JITTERED},
+ticks AS (
+  SELECT shard, -n AS seq, {origin} + n * {idle} AS p, n * {idle} AS t
+  FROM (SELECT shard, unnest(range(1, (max(p) - {origin}) // {idle} + 1)) AS n FROM rec GROUP BY shard))"""
+
+
+def walk_sql(idle: int, size: int, source: str | None = None) -> str:
     band = 3 * idle
-    return f"""RECURSIVE {decoupled_sql(idle)},
+    return f"""RECURSIVE {source or decoupled_sql(idle)},
 tr AS (
   SELECT *, row_number() OVER (PARTITION BY shard ORDER BY p, real, seq) AS rn FROM (
     SELECT shard, seq, p, t, 1 AS real, key, value FROM rec
@@ -174,8 +182,8 @@ seen AS (
 late AS (SELECT *, real = 1 AND coalesce(window_end_ms <= max_before_ms, false) AS is_late FROM seen)"""
 
 
-def heartbeat_close_sql(idle: int, size: int) -> str:
-    return f"""WITH {walk_sql(idle, size)},
+def heartbeat_close_sql(idle: int, size: int, source: str | None = None) -> str:
+    return f"""WITH {walk_sql(idle, size, source)},
 kept AS (
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY shard, key, window_start_ms ORDER BY value DESC, p, seq) AS k
@@ -209,6 +217,14 @@ ORACLE["heartbeat_window_close"] = heartbeat_close_sql(300000, 3600000)
 # heartbeat / idle interval 30 s, L = 0.
 ORACLE["heartbeat_job_defaults"] = heartbeat_close_sql(30000, 10000)
 
+ORACLE["heartbeat_epoch_replay"] = heartbeat_close_sql(300000, 3600000, epoch_sql(300000, 1704067200000))
+
+ORACLE["lateness_histogram"] = f"""WITH {JITTERED},
+b AS (SELECT shard, greatest(coalesce(max(t) OVER (PARTITION BY shard ORDER BY p, seq
+                                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - t, 0), 0) AS behind
+      FROM rec)
+SELECT shard, behind - behind % 600000 AS late_from_ms, count(*) AS n_rows FROM b GROUP BY ALL"""
+
 ORACLE["shard_progress"] = f"""WITH {WALK}
 SELECT shard, CAST(sum(real) AS BIGINT) AS n_real, CAST(sum(1 - real) AS BIGINT) AS n_tick,
        CAST(sum(re) AS BIGINT) AS n_reanchored, CAST(sum(CAST(is_late AS BIGINT)) AS BIGINT) AS n_late,

@@ -31,6 +31,17 @@ def records_from(spark: SparkSession, source: KafkaIn | str | None, opts: Window
     return streams.sample_records(spark, opts.shards)
 
 
+def run_quarantine(spark: SparkSession, source: KafkaIn, path: str, opts: WindowOptions = WindowOptions(),
+                   name: str = "bad-records") -> StreamingQuery:
+    """The records that the window jobs drop as undecodable, written to
+    ``path`` with their topic, partition and offset. A query of its own, so
+    its checkpoint and its lag do not touch the windows."""
+    raw = kafka.read_records(spark, kafka.consumer_options(
+        source.bootstrap, list(source.topics) if source.topics else None, source.pattern,
+        source.offset, source.group_id, source.properties, source.reader), opts.shards)
+    return jobs.start_idempotent(codec.quarantine(codec.decode(raw)), path, name, trigger_ms=opts.trigger_ms)
+
+
 def _sink(df: DataFrame, name: str, out: KafkaOut | None, opts: WindowOptions) -> StreamingQuery:
     if out is None:
         return jobs.start(df, name, sink="console", trigger_ms=opts.trigger_ms)

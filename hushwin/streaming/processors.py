@@ -114,7 +114,8 @@ def fold_windows(t: np.ndarray, v: np.ndarray, q: np.ndarray, size: int, late: i
     the largest event time before them) are dropped; each remaining
     window's record is the reference's keep-max fold over its stored record
     (``stored(start)`` -> ``(t, value, seq, first_nan)`` or ``None``) and
-    its new rows. Vectorized per row; Python runs once per window.
+    its new rows. One sort by window, then Python runs once per window
+    on that window's rows.
     Returns ``{start: (t, value, seq, first_nan)}`` and the new top.
     """
     if len(t) == 0:
@@ -124,9 +125,11 @@ def fold_windows(t: np.ndarray, v: np.ndarray, q: np.ndarray, size: int, late: i
     before = np.maximum.accumulate(np.concatenate(([top], t)))[:-1]
     keep = ~((end <= closed) | (end + late <= before))
     out = {}
-    for w in pd.unique(start[keep]):
-        m = keep & (start == w)
-        tv, vv, qv = t[m], v[m], q[m]
+    by_window = np.flatnonzero(keep)
+    by_window = by_window[np.argsort(start[by_window], kind="stable")]   # arrival order within a window
+    cuts = np.flatnonzero(np.diff(start[by_window])) + 1
+    for rows in np.split(by_window, cuts) if len(by_window) else ():
+        w, tv, vv, qv = start[rows[0]], t[rows], v[rows], q[rows]
         cur = stored(int(w))
         if cur is None:
             if np.isnan(vv[0]):
