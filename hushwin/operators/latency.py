@@ -62,14 +62,15 @@ def projected_closing(proj: DataFrame, size_ms: int, lateness_ms: int) -> DataFr
 
 def heartbeat_window_close(reals: DataFrame, size_ms: int, lateness_ms: int, idle_ms: int,
                            keys: Sequence[str] = ("shard", "key"), extra_ticks: int = 0,
-                           origin_ms: int = 0) -> DataFrame:
+                           bucket_ms: int | None = None, origin_ms: int = 0) -> DataFrame:
     """The heartbeat job on a bounded trace: project event time with
     heartbeats, take the shard's watermark over real and heartbeat times,
     drop real rows whose window had closed, reduce keep-max per key and
     window, and report when each window closed (``close_ms``, the arrival
-    at which the projected watermark reached ``end + L``)."""
+    at which the projected watermark reached ``end + L``). ``bucket_ms``
+    forces the bucket width of the clock's ordered scans."""
     # The projected trace is read twice below: stage it once.
-    proj = stage(clock.projected_clock(reals, idle_ms, extra_ticks=extra_ticks, origin_ms=origin_ms), "projected")
+    proj = stage(clock.projected_clock(reals, idle_ms, extra_ticks=extra_ticks, sub_ms=bucket_ms, origin_ms=origin_ms), "projected")
     ends = projected_closing(proj, size_ms, lateness_ms)
     rows = watermark.with_closing(proj.filter("is_real"), ends, size_ms, ["shard"], F.struct(*hb_order()))
     # A window of a shard has one closing arrival, so any row's will do.
