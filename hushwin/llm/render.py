@@ -43,11 +43,56 @@ SCOPE = frozenset("table td th caption html".split())
 
 _NAME = re.compile(r"[A-Za-z][^\x20\x09-\x0D/>]*")
 _ATTRIBUTES = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
-_HIDDEN = re.compile(r"""(?:^|[\x20\x09-\x0D"'/])hidden(?=$|[\x20\x09-\x0D=/>])(?!\s*=\s*["']?until-found)|style\s*=\s*(?:"[^"]*|'[^']*|[^\s"'>]*)(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\x20\x09-\x0D/>][^\x20\x09-\x0D/>=]*+)(?:[\x20\x09-\x0D]*+=[\x20\x09-\x0D]*+(?:"([^"]*+)"|'([^']*+)'|([^\x20\x09-\x0D>]*+)))?""")
+_MAY_HIDE = re.compile(r"hidden|style", re.I)
+_CSS = re.compile(r"""/\*.*?(?:\*/|\Z)|"(?:[^"\\]|\\.)*+(?:"|\Z)|'(?:[^'\\]|\\.)*+(?:'|\Z)|url\((?![\x20\x09-\x0D]*+["'])[^)]*+\)?|\\.|[^"'/\\()\[\]{};u]++|.""", re.I | re.S)
+_KEYWORDS = re.compile(r"([a-z-]+(?:[\x20\x09-\x0D]+[a-z-]+)*)[\x20\x09-\x0D]*(![\x20\x09-\x0D]*important)?")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _CLOSE = {name: re.compile(rf"</{name}(?=[\x20\x09-\x0D/>])", re.I) for name in RAW}
 
 
+def attributes(rest: str) -> dict[str, str]:
+    """Lower-case names and decoded values; of a repeated name the first counts."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(rest):
+        value = m[m.lastindex] if m.lastindex > 1 else ""
+        found.setdefault(m[1].lower(), html.unescape(value) if "&" in value else value)
+    return found
+
+
+def _declarations(style: str) -> Iterator[str]:
+    """The parts between semicolons, those in comments, strings and brackets aside."""
+    part, depth = [], 0
+    for m in _CSS.finditer(style):
+        token = m[0]
+        if token == ";" and not depth:
+            yield "".join(part)
+            part = []
+            continue
+        depth = max(0, depth + (token in ("(", "[", "{")) - (token in (")", "]", "}")))
+        part.append(" " if token.startswith("/*") else token)
+    yield "".join(part)
+
+
+def visibility(rest: str) -> tuple[bool, bool | None]:
+    """(whether the element is out with all it holds, whether its own text is
+    invisible or, if None, as visible as its parent's). As in a browser, a
+    declared display counts more than the attribute ``hidden``, the last
+    declaration counts, and an important one counts more."""
+    found = attributes(rest)
+    declared: dict[str, tuple] = {}
+    for part in _declarations(found.get("style", "")):
+        name, _, value = part.partition(":")
+        name = name.strip().lower()
+        if name in ("display", "visibility"):
+            m = _KEYWORDS.fullmatch(value.strip().lower())
+            if m and (m[2] or not declared.get(name, (None, None))[1]):
+                declared[name] = m.groups()
+    display, seen = (declared.get(name, ("revert", None))[0] for name in ("display", "visibility"))
+    gone = found.get("hidden", "until-found").lower() != "until-found" if display in ("revert", "revert-layer") else display == "none"
+    return gone, True if seen in ("hidden", "collapse") else False if seen in ("visible", "initial") else None
+
+
 def scan(text: str) -> Iterator[tuple[str, str, str]]:
     """("text" | "open" | "close", name or text, attributes)."""
     at = 0
@@ -223,6 +268,7 @@ def render(markup: str | None) -> str:
     lists: list[list] = []          # [marker counter or None, ...]
     tables: list[list[list[str]]] = []
     unseen: list[str] = []          # open elements inside the outermost hidden one
+    veils: list[bool] = []          # from the outermost invisible element on: whether the text of each open one is invisible
     for kind, name, rest in tree(markup or ""):
         if hidden:
             if kind == "open":
@@ -232,12 +278,19 @@ def render(markup: str | None) -> str:
                 hidden = bool(unseen)
             continue
         if kind == "text":
-            page.text(html.unescape(name) if "&" in name else name, bool(pre))
-        elif kind == "open":
-            if name in UNSEEN or rest and _HIDDEN.search(rest):
+            if not (veils and veils[-1]):
+                page.text(html.unescape(name) if "&" in name else name, bool(pre))
+            continue
+        if kind == "open":
+            gone, veil = visibility(rest) if rest and _MAY_HIDE.search(rest) else (False, None)
+            if gone or name in UNSEEN:
                 hidden, unseen = 1, [name]
-            elif name == "br":
-                page.end(keep=True)
+                continue
+            if veils or veil:
+                veils.append(veils[-1] if veil is None else veil)
+            if name == "br":
+                if not (veils and veils[-1]):
+                    page.end(keep=True)
             elif name in ("td", "th") and tables and tables[-1]:
                 pages.append((page, pre, lists))
                 page, pre, lists = _Page(), 0, []
@@ -263,7 +316,10 @@ def render(markup: str | None) -> str:
                     tables[-1].append([])
                 elif name == "img":
                     pass
-        elif name in ("td", "th") and tables and tables[-1] and pages:
+            continue
+        if veils:
+            veils.pop()
+        if name in ("td", "th") and tables and tables[-1] and pages:
             cell = " ".join(x.strip() for x in page.done() if x.strip())
             page, pre, lists = pages.pop()
             tables[-1][-1].append(cell)

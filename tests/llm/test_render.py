@@ -72,6 +72,19 @@ def test_visibility():
     assert text_of("<script>never closed <p>x") == ""
 
 
+def test_visibility_is_read_from_parsed_attributes():
+    for shown in ('class="hidden md:block"', 'title="a hidden gem"', 'href="/hidden/page"', "alt='x hidden'", 'style="backface-visibility:hidden"', 'data-style="display:none"',
+                  'data-hidden', 'hidden="until-found"', 'style="x-display:none"', 'style="background:url(a;display:none)"', "style='content:\";display:none;\"'",
+                  'style="/* display:none; */ color:red"', 'style="display:none;display:block"', 'style="display:block!important;display:none"', 'hidden style="display:flex"',
+                  'style="color:red" style="display:none"', 'title=hidden', 'style="--x:{;display:none}"'):
+        assert text_of(f"a<p {shown}>b<i>c</i></p>d") == "a\n\nbc\n\nd", shown
+    for out in ("hidden", "HIDDEN", "hidden=''", "hidden=false", "a=b hidden", 'a="b"hidden', "hidden/", 'title="x>y" hidden', "style=display:none", 'STYLE="Display : NONE ! important;x:y"',
+                'style = "color:red;/*;*/display:none"', 'style="display&#58;none"', "style='background:url(x;y);display:none'", 'style="visibility:collapse"', 'style="display:none;display:\\9"'):
+        assert "".join(text_of(f"a<p {out}>b<i>c</i></p>d").split()) == "ad", out
+    assert text_of("a<p style=visibility:hidden>b<i style=visibility:visible>c</i><br>d</p>e") == "a\n\nc\n\ne"
+    assert text_of("<p style=visibility:hidden>b<i hidden>c</i><br>d</p>e<b>f</b>") == "ef"
+
+
 def test_broken_markup_and_edges(spark):
     assert text_of(None) == text_of("") == text_of("<p>") == ""
     assert text_of("<") == "<"
