@@ -4,7 +4,10 @@ A tokenizer and a tree builder turn markup into properly nested opening and
 closing events, with implied tags supplied; a renderer walks the tree and
 writes all visible text, with blank lines around paragraphs and headings,
 list markers and indents, preformatted text as it stands, and table cells
-aligned in columns. Every step is one pass without recursion.
+aligned in columns. Formulas, the texts of drawings and the options of
+selections are written too; a drawing's defs are not, even if used, and of
+attributes only the labels of options. Every step is one pass without
+recursion.
 """
 
 from __future__ import annotations
@@ -22,7 +25,16 @@ from hushwin.llm.common import text_slices
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Content is text up to the closing tag; none of it but textarea's is rendered.
 RAW = frozenset("script style title textarea xmp iframe noembed noframes noscript template".split())
-UNSEEN = frozenset("head script style title template noscript iframe noembed noframes datalist object audio video canvas svg math select".split())
+UNSEEN = frozenset("head script style title template noscript iframe noembed noframes datalist object audio video canvas".split())
+#: Of a drawing; text stands in the third only. Of a formula's second, the first child is seen.
+DRAWING_UNSEEN = frozenset("title desc metadata defs".split())
+FIRST_SEEN = frozenset("semantics maction".split())
+DRAWING_TEXT = frozenset("text foreignobject".split())
+#: A drawing's or formula's elements that hold HTML again.
+HOLDS_HTML = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+#: Opening one of these ends a drawing or formula.
+ENDS_FOREIGN = frozenset("""b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta
+nobr ol p pre ruby s small span strong strike sub sup table tt u ul var""".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr fieldset".split())
 BLOCKS = PARAGRAPHS | frozenset("""html body div section article aside nav header footer main address details summary dialog figcaption form
 legend li dt dd tr caption thead tbody tfoot center dir menu search hgroup option optgroup""".split())
@@ -44,7 +56,7 @@ SCOPE = frozenset("table td th caption html".split())
 _NAME = re.compile(r"[A-Za-z][^\x20\x09-\x0D/>]*")
 _ATTRIBUTES = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
 _ATTRIBUTE = re.compile(r"""([^\x20\x09-\x0D/>][^\x20\x09-\x0D/>=]*+)(?:[\x20\x09-\x0D]*+=[\x20\x09-\x0D]*+(?:"([^"]*+)"|'([^']*+)'|([^\x20\x09-\x0D>]*+)))?""")
-_MAY_HIDE = re.compile(r"hidden|style", re.I)
+_MAY_HIDE = re.compile(r"hidden|style|display|visibility", re.I)
 _CSS = re.compile(r"""/\*.*?(?:\*/|\Z)|"(?:[^"\\]|\\.)*+(?:"|\Z)|'(?:[^'\\]|\\.)*+(?:'|\Z)|url\((?![\x20\x09-\x0D]*+["'])[^)]*+\)?|\\.|[^"'/\\()\[\]{};u]++|.""", re.I | re.S)
 _KEYWORDS = re.compile(r"([a-z-]+(?:[\x20\x09-\x0D]+[a-z-]+)*)[\x20\x09-\x0D]*(![\x20\x09-\x0D]*important)?")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -60,6 +72,14 @@ def attributes(rest: str) -> dict[str, str]:
     return found
 
 
+def _in_value(rest: str) -> bool:
+    """Whether the last character belongs to an attribute."""
+    end = 0
+    for m in _ATTRIBUTE.finditer(rest):
+        end = m.end()
+    return end == len(rest)
+
+
 def _declarations(style: str) -> Iterator[str]:
     """The parts between semicolons, those in comments, strings and brackets aside."""
     part, depth = [], 0
@@ -74,14 +94,16 @@ def _declarations(style: str) -> Iterator[str]:
     yield "".join(part)
 
 
-def visibility(rest: str) -> tuple[bool, bool | None]:
+def visibility(rest: str, drawing: bool = False) -> tuple[bool, bool | None]:
     """(whether the element is out with all it holds, whether its own text is
     invisible or, if None, as visible as its parent's). As in a browser, a
     declared display counts more than the attribute ``hidden``, the last
-    declaration counts, and an important one counts more."""
+    declaration counts, and an important one counts more. In a drawing the
+    attributes display and visibility are declarations that count less."""
     found = attributes(rest)
     declared: dict[str, tuple] = {}
-    for part in _declarations(found.get("style", "")):
+    given = [f"{name}:{found[name]}" for name in ("display", "visibility") if name in found] if drawing else []
+    for part in [*given, *_declarations(found.get("style", ""))]:
         name, _, value = part.partition(":")
         name = name.strip().lower()
         if name in ("display", "visibility"):
@@ -93,8 +115,10 @@ def visibility(rest: str) -> tuple[bool, bool | None]:
     return gone, True if seen in ("hidden", "collapse") else False if seen in ("visible", "initial") else None
 
 
-def scan(text: str) -> Iterator[tuple[str, str, str]]:
-    """("text" | "open" | "close", name or text, attributes)."""
+def scan(text: str, foreign=lambda: False) -> Iterator[tuple[str, str, str]]:
+    """("text" | "open" | "close", name or text, attributes). ``foreign``
+    says whether a drawing or formula is open: there all content is markup,
+    CDATA is text and a closing slash counts."""
     at = 0
     while True:
         tag = text.find("<", at)
@@ -112,6 +136,8 @@ def scan(text: str) -> Iterator[tuple[str, str, str]]:
         if not name:                                  # comment, doctype, bogus markup
             mark, skip = ("-->", 3) if text.startswith("<!--", tag) else ("]]>", 3) if text.startswith("<![CDATA[", tag) else (">", 1)
             end = text.find(mark, tag + 2)
+            if mark == "]]>" and foreign():
+                yield "text", text[tag + 9:end if end >= 0 else len(text)].replace("&", "&amp;"), ""
             if end < 0:
                 return
             at = end + skip
@@ -123,8 +149,12 @@ def scan(text: str) -> Iterator[tuple[str, str, str]]:
                 return
         at = end + 1
         kind, low = ("close" if text[tag + 1] == "/" else "open"), name[0].lower()
+        inside = foreign() and low not in ENDS_FOREIGN
         yield kind, low, text[name.end():end]
-        if kind == "open" and low in RAW:
+        if kind == "open" and (inside or low in ("svg", "math")):
+            if text[end - 1] == "/" and low not in VOID and not _in_value(text[name.end():end]):
+                yield "close", low, ""
+        elif kind == "open" and low in RAW:
             close = _CLOSE[low].search(text, at)
             stop = close.start() if close else len(text)
             yield "text", text[at:stop], ""
@@ -138,13 +168,16 @@ def tree(text: str) -> Iterator[tuple[str, str, str]]:
     """``scan`` made a tree: every opening has its closing, in order."""
     stack: list[str] = []
     count: dict[str, int] = {}
+    foreign = [False]               # for the root and each open element: whether it holds a drawing's or formula's elements
 
     def push(name):
         stack.append(name)
+        foreign.append(name in ("svg", "math") or foreign[-1] and name not in HOLDS_HTML)
         count[name] = count.get(name, 0) + 1
 
     def pop():
         name = stack.pop()
+        foreign.pop()
         count[name] -= 1
         return "close", name, ""
 
@@ -159,9 +192,18 @@ def tree(text: str) -> Iterator[tuple[str, str, str]]:
                 return 0
         return 0
 
-    for kind, name, rest in scan(text):
+    for kind, name, rest in scan(text, lambda: foreign[-1]):
+        if foreign[-1] and (name in ENDS_FOREIGN if kind == "open" else kind == "close" and name in ("p", "br")):
+            while foreign[-1]:
+                yield pop()
         if kind == "text":
             yield kind, name, rest
+        elif kind == "open" and foreign[-1]:
+            yield kind, name, rest
+            if name in VOID:
+                yield "close", name, ""
+            else:
+                push(name)
         elif kind == "open":
             if name in ENDS_P and count.get("p"):
                 for _ in range(depth_of(("p",), SCOPE)):
@@ -237,6 +279,12 @@ class _Page:
             self.marker = ""
         self.line.append(indent)
 
+    def gap(self, pre: bool) -> None:
+        """White space before more text on the line."""
+        self.space = True
+        if pre and self.line and not self.line[-1].endswith(" "):
+            self.line.append(" ")
+
     def end(self, blank: bool = False, keep: bool = False) -> None:
         """Ends the line; ``blank`` asks for an empty line before more text, ``keep`` writes one at once."""
         if self.line:
@@ -261,6 +309,18 @@ def _aligned(rows: list[list[str]]) -> list[str]:
     return ["  ".join([cell.ljust(wide[i]) for i, cell in enumerate(row[:-1])] + row[-1:]).rstrip() for row in rows]
 
 
+class _Foreign:
+    """An open element from the outermost drawing or formula on."""
+
+    def __init__(self, name: str, rest: str, parent: _Foreign | None):
+        self.name, self.children = name, 0
+        self.seen = name == "math" or name != "svg" and (name in DRAWING_TEXT or parent.seen)
+        block = name == "math" and attributes(rest).get("display", "").lower() == "block"
+        apart = name in ("text", "mtd") or name == "tspan" and "x" in attributes(rest) or parent and parent.name == "mfrac"
+        #: What stands around it.
+        self.around = "line" if block or name == "mtr" else "gap" if apart else ""
+
+
 def render(markup: str | None) -> str:
     """The visible text of a page; empty for null or empty markup."""
     page, pages = _Page(), []
@@ -269,6 +329,14 @@ def render(markup: str | None) -> str:
     tables: list[list[list[str]]] = []
     unseen: list[str] = []          # open elements inside the outermost hidden one
     veils: list[bool] = []          # from the outermost invisible element on: whether the text of each open one is invisible
+    foreign: list[_Foreign] = []
+
+    def around(element: _Foreign) -> None:
+        if element.around == "line":
+            page.end()
+        elif element.around:
+            page.gap(bool(pre))
+
     for kind, name, rest in tree(markup or ""):
         if hidden:
             if kind == "open":
@@ -278,14 +346,29 @@ def render(markup: str | None) -> str:
                 hidden = bool(unseen)
             continue
         if kind == "text":
-            if not (veils and veils[-1]):
+            if not (veils and veils[-1] or foreign and not foreign[-1].seen):
                 page.text(html.unescape(name) if "&" in name else name, bool(pre))
             continue
         if kind == "open":
-            gone, veil = visibility(rest) if rest and _MAY_HIDE.search(rest) else (False, None)
+            gone, veil = visibility(rest, name == "svg" or bool(foreign) and name != "math") if rest and _MAY_HIDE.search(rest) else (False, None)
+            if foreign:
+                foreign[-1].children += 1
+                gone |= name in DRAWING_UNSEEN or foreign[-1].name in FIRST_SEEN and foreign[-1].children > 1
             if gone or name in UNSEEN:
                 hidden, unseen = 1, [name]
                 continue
+            if name in ("option", "optgroup") and "label" in rest.lower() and (label := attributes(rest).get("label")):
+                page.end()
+                if not (veils and (veils[-1] if veil is None else veil) or veil):
+                    page.text(label, False)
+                    page.end()
+                if name == "option":                  # shown instead of its content
+                    hidden, unseen = 1, [name]
+                    continue
+            if foreign or name in ("svg", "math"):
+                foreign.append(_Foreign(name, rest, foreign[-1] if foreign else None))
+                around(foreign[-1])
+                veil = True if name == "mphantom" and veil is None else veil
             if veils or veil:
                 veils.append(veils[-1] if veil is None else veil)
             if name == "br":
@@ -319,6 +402,8 @@ def render(markup: str | None) -> str:
             continue
         if veils:
             veils.pop()
+        if foreign:
+            around(foreign.pop())
         if name in ("td", "th") and tables and tables[-1] and pages:
             cell = " ".join(x.strip() for x in page.done() if x.strip())
             page, pre, lists = pages.pop()

@@ -85,6 +85,30 @@ def test_visibility_is_read_from_parsed_attributes():
     assert text_of("<p style=visibility:hidden>b<i hidden>c</i><br>d</p>e<b>f</b>") == "ef"
 
 
+def test_formulas():
+    assert text_of("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds") == "so x=1 holds"
+    assert text_of("<math><semantics><mrow><mi>y</mi><mspace/><mo>&lt;</mo></mrow><annotation encoding='application/x-tex'>y&lt;</annotation></semantics></math>z") == "y<z"
+    assert text_of("a<math display=block><mfrac><mn>1</mn><mn>2</mn></mfrac></math>b") == "a\n1 2\nb"
+    assert text_of("<math><mtable><mtr><mtd>1</mtd><mtd>2</mtd></mtr><mtr><mtd>3</mtd></mtr></mtable></math>") == "1 2\n3"
+    assert text_of("<math><mi>a</mi><mphantom><mi>b</mi></mphantom><mi>c</mi>") == "ac"
+
+
+def test_drawings():
+    svg = "<svg viewBox='0 0 1 1'><title>t</title><desc>d</desc><metadata>m</metadata><defs><text>u</text></defs><style>s > t {}</style>%s</svg>"
+    assert text_of("a" + svg % "<path d='M0'/><g><text x=1>one <tspan>two</tspan></text><text>three</text></g>" + "b") == "a one two three b"
+    assert text_of("a " + svg % "fallback<title/><defs/><text><![CDATA[x<y &amp;]]></text>" + " b") == "a x<y &amp; b"
+    assert text_of(svg % "<foreignObject><div>in<p>ner</div></foreignObject><g display=none><text>n</text></g><g visibility=hidden><text>n</text></g><g hidden><text>n</text></g>") == "in\n\nner"
+    assert text_of("<svg><defs><use href=#a/>x<p>after") == "after"
+    assert text_of("<svg/>x<math/>y<p>z<svg><g></p>w") == "xy\n\nz\n\nw"
+    assert text_of("<title>t</title>v<svg><text>w</text></svg><title>t <b></title>x") == "v w x"
+
+
+def test_selections():
+    assert text_of("Choose <select><option>one<option selected>two</option><optgroup label=More><option>three</optgroup><option label=four>4</select> now") == \
+        "Choose\none\ntwo\nMore\nthree\nfour\nnow"
+    assert text_of("<select hidden><option>a</select><select style=visibility:hidden><optgroup label=x><option label=y>z</select>b<datalist><option>c</datalist>") == "b"
+
+
 def test_broken_markup_and_edges(spark):
     assert text_of(None) == text_of("") == text_of("<p>") == ""
     assert text_of("<") == "<"
@@ -113,3 +137,20 @@ def test_events_nest(parts):
             assert stack.pop() == name
     assert not stack
     text_of("".join(parts))
+
+
+FOREIGN = st.sampled_from("<svg> </svg> <math> </math> <g> <g/> </g> <text> </text> <foreignObject> </foreignObject> <title> </title> <defs/> <mi> </mi> <p> </p> <td> <table> </table> "
+                          "<select> </select> <option> <option/label=x> <br> </br> <i/style=visibility:hidden> <![CDATA[x]]> w".split(" "))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(FOREIGN, max_size=30))
+def test_events_nest_in_drawings_and_formulas(parts):
+    stack = []
+    for kind, name, _ in render.tree("".join(parts)):
+        if kind == "open":
+            stack.append(name)
+        elif kind == "close":
+            assert stack.pop() == name
+    assert not stack
+    text_of("".join(parts))
