@@ -42,6 +42,17 @@ def vectors(rows: DataFrame) -> DataFrame:
             .withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, e: acc + e.cast("double") * e.cast("double")))))
 
 
+def at_most(d: DataFrame, k: int) -> DataFrame:
+    """``d`` with at most ``k`` rows of each (vec_id, v). Only rows whose id
+    and hash of v occur more often are grouped, and counted map-side."""
+    key = d.withColumn("v_hash", F.xxhash64("v"))
+    many = staged(key.groupBy("vec_id", "v_hash").agg(F.count("*").alias("n")).where(F.col("n") > k).select("vec_id", "v_hash", F.lit(True).alias("many")), "repeated")
+    key = key.join(many, ["vec_id", "v_hash"], "left")
+    counted = (key.where("many").groupBy("vec_id", "v", "dim", "length").agg(F.count("*").alias("n"))
+               .withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int")))))
+    return key.where("many is null").select(d.columns).union(counted.select(d.columns))
+
+
 def blocks(d: DataFrame, size: int) -> DataFrame:
     """One packed row per block: dim, block, ids and components as bytes
     (longest vector first), the greatest length and the count. A bucket is
@@ -157,26 +168,29 @@ def top_k(rows: DataFrame, is_query, k: int = 5) -> DataFrame:
     own = d.where(is_query).groupBy("vec_id", "dim").agg(F.min(F.struct("v", "length")).alias("first")).select("vec_id", F.col("first.v").alias("v"), "dim", F.col("first.length").alias("length"))
     first_dim = own.groupBy("vec_id").agg(F.min("dim").alias("dim"))
     own = own.join(first_dim, ["vec_id", "dim"])
-    c = staged(blocks(d, BLOCK), "blocks")
+    c = staged(blocks(at_most(d, k), BLOCK), "blocks")    # of equal rows a query needs no more
     q = blocks(own, QUERY_BLOCK).select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("longest").alias("q_longest"))
     q = staged(q, "query-blocks")
     # First the longest block of each dimension, for a floor under every query's k-th score.
     longest = c.groupBy("dim").agg(F.max(F.struct("longest", "block")).alias("m")).select("dim", F.col("m.block").alias("block"))
     no_floor = F.udf(lambda ids: np.full(len(ids) // 8, -np.inf).tobytes(), "binary")
     first = staged(_search(q.withColumn("floors", no_floor("q_ids")).join(longest, "dim").join(c, ["dim", "block"]), k), "first-scores")
-    kth = _top(first, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
-
-    def floors(key, rows: pd.DataFrame) -> pd.DataFrame:
-        known = dict(zip(rows.query_id, rows.floor))
-        ids, m = _matrix(rows.q_ids.iloc[0], rows.q_data.iloc[0], int(key[0]))
-        f = np.array([float(known[i]) if pd.notna(known.get(i)) else -np.inf for i in ids])
-        # The block's weakest demand per unit of query length: what a candidate's length must reach.
-        need = np.where(f > 0, f / np.maximum(np.sqrt((m.astype(float) ** 2).sum(1)), 1e-300), -np.inf)
-        return pd.DataFrame({"dim": [key[0]], "q_block": [key[1]], "floors": [f.tobytes()], "need": [float(need.min())]})
-
-    ids = first.select("dim", "q_block", "query_id").distinct().join(kth, "query_id", "left")
-    asked = (q.select("dim", "q_block", "q_ids", "q_data").join(ids, ["dim", "q_block"], "left")
-             .groupBy("dim", "q_block").applyInPandas(floors, "dim int, q_block string, floors binary, need double"))
+    # A block's floors are one row of at most its queries' numbers; the bytes join that row once.
+    kth = (_top(first, k).where(F.col("rank") == k).groupBy("dim", "q_block").agg(F.collect_list(F.struct("query_id", "score")).alias("kth"))
+           .select("dim", "q_block", F.col("kth.query_id").alias("known"), F.col("kth.score").alias("scores")))
+
+    def floors(batches):
+        for batch in batches:
+            for r in batch.to_dict("records"):
+                ids, m = _matrix(r["q_ids"], r["q_data"], r["dim"])
+                known = dict(zip(r["known"], r["scores"])) if r["known"] is not None else {}
+                f = np.array([float(known.get(i, -np.inf)) for i in ids])
+                # The block's weakest demand per unit of query length: what a candidate's length must reach.
+                need = np.where(f > 0, f / np.maximum(np.sqrt((m.astype(float) ** 2).sum(1)), 1e-300), -np.inf)
+                yield pd.DataFrame({"dim": [r["dim"]], "q_block": [r["q_block"]], "floors": [f.tobytes()], "need": [float(need.min())]})
+
+    asked = (q.join(kth, ["dim", "q_block"], "left").select("dim", "q_block", "q_ids", "q_data", "known", "scores")
+             .mapInPandas(floors, "dim int, q_block string, floors binary, need double"))
     asked = staged(asked, "floors")
     # Pairs of block names only; the bytes join after pruning.
     sizes = c.select("dim", "block", "longest").join(longest.select("dim", F.col("block").alias("done")), "dim")

@@ -78,3 +78,25 @@ def test_large_components_stay_exact():
     big = np.array([[2**40, 3], [2**40 + 1, -5]], np.int64)
     at, ids, score = topk.search_block(np.array([9]), big[:1], np.array([-np.inf]), np.array([1, 2]), big, 1)
     assert score.tolist() == [2**63 - 1]
+
+
+def test_floors_take_a_block_once_and_repeated_rows_are_counted(spark, monkeypatch):
+    """No group holds a block's bytes once per query, and a repeated row fills no block."""
+    steps = {}
+
+    def kept(df, name, real=topk.staged):
+        out = real(df, name)
+        steps[name] = (df._jdf.queryExecution().optimizedPlan().toString(), out)
+        return out
+
+    monkeypatch.setattr(topk, "staged", kept)
+    monkeypatch.setattr(topk, "BLOCK", 40)
+    data = vectors(random.Random(3), 200, 8, 0.5)
+    data += [data[11]] * 150 + [(11, data[12][1])] * 7 + [data[10]] * 6 + [data[13]] * 2
+    check(spark, data)
+    assert "FlatMapGroupsInPandas" not in steps["floors"][0] and "MapInPandas" in steps["floors"][0]
+    assert steps["floors"][1].count() == steps["query-blocks"][1].count()
+    got = rows(steps["blocks"][1].select("ids", "count"))
+    ids = [i for r in got for i in np.frombuffer(r["ids"], np.int64).tolist()]
+    assert max(r["count"] for r in got) < 80
+    assert (ids.count(11), ids.count(10), ids.count(13)) == (10, 5, 3)
