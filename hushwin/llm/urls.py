@@ -1,6 +1,7 @@
 """URL filter: fixed rules, then empirical-Bayes host reputation.
 
-Labelled page outcomes are counted per host, registered domain and suffix.
+Labelled page outcomes are counted per host, registered domain and public
+suffix; users and ports are no part of these, and an address has no levels.
 Each level's bad rate is shrunk towards the level above by a beta-binomial
 prior whose strength is estimated from how much the level's rates spread
 (method of moments). A host is blocked when even the lower bound of its
@@ -9,10 +10,12 @@ posterior bad rate is above the limit.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushwin.llm.common import staged
+from hushwin.llm.suffixes import suffix_and_domain
 
 #: (host, path, verdict); the longest fitting rule wins.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -63,6 +66,17 @@ def _shrunk(rows: DataFrame, above: str, own: str) -> DataFrame:
         f"{own}_variance", F.col(f"{own}_mean") * (1 - F.col(f"{own}_mean")) / (F.col("n") + k + 1) + passed * passed * F.col(f"{above}_variance")))
 
 
+def _placed(hosts: DataFrame) -> DataFrame:
+    """Adds suffix and domain, by the public suffix list."""
+    def run(batches):
+        for batch in batches:
+            found = [suffix_and_domain(x) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s for s, _ in found], pa.string()), pa.array([d for _, d in found], pa.string())],
+                                             names=["host", "n", "bad", "suffix", "domain"])
+
+    return hosts.select("host", "n", "bad").mapInArrow(run, "host string, n long, bad long, suffix string, domain string")
+
+
 def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     """(host, n, bad, mean, deviation) for every host of ``pages``
     (page_id, host), from ``outcomes`` (page_id, bad: 0 or 1).
@@ -71,11 +85,8 @@ def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     after them is one row per host. Three pairs of numbers reach the driver."""
     marked = (outcomes.where(F.col("page_id").isNotNull() & F.col("bad").isNotNull())
               .groupBy("page_id").agg(F.max("bad").cast("long").alias("bad")))
-    hosts = staged(pages.join(marked, "page_id", "left").groupBy("host")
-                   .agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")), "hosts")
-    parts = F.split("host", r"\.")
-    hosts = hosts.withColumn("suffix", F.element_at(parts, -1)).withColumn(
-        "domain", F.array_join(F.slice(parts, -F.least(F.size(parts), F.lit(2)), F.lit(2)), "."))
+    hosts = staged(_placed(pages.join(marked, "page_id", "left").groupBy("host")
+                           .agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))), "hosts")
     total = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     base = (total.bad + 0.5) / (total.n + 1.0) if total.n else 0.5
 

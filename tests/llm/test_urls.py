@@ -2,6 +2,7 @@ import re
 
 from hushwin.llm import urls
 from hushwin.llm.queries import op3_host_reputation
+from hushwin.llm.suffixes import suffix_and_domain
 from tests.conftest import SF001
 from tests.llm.cases import rows
 
@@ -56,3 +57,28 @@ def test_a_bad_host_is_blocked_and_others_are_shrunk(spark):
 
 def test_query(spark):
     assert op3_host_reputation(spark, SF001).count() == spark.read.parquet(f"{SF001}/pages.parquet").count()
+
+
+def test_registered_domains():
+    for host, suffix, domain in (
+            ("www.example.com", "com", "example.com"), ("com", "com", "com"), ("", "", ""), ("localhost", "localhost", "localhost"), ("a.b.unlisted", "unlisted", "b.unlisted"),
+            ("news.bbc.co.uk", "co.uk", "bbc.co.uk"), ("x.com.au", "com.au", "x.com.au"), ("z.y.github.io", "github.io", "y.github.io"), ("co.uk", "co.uk", "co.uk"),
+            ("a.b.c.ck", "c.ck", "b.c.ck"), ("a.www.ck", "ck", "www.ck"), ("a.city.kobe.jp", "kobe.jp", "city.kobe.jp"), ("c.b.a.kobe.jp", "a.kobe.jp", "b.a.kobe.jp"),
+            ("a.b.公司.cn", "公司.cn", "b.公司.cn"), ("a.b.xn--55qx5d.cn", "xn--55qx5d.cn", "b.xn--55qx5d.cn"),
+            ("www.x.co.uk:8080", "co.uk", "x.co.uk"), ("me:pw@a.x.co.uk.", "co.uk", "x.co.uk"), ("host:8080", "host", "host"), ("x.com:", "com", "x.com"),
+            ("10.0.0.1", "[ip]", "10.0.0.1"), ("10.0.0.1:80", "[ip]", "10.0.0.1"), ("[::1]:80", "[ip]", "[::1]"), ("[::1]", "[ip]", "[::1]")):
+        assert suffix_and_domain(host) == (suffix, domain), host
+
+
+def test_a_new_host_inherits_its_own_registrant(spark):
+    pages, out = [], []
+    for host, bad, n in (("a.spam.co.uk", 60, 60), ("b.spam.co.uk:8080", 60, 60), ("www.fine.co.uk", 0, 60), ("10.0.0.1", 40, 40), ("10.9.0.1", 0, 40)):
+        for i in range(n):
+            pages.append((len(pages), f"http://{host}/{i}"))
+            out.append((len(out), int(i < bad)))
+    pages += [(-1, "http://new.spam.co.uk/"), (-2, "http://new.fine.co.uk/"), (-3, "http://10.0.0.1:81/"), (-4, "http://new.other.co.uk/")]
+    judged = rows(urls.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(out, "page_id long, bad int")))
+    assert len(judged) == len(pages)
+    rate = {r["page_id"]: r["bad_rate"] for r in judged}
+    assert rate[-1] > 0.7 and rate[-2] < 0.3 and rate[-3] > 0.7 and rate[-2] < rate[-4] < rate[-1]
+    assert {r["host"] for r in judged if r["page_id"] in (-3, 60)} == {"10.0.0.1:81", "b.spam.co.uk:8080"}
