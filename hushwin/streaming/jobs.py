@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -103,15 +104,76 @@ def idle_close_windows(reals: DataFrame, size_ms: int, idle_ms: int, lateness_ms
         IdleClose(size_ms, idle_ms, lateness_ms), WINDOW_OUT, "Append", "ProcessingTime")
 
 
+class LateRows:
+    """The rows that one run of a query dropped as late, over all its
+    batches. Spark keeps a run's last reports only, so a thread takes each as
+    it comes (a Python listener would do so through a server of its own)."""
+
+    POLL_S = 1.0
+    runs: dict[str, LateRows] = {}
+
+    def __init__(self, query: StreamingQuery, kept: int):
+        self.query, self.kept = query, kept
+        self.total, self.last, self.missed = 0, None, False
+        self.lock = threading.Lock()
+
+    @classmethod
+    def of(cls, query: StreamingQuery, kept: int = 100) -> LateRows:
+        return cls.runs.setdefault(str(query.runId), cls(query, kept))
+
+    @classmethod
+    def watched(cls, query: StreamingQuery, spark) -> StreamingQuery:
+        count = cls.of(query, int(spark.conf.get("spark.sql.streaming.numRecentProgressUpdates", "100")))
+        threading.Thread(target=count._watch, name=f"late-rows-{query.runId}", daemon=True).start()
+        return query
+
+    def _watch(self) -> None:
+        try:
+            pause = threading.Event()
+            while self.query.isActive:
+                if self.read() <= self.kept // 4:
+                    pause.wait(self.POLL_S)
+            self.read()
+        except Exception:                             # the session is gone; a caller's own read says so
+            return
+
+    def read(self) -> int:
+        """Takes the reports not seen yet; how many there were. Each batch
+        reports once when done; reports between batches count no rows."""
+        with self.lock:
+            newest = self.query.lastProgress
+            if newest is None or self._key(newest) == self.last:
+                return 0
+            new = [newest]
+            if self.last is None or newest["batchId"] != self.last[0] + 1:
+                new = list(self.query.recentProgress)
+                keys = [self._key(r) for r in new]
+                if self.last in keys:
+                    new = new[keys.index(self.last) + 1:]
+                elif self.last is not None:
+                    self.missed |= new[0]["batchId"] > self.last[0] + 1
+                else:
+                    self.missed |= len(new) >= self.kept - 1     # Spark keeps one less than it is told
+            for report in new:
+                self.total += sum(int(op.get("numRowsDroppedByWatermark", 0)) for op in report.get("stateOperators", []))
+            self.last = self._key(new[-1]) if new else self.last
+            return len(new)
+
+    @staticmethod
+    def _key(report) -> tuple:
+        return report["batchId"], report["timestamp"]
+
+
 def dropped_by_watermark(query: StreamingQuery) -> int:
-    """Rows the query's stateful operators dropped as late, over its recent
-    progress reports (Spark filters with the previous batch's watermark,
-    so a row late by less than one batch is still aggregated)."""
-    total = 0
-    for progress in query.recentProgress:
-        for op in progress.get("stateOperators", []):
-            total += int(op.get("numRowsDroppedByWatermark", 0))
-    return total
+    """Rows the query's stateful operators dropped as late, since this run of
+    it started (Spark filters with the previous batch's watermark, so a row
+    late by less than one batch is still aggregated). Raises if reports were
+    lost, as of a query that was not started here and has run for long."""
+    count = LateRows.of(query)
+    count.read()
+    if count.missed:
+        raise RuntimeError("some progress reports were gone before they were read: no full count of late rows")
+    return count.total
 
 
 # --- sinks --------------------------------------------------------------------
@@ -124,7 +186,7 @@ def start(df: DataFrame, name: str, sink: str = "console", trigger_ms: int | Non
            .option("checkpointLocation", checkpoint or checkpoint_path(df.sparkSession, name)))
     if trigger_ms:
         w = w.trigger(processingTime=f"{int(trigger_ms)} milliseconds")
-    return w.start()
+    return LateRows.watched(w.start(), df.sparkSession)
 
 
 def start_idempotent(df: DataFrame, path: str, name: str, trigger_ms: int | None = None,
@@ -139,7 +201,7 @@ def start_idempotent(df: DataFrame, path: str, name: str, trigger_ms: int | None
            .option("checkpointLocation", checkpoint or checkpoint_path(df.sparkSession, name)))
     if trigger_ms:
         w = w.trigger(processingTime=f"{int(trigger_ms)} milliseconds")
-    return w.start()
+    return LateRows.watched(w.start(), df.sparkSession)
 
 
 def start_kafka(df: DataFrame, name: str, topics: Sequence[str] | None = None,
@@ -153,4 +215,4 @@ def start_kafka(df: DataFrame, name: str, topics: Sequence[str] | None = None,
             .option("checkpointLocation", checkpoint or checkpoint_path(df.sparkSession, name)))
     if trigger_ms:
         w = w.trigger(processingTime=f"{int(trigger_ms)} milliseconds")
-    return w.start()
+    return LateRows.watched(w.start(), df.sparkSession)

@@ -224,6 +224,34 @@ def test_late_rows_are_counted(spark, scratch):
         q.stop()
 
 
+def test_late_rows_are_counted_over_more_batches_than_spark_keeps(spark, scratch):
+    now = time.time() - 1000
+    base = os.path.join(scratch, "reals")
+    _write_json(base, "0.json", [_real(1, 1000, T0 + 25_000)], now)
+    src = spark.readStream.schema(streams.TRACE).option("maxFilesPerTrigger", 1).json(base)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    q = None
+    try:
+        q = jobs.start(jobs.idle_timeout_windows(src, WINDOW, 0), "late_count_long", sink="memory", checkpoint=os.path.join(scratch, "ckpt"))
+        q.processAllAvailable()
+        late = 110
+        for i in range(late):
+            _write_json(base, f"{i + 1}.json", [_real(i + 2, 2000, T0 + 1000)], now + i + 1)
+        q.processAllAvailable()
+        assert len(q.recentProgress) <= 100 and q.lastProgress["batchId"] >= late
+        assert jobs.dropped_by_watermark(q) == late
+        q.stop()
+        assert jobs.dropped_by_watermark(q) == late
+        other = jobs.LateRows(q, 100)                 # one that starts to read too late says so
+        other.read()
+        assert other.missed
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        if q is not None:
+            q.stop()
+
+
 def test_streaming_session_and_sliding_windows(spark, scratch):
     now = time.time() - 100
     base = os.path.join(scratch, "reals")
