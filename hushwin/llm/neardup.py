@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hushwin.llm.common import runs, staged, text_slices, words
 from hushwin.llm.graph import components
@@ -199,7 +200,8 @@ def _open_links(level: DataFrame, labels: DataFrame, sets: DataFrame, pct: int)
 
 
 def near_duplicates(docs: DataFrame, pct: int = SIMILARITY_PCT) -> DataFrame:
-    """Per row: doc_id, n_shingles, cls, component_id, kept.
+    """Per row: doc_id, n_shingles, cls, component_id, kept, stays (kept, and
+    of its component's class that stays: the least one with the least id).
 
     component_id is the least doc_id that confirmed links reach, null ids
     aside (null if a component has no other); a row without words is linked
@@ -214,28 +216,42 @@ def near_duplicates(docs: DataFrame, pct: int = SIMILARITY_PCT) -> DataFrame:
     sets = staged(_with_sets(texts).groupBy("cls").agg(F.first("set").alias("set")), "sets")
     labels = _links(members, sets, pct)
     labelled = labels.withColumnRenamed("node", "cls").join(classes.select("cls", "rep"), "cls")
-    least = labelled.groupBy("label").agg(F.min("rep").alias("least"))
-    merged = labelled.join(least, "label").select("cls", "least")
-    by_class = classes.select("cls", "rep").join(merged, "cls", "left").select("cls", F.coalesce("least", "rep").alias("component_id"))
+    least = labelled.groupBy("label").agg(F.min("rep").alias("least"), F.min(F.struct(F.col("rep").isNull(), "rep", "cls")).alias("first"))
+    merged = labelled.join(least, "label").select("cls", "least", (F.col("cls") == F.col("first.cls")).alias("first"))
+    by_class = classes.select("cls", "rep").join(merged, "cls", "left").select("cls", F.coalesce("least", "rep").alias("component_id"), F.coalesce("first", F.lit(True)).alias("first"))
     out = sig.drop("bands").join(by_class, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return (out.withColumn("component_id", component)
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select("doc_id", "n_shingles", "cls", "component_id", "kept"))
+            .select("doc_id", "n_shingles", "cls", "component_id", "kept", (F.col("kept") & F.coalesce("first", F.lit(True))).alias("stays")))
+
+
+def _classed(rows: DataFrame) -> DataFrame:
+    """Adds cls to (row, words)."""
+    def run(batches):
+        for batch in text_slices(batches, 1):
+            digests = [_digest(s) for s in _sets(*shingle_hashes(batch.column(1)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], names=["row", "words", "cls"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("cls", T.BinaryType())]))
 
 
 def kept_rows(docs: DataFrame, pct: int = SIMILARITY_PCT) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each group, with their columns.
-    Rows that share id and text count once; rows without words stay."""
-    ids = (near_duplicates(docs, pct).where("kept").groupBy("doc_id")
-           .agg(F.count("cls").alias("full")).withColumnRenamed("doc_id", "kept_id"))
-    ids = staged(ids, "kept")
+    """The rows of ``docs`` that stay, one of each group, with their columns;
+    rows without words stay. An id that only one row has decides for it; of
+    rows that share an id or have none, the class decides, and of a class's
+    rows the one with the least text stays."""
+    marked = staged(near_duplicates(docs, pct).select("doc_id", "cls", "stays"), "marked")
+    ids = staged(marked.groupBy("doc_id").agg(F.count("*").alias("shared"), F.max("stays").alias("stays")).where("stays")
+                 .select(F.col("doc_id").alias("kept_id"), "shared"), "kept")
+    own = staged(marked.where("stays and cls is not null").select(F.col("doc_id").alias("own_id"), F.col("cls").alias("own_cls")).distinct()
+                 .join(ids.where("shared > 1"), F.col("own_id").eqNullSafe(F.col("kept_id"))).select("own_id", "own_cls"), "kept-classes")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row).join(ids, F.col("row.doc_id").eqNullSafe(F.col("kept_id"))).select("row", "full")
-    once = rows.where("full <= 1").select("row")
-    with_words = F.coalesce(F.col("row.text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    repeated = rows.where("full > 1")
-    again = (repeated.where(with_words).select("row", F.col("row.doc_id").alias("id"), F.col("row.text").alias("words"))
-             .dropDuplicates(["id", "words"]).select("row"))
-    out = once.union(repeated.where(~with_words).select("row")).union(again)
+    rows = docs.select(row).join(ids, F.col("row.doc_id").cast("long").eqNullSafe(F.col("kept_id"))).select("row", "shared")
+    once = rows.where("shared = 1").select("row")
+    again = _classed(rows.where("shared > 1").select("row", F.col("row.text").cast("string").alias("words")))
+    first = Window.partitionBy("own_id", "own_cls").orderBy("words")
+    least = (again.join(own, F.col("row.doc_id").cast("long").eqNullSafe(F.col("own_id")) & (F.col("cls") == F.col("own_cls")))
+             .withColumn("place", F.row_number().over(first)).where("place = 1").select("row"))
+    out = once.union(again.where("cls is null").select("row")).union(least)
     return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

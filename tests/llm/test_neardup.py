@@ -80,3 +80,15 @@ def test_hub_copies_and_shared_passage(spark):
     for k in range(80):
         docs.append((2000 + k, " ".join([rnd.choice(vocab) for _ in range(rnd.randint(5, 60))] + passage)))
     check(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))
+
+
+def test_one_row_of_each_group_stays_where_ids_repeat_or_are_null(spark):
+    text = {x: " ".join(f"{x}{i}" for i in range(60)) for x in "abcd"}
+    docs = [(3, text["a"]), (8, text["a"] + " more"), (8, text["b"]), (9, text["b"] + " more"), (None, text["c"]), (None, text["c"] + " more"),
+            (None, text["c"].upper()), (None, text["a"] + " and"), (8, text["d"]), (8, text["d"] + " more"), (8, ""), (None, None), (1, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in neardup.kept_rows(df).collect()]
+    words = [t for _, t in kept if t]
+    assert {(i, t) for i, t in kept if not t} == {(8, ""), (None, None), (1, "")} and len(kept) == 7
+    assert sorted(t[0].lower() for t in words) == ["a", "b", "c", "d"]
+    assert (3, text["a"]) in kept and (8, text["b"]) in kept
