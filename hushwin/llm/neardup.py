@@ -28,7 +28,7 @@ from hushwin.llm.graph import components
 
 SHINGLE = 5
 SIMILARITY_PCT = 75
-BANDS = 32          # of two permutations, four values each: a pair at the threshold is missed with (1 - 0.75**4)**32 < 6e-6
+BANDS = 32          # of two permutations, four values each: a pair at the threshold is missed with (1 - 0.75**4)**32 < 6e-6 if large, with up to 0.75**32 = 1.0e-4 if small
 SEED = 20
 
 _rng = np.random.default_rng(SEED)
