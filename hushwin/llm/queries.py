@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushwin.llm import langid, mixing, neardup, packing, pii, quality, render, topk, toxicity, urls
+from hushwin.llm import divergence, langid, mixing, neardup, packing, pii, quality, render, resample, topk, toxicity, urls
 from hushwin.llm.common import table
 
 
@@ -58,9 +58,18 @@ def op10_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_norm_bucketed_top_k, op2_segment_toxicity, op3_host_reputation, op4_rank_order_language, op5_power_of_two_packing,
-    op6_capped_water_filling, op7_layout_rendering, op8_weak_supervision_quality, op9_crf_personal_data, op10_minmax_near_duplicates)}
+    op6_capped_water_filling, op7_layout_rendering, op8_weak_supervision_quality, op9_crf_personal_data, op10_minmax_near_duplicates,
+    op11_source_divergence, op13_importance_resampling)}
 
 _OP1 = """
 WITH v AS (
@@ -159,8 +168,81 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+_OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+t AS (SELECT row, lang, source, unnest(terms) AS term FROM d),
+v AS (SELECT lang, term, count(*) AS lang_n FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+sizes AS (SELECT lang, count(*) AS vocabulary, sum(lang_n) AS lang_total FROM v GROUP BY lang),
+c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN v ON v.lang = t.lang AND v.term = t.term GROUP BY ALL),
+totals AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+g AS (
+  SELECT a.lang, a.source, coalesce(total, 0) AS total, coalesce(vocabulary, 0) AS vocabulary, coalesce(lang_total, 0) AS lang_total
+  FROM (SELECT DISTINCT lang, source FROM d) a LEFT JOIN totals USING (lang, source) LEFT JOIN sizes USING (lang)),
+p AS (
+  SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n,
+         (1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.total + g.vocabulary)::HUGEINT)::BIGINT AS p,
+         (1 + 1000000000::HUGEINT * (v.lang_n + 1) // (g.lang_total + g.vocabulary)::HUGEINT)::BIGINT AS of_lang
+  FROM g JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+priced AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN priced ON priced.lang = a.lang AND priced.source = a.source AND priced.item = b.source),
+found AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, (p - of_lang) * (p - of_lang) // of_lang FROM p WHERE n > 0 AND p > of_lang),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+_OP13 = r"""
+WITH bits AS (
+  SELECT list(c ORDER BY i) AS crcs FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256))::BIGINT AS i))),
+d AS (
+  SELECT doc_id, row_number() OVER () AS row,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+b AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+w AS (SELECT row, unnest(words) AS word FROM d),
+distinct_words AS (SELECT DISTINCT word, lower(hex(encode(word))) AS h FROM (SELECT word FROM w UNION ALL SELECT word FROM b)),
+hashed AS (
+  SELECT word, xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(range(len(h) // 2), lambda i: (strpos('0123456789abcdef', h[2 * i + 1]) - 1) * 16 + strpos('0123456789abcdef', h[2 * i + 2]) - 1)),
+      lambda c, x: xor(c >> 8, crcs[1 + (xor(c, x) & 255)])), 4294967295) % 10000 AS bucket
+  FROM distinct_words, bits),
+f AS (SELECT row, bucket FROM w JOIN hashed USING (word)),
+s AS (SELECT bucket, count(*) AS s FROM f GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN hashed USING (word) GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)
+                                 / ((s + 1.0::DOUBLE) * ((SELECT coalesce(sum(t), 0) FROM t) + 10000))))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket)),
+weights AS (SELECT row, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM f JOIN gains USING (bucket) GROUP BY row),
+scored AS (
+  SELECT doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0) AS weight, row,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN weights USING (row)),
+ranks AS (
+  SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, row) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank
+FROM scored LEFT JOIN ranks USING (row)
+"""
+
 ORACLE = {
     "op1_norm_bucketed_top_k": _OP1,
     "op3_host_reputation": _OP3,
     "op6_capped_water_filling": _OP6,
+    "op11_source_divergence": _OP11,
+    "op13_importance_resampling": _OP13,
 }
