@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushwin.llm import divergence, langid, mixing, neardup, packing, pii, quality, render, resample, topk, toxicity, urls
-from hushwin.llm.common import table
+from hushwin.llm import divergence, langid, maxent, mixing, neardup, packing, pii, quality, render, resample, topk, toxicity, urls
+from hushwin.llm.common import crc32_mod, table
 
 
 def op1_norm_bucketed_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_maxent_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(table(spark, sf_dir, "documents"), crc32_mod("doc_id", 10) == 0)
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -69,7 +73,7 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_norm_bucketed_top_k, op2_segment_toxicity, op3_host_reputation, op4_rank_order_language, op5_power_of_two_packing,
     op6_capped_water_filling, op7_layout_rendering, op8_weak_supervision_quality, op9_crf_personal_data, op10_minmax_near_duplicates,
-    op11_source_divergence, op13_importance_resampling)}
+    op11_source_divergence, op12_maxent_language_model, op13_importance_resampling)}
 
 _OP1 = """
 WITH v AS (
