@@ -16,20 +16,21 @@ from hushwin.operators.watermark import first_reached, reached_end, window_of
 from hushwin.plans.stage import stage
 
 
+NO_WATERMARK = -(1 << 62)
+
+
 def idle_intervals(df: DataFrame, idle_ms: int, shard: str = "shard",
-                   bucket_ms: int | None = None) -> DataFrame:
+                   parts: int | None = None) -> DataFrame:
     """``(shard, idle_from_ms, idle_to_ms)`` for every quiet gap longer than
     ``idle_ms``; the gap after the last arrival is open (``idle_to_ms``
     null)."""
     if idle_ms <= 0:
         raise ValueError("idle timeout must be > 0")
-    order = [F.col("p"), F.col("seq")]
-    nxt = scan.following(df.select(shard, "p", "seq"), [shard], order, "p",
-                         scan.bucket(df, [shard], "p", bucket_ms), "_next")
-    gap = F.col("_next").isNull() | (F.col("_next") - F.col("p") > idle_ms)
-    return nxt.filter(gap).select(F.col(shard).alias("shard"),
-                                  (F.col("p") + idle_ms).alias("idle_from_ms"),
-                                  F.col("_next").alias("idle_to_ms"))
+    r = df.select(F.col(shard).alias("shard"), "p", "seq")
+    seen = scan.steps(r, ["shard"], ("p", "seq"), "p", lambda gap: gap, "_sum", "_prev", parts)
+    gaps = seen.filter(F.col("p") - F.col("_prev") > idle_ms).select("shard", (F.col("_prev") + idle_ms).alias("idle_from_ms"), F.col("p").alias("idle_to_ms"))
+    open_ = r.groupBy("shard").agg((F.max("p") + idle_ms).alias("idle_from_ms")).select("*", F.lit(None).cast("long").alias("idle_to_ms"))
+    return gaps.unionByName(open_)
 
 
 def idle_watermark(df: DataFrame, grid_ms: int, idle_ms: int, lateness_ms: int = 0,
@@ -82,7 +83,9 @@ def idle_watermark(df: DataFrame, grid_ms: int, idle_ms: int, lateness_ms: int =
         F.min(F.when(~F.col("_idle"), F.col("_wm"))).alias("_active"),
         F.max("_wm").alias("_all")).withColumn("_wm", F.coalesce("_active", "_all")),
         "idle-combined")
-    mono = scan.running_max(combined, [], [F.col("g")], "_wm", scan.bucket(combined, [], "g"), "wm_ms")
+    # Cells before the first watermark have none; the running maximum keeps it so.
+    mono = scan.running_max(combined.withColumn("_wm", F.coalesce("_wm", F.lit(NO_WATERMARK))), [], ["g"], "_wm", "wm_ms")
+    mono = mono.withColumn("wm_ms", F.when(F.col("wm_ms") > NO_WATERMARK, F.col("wm_ms")))
     return mono.select((F.col("g") * grid_ms).alias("grid_start_ms"), F.col("n_idle").cast("int").alias("n_idle"),
                        "wm_ms")
 

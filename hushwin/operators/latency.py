@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushwin.operators import clock, scan, watermark, windows
+from hushwin.operators import clock, idle, scan, watermark, windows
 from hushwin.plans.stage import stage
 
 
@@ -42,12 +42,11 @@ def hb_order():
 
 
 def projected_late_rows(proj: DataFrame, size_ms: int, lateness_ms: int,
-                        bucket_ms: int | None = None) -> DataFrame:
+                        parts: int | None = None) -> DataFrame:
     """Rows of a projected clock with the shard's watermark input before
     each (``max_before_ms``, over real and heartbeat times), the window
     bounds and ``is_late`` (real rows whose window had already closed)."""
-    seen = scan.running_max(proj, ["shard"], hb_order(), "s2", scan.bucket(proj, ["shard"], "p", bucket_ms),
-                            "max_before_ms", inclusive=False)
+    seen = scan.running_max(proj, ["shard"], hb_order(), "s2", "max_before_ms", inclusive=False, parts=parts)
     ws, we = watermark.window_of(size_ms)
     late = F.col("is_real") & F.coalesce(
         F.col("window_end_ms") <= F.col("max_before_ms") - F.lit(lateness_ms), F.lit(False))
@@ -62,15 +61,17 @@ def projected_closing(proj: DataFrame, size_ms: int, lateness_ms: int) -> DataFr
 
 def heartbeat_window_close(reals: DataFrame, size_ms: int, lateness_ms: int, idle_ms: int,
                            keys: Sequence[str] = ("shard", "key"), extra_ticks: int = 0,
-                           bucket_ms: int | None = None, origin_ms: int = 0) -> DataFrame:
+                           parts: int | None = None, origin_ms: int | None = 0) -> DataFrame:
     """The heartbeat job on a bounded trace: project event time with
     heartbeats, take the shard's watermark over real and heartbeat times,
     drop real rows whose window had closed, reduce keep-max per key and
     window, and report when each window closed (``close_ms``, the arrival
-    at which the projected watermark reached ``end + L``). ``bucket_ms``
-    forces the bucket width of the clock's ordered scans."""
+    at which the projected watermark reached ``end + L``). The heartbeat
+    source starts at ``origin_ms`` (null: the day of the least arrival)."""
+    if origin_ms is None:
+        origin_ms = clock.day_origin(reals)
     # The projected trace is read twice below: stage it once.
-    proj = stage(clock.projected_clock(reals, idle_ms, extra_ticks=extra_ticks, sub_ms=bucket_ms, origin_ms=origin_ms), "projected")
+    proj = stage(clock.projected_clock(reals, idle_ms, extra_ticks=extra_ticks, parts=parts, origin_ms=origin_ms), "projected")
     ends = projected_closing(proj, size_ms, lateness_ms)
     rows = watermark.with_closing(proj.filter("is_real"), ends, size_ms, ["shard"], F.struct(*hb_order()))
     # A window of a shard has one closing arrival, so any row's will do.
@@ -93,7 +94,6 @@ def heartbeat_combined_replay(reals: DataFrame, size_ms: int, lateness_ms: int,
     dropped; the rest are reduced keep-max; ``close_ms`` is the emission
     that closed the window.
     """
-    from hushwin.operators import idle   # idle builds on this module's close_times
     proj = stage(clock.projected_clock(reals, idle_ms, extra_ticks=extra_ticks), "projected")
     progress = proj.select("shard", "p", F.col("s2").alias("t"))
     rows = proj.filter(F.col("is_real")).drop("is_real", "s2", "d", "reanchored")
@@ -102,7 +102,7 @@ def heartbeat_combined_replay(reals: DataFrame, size_ms: int, lateness_ms: int,
 
 
 def idle_close_replay(df: DataFrame, size_ms: int, idle_ms: int, lateness_ms: int = 0,
-                      key: str = "key", bucket_ms: int | None = None) -> DataFrame:
+                      key: str = "key", parts: int | None = None) -> DataFrame:
     """The idle-close job on a replay whose processing time is the arrival
     time ``p`` (one row per micro-batch).
 
@@ -118,20 +118,14 @@ def idle_close_replay(df: DataFrame, size_ms: int, idle_ms: int, lateness_ms: in
     if size_ms <= 0 or idle_ms <= 0 or lateness_ms < 0:
         raise ValueError("size and idle must be > 0, lateness >= 0")
     part = [key]
-    order = [F.col("p"), F.col("seq")]
-    bk = scan.bucket(df, part, "p", bucket_ms)
-    x = scan.previous(df, part, order, "p", bk, "_prev_p")
-    x = stage(x, "idle-close-prev")  # each nested two-level scan reads its input twice
-    x = x.withColumn("_new", F.when(F.col("_prev_p").isNull() | (F.col("p") - F.col("_prev_p") >= idle_ms), 1)
-                     .otherwise(0))
-    x = scan.running_sum(x, part, order, "_new", bk, "_burst")
-    x = stage(x, "idle-close-bursts")
+    x = scan.steps(df.select(*dict.fromkeys((key, "key", "value", "p", "seq", "t"))), part, ("p", "seq"), "p",
+                   lambda gap: gap >= idle_ms, "_burst", parts=parts)
     # One row per (key, burst), bounded by time span / idle: the largest
     # event time of all earlier bursts.
     wb = Window.partitionBy(key).orderBy("_burst").rowsBetween(Window.unboundedPreceding, -1)
     bursts = (x.groupBy(key, "_burst").agg(F.max("t").alias("_bmax"), F.max("p").alias("_bend"))
                .select(key, "_burst", "_bend", F.max("_bmax").over(wb).alias("_prior")))
-    arrival = F.struct(*order)
+    arrival = F.struct("p", "seq")
     ends = watermark.closing(df, size_ms, lateness_ms, part, arrival)
     x = watermark.with_closing(x.join(bursts, on=[key, "_burst"], how="inner"), ends, size_ms, part, arrival)
     timed_out = watermark.reached_end(F.col("_prior"), size_ms) + F.lit(size_ms)

@@ -29,14 +29,13 @@ def shard_progress(reals: DataFrame, size_ms: int, lateness_ms: int, idle_ms: in
                       F.col("_last.s2").alias("last_projected_ms"), F.col("_last.d").alias("last_offset_ms"))
 
 
-def lateness_histogram(df: DataFrame, class_ms: int, shard: str = "shard", bucket_ms: int | None = None) -> DataFrame:
+def lateness_histogram(df: DataFrame, class_ms: int, shard: str = "shard", parts: int | None = None) -> DataFrame:
     """Per shard, how far rows arrive behind the largest event time before
     them: ``late_from_ms`` (multiples of ``class_ms``; 0 holds the rows that
     are not behind) and ``n_rows``. It says which lateness L a shard needs."""
     if class_ms <= 0:
         raise ValueError("class width must be > 0")
-    seen = scan.running_max(df.select(shard, "p", "seq", "t"), [shard], (F.col("p"), F.col("seq")), "t",
-                            scan.bucket(df, [shard], "p", bucket_ms), "_before", inclusive=False)
+    seen = scan.running_max(df.select(shard, "p", "seq", "t"), [shard], ("p", "seq"), "t", "_before", inclusive=False, parts=parts)
     behind = F.greatest(F.coalesce(F.col("_before") - F.col("t"), F.lit(0)), F.lit(0))
     return (seen.select(F.col(shard).alias("shard"), (behind - F.pmod(behind, F.lit(int(class_ms)))).alias("late_from_ms"))
             .groupBy("shard", "late_from_ms").agg(F.count(F.lit(1)).alias("n_rows")))

@@ -55,19 +55,18 @@ def start_position(df: DataFrame, offset: str | int, time_ms: str = "t",
 
 
 def round_robin(df: DataFrame, n: int, shard: str = "shard", order: Sequence = ("p", "seq"),
-                bucket_ms: int | None = None, offset: str | None = None,
+                parts: int | None = None, offset: str | None = None,
                 out: str = "out_partition") -> DataFrame:
     """Deal each source shard's records to ``n`` outputs in turn.
 
     Source shard ``i`` starts at output ``i`` and sends its k-th record
     (k = 1, 2, ...) to ``(i + k) % n``. With a consecutive per-shard offset
     (a Kafka offset), ``k = offset + 1`` needs no ordering at all; otherwise
-    ``k`` is the arrival rank, from a bucketed two-level scan.
+    ``k`` is the arrival rank, from a range-dealt scan.
     """
     if n <= 0:
         raise ValueError("n must be positive")
     if offset is not None:
         return df.withColumn(out, F.pmod(F.col(shard) + F.col(offset) + 1, F.lit(n)).cast("int"))
-    order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranked = scan.row_number(df, [shard], order_cols, scan.bucket(df, [shard], order_cols[0], bucket_ms), "_k")
+    ranked = scan.row_number(df, [shard], order, "_k", parts)
     return ranked.withColumn(out, F.pmod(F.col(shard) + F.col("_k"), F.lit(n)).cast("int")).drop("_k")

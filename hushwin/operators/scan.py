@@ -1,169 +1,207 @@
 """Ordered scans within a partition key that never put one key in one task.
 
-A running maximum, running sum, row number, previous value or next value
-over ``partitionBy(shard).orderBy(arrival)`` is the natural way to write a
+A running maximum, running sum, row number or previous value over
+``partitionBy(shard).orderBy(arrival)`` is the natural way to write a
 watermark or a gap test, but it sends every row of a shard to one task, and
-a hot shard may hold a third of all rows. These helpers split each key by a
-*bucket* column that grows with the order (for instance arrival time
-floored to an hour) and scan in two levels:
-
-1. one summary row per (key, bucket) from a plain aggregate (``max``,
-   ``sum``, ``min``): partial aggregation runs map-side, so only summaries
-   cross the network;
-2. a scan over the summaries, whose count is bounded by time span / bucket
-   width, not by data volume;
-3. a local scan over ``partitionBy(key, bucket).orderBy(order)``: one
-   exchange of the rows, each task holds one bucket of one key, and the
-   prefix of step 2 joins in on (key, bucket) as a small side.
-
-The input is read twice (once for the summaries, once for the rows); pass a
-cheap input (a scan with projections) or a materialized one
-(``hushwin.plans.stage``).
-
-There is one plan at every size: one small aggregate (rows and time span
-per key) sizes the buckets (``width``). The width is an average, so a burst
-of one key within less than a bucket's time still shares a task.
-
-The bucket must be a non-decreasing function of the order within a key; the
-order must be total (include a unique tie-breaker) for results to be
-deterministic under task retries.
+a hot shard may hold a third of all rows. Here the rows are dealt by range
+instead:
+
+1. ``repartitionByRange`` on (key, order). Spark samples the data for the
+   boundaries, so a hot key, or a burst of one instant, is cut into as many
+   parts as its rows need; the order ends with a unique tie-breaker, so any
+   two rows can be parted.
+2. One pass over each sorted part, in Arrow batches, adds the local scan
+   columns. A *segment* is the rows of one key in one part. The result is
+   written once (``hushwin.plans.stage``).
+3. Only a key that crosses from one part into the next needs a carry, and
+   only a part's first segment can receive one. The ends of each part's
+   first and last segment, two rows a part, go to the driver, which adds
+   them up; the carries, at most one row a part, are broadcast back.
+
+One exchange of the rows, whatever is computed, at every size. The part
+count is ``spark.sql.shuffle.partitions`` unless given.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-BK = "_bk"
-TARGET_ROWS = 2_000_000          # rows per (key, bucket) the automatic width aims at
-DEFAULT_WIDTH = 86_400_000       # width when the input is empty
-
-
-def width(df: DataFrame, part: Sequence[str], col: str, bucket_ms: int | None = None,
-          target_rows: int | None = None) -> int:
-    """The bucket width: ``bucket_ms`` when given, else sized from the data.
-
-    One small aggregate (rows and time span per key) picks the width at
-    which the densest key holds about ``target_rows`` rows per bucket on
-    average, so a key with a third of all rows is split into proportionally
-    many buckets. Only non-empty buckets produce summary rows, so sparse
-    keys stay cheap. The driver receives one number.
-    """
-    if bucket_ms is not None:
-        if bucket_ms <= 0:
-            raise ValueError("bucket width must be > 0")
-        return int(bucket_ms)
-    target_rows = target_rows or TARGET_ROWS
-    stats = [F.count(F.lit(1)).alias("_rows_"), (F.max(col) - F.min(col) + 1).alias("_span_")]
-    per_key = df.groupBy(*part).agg(*stats) if part else df.agg(*stats)
-    w = per_key.agg(F.min(F.col("_span_") * F.lit(target_rows) / F.col("_rows_")).alias("w")).first()["w"]
-    if w is None:
-        return DEFAULT_WIDTH
-    return int(max(1, w))
-
-
-def bucket(df: DataFrame, part: Sequence[str], col: str | Column, bucket_ms: int | None = None) -> Column:
-    """The bucket column for a scan of ``df``, as wide as ``width`` says."""
-    return bucket_of(col, width(df, part, col, bucket_ms))
-
-
-def bucket_of(col: str | Column, width: int) -> Column:
-    """Floor ``col / width``: the bucket of a millisecond column."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.floor(c / F.lit(int(width))).cast("long")
-
-
-def _window(part: Sequence[str]):
-    return Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))
-
-
-def _with_bucket(df: DataFrame, bucket: Column) -> DataFrame:
-    return df.withColumn(BK, bucket)
-
-
-def _prefix(df: DataFrame, part: Sequence[str], order: Sequence, value: str | Column,
-            bucket: Column | None, out: str, agg: str, inclusive: bool) -> DataFrame:
-    part = list(part)
-    v = F.col(value) if isinstance(value, str) else value
-    fn = {"max": F.max, "sum": F.sum}[agg]
-    if bucket is None:
-        w = _window(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-        res = fn(v).over(w)
-        return df.withColumn(out, res if agg == "max" else F.coalesce(res, F.lit(0)))
-    b = _with_bucket(df, bucket).withColumn("_v", v)
-    summ = b.groupBy(*part, BK).agg(fn("_v").alias("_tot"))
-    prior = _window(part).orderBy(BK).rowsBetween(Window.unboundedPreceding, -1)
-    summ = summ.select(*part, BK, fn("_tot").over(prior).alias("_pre"))
-    wl = Window.partitionBy(*part, BK).orderBy(*order)
-    local = wl.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    j = b.join(summ, on=[*part, BK], how="inner")
-    x = j.withColumn("_loc", fn("_v").over(local))
-    if agg == "max":
-        res = F.greatest(F.col("_pre"), F.col("_loc"))
-    else:
-        res = F.coalesce(F.col("_pre"), F.lit(0)) + F.coalesce(F.col("_loc"), F.lit(0))
-    return x.withColumn(out, res).drop("_v", "_loc", "_pre", BK)
-
-
-def running_max(df: DataFrame, part: Sequence[str], order: Sequence, value: str | Column,
-                bucket: Column | None, out: str, inclusive: bool = True) -> DataFrame:
-    """``max(value)`` over the rows up to this one (or strictly before it)."""
-    return _prefix(df, part, order, value, bucket, out, "max", inclusive)
-
-
-def running_sum(df: DataFrame, part: Sequence[str], order: Sequence, value: str | Column,
-                bucket: Column | None, out: str, inclusive: bool = True) -> DataFrame:
-    """``sum(value)`` over the rows up to this one (nulls count as 0)."""
-    return _prefix(df, part, order, value, bucket, out, "sum", inclusive)
-
-
-def row_number(df: DataFrame, part: Sequence[str], order: Sequence, bucket: Column | None,
-               out: str) -> DataFrame:
+from pyspark.sql import types as T
+
+from hushwin.plans.stage import stage
+
+#: Columns that the pass adds.
+PART, SEGMENT, LOCAL, PREVIOUS, HEAD, EDGE = "_part", "_segment", "_local", "_previous", "_head", "_edge"
+_ADDED = T.StructType([T.StructField(SEGMENT, T.LongType()), T.StructField(LOCAL, T.LongType()),
+                       T.StructField(PREVIOUS, T.LongType()), T.StructField(HEAD, T.LongType()), T.StructField(EDGE, T.BooleanType())])
+#: A running maximum before any row.
+_LOWEST = np.iinfo(np.int64).min
+
+Step = Callable[[np.ndarray], np.ndarray]
+
+
+def part_count(spark: SparkSession, parts: int | None = None) -> int:
+    if parts is not None and parts <= 0:
+        raise ValueError("parts must be > 0")
+    return parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _segment_sum(x: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Running sums of ``x`` that begin anew at every row of ``start``."""
+    total = np.cumsum(x)
+    heads = np.flatnonzero(start)
+    return total - np.repeat(total[heads] - x[heads], np.diff(np.append(heads, len(x))))
+
+
+def _segment_max(x: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Running maxima of ``x`` that begin anew at every row of ``start``."""
+    heads = np.flatnonzero(start)
+    low, high = int(x.min()), int(x.max())
+    if (high - low + 1) * len(heads) < 1 << 62:      # later segments lifted above earlier ones
+        lift = (np.cumsum(start) - 1) * (high - low + 1)
+        return np.maximum.accumulate(x - low + lift) - lift + low
+    return np.concatenate([np.maximum.accumulate(p) for p in np.split(x, heads[1:])])
+
+
+class _Pass:
+    """The local pass over one sorted part, batch by batch."""
+
+    def __init__(self, keys: list[int], value: int | None, kind: str, step: Step | None):
+        self.keys, self.value, self.kind, self.step = keys, value, kind, step
+        self.last: pa.RecordBatch | None = None      # the row before
+        self.segment, self.local, self.value_before, self.head = -1, 0, 0, 0
+
+    def _changes(self, rows: pa.RecordBatch) -> np.ndarray:
+        """Whether each row after the first has another key than the one before it."""
+        out = np.zeros(rows.num_rows - 1, bool)
+        for k in self.keys:
+            codes = rows.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            out |= codes[1:] != codes[:-1]
+        return out
+
+    def rows(self, body: pa.RecordBatch, following: pa.RecordBatch | None) -> list[pa.Array]:
+        """The added columns of ``body``; ``following`` is the row after it."""
+        n = body.num_rows
+        near = [b for b in (self.last, body, following) if b is not None]
+        changes = self._changes(_joined(near))
+        first = self.last is None
+        start = np.concatenate(([True], changes[:n - 1])) if first else changes[:n]
+        end = np.append(changes, True)[-n:] if following is None else changes[-n:]
+        segment = self.segment + np.cumsum(start)
+        v = np.ones(n, np.int64) if self.value is None else body.column(self.value).cast(pa.int64()).to_numpy(zero_copy_only=False).astype(np.int64)
+        begin = start.copy()
+        begin[0] = True
+        carried = not start[0]
+        if self.kind == "max":
+            x = v.copy()
+            if carried:
+                x[0] = max(x[0], self.local)
+            local = _segment_max(x, begin)
+            before = np.concatenate(([self.local], local[:-1]))
+        else:
+            before = np.concatenate(([self.value_before], v[:-1]))
+            x = v if self.step is None else np.where(start, 0, self.step(v - before))
+            x = x.astype(np.int64)
+            if carried:
+                x[0] += self.local
+            local = _segment_sum(x, begin)
+        heads = np.flatnonzero(begin)
+        head = np.repeat(np.concatenate(([self.head if carried else v[0]], v[heads[1:]])), np.diff(np.append(heads, n)))
+        edge = end & (segment == 0)
+        edge[-1] |= following is None
+        self.last, self.segment, self.local, self.value_before, self.head = body.slice(n - 1), int(segment[-1]), int(local[-1]), int(v[-1]), int(head[-1])
+        return [pa.array(segment), pa.array(local), pa.array(before, mask=start), pa.array(head), pa.array(edge)]
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    if len(batches) == 1:
+        return batches[0]
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
+def _scanned(df: DataFrame, part: Sequence[str], order: Sequence[Column], kind: str, value: str | None, step: Step | None, parts: int | None) -> DataFrame:
+    """The rows, dealt and staged, with the local columns and the part."""
+    names = df.columns
+    keys, at = [names.index(k) for k in part], None if value is None else names.index(value)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        local, tail, schema = _Pass(keys, at, kind, step), None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = _joined([batch] if tail is None else [tail, batch])
+            body, tail, schema = rows.slice(0, rows.num_rows - 1), rows.slice(rows.num_rows - 1), schema or [*rows.schema.names, *_ADDED.names]
+            if body.num_rows:
+                yield pa.RecordBatch.from_arrays([*body.columns, *local.rows(body, tail)], names=schema)
+        if tail is not None:
+            yield pa.RecordBatch.from_arrays([*tail.columns, *local.rows(tail, None)], names=schema)
+
+    by = [*[F.col(k) for k in part], *order]
+    dealt = df.repartitionByRange(part_count(df.sparkSession, parts), *by).sortWithinPartitions(*by).withColumn(PART, F.spark_partition_id())
+    return stage(dealt.mapInArrow(run, T.StructType([*dealt.schema.fields, *_ADDED.fields])), "scanned")
+
+
+def _carries(rows: DataFrame, part: Sequence[str], kind: str, value: str | None, step: Step | None) -> list[tuple[int, int, int]]:
+    """(part, carry, value before) of every part whose first key began in an earlier part."""
+    last = F.lit(0).cast("long") if value is None else F.col(value).cast("long")
+    ends = rows.where(EDGE).select(F.col(PART), SEGMENT, HEAD, LOCAL, last.alias("_last"), F.struct(*part).alias("_key") if part else F.lit(0).alias("_key")).collect()
+    out, key, total, before = [], None, 0, 0
+    for e in sorted(ends, key=lambda e: (e[PART], e[SEGMENT])):
+        if e[SEGMENT] > 0 or e["_key"] != key or key is None:
+            total, carry = (_LOWEST if kind == "max" else 0), None
+        else:
+            carry = total
+            if step is not None:
+                carry += int(step(np.array([e[HEAD] - before]))[0])
+            out.append((e[PART], carry, before))
+        own = e[LOCAL]
+        total = max(total, own) if kind == "max" else (carry if carry is not None else 0) + own
+        key, before = e["_key"], e["_last"]
+    return out
+
+
+def _finished(rows: DataFrame, carries: list[tuple[int, int, int]]) -> DataFrame:
+    """Adds ``_carry`` and ``_before`` (null where a segment has no earlier one)."""
+    carry = rows.sparkSession.createDataFrame(carries, "_c_part int, _carry long, _before long")
+    return rows.join(F.broadcast(carry), (F.col(PART) == F.col("_c_part")) & (F.col(SEGMENT) == 0), "left")
+
+
+def _scan(df, part, order, kind, value, step, parts, columns: dict[str, Column]) -> DataFrame:
+    part, order = list(part), [F.col(c) if isinstance(c, str) else c for c in order]
+    rows = _scanned(df, part, order, kind, value, step, parts)
+    done = _finished(rows, _carries(rows, part, kind, value, step))
+    return done.select(*df.columns, *[c.alias(name) for name, c in columns.items()])
+
+
+def running_max(df: DataFrame, part: Sequence[str], order: Sequence, value: str, out: str,
+                inclusive: bool = True, parts: int | None = None) -> DataFrame:
+    """``max(value)`` over the rows up to this one (or strictly before it).
+    ``value`` is a long column without nulls."""
+    return _scan(df, part, order, "max", value, None, parts, {out: F.greatest(LOCAL if inclusive else PREVIOUS, "_carry")})
+
+
+def running_sum(df: DataFrame, part: Sequence[str], order: Sequence, value: str, out: str, parts: int | None = None) -> DataFrame:
+    """``sum(value)`` over the rows up to this one."""
+    return _scan(df, part, order, "sum", value, None, parts, {out: F.col(LOCAL) + F.coalesce("_carry", F.lit(0))})
+
+
+def row_number(df: DataFrame, part: Sequence[str], order: Sequence, out: str, parts: int | None = None) -> DataFrame:
     """1-based position of each row within its key."""
-    return _prefix(df, part, order, F.lit(1).cast("long"), bucket, out, "sum", True)
-
-
-def _neighbour(df: DataFrame, part: Sequence[str], order: Sequence, value: str | Column,
-               bucket: Column | None, out: str, forward: bool) -> DataFrame:
-    part = list(part)
-    order = [F.col(c) if isinstance(c, str) else c for c in order]
-    v = F.col(value) if isinstance(value, str) else value
-    if bucket is None:
-        w = _window(part).orderBy(*order)
-        return df.withColumn(out, F.lead(v).over(w) if forward else F.lag(v).over(w))
-    b = _with_bucket(df, bucket).withColumn("_v", v)
-    # The value carried over a bucket edge: first (for lead) or last (for
-    # lag) in order. When it is the leading order column itself, a plain
-    # min/max finds it (hash aggregate); otherwise min_by/max_by.
-    lead_col = order[0]
-    if isinstance(value, str) and str(lead_col) == str(F.col(value)):
-        edge = F.min("_v") if forward else F.max("_v")
-    else:
-        o = F.struct(*order)
-        edge = F.min_by("_v", o) if forward else F.max_by("_v", o)
-    summ = b.groupBy(*part, BK).agg(edge.alias("_edge"))
-    wb = _window(part).orderBy(BK)
-    carried = F.lead("_edge").over(wb) if forward else F.lag("_edge").over(wb)
-    summ = summ.select(*part, BK, carried.alias("_carry"))
-    j = b.join(summ, on=[*part, BK], how="inner")
-    wl = Window.partitionBy(*part, BK).orderBy(*order)
-    near = F.lead("_v").over(wl) if forward else F.lag("_v").over(wl)
-    pos = F.row_number().over(wl)
-    is_edge = (pos == F.count(F.lit(1)).over(wl.rowsBetween(Window.unboundedPreceding,
-                                                             Window.unboundedFollowing))) if forward else pos == 1
-    res = F.when(is_edge, F.col("_carry")).otherwise(near)
-    return j.withColumn(out, res).drop("_v", "_carry", BK)
-
-
-def previous(df: DataFrame, part: Sequence[str], order: Sequence, value: str | Column,
-             bucket: Column | None, out: str) -> DataFrame:
-    """``lag(value)`` within the key, across bucket boundaries."""
-    return _neighbour(df, part, order, value, bucket, out, forward=False)
-
-
-def following(df: DataFrame, part: Sequence[str], order: Sequence, value: str | Column,
-              bucket: Column | None, out: str) -> DataFrame:
-    """``lead(value)`` within the key, across bucket boundaries."""
-    return _neighbour(df, part, order, value, bucket, out, forward=True)
+    return _scan(df, part, order, "sum", None, None, parts, {out: F.col(LOCAL) + F.coalesce("_carry", F.lit(0))})
+
+
+def steps(df: DataFrame, part: Sequence[str], order: Sequence, value: str, step: Step, total: str,
+          previous: str | None = None, parts: int | None = None) -> DataFrame:
+    """``previous``: the value of the row before within the key (null for its
+    first row). ``total``: the sum of ``step(value - previous)`` over the
+    rows up to this one, the first counting 0. ``step`` maps an array of
+    differences to an array of whole numbers."""
+    columns = {total: F.col(LOCAL) + F.coalesce("_carry", F.lit(0))}
+    if previous:
+        columns[previous] = F.coalesce(PREVIOUS, "_before")
+    return _scan(df, part, order, "sum", value, step, parts, columns)

@@ -8,9 +8,8 @@ already closed before it arrived: ``e <= max(event time before it) - L``.
 
 Whether a row is late needs no ordered scan: a row is late exactly when
 the arrival that closed its window came before it (``closing``). Only the
-operators that return the running maximum itself form it, as a two-level
-bucketed scan (``hushwin.operators.scan``), which splits a hot shard by
-arrival time.
+operators that return the running maximum itself form it, by a range-dealt
+scan (``hushwin.operators.scan``), which splits a hot shard or a burst.
 """
 
 from __future__ import annotations
@@ -38,20 +37,19 @@ def window_of(size_ms: int, t: str = "t"):
 
 
 def bounded_watermark(df: DataFrame, lateness_ms: int, shard: str = "shard",
-                      bucket_ms: int | None = None) -> DataFrame:
+                      parts: int | None = None) -> DataFrame:
     """Add ``wm_ms``: the shard's watermark right after each row."""
     _check(lateness_ms)
-    m = scan.running_max(df, [shard], _order(), "t", scan.bucket(df, [shard], "p", bucket_ms), "_max_t")
+    m = scan.running_max(df, [shard], _order(), "t", "_max_t", parts=parts)
     return m.withColumn("wm_ms", F.col("_max_t") - F.lit(lateness_ms) - 1).drop("_max_t")
 
 
 def late_rows(df: DataFrame, size_ms: int, lateness_ms: int, shard: str = "shard",
-              bucket_ms: int | None = None) -> DataFrame:
+              parts: int | None = None) -> DataFrame:
     """Add the window bounds, ``max_before_ms`` (largest event time that
     arrived earlier on the shard) and ``is_late``."""
     _check(lateness_ms)
-    m = scan.running_max(df, [shard], _order(), "t", scan.bucket(df, [shard], "p", bucket_ms),
-                         "max_before_ms", inclusive=False)
+    m = scan.running_max(df, [shard], _order(), "t", "max_before_ms", inclusive=False, parts=parts)
     ws, we = window_of(size_ms)
     m = m.select("*", ws, we)
     late = F.coalesce(F.col("window_end_ms") <= F.col("max_before_ms") - F.lit(lateness_ms), F.lit(False))

@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushwin.operators import scan
-from hushwin.plans.stage import stage
 
 RECORD_FIELDS = ("event_time_ms", "key", "value", "seq")
 
@@ -112,30 +111,24 @@ def reduce_max_by(df: DataFrame, size_ms: int, keys: Sequence[str] = ("key",),
 
 
 def session_ids(df: DataFrame, gap_ms: int, keys: Sequence[str] = ("key",),
-                bucket_ms: int | None = None) -> DataFrame:
-    """Assign gap-based sessions in event-time order per key.
+                parts: int | None = None) -> DataFrame:
+    """Assign gap-based sessions (0, 1, ..) in event-time order per key.
 
     A record opens a new session when it is at least ``gap_ms`` after the
     previous record of its key (Spark's ``session_window`` rule: a session
-    ``[first, last + gap)`` absorbs any record that starts inside it). The
-    ordered scan is split by event-time bucket (``scan``), so a hot key is
-    not one task.
+    ``[first, last + gap)`` absorbs any record that starts inside it). One
+    range-dealt scan counts the openings (``scan``), so a hot key is not one
+    task.
     """
     if gap_ms <= 0:
         raise ValueError("gap must be positive")
-    order = [F.col("t"), F.col("seq")]
-    bk = scan.bucket(df, keys, "t", bucket_ms)
-    prev = scan.previous(df, keys, order, "t", bk, "_prev_t")
-    prev = stage(prev, "session-prev")  # the next two-level scan reads its input twice
-    starts = prev.withColumn(
-        "_start", F.when(F.col("_prev_t").isNull() | (F.col("t") - F.col("_prev_t") >= gap_ms), 1).otherwise(0))
-    return scan.running_sum(starts, keys, order, "_start", bk, "session_id").drop("_prev_t", "_start")
+    return scan.steps(df, keys, ("t", "seq"), "t", lambda gap: gap >= gap_ms, "session_id", parts=parts)
 
 
 def session_keep_max(df: DataFrame, gap_ms: int, keys: Sequence[str] = ("key",),
-                     bucket_ms: int | None = None) -> DataFrame:
+                     parts: int | None = None) -> DataFrame:
     """Per key and gap session, the record kept by the max fold."""
-    s = session_ids(df, gap_ms, keys, bucket_ms)
+    s = session_ids(df.select(*dict.fromkeys((*keys, "key", "value", "p", "seq", "t"))), gap_ms, keys, parts)
     out = s.groupBy(*keys, "session_id").agg(
         F.min("t").alias("window_start_ms"), (F.max("t") + F.lit(gap_ms)).alias("window_end_ms"),
         keep_max_agg().alias("r"))

@@ -106,7 +106,6 @@ LATE_WINDOW_MS = HOUR_MS        # jittered replay: 1 h windows, 10 min out-of-or
 LATE_L_MS = 600_000
 CLOSE_L_MS = 60_000             # close latency: 1 h windows, 1 min out-of-orderness
 HB_IDLE_MS = 300_000            # decoupled replay: heartbeat / idle interval 5 min
-EPOCH_ORIGIN_MS = 1_704_067_200_000   # midnight (UTC) before the first event of the `events` table
 HB_WINDOW_MS = HOUR_MS
 HB_L_MS = 0
 GRID_MS = 300_000               # idle replay: 5 min grid, 20 min idle timeout
@@ -166,9 +165,9 @@ def q_heartbeat_min_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_heartbeat_epoch_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrivals on the epoch clock, with a heartbeat source that starts on
-    the stream's first day: ticks and events share one arrival axis."""
+    the day of the stream's first arrival: ticks and events share one axis."""
     return latency.heartbeat_window_close(tables.jittered(spark, sf_dir), HB_WINDOW_MS, HB_L_MS, HB_IDLE_MS,
-                                          origin_ms=EPOCH_ORIGIN_MS)
+                                          origin_ms=None)
 
 
 def q_lateness_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,12 +149,13 @@ ticks AS (
 # The clock, walked one row at a time per shard (the reference's own rule):
 # tick f: s2 = d + f; real t: if |t - s2| >= 3I then d += t - s2; s2 = t.
 # Then the watermark input before each row and late real rows (L = 0).
-def epoch_sql(idle: int, origin: int) -> str:
-    """Jittered rows and the ticks of a source that starts at ``origin``."""
+def epoch_sql(idle: int) -> str:
+    """Jittered rows and the ticks of a source that starts with the day of the first arrival."""
     return f"""{JITTERED},
+start AS (SELECT min(p) - min(p) % 86400000 AS origin FROM rec),
 ticks AS (
-  SELECT shard, -n AS seq, {origin} + n * {idle} AS p, n * {idle} AS t
-  FROM (SELECT shard, unnest(range(1, (max(p) - {origin}) // {idle} + 1)) AS n FROM rec GROUP BY shard))"""
+  SELECT shard, -n AS seq, origin + n * {idle} AS p, n * {idle} AS t
+  FROM (SELECT shard, origin, unnest(range(1, (max(p) - origin) // {idle} + 1)) AS n FROM rec, start GROUP BY shard, origin))"""
 
 
 def walk_sql(idle: int, size: int, source: str | None = None) -> str:
@@ -217,7 +218,7 @@ ORACLE["heartbeat_window_close"] = heartbeat_close_sql(300000, 3600000)
 # heartbeat / idle interval 30 s, L = 0.
 ORACLE["heartbeat_job_defaults"] = heartbeat_close_sql(30000, 10000)
 
-ORACLE["heartbeat_epoch_replay"] = heartbeat_close_sql(300000, 3600000, epoch_sql(300000, 1704067200000))
+ORACLE["heartbeat_epoch_replay"] = heartbeat_close_sql(300000, 3600000, epoch_sql(300000))
 
 ORACLE["lateness_histogram"] = f"""WITH {JITTERED},
 b AS (SELECT shard, greatest(coalesce(max(t) OVER (PARTITION BY shard ORDER BY p, seq
