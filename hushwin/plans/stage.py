@@ -27,15 +27,17 @@ from hushwin.session import checkpoint_root
 _OPEN = threading.local()
 
 
-def stage(df: DataFrame, name: str, folder: str = "stage", keep: bool = False) -> DataFrame:
+def stage(df: DataFrame, name: str, folder: str = "stage", keep: bool = False, by: str | None = None) -> DataFrame:
     """``df``, written once for several readers. ``keep``: the folder
-    belongs to the scope around the present one."""
+    belongs to the scope around the present one. ``by``: the column whose
+    values the files are parted by, for readers of one value."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/{folder}/{name}-{uuid.uuid4().hex}"
     scopes = getattr(_OPEN, "scopes", [])
     if len(scopes) > keep:
         scopes[-1 - keep].append(path)
-    df.write.mode("overwrite").parquet(path)
+    write = df.write.mode("overwrite")
+    (write.partitionBy(by) if by else write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
