@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushwin.session import checkpoint_root
+from hushwin.plans.stage import scope, stage
+
+__all__ = ["WORD", "crc32_mod", "runs", "scope", "staged", "table", "text_slices", "words"]
 
 #: Java and RE2 pattern of a word: a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,13 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, keep: bool = False, by: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, and
-    later steps do not depend on the executors that computed it."""
-    spark = df.sparkSession
-    path = f"{checkpoint_root(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    later steps do not depend on the executors that computed it. Inside a
+    ``scope`` the folder goes when the scope ends (``keep``: when the one
+    around it does)."""
+    return stage(df, name, "llm", keep, by)
 
 
 def crc32_mod(id_col: str, m: int) -> Column:

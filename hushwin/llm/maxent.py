@@ -42,7 +42,8 @@ UNITS = SIDE * SIDE
 OWN_CLASSES = 20            # classes of single tokens: the end (unit 0) and the most frequent ones
 PAIR_ROWS = 4096            # hashed features of the two nearest units
 ROWS = 3 * UNITS + PAIR_ROWS
-UNIT_ROWS = 8192            # hashed features (unit before, class), for each of three places
+UNIT_ROWS = 8192            # hashed features (unit before, class), for each place
+UNIT_PLACES = 2             # places that the unit within a class looks at: the n-gram and the nearest skip
 STEPS = 6
 DAMPING = 0.35
 PRIOR = 2.0                 # added to observed and expected counts
@@ -50,7 +51,8 @@ PRIOR = 2.0                 # added to observed and expected counts
 COMMON = 200_000
 COMMON_BYTES = 64
 SLICE = 16 << 20
-CHUNK = 1 << 15
+#: Tokens at a time: their outcome rows stay in a core's cache.
+CHUNK = 1 << 13
 #: Weight rows that are summed as one.
 BLOCK = 1024
 
@@ -128,7 +130,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 
 def encode(docs: DataFrame, voc: Vocabulary, held_out: Column) -> DataFrame:
-    """Per row: doc_id, held_out, step (of training), n_tokens, units, the
+    """Per row: doc_id, held_out, step (of training; -1: none), n_tokens, units, the
     common tokens' number and sum of log10(c + SMOOTH), and every other
     token with its number in the text."""
     shared = docs.sparkSession.sparkContext.broadcast(voc)
@@ -161,8 +163,9 @@ def encode(docs: DataFrame, voc: Vocabulary, held_out: Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(starts).astype(np.int64)), *lists],
                                              names=["doc_id", "held_out", "step", "n_tokens", "units", "n_common", "log_common", "rest", "rest_n"])
 
-    step = F.pmod(F.xxhash64("doc_id", "text"), F.lit(STEPS)).cast("int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), step.alias("step"), F.col("text").cast("string").alias("text"))
+    held = F.coalesce(held_out, F.lit(False))
+    step = F.when(held, F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc_id", "text"), F.lit(STEPS))).cast("int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), step.alias("step"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, step int, n_tokens long, units array<short>, n_common long, "
                                 "log_common double, rest array<string>, rest_n array<int>")
 
@@ -188,7 +191,7 @@ def class_features(before: list[np.ndarray]) -> list[np.ndarray]:
 
 def unit_features(before: list[np.ndarray], of_class: np.ndarray) -> list[np.ndarray]:
     """Rows of the weights of units within a class that are on."""
-    return [((b * SIDE + of_class) * 0x9E3779B1 >> 5) % UNIT_ROWS + k * UNIT_ROWS for k, b in enumerate(before)]
+    return [((b * SIDE + of_class) * 0x9E3779B1 >> 5) % UNIT_ROWS + k * UNIT_ROWS for k, b in enumerate(before[:UNIT_PLACES])]
 
 
 @dataclass
@@ -198,7 +201,7 @@ class Weights:
     base: np.ndarray                 # (class), log share
     base_unit: np.ndarray            # (class, unit), log share within the class
     by_class: np.ndarray = field(default_factory=lambda: np.zeros((ROWS, SIDE), np.float32))
-    by_unit: np.ndarray = field(default_factory=lambda: np.zeros((3 * UNIT_ROWS, SIDE), np.float32))
+    by_unit: np.ndarray = field(default_factory=lambda: np.zeros((UNIT_PLACES * UNIT_ROWS, SIDE), np.float32))
 
     @staticmethod
     def start(voc: Vocabulary) -> Weights:
@@ -243,18 +246,20 @@ def gradient_parts(w: Weights, units: np.ndarray, starts: np.ndarray, seen: np.n
     """Adds to ``seen`` and ``expected`` how often each feature met each
     outcome and how often the model expects it (class rows, then unit rows)."""
     before = contexts(units, starts)
+    of_class, unit = np.divmod(units, SIDE)
+    for f in class_features(before):
+        seen.reshape(-1)[:] += np.bincount(f * SIDE + of_class, minlength=seen.size)
+    for f in unit_features(before, of_class):
+        seen.reshape(-1)[:] += np.bincount((f + ROWS) * SIDE + unit, minlength=seen.size)
     for a in range(0, len(units), CHUNK):
-        of_class, unit = np.divmod(units[a:a + CHUNK], SIDE)
+        of_class = units[a:a + CHUNK] // SIDE
         near = [b[a:a + CHUNK] for b in before]
-        for base, table, features, outcome, shift in (
-                (w.base, w.by_class, class_features(near), of_class, 0),
-                (w.base_unit[of_class], w.by_unit, unit_features(near, of_class), unit, ROWS)):
+        for base, table, features, shift in (
+                (w.base, w.by_class, class_features(near), 0),
+                (w.base_unit[of_class], w.by_unit, unit_features(near, of_class), ROWS)):
             p = np.exp(_softmax(base, table, features))
             for f in features:
                 _add(expected[shift:shift + len(table)], f, p)
-                flat = (f + shift) * SIDE + outcome
-                at, n = np.unique(flat, return_counts=True)
-                seen.reshape(-1)[at] += n
 
 
 def gradient(encoded: DataFrame, w: Weights) -> tuple[np.ndarray, np.ndarray]:
@@ -262,7 +267,7 @@ def gradient(encoded: DataFrame, w: Weights) -> tuple[np.ndarray, np.ndarray]:
     rows; blocks of weight rows are summed where Spark deals them, one
     batch at a time; the driver gets one table, the size of the weights."""
     shared = encoded.sparkSession.sparkContext.broadcast(w)
-    rows = ROWS + 3 * UNIT_ROWS
+    rows = ROWS + UNIT_PLACES * UNIT_ROWS
 
     def run(batches):
         seen, expected = np.zeros((rows, SIDE), np.float64), np.zeros((rows, SIDE), np.float64)
@@ -312,7 +317,7 @@ def train(encoded: DataFrame, voc: Vocabulary, steps: int = STEPS) -> Weights:
     """One update from each step's share of the training rows, in turn."""
     w = Weights.start(voc)
     for step in range(steps):
-        w = updated(w, *gradient(encoded.where((F.col("step") == step) & ~F.col("held_out")), w))
+        w = updated(w, *gradient(encoded.where(F.col("step") == step), w))
     return w
 
 
@@ -342,7 +347,7 @@ def score(docs: DataFrame, held_out: Column, steps: int = STEPS) -> DataFrame:
     rows = docs.withColumn("_held", F.coalesce(held_out, F.lit(False)))
     counts = staged(token_counts(rows.where(~F.col("_held"))), "token-counts")
     voc = vocabulary(counts)
-    encoded = staged(encode(docs, voc, held_out).withColumn("row", F.monotonically_increasing_id()), "encoded")
+    encoded = staged(encode(docs, voc, held_out).withColumn("row", F.monotonically_increasing_id()), "encoded", by="step")
     w = train(encoded, voc, steps)
     scored = unit_scores(encoded, w, voc)
     each = encoded.where(F.size("rest") > 0).select("row", F.explode(F.arrays_zip("rest", "rest_n")).alias("t")).select("row", F.col("t.rest").alias("token"), F.col("t.rest_n").alias("n"))

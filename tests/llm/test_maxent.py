@@ -102,7 +102,7 @@ def test_gradient_by_brute_force():
     w = random_weights(voc)
     units = [voc.units(pa.array(tokens(t), pa.string()))[0] for t in texts]
     starts = np.concatenate(([0], np.cumsum([len(u) for u in units])))
-    seen = np.zeros((maxent.ROWS + 3 * maxent.UNIT_ROWS, maxent.SIDE))
+    seen = np.zeros((maxent.ROWS + maxent.UNIT_PLACES * maxent.UNIT_ROWS, maxent.SIDE))
     expected = seen.copy()
     maxent.gradient_parts(w, np.concatenate(units), starts, seen, expected)
     want, model = np.zeros_like(seen), np.zeros_like(seen)
