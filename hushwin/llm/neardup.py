@@ -6,10 +6,12 @@ evaluation. Bands of two permutations (four values) make candidates, full
 shingle sets confirm them, and confirmed links make components.
 
 Equal sets are one class, so exact copies cost one row after a map-side
-combine. A bucket's pairs are never listed: every member is compared with
-one pivot, the member that shares most buckets, and links are merged. For
-members still apart, an index on their rarest shingles finds every link that
-is left (see ``_open_links``).
+combine; classes are numbered, and only numbers are shuffled. A bucket's
+pairs are never listed: every member is compared with one pivot, the member
+that shares most buckets, and links are merged. For members still apart, an
+index on their rarest shingles finds every link that is left (see
+``_open_links``). Bands can miss a link between small sets, so all sets of
+few shingles go through that index, too, which misses none.
 """
 
 from __future__ import annotations
@@ -23,12 +25,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hushwin.llm.common import runs, staged, text_slices, words
+from hushwin.llm.common import runs, scope, staged, text_slices, words
 from hushwin.llm.graph import components
 
 SHINGLE = 5
 SIMILARITY_PCT = 75
-BANDS = 32          # of two permutations, four values each: a pair at the threshold is missed with (1 - 0.75**4)**32 < 6e-6 if large, with up to 0.75**32 = 1.0e-4 if small
+BANDS = 32          # of two permutations, four values each: a pair of large sets at the threshold is missed with (1 - 0.75**4)**32 < 6e-6
+#: Sets up to this size are all compared through the exact index.
+SMALL = 86
 SEED = 20
 
 _rng = np.random.default_rng(SEED)
@@ -108,17 +112,18 @@ def signatures(docs: DataFrame) -> DataFrame:
             .mapInArrow(run, "doc_id long, n_shingles long, cls binary, bands array<long>"))
 
 
-def _with_sets(docs: DataFrame) -> DataFrame:
-    """cls and the sorted shingle set of every row with words."""
+def _with_sets(texts: DataFrame) -> DataFrame:
+    """(cls, digest, text) to cls and its sorted shingle set, of the rows whose text has the digest."""
     def run(batches):
-        for batch in text_slices(batches, 0):
-            sets = [s for s in _sets(*shingle_hashes(batch.column(0))) if len(s)]
-            ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-            flat = np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()),
+        for batch in text_slices(batches, 2):
+            sets = _sets(*shingle_hashes(batch.column(2)))
+            own = [i for i, d in enumerate(batch.column(1).to_pylist()) if len(sets[i]) and _digest(sets[i]) == d]
+            ends = np.concatenate(([0], np.cumsum([len(sets[i]) for i in own]))).astype(np.int32)
+            flat = np.concatenate([sets[i] for i in own]).astype(np.int64) if own else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())),
                                               pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["cls", "set"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "cls binary, set array<long>")
+    return texts.mapInArrow(run, "cls long, set array<long>")
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -145,25 +150,43 @@ def _labelled(rows: DataFrame, labels: DataFrame, cls: str, label: str) -> DataF
             .withColumn(label, F.coalesce(label, cls)))
 
 
-def _links(members: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """(node, label) of the classes in shared buckets (bucket, cls, n, members) that have links."""
+def _links(members: DataFrame, small: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """(node, label) of the classes that have links. ``members``: the classes
+    in shared buckets (bucket, cls, n, members); ``small``: (cls, n) of all
+    small ones."""
     score = members.groupBy("cls").agg(F.sum("members").alias("score"))
     pivots = (members.join(score, "cls").groupBy("bucket").agg(F.max(F.struct("score", "cls", "n")).alias("p"))
               .select("bucket", F.col("p.cls").alias("pivot"), F.col("p.n").alias("pivot_n")))
-    level = staged(members.join(pivots, "bucket"), "members")
+    level = staged(members.join(pivots, "bucket").select("bucket", "cls", "n", "pivot", "pivot_n"), "members")
     star = level.where(F.col("cls") != F.col("pivot")).select(F.col("cls").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("n_a"), F.col("pivot_n").alias("n_b"))
     star = staged(_overlaps(star, sets), "pivot-overlaps")
     edges = star.where(_similar(F.col("n_a"), F.col("n_b"), F.col("common"), pct)).select("a", "b")
     labels = components(edges)
-    more = staged(_open_links(level, labels, sets, pct), "links")
+    more = staged(_open_links(_open(level, labels, small, pct), sets, pct), "links")
     if not more.limit(1).count():
         return labels
     return components(edges.union(more))
 
 
-def _open_links(level: DataFrame, labels: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """Links (a, b) between members of a bucket that the pivots left in
-    different components; complete, without listing a bucket's pairs.
+def _open(level: DataFrame, labels: DataFrame, small: DataFrame, pct: int) -> DataFrame:
+    """cls, n, label, least, outside of the classes that may have a link
+    left: those in a bucket that the pivots left in several components
+    (``outside``: not in the component of some such bucket's pivot; each open
+    pair of a bucket has such a member), and all small ones. ``least``: no
+    partner is smaller."""
+    rows = _labelled(_labelled(level, labels, "cls", "label"), labels, "pivot", "pivot_label")
+    mixed = (rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least"))
+             .where(F.col("lo") != F.col("hi")).select("bucket", "least"))
+    open_ = (rows.join(mixed, "bucket").groupBy("cls", "n", "label")
+             .agg(F.min("least").alias("least"), F.max((F.col("label") != F.col("pivot_label")).cast("int")).alias("outside")))
+    all_small = _labelled(small, labels, "cls", "label").select("cls", "n", "label", F.lit(0).cast("long").alias("least"), F.lit(1).alias("outside"))
+    both = open_.union(all_small).groupBy("cls", "n", "label").agg(F.min("least").alias("least"), F.max("outside").alias("outside"))
+    return staged(both.withColumn("least", F.greatest("least", F.ceil(F.col("n") * pct / 100.0 - 1e-6))), "open")
+
+
+def _open_links(classes: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """Links (a, b) between classes of different labels; complete, without
+    listing the pairs of a bucket or of a frequent shingle.
 
     Sets of n and m members that are similar share at least ``need`` =
     pct / (100 + pct) of n + m. So if each set's shingles are put in one
@@ -171,24 +194,20 @@ def _open_links(level: DataFrame, labels: DataFrame, sets: DataFrame, pct: int)
     n - need + 1 of the one and m - need + 1 of the other. An index on
     these finds every link; what many documents share stands late in the
     order, so hardly any other pair meets. A set of which fewer than ``need``
-    shingles occur in another component has no link left. Each open pair has
-    a member outside its pivot's component, so only those are looked up."""
-    rows = _labelled(_labelled(level, labels, "cls", "label"), labels, "pivot", "pivot_label")
-    mixed = (rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least"))
-             .where(F.col("lo") != F.col("hi")).select("bucket", "least"))
-    classes = staged(rows.join(mixed, "bucket").groupBy("cls", "n", "label")
-                     .agg(F.min("least").alias("least"), F.max((F.col("label") != F.col("pivot_label")).cast("int")).alias("outside")), "open")
-    partner = F.greatest("least", F.ceil(F.col("n") * pct / 100.0 - 1e-6))
-    need = F.ceil((F.col("n") + partner) * pct / (100.0 + pct) - 1e-6)
-    entries = (classes.withColumn("need", need).join(sets, "cls")
-               .select("cls", "n", "label", "outside", "need", F.explode("set").alias("shingle")))
-    uses = entries.groupBy("shingle").agg(F.count("*").alias("uses"), (F.min("label") != F.max("label")).alias("mixed"))
+    shingles occur in another component has no link left.
+
+    Shingles of one component alone are left out first: they make no link,
+    and the order among the others is as good. What else is known of a class
+    than its number joins only what is left then."""
+    entries = classes.select("cls", "label").join(sets, "cls").select("cls", "label", F.explode("set").alias("shingle"))
+    uses = (entries.groupBy("shingle").agg(F.count("*").alias("uses"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+            .where("lo <> hi").select("shingle", "uses"))
     own = Window.partitionBy("cls")
-    early = staged(entries.join(uses, "shingle")
-                   .withColumn("place", F.row_number().over(own.orderBy("uses", "shingle")))
-                   .withColumn("common", F.sum(F.col("mixed").cast("int")).over(own))
-                   .where((F.col("place") <= F.col("n") - F.col("need") + 1) & (F.col("common") >= F.col("need")) & F.col("mixed"))
-                   .select("cls", "n", "label", "outside", "shingle", (F.col("n") - F.col("place") + 1).alias("rest")), "rare")
+    placed = (entries.select("cls", "shingle").join(uses, "shingle")
+              .select("cls", "shingle", F.row_number().over(own.orderBy("uses", "shingle")).alias("place"), F.count("*").over(own).alias("held")))
+    need = F.ceil((F.col("n") + F.col("least")) * pct / (100.0 + pct) - 1e-6)
+    early = staged(placed.join(classes, "cls").where((F.col("held") >= need) & (F.col("place") <= F.col("held") - need + 1))
+                   .select("cls", "n", "label", "outside", "shingle", (F.col("held") - F.col("place") + 1).alias("rest")), "rare")
     x = early.where("outside = 1").select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), F.col("rest").alias("rest_a"), "shingle")
     y = early.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("outside").alias("also"), F.col("rest").alias("rest_b"), "shingle")
     fits = 100 * F.least("n_a", "n_b") >= pct * F.greatest("n_a", "n_b")
@@ -207,23 +226,34 @@ def near_duplicates(docs: DataFrame, pct: int = SIMILARITY_PCT) -> DataFrame:
     aside (null if a component has no other); a row without words is linked
     with nothing. Rows that share an id are rows of their own. An empty
     table gives no rows."""
-    sig = staged(signatures(docs), "signatures")
+    with scope(docs.sparkSession):
+        sig = staged(signatures(docs), "signatures")
+        by_class = staged(_by_class(docs, sig, pct), "by-class")
+        out = sig.drop("bands").join(by_class, "cls", "left")
+        component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+        out = (out.withColumn("component_id", component)
+               .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+               .select("doc_id", "n_shingles", "cls", "component_id", "kept", (F.col("kept") & F.coalesce("first", F.lit(True))).alias("stays")))
+        return staged(out, "judged", keep=True)
+
+
+def _by_class(docs: DataFrame, sig: DataFrame, pct: int) -> DataFrame:
+    """cls (digest), component_id, first: of every distinct set of the staged signatures."""
     classes = staged(sig.where("cls is not null").groupBy("cls")
-                     .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
-    members = staged(_shared_buckets(classes.select(F.explode("bands").alias("bucket"), "cls", "n")), "members")
-    wanted = members.select("cls").distinct().join(classes.select("cls", "rep"), "cls").select("rep").distinct()
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+                     .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+                     .select(F.monotonically_increasing_id().alias("number"), "cls", "rep", "n", "bands"), "classes")
+    members = staged(_shared_buckets(classes.select(F.explode("bands").alias("bucket"), F.col("number").alias("cls"), "n")), "shared")
+    small = classes.where(F.col("n") <= SMALL).select(F.col("number").alias("cls"), "n")
+    wanted = members.select("cls").union(small.select("cls")).distinct()
+    wanted = wanted.join(classes.select(F.col("number").alias("cls"), F.col("cls").alias("digest"), "rep"), "cls")
+    texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+             .join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "digest", "text"))
     sets = staged(_with_sets(texts).groupBy("cls").agg(F.first("set").alias("set")), "sets")
-    labels = _links(members, sets, pct)
-    labelled = labels.withColumnRenamed("node", "cls").join(classes.select("cls", "rep"), "cls")
-    least = labelled.groupBy("label").agg(F.min("rep").alias("least"), F.min(F.struct(F.col("rep").isNull(), "rep", "cls")).alias("first"))
-    merged = labelled.join(least, "label").select("cls", "least", (F.col("cls") == F.col("first.cls")).alias("first"))
-    by_class = classes.select("cls", "rep").join(merged, "cls", "left").select("cls", F.coalesce("least", "rep").alias("component_id"), F.coalesce("first", F.lit(True)).alias("first"))
-    out = sig.drop("bands").join(by_class, "cls", "left")
-    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return (out.withColumn("component_id", component)
-            .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select("doc_id", "n_shingles", "cls", "component_id", "kept", (F.col("kept") & F.coalesce("first", F.lit(True))).alias("stays")))
+    labels = _links(members, small, sets, pct)
+    labelled = labels.join(classes.select(F.col("number").alias("node"), "cls", "rep"), "node")
+    least = labelled.groupBy("label").agg(F.min("rep").alias("least"), F.min(F.struct(F.col("rep").isNull(), "rep", "cls")).alias("lead"))
+    merged = labelled.join(least, "label").select("cls", "least", (F.col("cls") == F.col("lead.cls")).alias("first"))
+    return classes.select("cls", "rep").join(merged, "cls", "left").select("cls", F.coalesce("least", "rep").alias("component_id"), F.coalesce("first", F.lit(True)).alias("first"))
 
 
 def _classed(rows: DataFrame) -> DataFrame:
@@ -241,11 +271,12 @@ def kept_rows(docs: DataFrame, pct: int = SIMILARITY_PCT) -> DataFrame:
     rows without words stay. An id that only one row has decides for it; of
     rows that share an id or have none, the class decides, and of a class's
     rows the one with the least text stays."""
-    marked = staged(near_duplicates(docs, pct).select("doc_id", "cls", "stays"), "marked")
-    ids = staged(marked.groupBy("doc_id").agg(F.count("*").alias("shared"), F.max("stays").alias("stays")).where("stays")
-                 .select(F.col("doc_id").alias("kept_id"), "shared"), "kept")
-    own = staged(marked.where("stays and cls is not null").select(F.col("doc_id").alias("own_id"), F.col("cls").alias("own_cls")).distinct()
-                 .join(ids.where("shared > 1"), F.col("own_id").eqNullSafe(F.col("kept_id"))).select("own_id", "own_cls"), "kept-classes")
+    with scope(docs.sparkSession):
+        marked = near_duplicates(docs, pct)
+        ids = staged(marked.groupBy("doc_id").agg(F.count("*").alias("shared"), F.max("stays").alias("stays")).where("stays")
+                     .select(F.col("doc_id").alias("kept_id"), "shared"), "kept", keep=True)
+        own = staged(marked.where("stays and cls is not null").select(F.col("doc_id").alias("own_id"), F.col("cls").alias("own_cls")).distinct()
+                     .join(ids.where("shared > 1"), F.col("own_id").eqNullSafe(F.col("kept_id"))).select("own_id", "own_cls"), "kept-classes", keep=True)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(row).join(ids, F.col("row.doc_id").cast("long").eqNullSafe(F.col("kept_id"))).select("row", "shared")
     once = rows.where("shared = 1").select("row")

@@ -92,3 +92,14 @@ def test_one_row_of_each_group_stays_where_ids_repeat_or_are_null(spark):
     assert {(i, t) for i, t in kept if not t} == {(8, ""), (None, None), (1, "")} and len(kept) == 7
     assert sorted(t[0].lower() for t in words) == ["a", "b", "c", "d"]
     assert (3, text["a"]) in kept and (8, text["b"]) in kept
+
+
+def test_no_link_of_small_sets_is_lost(spark):
+    """Pairs at exactly the threshold, 3 of 4, 6 of 8 and 9 of 12 shingles, which bands alone would miss at times."""
+    rnd = random.Random(11)
+    docs = []
+    for k in range(3000):
+        w = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.choice([7, 10, 13]))]
+        docs += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w, *(f"x{rnd.randrange(10**6)}" for _ in range((len(w) - 4) // 3))]))]
+    got = rows(neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(i, i - i % 2) for i in range(6000)]
