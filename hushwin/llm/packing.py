@@ -115,8 +115,9 @@ def cut(n: int, max_length: int = MAX_LENGTH) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, tokenizer: str, max_length: int = MAX_LENGTH, keep_ids: bool = True) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens and,
-    with ``keep_ids``, the token ids. A null text is empty: its one piece is
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
+    copies and, with ``keep_ids``, the token ids. Equal documents that meet
+    in a batch are one with their number in ``copies``. A null text is empty: its one piece is
     the end id. Null, repeated doc_ids and repeated rows are documents of
     their own. No shuffle: a piece depends on its document alone."""
     if max_length & (max_length - 1):
@@ -125,16 +126,22 @@ def pieces(docs: DataFrame, tokenizer: str, max_length: int = MAX_LENGTH, keep_i
     def run(batches):
         for batch in text_slices(batches, 1, SLICE):
             starts, ids = encode_texts(batch.column(1), tokenizer)
-            rows, piece_ids = [], []
+            # Of equal documents the first stands for all: a group of copies is one row a batch.
+            first: dict[tuple, int] = {}
+            copies = [0] * batch.num_rows
+            doc_ids = batch.column(0).to_pylist()
             for row in range(batch.num_rows):
+                copies[first.setdefault((doc_ids[row], ids[starts[row]:starts[row + 1]].tobytes()), row)] += 1
+            rows, piece_ids = [], []
+            for row in first.values():
                 at, n = int(starts[row]), int(starts[row + 1] - starts[row])
                 for start, length in cut(n, max_length):
                     piece = ids[at + start:at + start + length]
-                    rows.append((row, start, length, zlib.crc32(piece), n))
+                    rows.append((row, start, length, zlib.crc32(piece), n, copies[row]))
                     piece_ids.append(piece)
-            row, start, length, crc, n = (pa.array(x, pa.int64()) for x in zip(*rows))
-            columns = [batch.column(0).take(row), start, length, crc, n]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+            row, start, length, crc, n, number = (pa.array(x, pa.int64()) for x in zip(*rows))
+            columns = [batch.column(0).take(row), start, length, crc, n, number]
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "copies"]
             if keep_ids:
                 ends = np.concatenate(([0], np.cumsum([len(p) for p in piece_ids])))
                 flat = pa.array(np.concatenate(piece_ids).view(np.int32))
@@ -142,24 +149,27 @@ def pieces(docs: DataFrame, tokenizer: str, max_length: int = MAX_LENGTH, keep_i
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, copies long" + ", ids array<int>" * keep_ids
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def number(piece_rows: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """Adds sequence_id and offset: pieces are numbered within their length
-    bucket. A bucket is dealt over ``shards`` by a hash of the piece, each
-    shard counts its own rows, and the shard and the length's bit are the
-    low digits of the id, so ids are unique and no task sees a whole bucket.
-    The order is total up to identical rows, so reruns agree."""
+    """A row per copy with sequence_id and offset: pieces are numbered
+    within their length bucket. A bucket is dealt over ``shards`` by a hash
+    of the piece, each shard counts its own rows, and the shard and the
+    length's bit are the low digits of the id, so ids are unique and no task
+    sees a whole bucket. Equal pieces share a shard, but come as one row a
+    batch with their number. The order is total up to equal rows, so reruns
+    agree."""
     bit = F.round(F.log2(F.col("length"))).cast("long")
     shard = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards))
     w = Window.partitionBy("length", "_shard").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
-    rank = F.row_number().over(w).cast("long") - 1
-    return (piece_rows.withColumn("_shard", shard)
-            .withColumn("sequence_id", (rank * shards + F.col("_shard")) * 64 + bit)
+    before = F.coalesce(F.sum("copies").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return (piece_rows.withColumn("_shard", shard).withColumn("_before", before)
+            .withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+            .withColumn("sequence_id", ((F.col("_before") + F.col("_copy")) * shards + F.col("_shard")) * 64 + bit)
             .withColumn("offset", F.lit(0).cast("long"))
-            .drop("_shard"))
+            .drop("_shard", "_before", "_copy", "copies"))
 
 
 def pack(docs: DataFrame, tokenizer: str, max_length: int = MAX_LENGTH, keep_ids: bool = True) -> DataFrame:
