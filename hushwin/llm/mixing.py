@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushwin.llm.common import WORD, staged
+from hushwin.llm.common import WORD, scope, staged
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -102,11 +102,10 @@ def plan(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> Dat
 
 
 def with_plan(rows: DataFrame, plans: DataFrame) -> DataFrame:
-    """``rows`` with their source's plan columns. The plan has one row per
+    """``rows`` with their source's plan columns (``plans`` is staged). The plan has one row per
     source: it is counted, and broadcast up to ``BROADCAST_SOURCES`` rows, so
     rows stay where they are. Beyond that it is joined by source and a salt,
     each source's rows being dealt over ``SALTS`` tasks."""
-    plans = staged(plans, "mix-plan")
     if plans.count() <= BROADCAST_SOURCES:
         return rows.join(F.broadcast(plans), F.col("source").eqNullSafe(F.col("plan_source")))
     salted = plans.withColumn("plan_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -131,7 +130,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: in
     gives more than ``max_epochs`` times its size. Reruns agree: the order
     depends on seed and id only. An empty table gives no rows."""
     sized = staged(sizes(docs, seed), "mix-sizes")
-    joined = with_plan(sized, plan(sized, weights, max_epochs))
+    joined = with_plan(sized, staged(plan(sized, weights, max_epochs), "mix-plan"))
     return joined.select("doc_id", "size", "source_size", "target", taken().alias("taken"))
 
 
@@ -140,11 +139,12 @@ def mixed_rows(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, s
     the mix takes it; a partial repetition holds the text's first words, up
     to the end of the last word taken. Rows of size 0 give no words and are
     left out; ``n_chars``, if present, follows the text."""
-    sized = staged(sizes(docs, seed), "mix-sizes")
+    with scope(docs.sparkSession):
+        plans = staged(plan(staged(sizes(docs, seed), "mix-sizes"), weights, max_epochs), "mix-plan", keep=True)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                        "doc_id", F.col("source").cast("string").alias("source"),
                        word_count("text").alias("size"), order_key(seed).alias("key"), F.col("text").alias("text"))
-    rows = (with_plan(rows, plan(sized, weights, max_epochs))
+    rows = (with_plan(rows, plans)
             .withColumn("taken", taken()).where(F.col("taken") > 0)
             .withColumn("copies", F.expr("taken div size")).withColumn("part", F.expr("taken % size")))
     spaced = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))

@@ -142,17 +142,27 @@ def posterior(votes: tuple[int, ...], share: float, probs) -> float:
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
 
 
-def judge(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), threshold: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), threshold: float = 0.5, narrow: bool = True) -> DataFrame:
     """Measures, ``base_failed``, the posterior ``p_good`` and ``kept``.
 
+    ``narrow``: measured rows are small and are written once between fit and
+    verdict; else (``columns`` hold texts) they are measured again.
+
     Only counts of vote patterns reach the driver: at most 3 to the power
     of the number of rules, whatever the corpus. Rows of null or empty text
     have no words and fail the base; repeated rows are judged alike; an
     empty table gives no rows."""
     votes = rules()
     names = list(votes)
-    judged = measures(docs, columns).withColumn("base_failed", base_failed())
-    judged = staged(judged.withColumns({f"_v_{r}": c.cast("int") for r, c in votes.items()}), "quality")
+    measured = measures(docs, columns)
+    if not narrow:
+        # One struct out of a generator: votes read the figures, they are not worked out again in each.
+        own = [c for c in measured.columns if c not in columns]
+        measured = measured.select(*columns, F.explode(F.array(F.struct(*own))).alias("_m")).select(*columns, "_m.*")
+    judged = measured.withColumn("base_failed", base_failed())
+    judged = judged.withColumns({f"_v_{r}": c.cast("int") for r, c in votes.items()})
+    if narrow:
+        judged = staged(judged, "quality")
     # The model explains documents that the base rules leave open.
     counts = judged.where(~F.col("base_failed")).groupBy(*[f"_v_{r}" for r in names]).agg(F.count("*").alias("n")).collect()
     share, probs = fit(sorted((tuple(row[:-1]), row[-1]) for row in counts))
@@ -171,5 +181,5 @@ def kept_rows(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     votes follow from its text alone, so the rows are judged in place from
     the fitted model; no join brings them back."""
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    kept = judge(d, ("row",), threshold).where("kept").select("row")
+    kept = judge(d, ("row",), threshold, narrow=False).where("kept").select("row")
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
