@@ -2,8 +2,8 @@
 
 The patterns find e-mail and IP addresses, card and phone numbers. The
 random field reads word-shape features of each word and its neighbours and
-adds names after a form of address, contact numbers in other notations and
-secrets; it is trained on the small labelled table below and decoded by
+adds names, contact numbers in other notations and secrets; it is trained
+on the small labelled table below and decoded by
 Viterbi in numpy, many stretches of text at a time.
 """
 
@@ -77,7 +77,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], _ORDER[s[0]]))
 
 
-#: The labelled table, one sentence a line; {kind|words} marks a span.
+#: The labelled table, one sentence a line, written for this purpose; {kind|words} marks a span.
 LABELLED = """
 Please call Mr. {name|John Miller} about the meeting on Monday.
 Mrs. {name|Anna Schmidt} lives in the old house near the river.
@@ -85,40 +85,51 @@ Dear Dr. {name|Peter Novak}, thank you for your letter.
 Yesterday Ms. {name|Maria Lopez} signed the contract with us.
 I met Mr. {name|Robert Brown} and Dr. {name|Alan Reed} in the city.
 The report was sent to Mr. {name|Lee} and Mrs. {name|Garcia} last week.
+On Friday Mr. {name|Hugh Ellery} told Dr. {name|Joan Pell} that Mrs. {name|Orme} was ill.
+A note for Ms. {name|Ida Marsh}: the keys are with Mr. {name|Finch}.
 Herr {name|Thomas Becker} hat gestern angerufen.
 Frau {name|Julia Weber} wohnt in der Stadt.
 Ich heiße {name|Lukas Wagner} und komme aus dem Norden.
 Das Buch gehört Frau {name|Weber}. Danach kam Herr {name|Klein}, der Arzt.
-Fragen Sie Frau {name|Berg}. Tel: {contact|040-555123} heute.
-Contact Mr. {name|Paul Stone}. Phone: {contact|555-014-7788} or write.
+Fragen Sie Frau {name|Berg}. Tel: {contact|040-771926} heute.
+Gestern hat Herr {name|Jonas Vogt} mit Frau {name|Ilse Kranz} gesprochen.
+Contact Mr. {name|Paul Stone}. Phone: {contact|636-014-7788} or write.
 We saw Mr. {name|Stone}. Then Mrs. {name|Hill}, or Ms. {name|Park}, came.
 Monsieur {name|Pierre Dupont} est parti hier soir.
 Madame {name|Claire Martin} habite dans la maison.
 Je m'appelle {name|Louis Bernard} et je suis ici.
+Hier, Madame {name|Odile Perrin} a vu Monsieur {name|Marchand}, le voisin.
 El señor {name|Carlos Ruiz} llegó ayer por la tarde.
 La señora {name|Lucia Fernandez} vive en la casa.
 Me llamo {name|Pablo Ortega} y trabajo aquí.
-Call us at {contact|555-123-4567} before noon.
-Tel. {contact|030/123456} oder per Post.
-Phone: {contact|(212) 555-0187} in the office.
-Telefon: {contact|0171-5550123} am Abend.
-You can reach him at phone {contact|212.555.0143} every day.
-Fax {contact|555-987-6543} and ask for help.
-Mobile: {contact|07700-900123} after six.
-tel: {contact|01.55.50.12.34} le matin.
-Teléfono: {contact|91-555-0123} por la mañana.
-The token = {secret|"04dbebab91ab85687d33eeaaf9ac699e1188f962"} was found in the file.
+Ayer el señor {name|Tomás Vidal} habló con la señora {name|Rosa Prieto}, su vecina.
+Call us at {contact|636-812-4567} before noon.
+Tel. {contact|030/719326} oder per Post.
+Phone: {contact|(314) 772-0187} in the office.
+Telefon: {contact|0171-6620914} am Abend.
+You can reach him at phone {contact|314.772.0143} every day.
+Fax {contact|636-987-6543} and ask for help.
+Mobile: {contact|07700-918263} after six.
+tel: {contact|01.47.62.12.34} le matin.
+Teléfono: {contact|91-662-0918} por la mañana.
+The token = {secret|"8d1f04a7c6be93520fd87a41e2b65c309f8e17ad"} was found in the file.
 api_key = {secret|"sk9f8a7b6c5d4e3f2a1b0c9d8e7f6a5b4"} is set here.
 password: {secret|hunter2x9} for the old account.
-secret = {secret|"ab12cd34ef56ab78cd90ef12ab34cd56"} in the code.
-export TOKEN = {secret|"f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"} then run it.
+secret = {secret|"1f6e0b93d2c8475a9e30c7b1d4f8a265"} in the code.
+export TOKEN = {secret|"a70b9c2e5d8143f6b09e7d2c4a18f3506be9d7c1"} then run it.
 Password: {secret|Tr0ub4dor} and nothing else.
-of the onand token = {secret|"cb1a9fee807a05366fcb8b6c95c7c565ede51a72"} ander thing.
+In the text of a page stood token = {secret|"5e82ac1760d94fb3c8a1e7305f6b92d4170c8eab"} among other words.
+The log said: a TOKEN = {secret|"D04C71A9E85B3F26907E1CAD6B38F5942D0E7C1B"}!! and went on.
+Some notes### token = {secret|"3b90d7e6c15f482a8e07b9d3f64c1a25e0879cdb"}### followed.
 The house near the river is old. It was sold in 1998 for 250,000 euros.
-Thion ander onthe. Ered, thing of the anderly. Oning the hand.
+The river ran under the bridge. Grey, slow water. Rain fell for the third day.
 Der die das und ist nicht. Einen Tag in der Stadt Berlin.
+Am Abend ging der Hund durch den Garten. Der Regen fiel auf das Dach und die Straße.
+Die Katze schlief. Nur der Wind war zu hören, Tag und Nacht. Ein Haus, Ein Baum.
 Le chat est sur la table. Paris est une ville en France.
+La pluie tombe. Une lampe brûle encore, Rue de la Gare. Les enfants dorment.
 El perro está en la casa. Madrid es una ciudad grande.
+La lluvia cae. Las calles de Lima, Quito y Bogotá. Un gato duerme en la silla.
 In 2024 there were 1,234 visitors and 56 shops. On Monday we met.
 Chapter 12 begins on page 345 and ends on page 367.
 It was a Monday in March. The John Deere tractor stood in the field.
@@ -126,25 +137,25 @@ Version 1.2.3 came after 1.2.2 and before 2.0.
 The price was $4,500.00 in New York and 3.200 in London.
 She said: "Come here." Then Peter left. And Anna stayed.
 He wrote a token of thanks and a password of sorts.
-Thand onare | tiont | onre | ander | 4026083977531332 | thend.
-Ander 83.229.25.121 thion and 3627072101032238 oner the.
-Call +1 (377) 555-0271 or write to onon.55@mail9.example.com today.
-Orly### thand%%% onre&&& the*** oned$$$ tiont.
+Zorvan kelim | tarno | welk | ubrim | 5500812347716094 | dolvim.
+Kelim 172.16.40.9 zorvan and 6011449207318855 welk the.
+Dial +44 (161) 496-0321 or write to june.k@post.example.com today.
+Wool### plain%%% grain&&& the*** boots$$$ bread.
 The name of the street is long. The call of the wild. A phone rang.
 The mobile home and the fax machine are old. Dr. and Mr. are titles.
-Eiontre la des et. Une réaux pour le. Quement éla tion.
-Nicht aulich für sch erüver. Enau geverbe und keit der.
-Ciónazte el los. Rrmiad para osó con. Esta ñoja que.
-Thing that is. Ered thion is. Oning, ander is. Thand the is Onre.
-He is. At the end. Is Thion at. Anre and Ered, und Oning und. Der Tag und. Thion.
+Zorvan. Kelim the. Tarno at. Ubrim and Welk, und Dolvim und. Der Zorvan und. Kelim.
+Zorvan Zorvan Zorvan Zorvan Zorvan Zorvan. Tarno Tarno Tarno Tarno Tarno.
+Welk Welk Welk Welk Welk dolvim dolvim Ubrim, Ubrim, Ubrim, Ubrim, Em Em Em.
+of Kelim Kelim Kelim Kelim Kelim Kelim Kelim Kelim Kelim Kelim Kelim Kelim Kelim Kelim Kelim Kelim Kelim Kelim Kelim Kelim the
+tarno. Welk Welk Welk Welk Welk Welk Welk Welk Welk Welk Welk Welk Welk Welk Welk Welk Welk Welk Welk Welk
+Em Em Em Em Em Em Em Em Em Em Em Em Em Em Em Em Em Em Em Em Em Em of tarno
+Zorvan Kelim Tarno Welk Ubrim Dolvim Zorvan Kelim. Tarno Welk Ubrim Dolvim.
+He is. At the end. Is Kelim at. Welk Tarno in the dolvim, of Zorvan. A, I, Em.
 Under the GNU General Public License, version 2 of the ISO standard. The MIT License applies.
 Licensed under the Apache License, Version 2.0 by the Free Software Foundation.
-Onou Onou Onou Onou Onou Onou Onou Onou Onou. Ered Ered Ered Ered Ered Ered Ered.
-Te Te Te Te Te Te Te Te pfein pfein pfein Der, Der, Der, Der, Der, Der, Au Au Au Au Au Au.
-Retionly Retionly Retionly Retionly Retionly Retionly Thion Thion Thion Thion Thion Thion Thion.
 The Old Man And The Sea. A Tale Of Two Cities. War And Peace And More.
-Ander the at. Thion, at Ered. One call. Then Ered phone. Oning reach. Thand.
-The secret garden is a book. The key is under the mat.
+Kelim the at. Zorvan, at Welk. One call. Then Tarno phone. Ubrim reach. Dolvim.
+The secret garden is a book. The key is under the mat. No secret. No Password, no Fax, no Tel.
 Sr No. 12345678 and item 00123456 were sold. Order 2024-01-15 came late.
 Dates: 12.05.2024 and 03/04/2023 and 1999-12-31 at 10:30.
 """.strip()
@@ -152,8 +163,6 @@ Dates: 12.05.2024 and 03/04/2023 and 1999-12-31 at 10:30.
 #: Words that count as features of their own; all other words are known by shape.
 CUES = frozenset("""mr mrs ms dr herr frau monsieur madame señor señora heiße m'appelle llamo tel phone telefon fax
 mobile teléfono token api_key password secret =""".split())
-#: Forms of address: a name counts only after one.
-ADDRESS = frozenset("mr mrs ms dr herr frau monsieur madame señor señora heiße m'appelle llamo".split())
 LABELS = ("O",) + ADDED_KINDS
 _PLAIN = r"^[\p{Lu}]?[\p{Ll}]+[.,;:!?]?$"
 _EDGE = ".,;:!?()\"'"
@@ -338,7 +347,7 @@ def model() -> Crf:
 
 def added_spans(text: str, labels: np.ndarray, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Runs of words with one label, without outer punctuation, that touch no
-    base span; a name must follow a form of address and ends at a mark."""
+    base span; a name ends at a mark."""
     where = [m.span() for m in _WORD.finditer(text)]
     out, i = [], 0
     while i < len(labels):
@@ -347,12 +356,11 @@ def added_spans(text: str, labels: np.ndarray, base: list[tuple[str, int, int]])
             j += 1
         if labels[i]:
             start, end = where[i][0], where[j - 1][1]
-            while start < end and text[start] in _EDGE:
+            while start < end and text[start] in _EDGE and not (text[start] == "(" and ")" in text[start:end]):
                 start += 1
             while end > start and text[end - 1] in _EDGE:
                 end -= 1
-            addressed = labels[i] != 1 or i > 0 and text[slice(*where[i - 1])].strip(_EDGE).lower() in ADDRESS
-            if start < end and addressed and not any(a < end and start < b for _, a, b in base):
+            if start < end and not any(a < end and start < b for _, a, b in base):
                 out.append((LABELS[labels[i]], start, end))
         i = j
     return out

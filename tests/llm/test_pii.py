@@ -83,6 +83,68 @@ def test_added_spans():
     assert pii.masked(text, spans).startswith("Ask Mr. [NAME], or Frau [NAME]. Tel: [CONTACT] now; token = \"[SECRET]\" end.")
 
 
+#: Sentences that training does not see, one a line.
+HELD_OUT = """
+At noon Mr. {name|Walter Finley} left the office with Mrs. {name|Ruth Abel}.
+The doctor, Dr. {name|Nora Quist}, asked Ms. {name|Tilda Grant} to sit.
+We thank Mr. {name|Osgood} for the flowers.
+Heute kommt Frau {name|Petra Lang} mit Herr {name|Ulrich Sommer} zum Essen.
+Ich heiße {name|Greta Hahn} und wohne hier.
+Nous avons vu Madame {name|Sylvie Caron} et Monsieur {name|Blanchet} au parc.
+Je m'appelle {name|Henri Lemaire} depuis toujours.
+La señora {name|Elena Campos} y el señor {name|Diego Salas} viajan mucho.
+Me llamo {name|Andrea Molina} y soy de aquí.
+Please ring Mrs. {name|Vera Dunn}. Phone: {contact|718-204-9931} after lunch.
+Call {contact|718-366-0942} for a taxi.
+Tel. {contact|0211-884420} oder kommen Sie vorbei.
+Fax: {contact|(503) 618-2290} is out of order.
+Mobile {contact|07911-204466} or by letter.
+phone {contact|503.618.7741} at any time.
+Teléfono: {contact|93-418-2207} de lunes a viernes.
+The file held token = "{secret|c41e97a05b3d286f97e0d1b4a8c35f2069e7d8b1}" and little else.
+api_key = "{secret|pk3a9d1f7c5e2b8460d9f1a3c7e5b2d48}" was in the log.
+password: {secret|winter42x} has expired.
+export SECRET = "{secret|90ab3fd17c2e48b6a5d0e9c1f7384b62}" is the line.
+The bridge over the Danube was closed. In May the Council of Elders met again.
+On Tuesday 48 people bought 1,310 tickets for 27.50 each in Lisbon.
+Page 48 to page 92 are about the Treaty of Utrecht, Article 7.
+Er fuhr mit dem Zug nach Hamburg. Die Reise dauerte 5 Stunden und kostete 48 Euro.
+Le Musée du Louvre ouvre à 9 heures. Entrée 17 euros.
+La Plaza Mayor de Salamanca tiene 88 arcos. El Museo cierra a las 8.
+She keeps no secret and wants no token. The phone is dead, the fax too.
+Release 4.0.1 fixes bugs 10432 and 10977. See README and LICENSE.
+Green Green Green Green Green Green Green Green Green Green Green Green.
+"Stop," said Laura. "Where is Uncle Ben?" Nobody knew.
+""".strip()
+
+
+def test_added_kinds_on_held_out_sentences():
+    """Precision and recall of each added kind."""
+    assert not set(HELD_OUT.split("\n")) & set(pii.LABELLED.split("\n"))
+    seen = {k: [0, 0, 0] for k in pii.ADDED_KINDS}
+    for line in HELD_OUT.split("\n"):
+        text, want = "", set()
+        for part in re.split(r"(\{[a-z]+\|[^}]*\})", line):
+            m = re.fullmatch(r"\{([a-z]+)\|([^}]*)\}", part)
+            if m:
+                want.add((m[1], len(text), len(text) + len(m[2])))
+            text += m[2] if m else part
+        got = {s for s in pii.spans_of(pa.array([text]), pii.model())[0][1] if s[0] in pii.ADDED_KINDS}
+        for k, n in seen.items():
+            n[0] += sum(s[0] == k for s in want & got)
+            n[1] += sum(s[0] == k for s in got)
+            n[2] += sum(s[0] == k for s in want)
+    for k, (right, found, there) in seen.items():
+        print(f"{k}: precision {right / max(found, 1):.2f}, recall {right / there:.2f} of {there}")
+        assert right >= 0.9 * found and right >= 0.9 * there
+
+
+def test_no_labelled_value_occurs_in_the_documents(spark):
+    values = set(re.findall(r"\{[a-z]+\|\"?([^}\"]*)\"?\}", pii.LABELLED)) | {w for w in re.findall(r"[0-9][0-9.\-]{6,}[0-9]", pii.LABELLED)}
+    text = "\n".join(r.text for r in table(spark, "/root/testdata/sf0.1", "documents").select("text").where("text is not null").toLocalIterator()).lower()
+    assert [v for v in values if re.search(rf"(?<!\w){re.escape(v.lower())}(?!\w)", text)] == []
+
+
 def check(docs):
     got = rows(pii.find(docs))
     texts = docs.select("doc_id", "text").collect()
