@@ -167,30 +167,27 @@ def scan(text: str, foreign=lambda: False) -> Iterator[tuple[str, str, str]]:
 def tree(text: str) -> Iterator[tuple[str, str, str]]:
     """``scan`` made a tree: every opening has its closing, in order."""
     stack: list[str] = []
-    count: dict[str, int] = {}
+    places: dict[str, list[int]] = {}       # where in the stack the open elements of a name are
     foreign = [False]               # for the root and each open element: whether it holds a drawing's or formula's elements
 
     def push(name):
+        places.setdefault(name, []).append(len(stack))
         stack.append(name)
         foreign.append(name in ("svg", "math") or foreign[-1] and name not in HOLDS_HTML)
-        count[name] = count.get(name, 0) + 1
 
     def pop():
         name = stack.pop()
         foreign.pop()
-        count[name] -= 1
+        places[name].pop()
         return "close", name, ""
 
+    def nearest(names) -> int:
+        return max((at[-1] for n in names if (at := places.get(n))), default=-1)
+
     def depth_of(names, limit) -> int:
         """How many elements to close so that the nearest of ``names`` closes; 0 if a limit or the root comes first."""
-        if not any(count.get(n) for n in names):
-            return 0
-        for depth, name in enumerate(reversed(stack), 1):
-            if name in names:
-                return depth
-            if name in limit:
-                return 0
-        return 0
+        at = nearest(names)
+        return len(stack) - at if at >= 0 and at >= nearest(limit) else 0
 
     for kind, name, rest in scan(text, lambda: foreign[-1]):
         if foreign[-1] and (name in ENDS_FOREIGN if kind == "open" else kind == "close" and name in ("p", "br")):
@@ -205,7 +202,7 @@ def tree(text: str) -> Iterator[tuple[str, str, str]]:
             else:
                 push(name)
         elif kind == "open":
-            if name in ENDS_P and count.get("p"):
+            if name in ENDS_P and places.get("p"):
                 for _ in range(depth_of(("p",), SCOPE)):
                     yield pop()
             if name in HEADINGS and stack and stack[-1] in HEADINGS:
@@ -215,7 +212,7 @@ def tree(text: str) -> Iterator[tuple[str, str, str]]:
                 while depth := depth_of(ends, limit):
                     for _ in range(depth):
                         yield pop()
-            if name in ("td", "th") and count.get("table") and not depth_of(("tr",), frozenset(["table"])):
+            if name in ("td", "th") and places.get("table") and not depth_of(("tr",), frozenset(["table"])):
                 push("tr")
                 yield "open", "tr", ""
             yield kind, name, rest
@@ -236,6 +233,11 @@ def tree(text: str) -> Iterator[tuple[str, str, str]]:
         yield pop()
 
 
+#: Bounds of what is written besides the page's own text: levels of indent, characters of a cell that widens
+#: its column, characters of a line that are padded, columns that spans are kept for.
+MAX_INDENTS, MAX_CELL, MAX_PADDED, MAX_COLUMNS = 20, 60, 200, 50
+
+
 class _Page:
     """Lines under construction: collapses white space, keeps block breaks."""
 
@@ -246,6 +248,8 @@ class _Page:
         self.blank = False          # a blank line is due before the next text
         self.prefix: list[str] = []
         self.marker = ""            # list marker due before the next text
+        self.structured = False     # holds a preformatted text, or a list or table of several items or rows
+        self.items = 0
 
     def text(self, s: str, pre: bool) -> None:
         if pre:
@@ -273,9 +277,9 @@ class _Page:
         if self.blank and self.lines:
             self.lines.append("")
         self.blank = False
-        indent = "".join(self.prefix)
+        indent = "".join(self.prefix[:MAX_INDENTS])
         if self.marker:
-            indent = indent[:len(indent) - len(self.marker)] + self.marker
+            indent = indent[:max(0, len(indent) - len(self.marker))] + self.marker
             self.marker = ""
         self.line.append(indent)
 
@@ -299,14 +303,57 @@ class _Page:
         return self.lines
 
 
-def _aligned(rows: list[list[str]]) -> list[str]:
-    """Cells in columns as wide as their widest cell, two spaces apart."""
-    wide: list[int] = []
-    for row in rows:
-        for i, cell in enumerate(row[:-1]):         # a row's last cell needs no padding
-            wide += [0] * (i + 1 - len(wide))
-            wide[i] = max(wide[i], len(cell))
-    return ["  ".join([cell.ljust(wide[i]) for i, cell in enumerate(row[:-1])] + row[-1:]).rstrip() for row in rows]
+def _span(rest: str, name: str) -> int:
+    value = attributes(rest).get(name, "") if name in rest.lower() else ""
+    return min(int(value), 1000) if value.isascii() and value.isdigit() and int(value[:9]) > 0 else 1
+
+
+class _Table:
+    """Cells, each its lines, in the columns that spans leave them."""
+
+    def __init__(self):
+        self.rows: list[list[list[str]]] = []
+        self.below: dict[int, int] = {}     # column: rows that a cell from above still covers
+
+    def row(self) -> None:
+        self.rows.append([])
+        self.below = {c: n - 1 for c, n in self.below.items() if n > 1}
+
+    def cell(self, lines: list[str], wide: int, high: int) -> None:
+        row = self.rows[-1]
+        while self.below.get(len(row), 0) and len(row) < MAX_COLUMNS:
+            row.append([])
+        at = len(row)
+        row.append(lines)
+        row += [[]] * (max(0, min(wide, MAX_COLUMNS - at) - 1))
+        if high > 1:
+            self.below |= {c: high for c in range(at, len(row)) if c < MAX_COLUMNS}
+
+    def lines(self) -> list[str]:
+        """Columns as wide as their widest cell, two spaces apart. A cell
+        with a preformatted text, or a list or table of several items or
+        rows, keeps its lines; other blocks in a cell run on. A cell beyond ``MAX_CELL``
+        characters widens no column, and nothing is padded beyond
+        ``MAX_PADDED`` characters of a line: a page's text grows in
+        proportion to its markup."""
+        rows = [r for r in self.rows if any(r)]
+        wide: list[int] = []
+        for row in rows:
+            for i, cell in enumerate(row):
+                if i == len(wide):
+                    wide.append(0)
+                if i < len(row) - 1:                # a row's last cell needs no padding
+                    wide[i] = max([wide[i], *(n for x in cell if (n := len(x)) <= MAX_CELL)])
+        out = []
+        for row in rows:
+            for k in range(max(map(len, row))):
+                line = ""
+                for i, cell in enumerate(row):
+                    part = cell[k] if k < len(cell) else ""
+                    if part or len(line) < MAX_PADDED:
+                        line += ("  " if i else "") + (part.ljust(wide[i]) if len(line) + wide[i] <= MAX_PADDED else part)
+                out.append(line.rstrip())
+        return out
 
 
 class _Foreign:
@@ -326,7 +373,8 @@ def render(markup: str | None) -> str:
     page, pages = _Page(), []
     hidden = pre = 0
     lists: list[list] = []          # [marker counter or None, ...]
-    tables: list[list[list[str]]] = []
+    tables: list[_Table] = []
+    spans: list[tuple[int, int]] = []
     unseen: list[str] = []          # open elements inside the outermost hidden one
     veils: list[bool] = []          # from the outermost invisible element on: whether the text of each open one is invisible
     foreign: list[_Foreign] = []
@@ -374,12 +422,15 @@ def render(markup: str | None) -> str:
             if name == "br":
                 if not (veils and veils[-1]):
                     page.end(keep=True)
-            elif name in ("td", "th") and tables and tables[-1]:
+            elif name in ("td", "th") and tables and tables[-1].rows:
+                spans.append((_span(rest, "colspan"), _span(rest, "rowspan")))
                 pages.append((page, pre, lists))
                 page, pre, lists = _Page(), 0, []
             else:
                 if name in BLOCKS:
                     page.end(blank=name in PARAGRAPHS and not (name in ("ul", "ol") and lists))
+                page.items += name == "li"
+                page.structured |= page.items > 1 or name == "pre"
                 if name in ("ul", "ol", "menu", "dir"):
                     start = re.search(r"start\s*=\s*[\"']?(-?[0-9]{1,9})", rest) if name == "ol" else None
                     lists.append([int(start[1]) if start else 1] if name == "ol" else [None])
@@ -394,9 +445,9 @@ def render(markup: str | None) -> str:
                 elif name == "pre":
                     pre += 1
                 elif name == "table":
-                    tables.append([])
+                    tables.append(_Table())
                 elif name == "tr" and tables:
-                    tables[-1].append([])
+                    tables[-1].row()
                 elif name == "img":
                     pass
             continue
@@ -404,14 +455,18 @@ def render(markup: str | None) -> str:
             veils.pop()
         if foreign:
             around(foreign.pop())
-        if name in ("td", "th") and tables and tables[-1] and pages:
-            cell = " ".join(x.strip() for x in page.done() if x.strip())
+        if name in ("td", "th") and tables and tables[-1].rows and pages:
+            cell = [x for x in page.done() if x.strip()]
+            if not page.structured:
+                cell = [" ".join(x.strip() for x in cell)] if cell else []
             page, pre, lists = pages.pop()
-            tables[-1][-1].append(cell)
+            tables[-1].cell(cell, *spans.pop())
         elif name in BLOCKS:
             if name == "table" and tables:
                 page.end()
-                for line in _aligned([r for r in tables.pop() if any(r)]):
+                inner = tables.pop()
+                page.structured |= len(inner.rows) > 1
+                for line in inner.lines():
                     page._begin()
                     page.line.append(line)
                     page.end()
@@ -429,7 +484,11 @@ def render(markup: str | None) -> str:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id and text for every row, repeated rows alike; no shuffle."""
+    """page_id and text for every row, repeated rows alike; no shuffle.
+
+    A null or empty page has the text ''. However long, nested, wide or
+    broken a page is, time and text grow in proportion to it: indents stop
+    at ``MAX_INDENTS`` levels, padding and spans at the table's bounds."""
     def run(batches):
         for batch in text_slices(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([render(x) for x in batch.column(1).to_pylist()], pa.string())], names=["page_id", "text"])

@@ -1,9 +1,11 @@
+import time
 import re
 from html.parser import HTMLParser
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import pytest
 from hushwin.llm import render
 from hushwin.llm.common import table
 from hushwin.llm.render import render as text_of
@@ -154,3 +156,33 @@ def test_events_nest_in_drawings_and_formulas(parts):
             assert stack.pop() == name
     assert not stack
     text_of("".join(parts))
+
+
+@pytest.mark.parametrize("page", [
+    "<table><tr><td>" + "long " * 20_000 + "<td>x" + "<tr><td>a<td>b" * 30_000,                       # one long cell over many rows
+    "<blockquote>x" * 70_000, "<ul><li>x" * 80_000, "<dl><dd>x" * 80_000,                              # deep nests
+    "<div>" * 30_000 + "<table><tr><td>" + "<b>" * 30_000 + "</div>" * 90_000,                         # tags that a cell stops
+    "<table>" + "<tr><td rowspan=900 colspan=900>x" * 20_000, "<table><tr>" + "<td rowspan=999>x" * 1000 + "<tr><td>y" * 80_000,
+    "<table><tr><td>" * 20_000 + "x", "</p></div></td>" * 60_000, "<p><table><b>" * 60_000, "<td>" * 200_000,
+])
+def test_time_and_text_grow_in_proportion_to_the_page(page):
+    """Pages of about 1 MB."""
+    began = time.process_time()
+    text = render.render(page)
+    assert time.process_time() - began < 20
+    assert len(text) < 60 * len(page)
+
+
+def test_spans_keep_columns():
+    page = "<table><tr><th colspan=2>Both<th>Last<tr><td>a<td>b<td>c<tr><td rowspan=2>tall<td>d<td>e<tr><td>f<td>g<tr><td>h<td>i<td>j</table>"
+    assert render.render(page) == "Both     Last\na     b  c\ntall  d  e\n      f  g\nh     i  j"
+
+
+def test_cells_keep_their_lines():
+    page = "<table><tr><td><ul><li>one<li>two</ul><td>right<tr><td>x<td><pre>up\n down</pre><tr><td><table><tr><td>p<td>q<tr><td>r<td>s</table><td><p>run</p><p>on</p></table>"
+    assert render.render(page) == "- one  right\n- two\nx      up\n        down\np  q   run on\nr  s"
+
+
+def test_long_cells_widen_no_column():
+    page = f"<table><tr><td>{'w' * 80}<td>x<tr><td>a<td>b</table>"
+    assert render.render(page) == f"{'w' * 80}  x\na  b"
