@@ -20,6 +20,8 @@ from hushwin.llm.common import crc32_mod, text_slices
 PROFILE = 400
 #: Training documents per language, in expectation (a seeded hash of the id picks them).
 SAMPLE = 3_000
+#: Values of ``lang`` that are learned as languages, those with most documents.
+MAX_LANGS = 500
 FOLDS, HELD_OUT = 4, 2
 _BITS = np.uint64(21)
 
@@ -55,14 +57,17 @@ def ranked(keys: np.ndarray, n: int = PROFILE) -> np.ndarray:
 
 def profiles(docs: DataFrame, sample: int = SAMPLE, size: int = PROFILE) -> dict[str, np.ndarray]:
     """Language to ranked n-grams. Learned from text and lang of a bounded
-    sample of each language's documents outside the held-out fold; the
-    driver receives ``size`` n-grams per language."""
+    sample of each language's documents outside the held-out fold, equal
+    texts once. The ``MAX_LANGS`` values of lang with most documents are
+    languages; the driver receives ``size`` n-grams for each."""
     own = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(crc32_mod("doc_id", FOLDS) != HELD_OUT, F.lit(True)))
-    totals = own.groupBy("lang").agg(F.count("*").alias("total")).withColumnRenamed("lang", "its_lang")
-    place = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_000)) / 1_000_000
-    # One number per language, less than the profiles that every task is given: texts stay where they are.
-    picked = own.join(F.broadcast(totals), F.col("lang") == F.col("its_lang")).where(place * F.col("total") < sample).select("lang", "text")
+    totals = own.groupBy("lang").agg(F.count("*").alias("total")).orderBy(F.col("total").desc(), "lang").limit(MAX_LANGS).collect()
+    totals = docs.sparkSession.createDataFrame([tuple(r) for r in totals], "its_lang string, total long")
+    # Rows that share an id, or have none, have places of their own.
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit("langid")), F.lit(1 << 40)) / (1 << 40)
+    # One number for each of at most MAX_LANGS languages: texts stay where they are. Equal texts, which share a place, are combined in each task.
+    picked = own.join(F.broadcast(totals), F.col("lang") == F.col("its_lang")).where(place * F.col("total") < sample).select("lang", "text").distinct()
 
     def run(batches):
         for batch in text_slices(batches, 1):

@@ -2,6 +2,8 @@ from collections import Counter
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from hushwin.llm import langid
 from hushwin.llm.common import table
 from hushwin.llm.queries import op4_rank_order_language
@@ -61,3 +63,20 @@ def test_edges(spark):
     assert rows(langid.identify(empty_docs(spark))) == []
     unlabelled = edge_docs(spark).selectExpr("doc_id", "text", "cast(null as string) as lang")
     assert {r["lang_pred"] for r in rows(langid.identify(unlabelled))} == {"und"}
+
+
+def test_rows_without_ids_and_of_one_id_are_sampled_each(spark):
+    """All ids null, or one id for all rows: a bounded sample is learned, as with ids of their own."""
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    for one in (docs.withColumn("doc_id", F.lit(None).cast("long")), docs.withColumn("doc_id", F.lit(8).cast("long"))):
+        assert set(langid.profiles(one, sample=300)) == {"de", "en", "es", "fr"}
+    copies = spark.range(10_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same words of one text").alias("text"), F.lit("en").alias("lang"))
+    assert set(langid.profiles(copies.union(docs.select("doc_id", "text", "lang")), sample=300)) == {"de", "en", "es", "fr"}
+
+
+def test_languages_are_those_with_most_documents(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGS", 2)
+    docs = table(spark, SF01, "documents")
+    want = [r.lang for r in docs.where("lang is not null").where(~(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2))
+            .groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(2).collect()]
+    assert sorted(langid.profiles(docs)) == sorted(want)
