@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from hushwin.llm.common import crc32_mod, staged, text_slices, words
 
-#: Labelled documents to learn from, in expectation (a seeded hash of the id picks them).
+#: Labelled rows to learn from, in expectation (a seeded hash of id and text picks them).
 SAMPLE = 20_000
 #: Tokens kept in the model, by evidence, the least evidence (z-score) and documents.
 MAX_TOKENS = 5_000
@@ -153,19 +153,22 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(text, toxic) of about ``sample`` labelled documents outside the held-out fold."""
+    """(text, toxic) of about ``sample`` rows with a labelled id outside the
+    held-out fold, equal texts once. Rows are picked by a hash of id and
+    text, so an id that many rows share brings its part of them."""
     own = (labels.select("doc_id", "toxic").where((crc32_mod("doc_id", FOLDS) != HELD_OUT) & F.col("toxic").isNotNull())
            .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
-    total = own.count()
+    able = docs.select("doc_id", "text").where("text is not null and doc_id is not null")
+    # Ids alone are counted before, so that a shared one is a row a task.
+    total = able.groupBy("doc_id").agg(F.count("*").alias("n")).join(own, "doc_id").agg(F.sum("n")).first()[0] or 0
     share = min(1.0, sample / max(total, 1))
-    picked = own.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) < int(share * 1_000_000))
-    # The picked rows are bounded by the sample size, so they may be broadcast; texts stay where they are.
-    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").select("text", "toxic")
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit("toxicity")), F.lit(1 << 62))
+    return able.where(place < int(share * (1 << 62))).join(own, "doc_id").select("text", "toxic").distinct()
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from labelled rows only; the driver sees ``MAX_TOKENS`` token
-    counts and two numbers for each sampled document."""
+    counts and four numbers for each sampled text."""
     rows = staged(training_rows(docs, labels, sample), "toxic-sample")
     counts = staged(_token_counts(rows), "toxic-counts")
     totals = counts.where(~F.col("token").endswith("*")).agg(F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
@@ -181,23 +184,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     share = np.array([(r.b + 0.5) / big_b for r in best] + [0.0])
     share[-1] = max(1e-9, 1 - share.sum())
     model.rate = _rate(np.append(model.values[:-1], 0.0) - WORD_COST, share)
-    seen = _score_sample(rows, model)
-    clean = [(n, s) for toxic, n, segments in seen if not toxic for s in [max(segments, default=0.0)]]
+    clean = [(n, s) for toxic, n, s, _ in _score_sample(rows, model) if not toxic]
     model.scale = (len(clean) + 1) / (sum(max(n, 1) * math.exp(-model.rate * s) for n, s in clean) + 1)
-    x = np.array([math.log1p(sum(model.evidence(n, s) for s in segments)) for _, n, segments in seen])
-    model.curve = _logistic(x, np.array([float(t) for t, _, _ in seen]))
+    seen = _score_sample(rows, model)
+    model.curve = _logistic(np.array([math.log1p(e) for *_, e in seen]), np.array([float(t) for t, *_ in seen]))
     return model
 
 
-def _score_sample(rows: DataFrame, model: Model) -> list:
+def _score_sample(rows: DataFrame, model: Model) -> list[tuple[int, int, float, float]]:
+    """(toxic, words, best segment, evidence of all segments) of each sampled text."""
     def run(batches):
         for batch in text_slices(batches, 0):
             found = list(model.passages(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([n for n, _ in found], pa.int64()),
-                                              pa.array([[s for _, _, s in seg] for _, seg in found], pa.list_(pa.float64()))],
-                                             names=["toxic", "n", "segments"])
+            best = [max((s for _, _, s in segments), default=0.0) for _, segments in found]
+            evidence = [sum(model.evidence(n, s) for _, _, s in segments) for n, segments in found]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array(best, pa.float64()), pa.array(evidence, pa.float64())],
+                                             names=["toxic", "n", "best", "evidence"])
 
-    return [(r.toxic, r.n, r.segments) for r in rows.select("text", "toxic").mapInArrow(run, "toxic int, n long, segments array<double>").collect()]
+    return [tuple(r) for r in rows.select("text", "toxic").mapInArrow(run, "toxic int, n long, best double, evidence double").collect()]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -5,6 +5,8 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from hushwin.llm import toxicity
 from hushwin.llm.common import table
 from tests.llm.cases import edge_docs, empty_docs, rows
@@ -65,3 +67,14 @@ def test_scores_do_not_read_labels_of_the_held_out_fold(spark):
     key = lambda r: r["doc_id"]
     a, b = (sorted(rows(toxicity.judge(docs, x).select("doc_id", "score")), key=key) for x in (labels, other))
     assert a == b
+
+
+def test_a_labelled_id_of_many_rows_brings_its_part(spark):
+    """30,000 rows share labelled ids: the sample stays near its size, and repeated texts count once."""
+    docs = spark.range(30_000).select((F.col("id") % 40 + 1).alias("doc_id"), F.concat(F.lit("text number "), F.col("id")).alias("text"))
+    labels = spark.range(1, 60).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    n = toxicity.training_rows(docs, labels, sample=600).count()
+    assert 450 < n < 750
+    same = docs.withColumn("text", F.lit("one text"))
+    assert toxicity.training_rows(same, labels, sample=10**6).count() == 2
+    assert toxicity.training_rows(docs.withColumn("doc_id", F.lit(None).cast("long")), labels).count() == 0
