@@ -15,7 +15,7 @@ from hushwin.config import KafkaIn, KafkaOut, WindowOptions
 from hushwin.functions import codec
 from hushwin.schema import DEFAULT_IDLE_MS
 from hushwin.sources import kafka, streams
-from hushwin.streaming import jobs
+from hushwin.streaming import combined, jobs
 
 
 def records_from(spark: SparkSession, source: KafkaIn | str | None, opts: WindowOptions) -> DataFrame:
@@ -55,22 +55,34 @@ def _sink(df: DataFrame, name: str, out: KafkaOut | None, opts: WindowOptions) -
 def run_heartbeat(spark: SparkSession, opts: WindowOptions = WindowOptions(),
                   source: KafkaIn | str | None = None, out: KafkaOut | None = None,
                   name: str = "heartbeat-windows") -> StreamingQuery:
-    """Heartbeats move event time forward so quiet windows still close."""
+    """Heartbeats move event time forward so quiet windows still close. With
+    several shards, the watermark is the minimum of their projected clocks
+    (tumbling windows; sliding and session ones follow the fastest shard)."""
     reals = records_from(spark, source, opts)
     ticks = streams.heartbeats(spark, opts.idle_ms, opts.shards)
-    win = jobs.heartbeat_windows(reals, ticks, opts.size_ms, opts.lateness_ms, opts.idle_ms,
-                                 slide_ms=opts.slide_ms, gap_ms=opts.session_gap_ms)
+    if opts.shards > 1 and opts.slide_ms is None and opts.session_gap_ms is None:
+        win = combined.combined_windows(reals, combined.clock_progress(reals, ticks, opts.idle_ms), opts.size_ms, opts.lateness_ms, None, "keep_max")
+    else:
+        win = jobs.heartbeat_windows(reals, ticks, opts.size_ms, opts.lateness_ms, opts.idle_ms,
+                                     slide_ms=opts.slide_ms, gap_ms=opts.session_gap_ms)
     return _sink(win, name, out, opts)
 
 
 def run_idle_timeout(spark: SparkSession, opts: WindowOptions = WindowOptions(),
                      source: KafkaIn | str | None = None, out: KafkaOut | None = None,
                      name: str = "idle-timeout-windows") -> StreamingQuery:
-    """Watermark over all partitions, maxBy. It follows the fastest
-    partition, so an idle one never holds it and no timeout is read: an
-    ``idle_ms`` of one's own is refused rather than ignored."""
+    """maxBy per key and window. With several shards, the watermark is
+    combined from those that are not idle: a slow, live shard holds it, one
+    silent for ``idle_ms`` does not. With one shard, and for sliding and
+    session windows, Spark's own watermark follows the fastest partition: no
+    idle one can hold it, so an ``idle_ms`` of one's own is refused there
+    rather than ignored."""
+    if opts.shards > 1 and opts.slide_ms is None and opts.session_gap_ms is None:
+        reals = records_from(spark, source, opts)
+        win = combined.combined_windows(reals, reals, opts.size_ms, opts.lateness_ms, opts.idle_ms, "max_by")
+        return _sink(win, name, out, opts)
     if opts.idle_ms != DEFAULT_IDLE_MS:
-        raise ValueError("run_idle_timeout takes no idle_ms: no partition can hold its watermark")
+        raise ValueError("run_idle_timeout takes no idle_ms where no partition can hold the watermark: one shard, sliding or session windows")
     reals = records_from(spark, source, opts)
     win = jobs.idle_timeout_windows(reals, opts.size_ms, opts.lateness_ms, slide_ms=opts.slide_ms,
                                     gap_ms=opts.session_gap_ms)

@@ -25,15 +25,7 @@ from hushwin.operators import clock, routing, windows
 from hushwin.session import checkpoint_path
 from hushwin.sources import kafka
 from hushwin.streaming.processors import CLOCK_OUT, WINDOW_OUT, IdleClose, ProjectedClock
-
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def use_rocksdb(spark) -> None:
-    """Custom state (``transformWithState``) needs the RocksDB state store;
-    it also keeps large window state off the JVM heap."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-
+from hushwin.streaming.state import use_rocksdb
 
 def _window_rows(agg: DataFrame, keys: Sequence[str]) -> DataFrame:
     return agg.select(*keys, *windows.bounds_ms(),

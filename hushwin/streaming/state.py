@@ -1,0 +1,13 @@
+"""The state store of custom stateful steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """Custom state (``transformWithState``) needs the RocksDB state store;
+    it also keeps large window state off the JVM heap."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
