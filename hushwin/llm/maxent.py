@@ -50,9 +50,11 @@ PRIOR = 2.0                 # added to observed and expected counts
 #: Tokens whose counts are broadcast, and their longest form; the others are joined.
 COMMON = 200_000
 COMMON_BYTES = 64
-SLICE = 16 << 20
+SLICE = 8 << 20
 #: Tokens at a time: their outcome rows stay in a core's cache.
 CHUNK = 1 << 13
+#: Tokens whose observed counts are added at once.
+SEEN = 1 << 18
 #: Weight rows that are summed as one.
 BLOCK = 1024
 
@@ -172,12 +174,13 @@ def encode(docs: DataFrame, voc: Vocabulary, held_out: Column) -> DataFrame:
 
 def contexts(units: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     """The units one, two and three places before each, 0 before a text."""
-    place = np.arange(len(units)) - np.repeat(starts[:-1], np.diff(starts))
     out = []
     for k in (1, 2, 3):
-        before = np.zeros(len(units), np.int64)
-        before[k:] = units[:len(units) - k]
-        before[place < k] = 0
+        before = np.zeros(len(units), np.int16)
+        before[k:] = units[:max(len(units) - k, 0)]
+        # The first k places of a text; where the text is shorter, those of the next ones.
+        heads = (starts[:-1, None] + np.arange(k)).reshape(-1)
+        before[heads[heads < len(units)]] = 0
         out.append(before)
     return out
 
@@ -226,8 +229,8 @@ def log_probabilities(w: Weights, units: np.ndarray, starts: np.ndarray) -> np.n
     out = np.zeros(len(units))
     before = contexts(units, starts)
     for a in range(0, len(units), CHUNK):
-        of_class, unit = np.divmod(units[a:a + CHUNK], SIDE)
-        near = [b[a:a + CHUNK] for b in before]
+        of_class, unit = np.divmod(units[a:a + CHUNK].astype(np.int64), SIDE)
+        near = [b[a:a + CHUNK].astype(np.int64) for b in before]
         at = np.arange(len(unit))
         out[a:a + CHUNK] = (_softmax(w.base, w.by_class, class_features(near))[at, of_class]
                             + _softmax(w.base_unit[of_class], w.by_unit, unit_features(near, of_class))[at, unit])
@@ -246,14 +249,16 @@ def gradient_parts(w: Weights, units: np.ndarray, starts: np.ndarray, seen: np.n
     """Adds to ``seen`` and ``expected`` how often each feature met each
     outcome and how often the model expects it (class rows, then unit rows)."""
     before = contexts(units, starts)
-    of_class, unit = np.divmod(units, SIDE)
-    for f in class_features(before):
-        seen.reshape(-1)[:] += np.bincount(f * SIDE + of_class, minlength=seen.size)
-    for f in unit_features(before, of_class):
-        seen.reshape(-1)[:] += np.bincount((f + ROWS) * SIDE + unit, minlength=seen.size)
+    for a in range(0, len(units), SEEN):
+        of_class, unit = np.divmod(units[a:a + SEEN].astype(np.int64), SIDE)
+        near = [b[a:a + SEEN].astype(np.int64) for b in before]
+        for f in class_features(near):
+            seen.reshape(-1)[:] += np.bincount(f * SIDE + of_class, minlength=seen.size)
+        for f in unit_features(near, of_class):
+            seen.reshape(-1)[:] += np.bincount((f + ROWS) * SIDE + unit, minlength=seen.size)
     for a in range(0, len(units), CHUNK):
-        of_class = units[a:a + CHUNK] // SIDE
-        near = [b[a:a + CHUNK] for b in before]
+        of_class = units[a:a + CHUNK].astype(np.int64) // SIDE
+        near = [b[a:a + CHUNK].astype(np.int64) for b in before]
         for base, table, features, shift in (
                 (w.base, w.by_class, class_features(near), 0),
                 (w.base_unit[of_class], w.by_unit, unit_features(near, of_class), ROWS)):
@@ -303,7 +308,7 @@ def gradient(encoded: DataFrame, w: Weights) -> tuple[np.ndarray, np.ndarray]:
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     at = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
-    return at - at[0], lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return at - at[0], lists.flatten().to_numpy(zero_copy_only=False)
 
 
 def updated(w: Weights, seen: np.ndarray, expected: np.ndarray, damping: float = DAMPING, prior: float = PRIOR) -> Weights:
