@@ -55,8 +55,8 @@ def projected_late_rows(proj: DataFrame, size_ms: int, lateness_ms: int,
 
 def projected_closing(proj: DataFrame, size_ms: int, lateness_ms: int) -> DataFrame:
     """Per shard and window with a real row, the real event or heartbeat
-    (``closed``, a struct in arrival order) whose projected time closed it."""
-    return watermark.closing(proj, size_ms, lateness_ms, ["shard"], F.struct(*hb_order()), "s2", F.col("is_real"))
+    (``closed``, its arrival key) whose projected time closed it."""
+    return watermark.closing(proj, size_ms, lateness_ms, ["shard"], watermark.arrival_key(F.col("is_real")), "s2", F.col("is_real"))
 
 
 def heartbeat_window_close(reals: DataFrame, size_ms: int, lateness_ms: int, idle_ms: int,
@@ -73,12 +73,12 @@ def heartbeat_window_close(reals: DataFrame, size_ms: int, lateness_ms: int, idl
     # The projected trace is read twice below: stage it once.
     proj = stage(clock.projected_clock(reals, idle_ms, extra_ticks=extra_ticks, parts=parts, origin_ms=origin_ms), "projected")
     ends = projected_closing(proj, size_ms, lateness_ms)
-    rows = watermark.with_closing(proj.filter("is_real"), ends, size_ms, ["shard"], F.struct(*hb_order()))
+    rows = watermark.with_closing(proj.filter("is_real"), ends, size_ms, ["shard"], watermark.arrival_key(F.col("is_real")))
     # A window of a shard has one closing arrival, so any row's will do.
     out = (rows.filter(~F.col("is_late")).groupBy(*dict.fromkeys(("shard", *keys)), "window_start_ms", "window_end_ms")
-               .agg(windows.keep_max_agg().alias("r"), F.max("closed.p").alias("close_ms")))
+               .agg(windows.keep_max_agg().alias("r"), F.max("closed").alias("closed")))
     return out.select(*keys, "window_start_ms", "window_end_ms",
-                      *[F.col(f"r.{f}").alias(f) for f in windows.RECORD_FIELDS if f not in keys], "close_ms")
+                      *[F.col(f"r.{f}").alias(f) for f in windows.RECORD_FIELDS if f not in keys], watermark.arrival_ms("closed").alias("close_ms"))
 
 
 NEVER_IDLE_MS = 1 << 60
@@ -125,14 +125,15 @@ def idle_close_replay(df: DataFrame, size_ms: int, idle_ms: int, lateness_ms: in
     wb = Window.partitionBy(key).orderBy("_burst").rowsBetween(Window.unboundedPreceding, -1)
     bursts = (x.groupBy(key, "_burst").agg(F.max("t").alias("_bmax"), F.max("p").alias("_bend"))
                .select(key, "_burst", "_bend", F.max("_bmax").over(wb).alias("_prior")))
-    arrival = F.struct("p", "seq")
+    arrival = watermark.arrival_key()
     ends = watermark.closing(df, size_ms, lateness_ms, part, arrival)
     x = watermark.with_closing(x.join(bursts, on=[key, "_burst"], how="inner"), ends, size_ms, part, arrival)
     timed_out = watermark.reached_end(F.col("_prior"), size_ms) + F.lit(size_ms)
     late = F.col("is_late") | F.coalesce(F.col("window_end_ms") <= timed_out, F.lit(False))
     out = (x.filter(~late).groupBy(key, "window_start_ms", "window_end_ms")
              .agg(windows.keep_max_agg().alias("r"),
-                  F.min_by("_bend", F.struct("p", "seq")).alias("_first_bend"), F.max("closed.p").alias("close_ms")))
+                  F.min_by("_bend", F.struct("p", "seq")).alias("_first_bend"), F.max("closed").alias("closed"))
+             .withColumn("close_ms", watermark.arrival_ms("closed")))
     timer = F.col("_first_bend") + F.lit(idle_ms)
     by_event = F.col("close_ms").isNotNull() & (F.col("close_ms") < timer)
     return (out.select(key, "window_start_ms", "window_end_ms",

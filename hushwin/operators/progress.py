@@ -16,7 +16,7 @@ def shard_progress(reals: DataFrame, size_ms: int, lateness_ms: int, idle_ms: in
     projected time and offset after the last row."""
     proj = stage(clock.projected_clock(reals, idle_ms, extra_ticks=extra_ticks), "projected")
     rows = watermark.with_closing(proj, latency.projected_closing(proj, size_ms, lateness_ms), size_ms, ["shard"],
-                                  F.struct(*latency.hb_order()))
+                                  watermark.arrival_key(F.col("is_real")))
     last = F.max_by(F.struct("s2", "d"), F.struct(*latency.hb_order()))
     agg = rows.groupBy("shard").agg(
         F.sum(F.col("is_real").cast("long")).alias("n_real"),

@@ -15,6 +15,7 @@ scan (``hushwin.operators.scan``), which splits a hot shard or a burst.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,24 @@ def _order():
     return (F.col("p"), F.col("seq"))
 
 
+#: An arrival as one number: ``p`` in units beyond any ``seq``, a real row half a unit after a heartbeat of its instant.
+_UNIT = 10**20
+_SHIFT = 10**19
+
+
+def arrival_key(real: Column | None = None) -> Column:
+    """The place of a row in arrival order (p, heartbeats first, seq) as one
+    decimal, which aggregates by hash as a struct does not. ``p`` has at
+    most 18 digits."""
+    key = F.col("p").cast("decimal(18,0)") * F.lit(Decimal(_UNIT)) + F.col("seq").cast("decimal(19,0)")
+    return key if real is None else key + F.when(real, F.lit(Decimal(_UNIT // 2))).otherwise(F.lit(Decimal(0)))
+
+
+def arrival_ms(key: str) -> Column:
+    """The ``p`` of an ``arrival_key``."""
+    return F.expr(f"cast(({key} + {_SHIFT}BD - pmod({key} + {_SHIFT}BD, {_UNIT}BD)) div {_UNIT}BD as bigint)")
+
+
 def _check(lateness_ms: int) -> None:
     if lateness_ms < 0:
         raise ValueError("lateness must be >= 0")
@@ -104,7 +123,7 @@ def late_drop(df: DataFrame, size_ms: int, lateness_ms: int, keys: Sequence[str]
     """The windowed keep-max reduce as the window operator computes it:
     rows that arrive after their window closed are dropped."""
     _check(lateness_ms)
-    arrival = F.struct(*_order())
+    arrival = arrival_key()
     ends = closing(df, size_ms, lateness_ms, [shard], arrival)
     on_time = with_closing(df, ends, size_ms, [shard], arrival).filter(~F.col("is_late"))
     out = on_time.groupBy(*keys, "window_start_ms", "window_end_ms").agg(windows.keep_max_agg().alias("r"))

@@ -30,7 +30,7 @@ def test_closing_on_a_projected_trace(spark):
     reals = tables.decoupled(spark, SF)
     proj = clock.projected_clock(reals, HOUR).persist()
     ends = latency.projected_closing(proj, HOUR, 60_000)
-    seen = watermark.with_closing(proj.filter("is_real"), ends, HOUR, ["shard"], F.struct(*latency.hb_order()))
+    seen = watermark.with_closing(proj.filter("is_real"), ends, HOUR, ["shard"], watermark.arrival_key(F.col("is_real")))
     assert _late(seen) == _late(latency.projected_late_rows(proj, HOUR, 60_000))
     proj.unpersist()
 
@@ -54,3 +54,11 @@ def test_origin_moves_arrivals_only(spark):
     ticks = clock.heartbeat_ticks(moved, HOUR, origin_ms=origin)
     assert ticks.count() == a.filter("not is_real").count()
     assert ticks.filter(F.col("p") != F.col("tick_ms") + origin).count() == 0
+
+
+def test_arrival_keys_order_and_give_back_arrivals(spark):
+    """Negative and large times, equal instants, heartbeats (negative seq) before rows."""
+    rows = [(p, r, q) for p in (-10**17, -1, 0, 5, 1_704_067_200_000, 10**17) for r, q in ((False, -2**62), (False, -1), (True, 0), (True, 2**63 - 1))]
+    df = spark.createDataFrame(rows, "p long, real boolean, seq long").withColumn("k", watermark.arrival_key(F.col("real")))
+    got = df.orderBy("k").select("p", "real", "seq", watermark.arrival_ms("k").alias("ms")).collect()
+    assert [tuple(r)[:3] for r in got] == sorted(rows) and all(r.p == r.ms for r in got)
