@@ -267,3 +267,20 @@ def test_streaming_session_and_sliding_windows(spark, scratch):
     got = sorted((r.window_start_ms, r.seq) for r in rows)
     # rows at 1 s, 3 s and 20 s; the watermark (20 s) closes [-5, 5) and [0, 10) only
     assert got == [(T0 - 5000, 2), (T0, 2)]
+
+
+def test_console_prints_closed_windows(spark, scratch):
+    """The print sink takes the window that a later event closes (the JVM prints it, out of reach of pytest)."""
+    now = time.time() - 100
+    reals, _ = _streams(spark, scratch)
+    _write_json(os.path.join(scratch, "reals"), "0.json", [_real(1, 1000, T0 + 1000, value=0.625)], now)
+    _write_json(os.path.join(scratch, "reals"), "1.json", [_real(2, 2000, T0 + 25_000)], now + 1)
+    q = jobs.start(jobs.idle_timeout_windows(reals, WINDOW, 0), "printed", sink="console", checkpoint=os.path.join(scratch, "ckpt"))
+    try:
+        q.processAllAvailable()
+        assert q.exception() is None
+        sinks = [p["sink"] for p in q.recentProgress]
+        assert all("Console" in x["description"] for x in sinks)
+        assert sum(max(x["numOutputRows"], 0) for x in sinks) == 1
+    finally:
+        q.stop()
