@@ -31,7 +31,7 @@ def trace():
                 continue
             for k in range(2):
                 p = cell * GRID + 1000 + 2311 * k + 97 * shard
-                t = p + 5000 - (shard == 1) * 38_000 - (seq % 5 == 0) * 33_000
+                t = p + 5000 - (shard == 1) * 18_000 - (seq % 5 == 0) * 33_000
                 rows.append({"shard": shard, "seq": seq, "p": p, "t": max(t, 0), "key": seq % 3, "value": float((seq * 7) % 11)})
                 seq += 1
     return rows
