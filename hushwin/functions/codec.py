@@ -27,6 +27,7 @@ ENCODE_OPTIONS = {"timestampFormat": JSON_TIME_FORMAT, "timeZone": "UTC"}
 
 REASON_UNPARSABLE = "unparsable"
 REASON_NO_TIME = "no_event_time"
+KIND_GOOD = "good"
 
 
 def parse(payload: Column) -> Column:
@@ -36,7 +37,7 @@ def parse(payload: Column) -> Column:
 
 def decode(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Add ``event_time, key, value`` and ``reason`` (null on good rows).
-
+    
     The parsed struct is expanded with ``inline`` (a generator): a later
     ``filter`` on its fields cannot be pushed below a generator, so the
     JSON is parsed once per row. Through a plain projection the optimizer
@@ -58,11 +59,36 @@ def good(decoded: DataFrame) -> DataFrame:
                    .drop("reason"))
 
 
+def counted(decoded: DataFrame) -> DataFrame:
+    """The same rows, counted as they pass (observation ``decode``), so that
+    the job which drops the bad ones also reports how many there were."""
+    reason = F.col("reason")
+    return decoded.observe("decode", F.count_if(reason.isNull()).alias(KIND_GOOD),
+                           *[F.count_if(F.equal_null(reason, F.lit(r))).alias(r) for r in (REASON_UNPARSABLE, REASON_NO_TIME)])
+
+
 def quarantine(decoded: DataFrame) -> DataFrame:
     """Rows that did not decode, with the reason."""
     return decoded.filter(F.col("reason").isNotNull()).drop("event_time", "key", "value")
 
 
+def sorted_out(decoded: DataFrame, payload: str = "payload") -> DataFrame:
+    """Every decoded row with its ``kind``: ``good`` (defaults applied, no
+    payload), or the reason why it did not decode (with its payload)."""
+    good = F.col("reason").isNull()
+    plain = [c for c in decoded.columns if c not in ("event_time", "key", "value", "reason", payload)]
+    return counted(decoded).select(
+        *plain, F.when(~good, F.col(payload)).alias(payload), F.when(good, F.col("event_time")).alias("event_time"), F.when(good, F.unix_millis("event_time")).alias("t"),
+        F.when(good, F.coalesce("key", F.lit(DEFAULT_KEY))).alias("key"),
+        F.when(good, F.coalesce("value", F.lit(DEFAULT_VALUE))).alias("value"), F.coalesce("reason", F.lit(KIND_GOOD)).alias("kind"))
+
+
+def encodable(event_time: Column | str = "event_time") -> Column:
+    """Whether a record can be written so that ``decode`` reads back the same:
+    it has an event time, after the year 0 (the format has no era)."""
+    return F.coalesce(F.year(event_time) > 0, F.lit(False))
+
+
 def encode(event_time: Column | str = "event_time", key: Column | str = "key",
            value: Column | str = "value") -> Column:
     """UTF-8 JSON bytes of a record. A null field is omitted and a
@@ -74,6 +100,6 @@ def encode(event_time: Column | str = "event_time", key: Column | str = "key",
 
 
 def encode_records(df: DataFrame, out: str = "payload") -> DataFrame:
-    """Encode and drop rows that produced no payload (the sink never gets
-    a null record)."""
-    return df.withColumn(out, encode()).filter(F.col(out).isNotNull())
+    """Encode, and drop rows that cannot be encoded (the sink never gets a
+    null record, nor one that its readers must refuse)."""
+    return df.filter(encodable()).withColumn(out, encode()).filter(F.col(out).isNotNull())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushwin.operators import clock, latency, scan, watermark
@@ -39,3 +39,19 @@ def lateness_histogram(df: DataFrame, class_ms: int, shard: str = "shard", parts
     behind = F.greatest(F.coalesce(F.col("_before") - F.col("t"), F.lit(0)), F.lit(0))
     return (seen.select(F.col(shard).alias("shard"), (behind - F.pmod(behind, F.lit(int(class_ms)))).alias("late_from_ms"))
             .groupBy("shard", "late_from_ms").agg(F.count(F.lit(1)).alias("n_rows")))
+
+
+def live_progress(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Per shard, the projected time and offset that a running (or stopped)
+    heartbeat job has reached, read from its checkpoint's last finished
+    batch: ``shard, last_projected_ms, last_offset_ms``. The job is not
+    disturbed; only the state of the clock is read."""
+    steps = (spark.read.format("state-metadata").load(checkpoint)
+             .where(F.col("operatorName").startswith("transformWithState") & F.col("operatorProperties").contains('"clock"'))
+             .select("operatorId").distinct().limit(2).collect())
+    if len(steps) != 1:
+        raise ValueError(f"{len(steps)} projected clocks in the checkpoint, one is needed")
+    state = (spark.read.format("statestore").option("operatorId", steps[0].operatorId)
+             .option("stateVarName", "clock").load(checkpoint))
+    return state.select(F.col("key.shard").alias("shard"), F.col("value.s2").alias("last_projected_ms"),
+                        F.col("value.d").alias("last_offset_ms"))

@@ -7,6 +7,10 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+# Custom state (``transformWithState``) needs the RocksDB state store; it also
+# keeps large window state off the JVM heap.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 # Settings every job relies on. Times are epoch milliseconds in UTC, so the
 # session zone must be UTC; AQE re-plans joins and coalesces partitions at
 # runtime; Arrow carries batches to the few pandas steps.
@@ -16,6 +20,7 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

@@ -104,6 +104,36 @@ def kafka_columns(raw: DataFrame, shards: int | None = None) -> DataFrame:
                       F.col("value").alias("payload"))
 
 
-def kafka_payload(df: DataFrame) -> DataFrame:
-    """The rows a Kafka sink writes: ``topic`` and UTF-8 JSON ``value``."""
-    return codec.encode_records(df, "value").select("topic", "value")
+#: The header of a window's record that says which one it is.
+ID_HEADER = "hushwin-id"
+ID_COLUMNS = ("key", "window_start_ms")
+
+
+def kafka_payload(df: DataFrame, name: str | None = None) -> DataFrame:
+    """The rows a Kafka sink writes: ``topic``, UTF-8 JSON ``value`` and
+    ``headers``. Rows of a window (``ID_COLUMNS``) carry the id ``name``,
+    key and window start: a job emits a window once, so an id that comes
+    again is a batch written twice. Other rows carry none."""
+    out = codec.encode_records(df, "value_json")
+    if name is None or not set(ID_COLUMNS) <= set(df.columns):
+        return out.select("topic", F.col("value_json").alias("value"))
+    own = F.to_json(F.array(F.lit(name), *[F.col(c).cast("string") for c in ID_COLUMNS]))
+    header = F.struct(F.lit(ID_HEADER).alias("key"), F.encode(own, "UTF-8").alias("value"))
+    return out.select("topic", F.col("value_json").alias("value"), F.array(header).alias("headers"))
+
+
+def once(raw: DataFrame, within_ms: int) -> DataFrame:
+    """The connector's rows (read with ``includeHeaders``), each window's
+    record once a topic. Rows without an id are all kept.
+
+    On a stream a copy is known for ``within_ms`` of append time: choose it
+    above the time a failed job takes to write its last batch again and
+    above the lag between partitions, as rows further behind are late. Its
+    state is one id per record of that span. A table is compared whole."""
+    own = F.get(F.filter("headers", lambda h: h["key"] == ID_HEADER), 0)["value"]
+    place = F.concat_ws(":", F.lit("at"), F.col("partition"), F.col("offset"))
+    marked = raw.withColumn("_id", F.coalesce(F.decode(own, "UTF-8"), place))
+    if not raw.isStreaming:
+        return marked.dropDuplicates(["topic", "_id"]).drop("_id")
+    return (marked.withWatermark("timestamp", f"{int(within_ms)} milliseconds")
+                  .dropDuplicatesWithinWatermark(["topic", "_id"]).drop("_id"))

@@ -25,21 +25,33 @@ def records_from(spark: SparkSession, source: KafkaIn | str | None, opts: Window
         raw = kafka.read_records(spark, kafka.consumer_options(
             source.bootstrap, list(source.topics) if source.topics else None, source.pattern,
             source.offset, source.group_id, source.properties, source.reader), opts.shards)
-        return codec.good(codec.decode(raw)).select("shard", "seq", "p", "t", "key", "value")
+        return decoded(raw)
     if isinstance(source, str):
         return streams.replay(spark, source)
     return streams.sample_records(spark, opts.shards)
 
 
-def run_quarantine(spark: SparkSession, source: KafkaIn, path: str, opts: WindowOptions = WindowOptions(),
-                   name: str = "bad-records") -> StreamingQuery:
-    """The records that the window jobs drop as undecodable, written to
-    ``path`` with their topic, partition and offset. A query of its own, so
-    its checkpoint and its lag do not touch the windows."""
+def decoded(raw: DataFrame) -> DataFrame:
+    """A trace from raw records. Bad ones are dropped and counted: the job's
+    ``jobs.observed`` tells how many (observation ``decode``)."""
+    return codec.good(codec.counted(codec.decode(raw))).select("shard", "seq", "p", "t", "key", "value")
+
+
+def run_sorted_out(spark: SparkSession, source: KafkaIn, path: str, opts: WindowOptions = WindowOptions(),
+                   name: str = "sorted-records") -> StreamingQuery:
+    """One read of the topic for both the good and the bad records: each is
+    written once under ``path``, ``kind=good`` as a trace that the window
+    jobs can replay (``sorted_source``), the others with payload, topic,
+    partition and offset."""
     raw = kafka.read_records(spark, kafka.consumer_options(
         source.bootstrap, list(source.topics) if source.topics else None, source.pattern,
         source.offset, source.group_id, source.properties, source.reader), opts.shards)
-    return jobs.start_idempotent(codec.quarantine(codec.decode(raw)), path, name, trigger_ms=opts.trigger_ms)
+    return jobs.start_sorted_out(raw, path, name, trigger_ms=opts.trigger_ms)
+
+
+def sorted_source(path: str) -> str:
+    """The good records of ``run_sorted_out``, as the ``source`` of a job."""
+    return f"{path.rstrip('/')}/batch_id=*/kind={codec.KIND_GOOD}"
 
 
 def _sink(df: DataFrame, name: str, out: KafkaOut | None, opts: WindowOptions) -> StreamingQuery:
@@ -47,7 +59,7 @@ def _sink(df: DataFrame, name: str, out: KafkaOut | None, opts: WindowOptions) -
         return jobs.start(df, name, sink="console", trigger_ms=opts.trigger_ms)
     if out.exactly_once_path:
         return jobs.start_idempotent(df, out.exactly_once_path, name, trigger_ms=opts.trigger_ms)
-    rec = df.selectExpr("timestamp_millis(event_time_ms) AS event_time", "key", "value")
+    rec = df.selectExpr("timestamp_millis(event_time_ms) AS event_time", "key", "value", "window_start_ms")
     return jobs.start_kafka(rec, name, out.topics, kafka.producer_options(out.bootstrap, out.properties),
                             trigger_ms=opts.trigger_ms)
 

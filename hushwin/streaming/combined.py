@@ -30,7 +30,6 @@ from pyspark.sql.streaming.stateful_processor import (ExpiredTimerInfo, Stateful
                                                       StatefulProcessorHandle, TimerValues)
 
 from hushwin.streaming.jobs import project
-from hushwin.streaming.state import use_rocksdb
 
 REDUCERS = ("max_by", "keep_max")
 CLOSED = "key int, window_start_ms long, window_end_ms long, event_time_ms long, value double, seq long"
@@ -169,7 +168,6 @@ def combined_windows(reals: DataFrame, progress: DataFrame, size_ms: int, latene
     """Tumbling windows per key over the streams' rows (``key, seq, p, t,
     value``), closed by the watermark combined from ``progress`` (``shard, t,
     p``): the rows themselves, or their projected clocks."""
-    use_rocksdb(reals.sparkSession)
     steps = shard_summaries(progress).withColumn("all", F.lit(0)).groupBy("all").transformWithStateInPandas(
         CombinedClock(idle_ms, grid_ms), "t long", "Append", "ProcessingTime" if idle_ms is not None and grid_ms is None else "None")
     none = F.lit(None)

@@ -148,6 +148,20 @@ def fold_windows(t: np.ndarray, v: np.ndarray, q: np.ndarray, size: int, late: i
     return out, int(max(top, int(t.max())))
 
 
+def due(before: int, top: int, size: int, late: int, n_open: int) -> range | None:
+    """The starts of the windows open before a batch that its event times may
+    close, as the latest goes from ``before`` to ``top``; ``None`` if there
+    are more of these than open windows.
+
+    A window that is open has ``start + size + late > before`` and, as a row
+    made it, ``start <= before``."""
+    if n_open == 0 or top <= before:
+        return range(0)
+    first = (before - size - late) // size * size + size
+    starts = range(first, min(top - size - late, before) + 1, size)
+    return starts if len(starts) <= n_open else None
+
+
 class IdleClose(StatefulProcessor):
     """Per key: the keep-max record of each open window (first arrival wins
     ties; NaN only if it came first).
@@ -159,6 +173,9 @@ class IdleClose(StatefulProcessor):
     dropped, when its window has closed: ``end + L <= max event time
     before it``, or ``end <= closed`` where ``closed`` is the largest end
     emitted by an idle timeout. So each window is emitted once.
+
+    A batch reads the windows its rows fall into and those that may close by
+    its event times (``due``), not all that are open.
     """
 
     def __init__(self, size_ms: int, idle_ms: int, lateness_ms: int = 0):
@@ -171,6 +188,7 @@ class IdleClose(StatefulProcessor):
         self.windows = handle.getMapState("windows", "start long",
                                           "t long, value double, seq long, first_nan boolean")
         self.progress = handle.getValueState("progress", "max_t long, closed long")
+        self.n_open = handle.getValueState("n_open", "n long")
 
     def _emit(self, key, items) -> pd.DataFrame:
         rows = [(int(key), s, s + self.size, t, v, q, why) for s, t, v, q, why in items]
@@ -181,21 +199,35 @@ class IdleClose(StatefulProcessor):
         k = key[0]
         pdf = pd.concat(list(rows), ignore_index=True).sort_values(["p", "seq"], kind="stable")
         none = -(1 << 62)
-        top, closed = self.progress.get() if self.progress.exists() else (none, none)
+        before, closed = self.progress.get() if self.progress.exists() else (none, none)
+        n_open = int(self.n_open.get()[0]) if self.n_open.exists() else sum(1 for _ in self.windows.keys())
+        known = set()
 
         def stored(start):
-            return tuple(self.windows.getValue((start,))) if self.windows.containsKey((start,)) else None
+            if not self.windows.containsKey((start,)):
+                return None
+            known.add(start)
+            return tuple(self.windows.getValue((start,)))
 
         best, top = fold_windows(pdf["t"].to_numpy(np.int64), pdf["value"].to_numpy(float),
-                                 pdf["seq"].to_numpy(np.int64), self.size, self.late, int(top), int(closed), stored)
-        for start, rec in best.items():
-            self.windows.updateValue((start,), rec)
+                                 pdf["seq"].to_numpy(np.int64), self.size, self.late, int(before), int(closed), stored)
         self.progress.update((top, closed))
-        done = []
-        for (start,), rec in list(self.windows.iterator()):
-            if top >= start + self.size + self.late:
-                done.append((start, rec[0], rec[1], rec[2], "event_time"))
-                self.windows.removeKey((start,))
+        starts = due(int(before), top, self.size, self.late, n_open)
+        if starts is None:
+            old = ((int(k[0]), tuple(rec)) for k, rec in list(self.windows.iterator()))
+        else:
+            old = ((s, stored(s)) for s in starts if s not in best)
+        over = lambda s: top >= s + self.size + self.late
+        closing = {s: rec for s, rec in old if rec is not None and over(s)} | {s: rec for s, rec in best.items() if over(s)}
+        n_open += len(best.keys() - known)
+        for s, rec in best.items():
+            if s not in closing:
+                self.windows.updateValue((s,), rec)
+        for s in closing:
+            if s in known or s not in best:
+                self.windows.removeKey((s,))
+        self.n_open.update((n_open - len(closing),))
+        done = [(s, rec[0], rec[1], rec[2], "event_time") for s, rec in sorted(closing.items())]
         for old in self.handle.listTimers():
             self.handle.deleteTimer(old)
         self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
@@ -207,6 +239,7 @@ class IdleClose(StatefulProcessor):
         k = key[0]
         done = [(s, rec[0], rec[1], rec[2], "idle_timeout") for (s,), rec in self.windows.iterator()]
         self.windows.clear()
+        self.n_open.update((0,))
         if done:
             top, closed = self.progress.get()
             self.progress.update((top, max([closed] + [s + self.size for s, *_ in done])))

@@ -86,3 +86,30 @@ def test_fold_windows_equal_row_rule(rows, prior, late, top, closed):
     def norm(d):
         return {k: (a, "nan" if b != b else b, c, e) for k, (a, b, c, e) in d.items()}
     assert norm(merged) == norm(want)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.integers(-5, 200), max_size=4), max_size=8), st.sampled_from([0, 7, 40, 200]))
+def test_due_covers_every_window_that_closes(batches, late):
+    """Of the windows open before a batch, ``due`` names all that it closes."""
+    from hushwin.streaming.processors import due, fold_windows
+    size, none = 10, -(1 << 62)
+    open_, top = set(), none
+    for times in batches:
+        t = np.array(times, np.int64)
+        best, new = fold_windows(t, np.ones(len(t)), t, size, late, top, none, lambda s: None)
+        starts = due(top, new, size, late, len(open_))
+        closing = {s for s in open_ if new >= s + size + late}
+        if starts is not None:
+            assert closing <= set(starts) and len(starts) <= len(open_)
+            assert all(new >= s + size + late for s in starts)
+        open_ = {s for s in open_ | set(best) if new < s + size + late}
+        top = new
+
+
+def test_due_does_not_grow_with_the_open_windows():
+    from hushwin.streaming.processors import due
+    size, late = 10, 1_000_000
+    assert len(due(2_000_000, 2_000_010, size, late, 100_000)) == 1
+    assert len(due(2_000_000, 2_000_004, size, late, 100_000)) <= 1
+    assert due(2_000_000, 3_000_000, size, late, 10) is None         # few open windows, a long way: walk them

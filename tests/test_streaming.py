@@ -38,8 +38,8 @@ def _streams(spark, base):
     return reals, ticks
 
 
-def _run(spark, df, name, base, steps):
-    q = jobs.start(df, name, sink="memory", checkpoint=os.path.join(base, "ckpt-" + name))
+def _run(spark, df, name, base, steps, policy="max"):
+    q = jobs.start(df, name, sink="memory", checkpoint=os.path.join(base, "ckpt-" + name), policy=policy)
     try:
         for step in steps:
             step()
@@ -110,6 +110,10 @@ def test_streaming_clock_equals_bounded(spark, scratch):
     got = {(r.shard, r.seq): (r.s2, r.d, r.reanchored) for r in rows}
     assert len(got) == len(expected) == len(rp) + len(tp)
     assert got == expected
+    from hushwin.operators import progress
+    live = progress.live_progress(spark, os.path.join(scratch, "ckpt-clock_stream"))
+    want = progress.shard_progress(reals, WINDOW, 0, 300_000).select("shard", "last_projected_ms", "last_offset_ms")
+    assert {tuple(r) for r in live.collect()} == {tuple(r) for r in want.collect()}
 
 
 @pytest.mark.parametrize("gap_events", [False, True])
@@ -152,9 +156,9 @@ def test_quiet_input_and_watermark_policy(spark, scratch, policy, closes):
     _write_json(live_dir, "0.json", [_real(1, 1000, T0 + 1000)], now)
     live = streams.replay(spark, live_dir, streams.TRACE, fmt="json")
     quiet = streams.replay(spark, quiet_dir, streams.TRACE, fmt="json")
-    out = jobs.idle_timeout_windows([live, quiet], WINDOW, 0, policy=policy)
+    out = jobs.idle_timeout_windows([live, quiet], WINDOW, 0)
     steps = [lambda: _write_json(live_dir, "1.json", [_real(2, 2000, T0 + 25_000, value=0.2)], now + 1)]
-    rows = _run(spark, out, f"policy_{policy}", scratch, steps)
+    rows = _run(spark, out, f"policy_{policy}", scratch, steps, policy)
     got = {(r.key, r.window_start_ms) for r in rows}
     assert ((3, T0) in got) == closes
 
