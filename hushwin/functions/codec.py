@@ -85,8 +85,8 @@ def sorted_out(decoded: DataFrame, payload: str = "payload") -> DataFrame:
 
 def encodable(event_time: Column | str = "event_time") -> Column:
     """Whether a record can be written so that ``decode`` reads back the same:
-    it has an event time, after the year 0 (the format has no era)."""
-    return F.coalesce(F.year(event_time) > 0, F.lit(False))
+    it has an event time (any year does, keys and values may be absent)."""
+    return (F.col(event_time) if isinstance(event_time, str) else event_time).isNotNull()
 
 
 def encode(event_time: Column | str = "event_time", key: Column | str = "key",

@@ -87,14 +87,14 @@ def test_what_cannot_be_encoded(spark):
     every = rows.withColumn("payload", codec.encode())
     back = codec.decode(every.selectExpr("key AS k", "event_time AS was", "payload"))
     readable = {r.k for r in back.where("reason IS NULL AND event_time = was").select("k").collect()}
-    assert {r.key for r in codec.encode_records(rows).select("key").collect()} == readable == {1, 4, None}
+    assert {r.key for r in codec.encode_records(rows).select("key").collect()} == readable == {1, 3, 4, None}
 
 
 def test_records_that_cannot_be_encoded_are_counted(spark, scratch):
     src = os.path.join(scratch, "in")
     os.makedirs(src)
     with open(os.path.join(src, "0.json"), "w") as out:
-        for t in (1614556800000, -62198755200000, None):
+        for t in (1614556800000, None, None):
             out.write(json.dumps({"shard": 0, "seq": 1, "p": 0, "t": t, "key": 1, "value": 0.5}) + "\n")
     rec = streams.replay(spark, src, streams.TRACE, fmt="json").select(F.timestamp_millis("t").alias("event_time"), "key", "value")
     q = jobs.start(jobs.payload(rec, "unencodable", ("a", "b")), "unencodable", sink="memory", checkpoint=os.path.join(scratch, "ckpt"))
