@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hushwin.llm import divergence, langid, maxent, mixing, neardup, packing, pii, quality, render, resample, topk, toxicity, urls
 from hushwin.llm.common import crc32_mod, table
+from hushwin.llm.suffixes import ADDRESS, RULES
 
 
 def op1_norm_bucketed_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,10 +97,28 @@ p AS (
 marked AS (
   SELECT doc_id AS page_id, max((quality = 0 OR toxic = 1)::INT) AS bad FROM labels
   WHERE doc_id IS NOT NULL GROUP BY doc_id),
+counted AS (
+  SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS bad FROM p LEFT JOIN marked USING (page_id) GROUP BY host),
+users AS (SELECT host, regexp_replace(host, '^.*@', '', 's') AS h FROM counted),
+named AS (
+  SELECT host, CASE WHEN h LIKE '[%' THEN string_split(h, ']')[1] || ']'
+                    ELSE regexp_replace(regexp_replace(h, ':[0-9]*$', ''), '\.$', '') END AS h FROM users),
+labelled AS (SELECT host, h, string_split(h, '.') AS l FROM named),
+listed AS (SELECT unnest([{rules}]) AS rule),
+ends AS (SELECT host, l, unnest(range(2, len(l) + 1)) AS k FROM labelled),
+fitting AS (
+  SELECT host, k, CASE WHEN '!' || array_to_string(l[-k:], '.') IN (SELECT rule FROM listed) THEN k - 1
+                       WHEN array_to_string(l[-k:], '.') IN (SELECT rule FROM listed)
+                         OR '*.' || array_to_string(l[-(k - 1):], '.') IN (SELECT rule FROM listed) THEN k END AS size
+  FROM ends),
+longest AS (SELECT host, arg_max(size, k) AS size FROM fitting WHERE size IS NOT NULL GROUP BY host),
+placed AS (
+  SELECT host, h, l, coalesce(size, 1) AS size, h LIKE '[%' OR regexp_full_match(l[-1], '(?i)[0-9]+|0x[0-9a-f]*') AS is_address
+  FROM labelled LEFT JOIN longest USING (host)),
 hosts AS (
-  SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS bad, string_split(host, '.')[-1] AS suffix,
-         array_to_string(string_split(host, '.')[-2:], '.') AS domain
-  FROM p LEFT JOIN marked USING (page_id) GROUP BY host),
+  SELECT host, n, bad, CASE WHEN is_address THEN '{address}' ELSE array_to_string(l[-size:], '.') END AS suffix,
+         CASE WHEN is_address THEN h ELSE array_to_string(l[-least(size + 1, len(l)):], '.') END AS domain
+  FROM counted JOIN placed USING (host)),
 base AS (SELECT (sum(bad) + 0.5) / (sum(n) + 1.0) AS m FROM hosts),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(m) AS m FROM hosts, base GROUP BY suffix),
 ks AS (
@@ -131,7 +150,7 @@ SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
             WHEN mean - 1.64 * sqrt(mean * (1 - mean) / w + passed) > 0.5 THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled JOIN known USING (host)
-"""
+""".replace("{rules}", ", ".join(f"'{r}'" for r in sorted(RULES))).replace("{address}", ADDRESS)
 
 _OP6 = r"""
 WITH sized AS (
@@ -243,10 +262,35 @@ SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN r
 FROM scored LEFT JOIN ranks USING (row)
 """
 
+_OP10 = r"""
+WITH RECURSIVE worded AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents),
+shingled AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s
+  FROM worded),
+classes AS (
+  SELECT row_number() OVER () AS c, s, len(s) AS n, min(doc_id) AS least FROM shingled WHERE len(s) > 0 GROUP BY s),
+shingles AS (SELECT c, n, unnest(s) AS g FROM classes),
+links AS (
+  SELECT a.c AS a, b.c AS b FROM shingles a JOIN shingles b ON a.g = b.g AND a.c <> b.c AND 4 * a.n >= 3 * b.n AND 4 * b.n >= 3 * a.n
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reached AS (
+  SELECT c AS a, c AS b FROM classes
+  UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a),
+components AS (SELECT a AS c, min(least) AS component_id FROM reached JOIN classes ON classes.c = reached.b GROUP BY a)
+SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, CASE WHEN len(d.s) = 0 THEN d.doc_id ELSE component_id END AS component_id,
+       len(d.s) = 0 OR d.doc_id = component_id AS kept
+FROM shingled d LEFT JOIN classes k ON d.s = k.s LEFT JOIN components USING (c)
+"""
+
 ORACLE = {
     "op1_norm_bucketed_top_k": _OP1,
     "op3_host_reputation": _OP3,
     "op6_capped_water_filling": _OP6,
+    "op10_minmax_near_duplicates": _OP10,
     "op11_source_divergence": _OP11,
     "op13_importance_resampling": _OP13,
 }

@@ -1,8 +1,12 @@
 import random
 import re
 
+import duckdb
+import pyarrow as pa
+
 from hushwin.llm import neardup
 from hushwin.llm.common import table
+from hushwin.llm.queries import ORACLE
 from tests.conftest import SF01
 from tests.llm.cases import edge_docs, empty_docs, rows
 
@@ -103,3 +107,16 @@ def test_no_link_of_small_sets_is_lost(spark):
         docs += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w, *(f"x{rnd.randrange(10**6)}" for _ in range((len(w) - 4) // 3))]))]
     got = rows(neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")))
     assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(i, i - i % 2) for i in range(6000)]
+
+
+def test_sql_equals_operator(spark):
+    """The query's SQL on awkward texts: short, empty, null, equal sets in another order, chains of links."""
+    words = [f"w{i}" for i in range(40)]
+    texts = [None, "", " \t\n", "One two", "one  TWO", "one two three four five", "ONE two\x0bthree four five", " ".join(words), " ".join(words[:-2]), " ".join(words[:-5]),
+             " ".join(words[:-9]), " ".join(words + words), " ".join(words[20:] + words[:20]), "Ä ä x y z", "ä ä x y z"]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": list(range(len(texts), 0, -1)), "text": texts}))
+    want = con.execute(ORACLE["op10_minmax_near_duplicates"]).fetchall()
+    docs = spark.createDataFrame(list(zip(range(len(texts), 0, -1), texts)), "doc_id long, text string")
+    got = neardup.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(tuple, got)) == sorted(want)

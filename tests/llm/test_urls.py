@@ -1,7 +1,11 @@
 import re
 
+import duckdb
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from hushwin.llm import urls
-from hushwin.llm.queries import op3_host_reputation
+from hushwin.llm.queries import ORACLE, op3_host_reputation
 from hushwin.llm.suffixes import suffix_and_domain
 from tests.conftest import SF001
 from tests.llm.cases import rows
@@ -82,3 +86,24 @@ def test_a_new_host_inherits_its_own_registrant(spark):
     rate = {r["page_id"]: r["bad_rate"] for r in judged}
     assert rate[-1] > 0.7 and rate[-2] < 0.3 and rate[-3] > 0.7 and rate[-2] < rate[-4] < rate[-1]
     assert {r["host"] for r in judged if r["page_id"] in (-3, 60)} == {"10.0.0.1:81", "b.spam.co.uk:8080"}
+
+
+def test_sql_takes_suffixes_by_the_list(spark):
+    """The query's SQL over hosts with listed suffixes, ports, users and addresses."""
+    hosts = ["www.a.co.uk", "b.a.co.uk:8080", "c.co.uk", "x.github.io", "y.x.github.io", "a.b.c.ck", "a.www.ck", "c.b.a.kobe.jp", "a.city.kobe.jp", "a.b.公司.cn",
+             "a.b.xn--55qx5d.cn", "me:pw@a.co.uk.", "10.0.0.1", "10.0.0.1:80", "[::1]:80", "localhost", "co.uk", "x.y.unlisted", "0x1f", "", "a.com:", "h:http"]
+    pages, labels = [], []
+    for k, host in enumerate(hosts):
+        for i in range(7 + k % 3):
+            pages.append((len(pages), f"http://{host}/{i}"))
+            labels.append((len(labels), int((i * (k % 4)) % 3 > 0), int(i % 5 == 1)))
+    pages += [(len(pages), None), (len(pages) + 1, "no scheme")]
+    con = duckdb.connect()
+    con.register("pages", pa.table({"page_id": [p for p, _ in pages], "url": [u for _, u in pages]}))
+    con.register("labels", pa.table({"doc_id": [x[0] for x in labels], "quality": [x[1] for x in labels], "toxic": [x[2] for x in labels]}))
+    want = con.execute(ORACLE["op3_host_reputation"]).fetchall()
+    bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
+    outcomes = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string"), outcomes).drop("bad_rate").collect()
+    assert len({r.verdict for r in got}) == 2
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
