@@ -263,17 +263,21 @@ FROM scored LEFT JOIN ranks USING (row)
 """
 
 _OP10 = r"""
-WITH RECURSIVE worded AS (
+WITH RECURSIVE worded AS MATERIALIZED (
   SELECT row_number() OVER () AS r, doc_id,
          coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
   FROM documents),
-shingled AS (
-  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-         ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s
-  FROM worded),
-classes AS (
-  SELECT row_number() OVER () AS c, s, len(s) AS n, min(doc_id) AS least FROM shingled WHERE len(s) > 0 GROUP BY s),
-shingles AS (SELECT c, n, unnest(s) AS g FROM classes),
+placed AS (SELECT r, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM worded WHERE len(w) >= 5),
+grams AS (
+  SELECT r, t || ' ' || lead(t, 1) OVER p || ' ' || lead(t, 2) OVER p || ' ' || lead(t, 3) OVER p || ' ' || lead(t, 4) OVER p AS g
+  FROM placed WINDOW p AS (PARTITION BY r ORDER BY i)),
+distinct_grams AS MATERIALIZED (
+  SELECT DISTINCT r, g FROM grams WHERE g IS NOT NULL
+  UNION ALL SELECT r, array_to_string(w, ' ') FROM worded WHERE len(w) BETWEEN 1 AND 4),
+sets AS MATERIALIZED (SELECT r, md5(string_agg(g, chr(10) ORDER BY g)) AS s, count(*) AS n FROM distinct_grams GROUP BY r),
+classes AS MATERIALIZED (
+  SELECT min(r) AS c, s, any_value(n) AS n, min(doc_id) AS least FROM sets JOIN worded USING (r) GROUP BY s),
+shingles AS (SELECT c, n, g FROM classes JOIN distinct_grams ON r = c),
 links AS (
   SELECT a.c AS a, b.c AS b FROM shingles a JOIN shingles b ON a.g = b.g AND a.c <> b.c AND 4 * a.n >= 3 * b.n AND 4 * b.n >= 3 * a.n
   GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
@@ -281,9 +285,9 @@ reached AS (
   SELECT c AS a, c AS b FROM classes
   UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a),
 components AS (SELECT a AS c, min(least) AS component_id FROM reached JOIN classes ON classes.c = reached.b GROUP BY a)
-SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, CASE WHEN len(d.s) = 0 THEN d.doc_id ELSE component_id END AS component_id,
-       len(d.s) = 0 OR d.doc_id = component_id AS kept
-FROM shingled d LEFT JOIN classes k ON d.s = k.s LEFT JOIN components USING (c)
+SELECT d.doc_id, coalesce(t.n, 0)::BIGINT AS n_shingles, CASE WHEN t.n IS NULL THEN d.doc_id ELSE component_id END AS component_id,
+       t.n IS NULL OR d.doc_id = component_id AS kept
+FROM worded d LEFT JOIN sets t USING (r) LEFT JOIN classes k ON t.s = k.s LEFT JOIN components USING (c)
 """
 
 ORACLE = {
